@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -252,7 +253,7 @@ def encoder(path: str, kind: str = "tree") -> ChunkedEncoder:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches to about ``most`` bytes of text; one longer text stands alone."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0))
         start = total = 0
         for i, size in enumerate(sizes.tolist()):
             if i > start and total + size > most:
