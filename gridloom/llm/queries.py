@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, licenses, packing, quality, secrets, simhash, token_counts, va_search
+from gridloom.llm import bpe, licenses, nn_descent, packing, quality, secrets, simhash, token_counts, va_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nn_descent.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_secrets": op2_secrets,
+    "op3_neighbours": op3_neighbours,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op7_quality": op7_quality,
