@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, licenses, nn_descent, packing, quality, secrets, simhash, token_counts, va_search
+from gridloom.llm import bpe, licenses, nn_descent, packing, passages, quality, secrets, simhash, token_counts, va_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neighbours": op3_neighbours,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_passages": op6_passages,
     "op7_quality": op7_quality,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_simhash": op9_simhash,
