@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fusion",)
+MODULES = ("fusion", "cleaning", "ranking", "matching")
 
 
 def registered() -> tuple[dict, dict]:
