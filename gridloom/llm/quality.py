@@ -139,3 +139,13 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.3, i
 
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int"
     return docs.select(F.col(id_col), (fold(id_col) == 0).alias("held_out"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The documents that score_documents predicts as 1, all columns and repeated rows kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([machine.score(t or b"") >= threshold for t in b.column(text_col).cast(pa.binary()).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

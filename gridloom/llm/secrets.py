@@ -30,6 +30,9 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])", re.
 LEAST_DIGITS, LEAST_LETTERS, LEAST_BITS = 3, 3, 3.0
 MOST_OWNERS = 1
 
+#: Documents with secrets up to which their spans are broadcast; beyond it the tables are shuffled.
+BROADCAST_ROWS = 200_000
+
 SPAN = "struct<start:long,kind:int,end:long,value:long>"
 
 
@@ -63,8 +66,8 @@ def value_hash(value: str) -> int:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
-    """_row, id, owner and the arrays ``base`` and ``weak`` of (start, kind, end, value hash) for each document."""
-    schema = f"_row long, {id_col} {docs.schema[id_col].dataType.simpleString()}, _owner string, base array<{SPAN}>, weak array<{SPAN}>"
+    """_row, id, owner, _hash (of the text) and the arrays ``base`` and ``weak`` of (start, kind, end, value hash) for each document."""
+    schema = f"_row long, {id_col} {docs.schema[id_col].dataType.simpleString()}, _owner string, _hash long, base array<{SPAN}>, weak array<{SPAN}>"
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.int64())]))
     rows = lambda found: [{"start": s, "kind": k, "end": e, "value": value_hash(v)} for s, k, e, v in found]
 
@@ -75,9 +78,9 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFra
                 found = base_spans(t or "")
                 base.append(rows(found))
                 weak.append(rows(weak_spans(t or "", found)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(base, span), pa.array(weak, span)], ["_row", id_col, "_owner", "base", "weak"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(base, span), pa.array(weak, span)], ["_row", id_col, "_owner", "_hash", "base", "weak"])
 
-    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(owner_col).cast("string").alias("_owner"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(owner_col).cast("string").alias("_owner"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def ownership(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -111,24 +114,37 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     empty = F.array().cast(f"array<{SPAN}>")
     return scanned.join(by_row, "_row", "left").select(
-        id_col, F.array_sort(F.concat("base", F.coalesce("added", empty))).alias("found"), "base", F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), "_row"
+        id_col, F.array_sort(F.concat("base", F.coalesce("added", empty))).alias("found"), "base", F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), "_hash"
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mask: str = "[SECRET]", length_col: str | None = "n_chars") -> DataFrame:
     """The documents with every span of find_secrets replaced by ``mask``; overlapping spans merge first.
 
-    Rows and columns stay as they are; texts without spans stay the same, null included.
+    Rows and columns stay as they are; texts without spans stay the same, null included. Repeated rows are redacted each
+    by its own text. ``length_col`` (if there) becomes the new length in code points.
     """
-    found = find_secrets(docs.dropDuplicates([id_col]), id_col, text_col, owner_col).filter(F.size("found") > 0).select(id_col, F.col("found").alias("_found"))
+    found = find_secrets(docs, id_col, text_col, owner_col).filter(F.size("found") > 0).select(F.col(id_col).alias("_id"), "_hash", F.col("found").alias("_found"))
+    found = staged(found.dropDuplicates(["_id", "_hash"]), "secrets")
+    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [cut(t, [(s["start"], s["end"]) for s in f], mask) if f and t else t for t, f in zip(b.column(text_col).to_pylist(), b.column("_found").to_pylist())]
-            at = b.schema.get_field_index(text_col)
-            yield b.set_column(at, text_col, pa.array(texts, pa.string())).drop_columns(["_found"])
+            found = b.column("_found").to_pylist()
+            texts = [cut(t, [(s["start"], s["end"]) for s in f], mask) if f and t else t for t, f in zip(b.column(text_col).to_pylist(), found)]
+            yield with_texts(b, text_col, texts, [bool(f) for f in found], length_col).drop_columns(["_found"])
+
+    return docs.join(side, docs[id_col].eqNullSafe(side["_id"]) & (F.xxhash64(docs[text_col]) == side["_hash"]), "left").select(*docs.columns, "_found").mapInArrow(run, docs.schema)
+
 
-    return docs.join(found, id_col, "left").select(*docs.columns, "_found").mapInArrow(run, docs.schema)
+def with_texts(batch: pa.RecordBatch, text_col: str, texts: list[str | None], changed: list[bool], length_col: str | None) -> pa.RecordBatch:
+    """The batch with other texts and, where they changed, other lengths."""
+    batch = batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
+    i = batch.schema.get_field_index(length_col) if length_col else -1
+    if i >= 0:
+        lengths = [len(t) if c and t is not None else n for t, c, n in zip(texts, changed, batch.column(i).to_pylist())]
+        batch = batch.set_column(i, length_col, pa.array(lengths, batch.schema.field(i).type))
+    return batch
 
 
 def cut(text: str, spans: list[tuple[int, int]], mask: str = "") -> str:

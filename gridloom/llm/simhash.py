@@ -20,32 +20,37 @@ from gridloom.operators.graph import connected_components
 from gridloom.staging import staged
 
 SEED = 42
-#: Blocks of more distinct fingerprints than this are compared in tiles of that size.
-TILE = 1_000
+#: Ids up to which the list of later copies is broadcast; beyond it the tables are shuffled.
+BROADCAST_ROWS = 500_000
+#: Blocks of up to so many distinct fingerprints join in place; larger ones are compared in tiles.
+SMALL, TILE = 64, 2_000
 
 
-def fingerprint(raw: bytes, shingle: int = 3, seed: int = SEED) -> int:
-    """Majority of the XXH64 bits of word shingles, A-Z lower-cased, repeats included; 0 without words."""
+def fingerprint(raw: bytes, shingle: int = 3, seed: int = SEED, distinct: bool = False) -> int:
+    """Majority of the XXH64 bits of word shingles, A-Z lower-cased, repeats included unless distinct; 0 without words."""
     words = raw.lower().split()  # of bytes: ASCII white space and letters only
     if not words:
         return 0
     parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in (set(parts) if distinct else parts)), np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``fp`` (the 64 bits as a signed long) of each document; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and fp0, fp1, ... (64 bits as signed longs, one for each seed); null and empty texts have fingerprint 0."""
+    names = [f"fp{i}" for i in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or b"", shingle, seed) for t in b.column("_text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"])
+            texts = [t or b"" for t in b.column("_text").cast(pa.binary()).to_pylist()]
+            fps = [np.array([fingerprint(t, shingle, seed, distinct) for t in texts], np.uint64).view(np.int64) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, fps)], [id_col, *names])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long")
+    schema = ", ".join([f"{id_col} {docs.schema[id_col].dataType.simpleString()}", *(f"{n} long" for n in names)])
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def block_keys(fp, distance: int, blocks: int):
@@ -58,67 +63,73 @@ def block_keys(fp, distance: int, blocks: int):
     return F.array(*keys)
 
 
-def forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links a[i]-b[j] within ``distance`` bits, thinned to a spanning forest; 256 rows of a at a time."""
-    values, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(values)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    out, ia, ib = [], inverse[: len(a)], inverse[len(a) :]
-    for at in range(0, len(a), 256):
-        near = np.bitwise_count(a[at : at + 256, None] ^ b[None, :]) <= distance
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-            x, y = root(ia[at + i]), root(ib[j])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((int(values[ia[at + i]]), int(values[ib[j]])))
+def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links within ``distance`` bits: each value is compared once with those not yet reached."""
+    left, out = np.unique(values), []
+    while len(left):
+        turn, left = [int(left[0])], left[1:]
+        while turn and len(left):
+            x = turn.pop()
+            near = np.bitwise_count(left ^ np.int64(x)) <= distance
+            found = left[near].tolist()
+            out += [(x, y) for y in found]
+            turn += found
+            left = left[~near]
     return out
 
 
-def linked_fingerprints(distinct: DataFrame, distance: int = 3, blocks: int = 5, tile: int = TILE) -> DataFrame:
+def linked_fingerprints(distinct: DataFrame, distance: int = 3, blocks: int = 5, small: int = SMALL, tile: int = TILE) -> DataFrame:
     """(a, b): links among distinct fingerprints (column fp) whose components are those of all links within ``distance``.
 
-    Blocks of up to ``tile`` fingerprints join in place. Larger ones are cut into tiles, and each pair of tiles gives a
-    spanning forest of its links: no link between components is lost, and no task holds more than two tiles.
+    Blocks of up to ``small`` fingerprints join in place. Larger ones are cut into tiles by hash, and each pair of tiles
+    gives a spanning forest of its links: no link between components is lost, and no group holds more than two tiles.
     """
     keyed = staged(distinct.select("fp", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("key")), "blocks")
     sizes = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "block-sizes")
     shared = staged(keyed.join(sizes, "key"), "shared-blocks")
-    small = shared.filter(F.col("n") <= tile).select("key", "fp")
-    links = small.select("key", F.col("fp").alias("a")).join(small.select("key", F.col("fp").alias("b")), "key")
+    few = shared.filter(F.col("n") <= small).select("key", "fp")
+    links = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key")
     links = links.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
     tiles = F.ceil(F.col("n") / tile).cast("int")
-    large = shared.filter(F.col("n") > tile).withColumn("own", F.pmod(F.xxhash64("fp"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    large = large.select("key", "fp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    large = shared.filter(F.col("n") > small).withColumn("own", F.pmod(F.xxhash64("fp"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    large = large.select("key", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        return pd.DataFrame(forest(pdf.loc[pdf["own"] == i, "fp"].to_numpy(), pdf.loc[pdf["own"] == j, "fp"].to_numpy(), distance), columns=["a", "b"])
+        return pd.DataFrame(forest(pdf["fp"].to_numpy(), distance), columns=["a", "b"], dtype="int64")
 
     return links.union(large.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")).distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 5, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links).
+def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 5, shingle: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: id, fingerprint (16 hex digits, first seed), component_id (smallest id reachable).
 
-    Documents of one fingerprint are one node, so copies never form pairs. Null, empty and blank texts have fingerprint
-    zero and are linked like any other; repeated rows stay repeated; rows with a null id get a fingerprint, and their
-    component is that of their fingerprint; other columns are not read. An empty table gives no rows.
+    Two documents are linked if their fingerprints of any seed differ in at most ``distance`` bits. Documents of one
+    fingerprint hang on their smallest id, so copies never form pairs. Null, empty and blank texts have fingerprint zero
+    and are linked like any other; repeated rows stay repeated; rows with a null id have a fingerprint, no component, and
+    link nothing; other columns are not read. An empty table gives no rows.
     """
-    fps = staged(fingerprints(docs, shingle, SEED, id_col, text_col), "fingerprints")
-    nodes = staged(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "nodes")
-    links = staged(linked_fingerprints(nodes.select("fp"), distance, blocks), "links")
-    ends = links.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("src")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("dst")), "b").select("src", "dst")
-    members = connected_components(ends)
-    named = staged(nodes.join(members, nodes["first"] == members["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id")), "components")
-    return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = staged(fingerprints(docs, shingle, seeds, distinct, id_col, text_col), "fingerprints")
+    edges = None
+    for i in range(len(seeds)):
+        own = fps.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(f"fp{i}").alias("fp"))
+        nodes = staged(own.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+        links = staged(linked_fingerprints(nodes.select("fp"), distance, blocks), "links")
+        ends = links.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("src")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("dst")), "b").select("src", "dst")
+        copies = own.join(nodes, "fp").filter(F.col("id") != F.col("first")).select(F.col("first").alias("src"), F.col("id").alias("dst"))
+        edges = ends.union(copies) if edges is None else edges.union(ends).union(copies)
+    members = connected_components(edges)
+    return fps.join(members, fps[id_col] == members["node"], "left").select(id_col, F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.coalesce("component", id_col).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that are the smallest id of their component; of repeated rows of one id one stays."""
-    first = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
+    """The documents without those that have a smaller id in their component; of repeated rows of one id one stays.
+
+    Rows with a null id stay.
+    """
+    later = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    later = staged(later, "later-copies")
+    kept = docs.join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, id_col, "left_anti")
+    repeated = staged(docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col), "repeated-ids")
+    if repeated.limit(1).count() == 0:
+        return kept.select(docs.columns)
+    return kept.join(repeated, id_col, "left_anti").union(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])).select(docs.columns)
