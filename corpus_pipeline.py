@@ -1,8 +1,50 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: quality, near duplicates, repeated passages, secrets, packing."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gridloom.llm import packing, passages, quality, secrets, simhash
+from gridloom.staging import staged
+
+#: Near copies are told by the different words of a text: an edit changes few of them, unlike shingles.
+NEAR = {"distance": 5, "blocks": 7, "shingle": 1, "seeds": (42, 43), "distinct": True}
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labels of the input."""
+    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of copies and near copies."""
+    return simhash.keep_first(docs, **NEAR)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out."""
+    return passages.drop_passages(docs)
+
+
+def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mask."""
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences and their places."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", good_quality), ("near_duplicates", near_duplicates), ("passages", repeated_passages), ("secrets", masked_secrets), ("packing", packed)]
+
+#: No stage but the packing's arithmetic can be told in SQL: classifier, XXH64 fingerprints, chains and tokens can't.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each from the written table of the one before."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
