@@ -40,9 +40,8 @@ def fill_medians(df: DataFrame, columns: list[str], levels: list[list[str]]) ->
     for i, level in enumerate(levels):
         m = medians(df, columns, level).toDF(*level, *(f"_m{i}_{c}" for c in columns))
         out = out.join(m, level, "left")
-    total = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"_t_{c}") for c in columns))
-    out = out.crossJoin(F.broadcast(total))  # one row
-    filled = {c: F.coalesce(c, *(f"_m{i}_{c}" for i in range(len(levels))), f"_t_{c}", F.lit(0.0)) for c in columns}
+    total = df.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in columns)).first()
+    filled = {c: F.coalesce(c, *(f"_m{i}_{c}" for i in range(len(levels))), F.lit(total[c] or 0.0)) for c in columns}
     return out.withColumns(filled).select(df.columns)
 
 

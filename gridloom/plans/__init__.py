@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fusion", "cleaning", "ranking", "matching")
+MODULES = ("fusion", "cleaning", "ranking", "matching", "profiling")
 
 
 def registered() -> tuple[dict, dict]:

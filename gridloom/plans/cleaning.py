@@ -86,7 +86,7 @@ def q_times(spark, sf):
 def q_period(spark, sf):
     o = _orders(spark, sf).select(F.to_date("o_orderdate").alias("day"), (F.year("o_orderdate") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)).alias("year"))
     inside = o.agg(F.count_if(D.within(F.col("day"), "1995-01-01", "1996-12-31")).alias("inside"), F.count_if(~D.within(F.col("day"), "1995-01-01", "1996-12-31")).alias("outside"))
-    return inside.crossJoin(D.year_mismatches(o, "year", "day"))  # one row each
+    return inside.unpivot([], ["inside", "outside"], "test", "n").union(D.year_mismatches(o, "year", "day").unpivot([], ["compared", "different"], "test", "n"))
 
 
 def q_coverage(spark, sf):
@@ -150,7 +150,7 @@ ORACLES = {
   t AS (SELECT *, CASE WHEN h <= 23 AND m <= 59 THEN lpad(CAST(h AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0') END AS clock, CASE WHEN k % 3 = 0 AND k % 70 <= 59 THEN lpad(CAST(k % 90 AS VARCHAR), 2, '0') || ':' || lpad(CAST(k % 70 AS VARCHAR), 2, '0') || ':00'
   WHEN k % 3 = 1 THEN CASE WHEN (k % 5) * 24 + k % 10 >= 100 THEN CAST((k % 5) * 24 + k % 10 AS VARCHAR) ELSE lpad(CAST((k % 5) * 24 + k % 10 AS VARCHAR), 2, '0') END || ':05:09' END AS duration FROM s)
   SELECT k AS o_orderkey, clock, strftime(d, '%Y-%m-%d') || ' ' || clock AS moment, duration, duration IS NOT NULL AS valid FROM t""",
-    "clean_period": "SELECT count(*) FILTER (CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31') AS inside, count(*) FILTER (CAST(o_orderdate AS DATE) NOT BETWEEN DATE '1995-01-01' AND DATE '1996-12-31') AS outside, count(*) AS compared, count(*) FILTER (o_orderkey % 7 = 0) AS different FROM orders",
+    "clean_period": "SELECT 'inside' AS test, count(*) FILTER (CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31') AS n FROM orders UNION ALL SELECT 'outside', count(*) FILTER (CAST(o_orderdate AS DATE) NOT BETWEEN DATE '1995-01-01' AND DATE '1996-12-31') FROM orders UNION ALL SELECT 'compared', count(*) FROM orders UNION ALL SELECT 'different', count(*) FILTER (o_orderkey % 7 = 0) FROM orders",
     "clean_coverage": "SELECT 'anio' AS source, CAST(min(year(o_orderdate)) AS VARCHAR) AS first, CAST(max(year(o_orderdate)) AS VARCHAR) AS last, count(*) AS n FROM orders UNION ALL SELECT 'fecha', strftime(min(o_orderdate), '%Y-%m-%d'), strftime(max(o_orderdate), '%Y-%m-%d'), count(*) FROM orders UNION ALL SELECT 'fecha', 'detected', NULL, count(*) FROM orders",
     "clean_cycles": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) || '_' || (year(o_orderdate) + 5) ELSE CAST(year(o_orderdate) AS VARCHAR) END AS cycle, count(*) AS n FROM orders GROUP BY 1",
     "clean_coordinates": """WITH c AS (SELECT c_custkey, CAST(c_custkey % 34 AS DOUBLE) AS deg, CAST(c_custkey % 60 AS DOUBLE) AS mi, CAST(c_custkey % 7 AS DOUBLE) AS sec FROM customer), d AS (SELECT *, deg + mi / 60 + sec / 3600 AS la, -(deg + 84 + mi / 60 + sec / 3600) AS lo FROM c),

@@ -38,9 +38,9 @@ def q_share(spark, sf):
 
 def q_cumulative(spark, sf):
     p = table(spark, sf, "part").groupBy("p_size").agg(F.count("*").alias("n"))
-    p = p.join(F.broadcast(p.agg(F.sum("n").alias("total"))), F.lit(True)).select("p_size", (F.col("n") / F.col("total")).alias("ratio"))
-    run, first = R.cumulative(p, "ratio", "p_size")
-    return run.select("p_size", F.round("cumulative", 6).alias("cumulative")).crossJoin(F.broadcast(first))  # one row
+    total = p.agg(F.sum("n")).first()[0]
+    run, first = R.cumulative(p.select("p_size", (F.col("n") / total).alias("ratio")), "ratio", "p_size")
+    return run.select("p_size", F.round("cumulative", 6).alias("cumulative"), *(F.lit(v).alias(k) for k, v in first.first().asDict().items()))
 
 
 def q_loadings(spark, sf):
