@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fusion", "cleaning", "ranking", "matching", "profiling")
+MODULES = ("fusion", "cleaning", "ranking", "matching", "profiling", "geometry")
 
 
 def registered() -> tuple[dict, dict]:
