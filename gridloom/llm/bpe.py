@@ -195,20 +195,6 @@ class SegmentTreeBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class LibraryBpe:
-    """The same interface over the tokenizers library."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-
 class ChunkedEncoder:
     """Encodes whole texts from cached chunks.
 
@@ -245,9 +231,21 @@ class ChunkedEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, kind: str = "tree") -> ChunkedEncoder:
+def encoder(path: str) -> ChunkedEncoder:
     """One encoder for each Python worker."""
-    return ChunkedEncoder((SegmentTreeBpe if kind == "tree" else LibraryBpe)(vocabulary_path(path)))
+    return ChunkedEncoder(SegmentTreeBpe(vocabulary_path(path)))
+
+
+@lru_cache(maxsize=4)
+def rank_encoding(path: str):
+    """The same vocabulary for the tiktoken library, for callers that need ids alone and many of them."""
+    import tiktoken
+
+    model = SegmentTreeBpe(vocabulary_path(path))
+    if (np.diff(model.merged) <= 0).any():
+        raise ValueError(f"{path}: the ids of merges have to follow their order")
+    special = set(model.special.values())
+    return tiktoken.Encoding("vocabulary", pat_str=PRE_TOKEN, mergeable_ranks={b: i for i, b in enumerate(model.bytes_of) if i not in special}, special_tokens=model.special)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

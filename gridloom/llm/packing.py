@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import encoder, slices
+from gridloom.llm.bpe import rank_encoding, slices
 from gridloom.staging import staged
 
 RANK_BUCKETS = 256
@@ -32,12 +32,12 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int | N
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        tail = [] if end_id is None else [end_id]
+        enc = rank_encoding(vocabulary)
+        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for part in slices(batches, "_text"):
             rows: list[tuple] = []
-            for k, ids in enumerate(enc.encode([t or "" for t in part.column("_text").to_pylist()])):
-                raw = np.array(ids + tail, "<u4").tobytes()
+            for k, text in enumerate(part.column("_text").to_pylist()):
+                raw = enc.encode_to_numpy(text or "", allowed_special="all").astype("<u4").tobytes() + tail
                 rows += [(k, j, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for j, (s, n) in enumerate(cut_lengths(len(raw) // 4, size)) if n]
             if rows:
                 k, piece, start, length, crc = map(list, zip(*rows))
