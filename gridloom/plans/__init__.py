@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fusion", "cleaning", "ranking", "matching", "profiling", "geometry", "modelling")
+MODULES = ("fusion", "cleaning", "ranking", "matching", "profiling", "geometry", "modelling", "publishing", "loading")
 
 
 def registered() -> tuple[dict, dict]:
