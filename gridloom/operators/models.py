@@ -222,11 +222,13 @@ def density_clusters(df: DataFrame, key: str, columns: list[str], eps: float, le
     from gridloom.operators.ranking import renumber
     from gridloom.staging import staged
 
-    cell = lambda c: F.floor(F.col(c) / eps).cast("long")
-    base = staged(df.select(F.col(key).alias("k"), *columns, (F.col(weight) if weight else F.lit(1)).alias("w"), F.array(*(cell(c) for c in columns)).alias("cell")), "points")
-    shifts = F.array(*(F.array(*((F.col("cell")[i] + d).cast("bigint") for i, d in enumerate(step))) for step in product((-1, 0, 1), repeat=len(columns))))
-    left = base.withColumn("cell", F.explode(shifts)).select("cell", F.col("k").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns))
-    square = sum(((F.col(c) - F.col(f"a_{c}")) ** 2 for c in columns), F.lit(0.0))
+    n = len(columns)
+    x = [f"x{i}" for i in range(n)]
+    cell = F.array(*(F.floor(F.col(c) / eps).cast("long") for c in columns))
+    base = staged(df.select(F.col(key).alias("k"), *(F.col(c).alias(v) for c, v in zip(columns, x)), (F.col(weight) if weight else F.lit(1)).alias("w"), cell.alias("cell")), "points")
+    shifts = F.array(*(F.array(*((F.col("cell")[i] + d).cast("bigint") for i, d in enumerate(step))) for step in product((-1, 0, 1), repeat=n)))
+    left = base.withColumn("cell", F.explode(shifts)).select("cell", F.col("k").alias("a"), *(F.col(v).alias(f"a{v}") for v in x))
+    square = sum(((F.col(v) - F.col(f"a{v}")) ** 2 for v in x), F.lit(0.0))
     near = staged(left.join(base, "cell").filter(square <= eps * eps).select("a", F.col("k").alias("b"), "w"), "near")
     core = staged(near.groupBy("a").agg(F.sum("w").alias("n")).filter(F.col("n") >= least).select("a"), "core")
     dense = near.join(core, "a").join(core.select(F.col("a").alias("b")), "b")

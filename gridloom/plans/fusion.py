@@ -98,7 +98,7 @@ def q_calendar(spark, sf):
 def q_cubes(spark, sf):
     d = with_state(detections(spark, sf), spark, sf).withColumns({"year": F.year("day"), "month": F.month("day")})
     grains = {"cluster": ["l_returnflag"], "year_month": ["year", "month"], "state": ["state"], "region": ["state", "region"], "state_cluster": ["state", "l_returnflag"], "region_cluster": ["state", "region", "l_returnflag"]}
-    return rounded(O.cubes(d, grains, [F.count("*").alias("n"), F.sum("power").alias("power_sum"), F.avg("brightness").alias("brightness_mean"), F.countDistinct("day").alias("days"), F.min_by("l_linestatus", F.struct("day", "power", "l_linestatus")).alias("first_status")]))
+    return rounded(O.cubes(d, grains, [F.count("*").alias("n"), F.sum("power").alias("power_sum"), F.avg("brightness").alias("brightness_mean"), F.countDistinct("day").alias("days")]))
 
 
 def q_yearly(spark, sf):
@@ -207,9 +207,9 @@ ORACLES = {
   UNION ALL SELECT 'detection_power_sum', (SELECT sum(detection_power_sum) FROM f), (SELECT sum(detection_power_sum) FROM g)) SELECT "column", round(CAST(detail AS DOUBLE), 1) AS detail, round(CAST(rolled AS DOUBLE), 1) AS rolled, abs(detail - rolled) <= 0.01 AS agrees FROM t""",
     "calendar_features": f"SELECT {_DAY}, CAST(year(day) AS INTEGER) AS year, CAST(month(day) AS INTEGER) AS month, CAST(day(day) AS INTEGER) AS day_of_month, CAST(dayofyear(day) AS INTEGER) AS day_of_year, CAST(weekofyear(day) AS INTEGER) AS week, CAST(quarter(day) AS INTEGER) AS quarter, CAST(month(day) <= 6 AS INTEGER) AS first_half FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)",
     "summary_cubes": f"""WITH {_D}, a AS (SELECT CASE grouping_id(l_returnflag, year, month, state, region) WHEN 15 THEN 'cluster' WHEN 19 THEN 'year_month' WHEN 29 THEN 'state' WHEN 28 THEN 'region' WHEN 13 THEN 'state_cluster' WHEN 12 THEN 'region_cluster' END AS grain,
-  l_returnflag, year, month, state, region, count(*) AS n, sum(power) AS p, avg(brightness) AS b, count(DISTINCT day) AS days, arg_min(l_linestatus, (day, power, l_linestatus)) AS first_status
+  l_returnflag, year, month, state, region, count(*) AS n, sum(power) AS p, avg(brightness) AS b, count(DISTINCT day) AS days
   FROM d GROUP BY GROUPING SETS ((l_returnflag), (year, month), (state), (state, region), (state, l_returnflag), (state, region, l_returnflag)))
-  SELECT grain, l_returnflag, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, state, region, n, round(p, 3) AS power_sum, round(b, 6) AS brightness_mean, days, first_status FROM a""",
+  SELECT grain, l_returnflag, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, state, region, n, round(p, 3) AS power_sum, round(b, 6) AS brightness_mean, days FROM a""",
     "yearly_summary": f"""WITH {_D}, c AS (SELECT year, state, region, l_returnflag, count(*) AS w FROM d GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY year, state, region ORDER BY w DESC, l_returnflag) AS r, count(*) OVER (PARTITION BY year, state, region) AS nc, sum(w) OVER (PARTITION BY year, state, region) AS sw FROM c),
   a AS (SELECT year, state, region, count(*) AS n, round(avg(power), 6) AS power_mean, round(max(power), 3) AS power_max, round(avg(brightness), 6) AS brightness_mean FROM d GROUP BY 1, 2, 3)
   SELECT CAST(a.year AS INTEGER) AS year, a.state, a.region, n, power_mean, power_max, brightness_mean, l_returnflag AS dominant, w AS dominant_weight, nc AS n_categories, round(w / sw, 4) AS dominant_share FROM a JOIN r ON a.year = r.year AND a.state = r.state AND a.region = r.region AND r.r = 1""",
