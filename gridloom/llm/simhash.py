@@ -63,16 +63,20 @@ def block_keys(fp, distance: int, blocks: int):
     return F.array(*keys)
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within ``distance`` bits: each value is compared once with those not yet reached."""
-    left, out = np.unique(values), []
+    left, out = np.unique(values).view(np.uint64), []  # unsigned: bits are counted of absolute values
     while len(left):
         turn, left = [int(left[0])], left[1:]
         while turn and len(left):
             x = turn.pop()
-            near = np.bitwise_count(left ^ np.int64(x)) <= distance
+            near = np.bitwise_count(left ^ np.uint64(x)) <= distance
             found = left[near].tolist()
-            out += [(x, y) for y in found]
+            out += [(signed(x), signed(y)) for y in found]
             turn += found
             left = left[~near]
     return out
