@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import rank_encoding, slices
+from gridloom.llm.runs import in_batches
 from gridloom.staging import staged
 
 RANK_BUCKETS = 256
@@ -43,7 +44,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int | N
                 k, piece, start, length, crc = map(list, zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], [id_col, "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return in_batches(docs).select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> list[tuple[int, int]]:

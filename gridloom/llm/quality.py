@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.runs import in_batches
+
 BUCKETS = 1_024
 #: Labelled rows that a fit takes at most, chosen by hash: the bound of what reaches the driver.
 SAMPLE = 4_000
@@ -138,7 +140,7 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.3, i
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], [id_col, "held_out", "score", "predicted"])
 
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int"
-    return docs.select(F.col(id_col), (fold(id_col) == 0).alias("held_out"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return in_batches(docs).select(F.col(id_col), (fold(id_col) == 0).alias("held_out"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -148,4 +150,4 @@ def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_co
         for b in batches:
             yield b.filter(pa.array([machine.score(t or b"") >= threshold for t in b.column(text_col).cast(pa.binary()).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)

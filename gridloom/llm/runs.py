@@ -1,4 +1,4 @@
-"""Runs of equal keys in sorted Arrow streams."""
+"""What Arrow functions share: batches of texts, and runs of equal keys in sorted streams."""
 
 from __future__ import annotations
 
@@ -6,17 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+#: Rows of a batch that a Python worker gets: texts are wide, and a worker holds a batch several times over.
+BATCH_ROWS = 512
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables that hold whole runs of ``key`` of a stream sorted by it."""
+
+def in_batches(rows: DataFrame) -> DataFrame:
+    """The same rows; from now on the session hands Python at most BATCH_ROWS of them at a time."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return rows
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Tables that hold whole runs of the keys of a stream sorted by them."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        k = b.column(key).to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(k, k[-1]))  # where the last, maybe unfinished run starts
-        if cut or (held and held[-1].column(key)[-1].as_py() != k[0]):
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cut = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in columns])))  # where the last, maybe unfinished run starts
+        if cut or (held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, columns))):
             whole = [*held, b.slice(0, cut)] if cut else held
             yield pa.Table.from_batches(whole)
             held = []
@@ -25,5 +35,6 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def starts(keys: np.ndarray) -> np.ndarray:
-    return np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+def starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of the keys start, and the end."""
+    return np.append(np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))), len(keys[0]))

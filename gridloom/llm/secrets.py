@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.runs import in_batches
 from gridloom.staging import staged
 
 KINDS = ("assign", "access", "hex", "token")
@@ -80,7 +81,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFra
                 weak.append(rows(weak_spans(t or "", found)))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(base, span), pa.array(weak, span)], ["_row", id_col, "_owner", "_hash", "base", "weak"])
 
-    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(owner_col).cast("string").alias("_owner"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return in_batches(docs).select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(owner_col).cast("string").alias("_owner"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def ownership(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -134,7 +135,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
             texts = [cut(t, [(s["start"], s["end"]) for s in f], mask) if f and t else t for t, f in zip(b.column(text_col).to_pylist(), found)]
             yield with_texts(b, text_col, texts, [bool(f) for f in found], length_col).drop_columns(["_found"])
 
-    return docs.join(side, docs[id_col].eqNullSafe(side["_id"]) & (F.xxhash64(docs[text_col]) == side["_hash"]), "left").select(*docs.columns, "_found").mapInArrow(run, docs.schema)
+    return in_batches(docs).join(side, docs[id_col].eqNullSafe(side["_id"]) & (F.xxhash64(docs[text_col]) == side["_hash"]), "left").select(*docs.columns, "_found").mapInArrow(run, docs.schema)
 
 
 def with_texts(batch: pa.RecordBatch, text_col: str, texts: list[str | None], changed: list[bool], length_col: str | None) -> pa.RecordBatch:
