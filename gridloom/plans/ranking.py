@@ -45,7 +45,7 @@ def q_cumulative(spark, sf):
 
 def q_loadings(spark, sf):
     p = table(spark, sf, "part").groupBy("p_brand", "p_size").agg((F.avg("p_retailprice") - 1200).alias("loading"))
-    return R.rank_loadings(p, "p_brand", "p_size", "loading").select("p_brand", "p_size", "rank", F.round("contribution", 4).alias("contribution"))
+    return R.rank_loadings(p, "p_brand", "p_size", "loading").select("p_brand", "p_size", "rank", "contribution")
 
 
 def q_renumber(spark, sf):
@@ -122,7 +122,7 @@ ORACLES = {
   round(coalesce(b, quantile_cont(b, 0.5) OVER (PARTITION BY event_type, month), quantile_cont(b, 0.5) OVER (PARTITION BY event_type), quantile_cont(b, 0.5) OVER (), 0), 3) AS double_value FROM v""",
     "group_share": "SELECT c_mktsegment, c_nationkey, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY c_mktsegment), 6) AS share FROM customer GROUP BY 1, 2",
     "cumulative_variance": "WITH p AS (SELECT p_size, count(*) / (SELECT count(*) FROM part) AS r FROM part GROUP BY 1), c AS (SELECT p_size, sum(r) OVER (ORDER BY p_size) AS c FROM p) SELECT p_size, round(c, 6) AS cumulative, (SELECT min(p_size) FROM c WHERE c >= 0.7) AS at_70, (SELECT min(p_size) FROM c WHERE c >= 0.8) AS at_80, (SELECT min(p_size) FROM c WHERE c >= 0.85) AS at_85, (SELECT min(p_size) FROM c WHERE c >= 0.9) AS at_90, (SELECT min(p_size) FROM c WHERE c >= 0.95) AS at_95 FROM c",
-    "rank_loadings": "WITH p AS (SELECT p_brand, p_size, avg(p_retailprice) - 1200 AS l FROM part GROUP BY 1, 2) SELECT p_brand, p_size, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY abs(l) DESC, p_size) AS INTEGER) AS rank, round(l * l * 100 / sum(l * l) OVER (PARTITION BY p_brand), 4) AS contribution FROM p",
+    "rank_loadings": "WITH p AS (SELECT p_brand, p_size, avg(p_retailprice) - 1200 AS l FROM part GROUP BY 1, 2) SELECT p_brand, p_size, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY abs(l) DESC, p_size) AS INTEGER) AS rank, round(l * l * 100 / sum(l * l) OVER (PARTITION BY p_brand), 6) AS contribution FROM p",
     "renumber_clusters": "WITH c AS (SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN -1 ELSE c_nationkey END AS label FROM customer), n AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) AS k FROM c WHERE label <> -1 GROUP BY label) SELECT c_custkey, c.label, CAST(coalesce(k, -1) AS INTEGER) AS cluster FROM c LEFT JOIN n ON n.label = c.label",
     "fill_down": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) AS price, last_value(CASE WHEN l_partkey % 3 = 1 THEN l_returnflag END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS flag FROM lineitem",
     "running_id": f"WITH {_E} SELECT event_id, strftime(day, '%Y-%m-%d') AS day, row_number() OVER (ORDER BY day, event_id) AS id FROM e",
