@@ -16,13 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.runs import in_batches, sorted_runs, starts
 from gridloom.operators.graph import connected_components
 from gridloom.staging import staged
 
 SEED = 42
 #: Ids up to which the list of later copies is broadcast; beyond it the tables are shuffled.
 BROADCAST_ROWS = 500_000
-#: Blocks of up to so many distinct fingerprints join in place; larger ones are compared in tiles.
+#: Blocks of up to so many distinct fingerprints are runs of a stream; larger ones are compared in tiles.
 SMALL, TILE = 64, 2_000
 
 
@@ -50,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (SE
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, fps)], [id_col, *names])
 
     schema = ", ".join([f"{id_col} {docs.schema[id_col].dataType.simpleString()}", *(f"{n} long" for n in names)])
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return in_batches(docs).select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def block_keys(fp, distance: int, blocks: int):
@@ -83,25 +84,43 @@ def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def linked_fingerprints(distinct: DataFrame, distance: int = 3, blocks: int = 5, small: int = SMALL, tile: int = TILE) -> DataFrame:
-    """(a, b): links among distinct fingerprints (column fp) whose components are those of all links within ``distance``.
+    """(seed, a, b): links among the distinct fingerprints (seed, fp) of each seed whose components are those of all links
+    within ``distance``.
 
-    Blocks of up to ``small`` fingerprints join in place. Larger ones are cut into tiles by hash, and each pair of tiles
-    gives a spanning forest of its links: no link between components is lost, and no group holds more than two tiles.
+    Fingerprints meet those that share a block with them, and each block gives a spanning forest of its links, so links
+    grow with the fingerprints and not with their pairs. Blocks of up to ``small`` fingerprints are runs of a sorted
+    stream. Larger ones are cut into tiles by hash, and each pair of tiles gives a forest: no link between components is
+    lost, and no group holds more than two tiles.
     """
-    keyed = staged(distinct.select("fp", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("key")), "blocks")
-    sizes = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "block-sizes")
-    shared = staged(keyed.join(sizes, "key"), "shared-blocks")
-    few = shared.filter(F.col("n") <= small).select("key", "fp")
-    links = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key")
-    links = links.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
+    block = ["seed", "choice", "bits"]
+    keyed = distinct.select("seed", "fp", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("k"))
+    keyed = staged(keyed.select("seed", "k.choice", "k.bits", "fp"), "blocks")
+    sizes = staged(keyed.groupBy(*block).agg(F.count("*").alias("n")).filter("n > 1"), "block-sizes")
+    shared = staged(keyed.join(sizes, block), "shared-blocks")
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_runs(batches, *block):
+            seed, choice, bits, fp = (t.column(c).to_numpy() for c in (*block, "fp"))
+            at = starts(seed, choice, bits)
+            pair = at[:-1][np.diff(at) == 2]
+            near = pair[np.bitwise_count(fp[pair].view(np.uint64) ^ fp[pair + 1].view(np.uint64)) <= distance]
+            out = [np.column_stack([seed[near], fp[near], fp[near + 1]])]
+            for i, j in zip(at[:-1][np.diff(at) > 2].tolist(), at[1:][np.diff(at) > 2].tolist()):
+                out += [np.array([(seed[i], a, b)]) for a, b in forest(fp[i:j], distance)]
+            s, a, b = np.concatenate(out).T
+            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(a), pa.array(b)], ["seed", "a", "b"])
+
+    links = shared.filter(F.col("n") <= small).select(*block, "fp").repartition(*block).sortWithinPartitions(*block).mapInArrow(thin, "seed int, a long, b long")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     large = shared.filter(F.col("n") > small).withColumn("own", F.pmod(F.xxhash64("fp"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    large = large.select("key", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    large = large.select(*block, "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(forest(pdf["fp"].to_numpy(), distance), columns=["a", "b"], dtype="int64")
+        out = pd.DataFrame(forest(pdf["fp"].to_numpy(), distance), columns=["a", "b"], dtype="int64")
+        out.insert(0, "seed", int(pdf["seed"].iat[0]))
+        return out
 
-    return links.union(large.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")).distinct()
+    return links.union(large.groupBy(*block, "i", "j").applyInPandas(compare, "seed int, a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 5, shingle: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,15 +132,14 @@ def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 5, shingle
     link nothing; other columns are not read. An empty table gives no rows.
     """
     fps = staged(fingerprints(docs, shingle, seeds, distinct, id_col, text_col), "fingerprints")
-    edges = None
-    for i in range(len(seeds)):
-        own = fps.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(f"fp{i}").alias("fp"))
-        nodes = staged(own.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-        links = staged(linked_fingerprints(nodes.select("fp"), distance, blocks), "links")
-        ends = links.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("src")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("dst")), "b").select("src", "dst")
-        copies = own.join(nodes, "fp").filter(F.col("id") != F.col("first")).select(F.col("first").alias("src"), F.col("id").alias("dst"))
-        edges = ends.union(copies) if edges is None else edges.union(ends).union(copies)
-    members = connected_components(edges)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("seed"), F.col(f"fp{i}").alias("fp")) for i in range(len(seeds)))))
+    own = fps.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), each.alias("s")).select("id", "s.seed", "s.fp")
+    nodes = staged(own.groupBy("seed", "fp").agg(F.min("id").alias("first")), "nodes")
+    links = staged(linked_fingerprints(nodes.select("seed", "fp"), distance, blocks), "links")
+    first = lambda end, name: nodes.select("seed", F.col("fp").alias(end), F.col("first").alias(name))
+    ends = links.join(first("a", "src"), ["seed", "a"]).join(first("b", "dst"), ["seed", "b"]).select("src", "dst")
+    copies = own.join(nodes, ["seed", "fp"]).filter(F.col("id") != F.col("first")).select(F.col("first").alias("src"), F.col("id").alias("dst"))
+    members = connected_components(ends.union(copies))
     return fps.join(members, fps[id_col] == members["node"], "left").select(id_col, F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.coalesce("component", id_col).alias("component_id"))
 
 

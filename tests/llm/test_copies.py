@@ -55,9 +55,9 @@ def test_links_of_hot_blocks(spark, small, tile):
     centres = [r.getrandbits(64) for _ in range(6)]
     fps = {c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for c in centres for _ in range(40)}
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    links = simhash.linked_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp long"), 3, 5, small, tile).collect()
+    links = simhash.linked_fingerprints(spark.createDataFrame([(0, f) for f in signed], "seed int, fp long"), 3, 5, small, tile).collect()
     mask = (1 << 64) - 1
-    assert all(((a & mask) ^ (b & mask)).bit_count() <= 3 for a, b in links)
+    assert all(((a & mask) ^ (b & mask)).bit_count() <= 3 for _, a, b in links)
     want = components({f & mask: f & mask for f in signed}, 3)
     root = {f: f for f in want}
 
@@ -66,7 +66,7 @@ def test_links_of_hot_blocks(spark, small, tile):
             i = root[i]
         return i
 
-    for a, b in links:
+    for _, a, b in links:
         x, y = find(a & mask), find(b & mask)
         root[max(x, y)] = min(x, y)
     assert {f: find(f) for f in want} == want
