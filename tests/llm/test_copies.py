@@ -138,6 +138,41 @@ def test_exact_copies_of_long_passages_are_covered(spark):
     assert total > 500 and missed == 0
 
 
+def test_passages_whose_lines_occur_elsewhere(spark):
+    """Passages of frequent lines are found between the two documents that hold them whole, not lost to those of one line."""
+    r = random.Random(11)
+    for size, n, least in ((14, 4, 0.95), (10, 6, 0.95)):
+        lines = [sentence(r, size) for _ in range(60)]
+        docs = {i: [*sentence(r, 25), *lines[i % 60], *sentence(r, 25)] for i in range(120)}
+        shared = [[w for line in r.sample(lines, n) for w in line] for _ in range(20)]
+        for i, words in enumerate(shared):
+            docs[1000 + i] = [*sentence(r, 30), *words, *sentence(r, 30)]
+            docs[2000 + i] = [*sentence(r, 40), *words, *sentence(r, 20)]
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+        found = {x["doc_id"] - 2000 for x in passages.repeated_passages(df).collect() if x["start_word"] <= 40 and x["end_word"] >= 40 + size * n}
+        assert sum(i in found for i in range(20)) >= least * 20, (size, n, len(found))
+
+
+def test_links_of_a_stream_are_those_of_the_whole():
+    r = random.Random(12)
+    rows = np.array(sorted((r.randrange(12), r.randrange(9), r.randrange(40)) for _ in range(300)))
+    seed, doc, at = rows.T
+    whole = sorted(zip(*passages.partners(doc, at, seed, 0)[0]))
+    want = set()
+    for s, d, a in rows.tolist():
+        earlier = sorted({int(x) for x in doc[(seed == s) & (doc < d)]})
+        want |= {(d, a, o, int(at[(seed == s) & (doc == o)].min())) for o in {*earlier[:1], *earlier[-1:]}}
+    assert {x[:4] for x in whole} == want
+    for size in (1, 7, 50):
+        held, got = [np.zeros(0, np.int64)] * 3, []
+        for i in range(0, len(rows), size):
+            part = [np.append(h, x[i : i + size]) for h, x in zip(held, (doc, at, seed))]
+            out, carry = passages.partners(*part, len(held[0]))
+            got += zip(*out)
+            held = [x[carry] for x in part]
+        assert sorted(got) == whole
+
+
 def test_chain_is_the_best_by_brute_force():
     r = random.Random(10)
     for _ in range(200):
