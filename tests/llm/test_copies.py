@@ -153,15 +153,38 @@ def test_passages_whose_lines_occur_elsewhere(spark):
         assert sum(i in found for i in range(20)) >= least * 20, (size, n, len(found))
 
 
+def test_edited_passages_against_brute_force_alignment(spark):
+    """Of the passages that a whole alignment puts at LEAST_IDENTITY or above, nearly all are found at every rate of edits."""
+    r = random.Random(13)
+    docs, planted = {}, {}
+    for every in (20, 12, 10, 8, 6, 5):
+        for _ in range(25):
+            words = sentence(r, r.choice((60, 100, 200)))
+            edited = list(words)
+            for i in range(every // 2, len(words), every):
+                edited[i] = f"edit{r.randrange(5000)}"
+            n = len(planted)
+            docs[n], docs[1000 + n] = [*sentence(r, 30), *words, *sentence(r, 30)], [*sentence(r, 40), *edited, *sentence(r, 20)]
+            assert passages.equal_words(words, edited) >= passages.LEAST_IDENTITY * len(words)
+            planted[n] = (every, 40, 40 + len(words))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    spans = {x["doc_id"] - 1000: (x["start_word"], x["end_word"]) for x in passages.repeated_passages(df).collect()}
+    for every in (20, 12, 10, 8, 6, 5):
+        those = [(n, s, e) for n, (v, s, e) in planted.items() if v == every]
+        hit = sum(n in spans and min(e, spans[n][1]) - max(s, spans[n][0]) >= 0.8 * (e - s) for n, s, e in those)
+        assert hit >= 0.9 * len(those), (every, hit)
+
+
 def test_links_of_a_stream_are_those_of_the_whole():
     r = random.Random(12)
     rows = np.array(sorted((r.randrange(12), r.randrange(9), r.randrange(40)) for _ in range(300)))
     seed, doc, at = rows.T
     whole = sorted(zip(*passages.partners(doc, at, seed, 0)[0]))
     want = set()
-    for s, d, a in rows.tolist():
+    for i, (s, d, a) in enumerate(rows.tolist()):
         earlier = sorted({int(x) for x in doc[(seed == s) & (doc < d)]})
-        want |= {(d, a, o, int(at[(seed == s) & (doc == o)].min())) for o in {*earlier[:1], *earlier[-1:]}}
+        nth = int(((seed[:i] == s) & (doc[:i] == d)).sum()) if s % 2 else 0
+        want |= {(d, a, o, int([*at[(seed == s) & (doc == o)]][: nth + 1][-1])) for o in {*earlier[:1], *earlier[-1:]}}
     assert {x[:4] for x in whole} == want
     for size in (1, 7, 50):
         held, got = [np.zeros(0, np.int64)] * 3, []
@@ -173,6 +196,13 @@ def test_links_of_a_stream_are_those_of_the_whole():
         assert sorted(got) == whole
 
 
+def test_text_of_a_short_period_makes_few_chains(spark):
+    r = random.Random(14)
+    rows = [(i, " ".join([*sentence(r, 40), *["a", "b"] * (200 + i), *sentence(r, 40)])) for i in range(20)]
+    found = passages.chains(passages.links(passages.seeds(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")))
+    assert 19 <= found.count() <= 20 * 20
+
+
 def test_chain_is_the_best_by_brute_force():
     r = random.Random(10)
     for _ in range(200):
