@@ -5,9 +5,11 @@ neighbours, forward and reverse, with their vectors, compares the neighbours of
 them is new, and merges what is nearer into their lists. A query starts at its own node; each round expands the best
 unexpanded nodes of its list by a join with the graph.
 
-Largest inner product becomes nearest direction by one more component, sqrt(largest norm^2 - norm^2), that queries
-hold as zero. Graph and search use vectors of one byte a component; the best of each list are scored anew, in double
-precision on the original vectors.
+Largest inner product becomes least distance by one more component, sqrt(limit^2 - norm^2), less the limit, which
+changes no distance and keeps small numbers exact. The HEADS vectors of largest norm don't count for the limit, which is
+the largest norm below them: every query starts from them too, so a few large vectors neither hide the others'
+differences nor get lost. Graph and search use float32 components, computed with in double precision; the best of each
+list are scored anew on the original vectors.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ SAMPLED = 50  # neighbours of a node that a round compares
 ROUNDS = 2
 LIST, BEAM, SEARCH_ROUNDS = 200, 50, 12
 QUERY_BLOCK = 4_096
-EDGES = "a long, b long, s float, fresh boolean"
+HEADS = 64
+EDGES = "a long, b long, s double, fresh boolean"
 
 
 def best_edges(edges: DataFrame, degree: int) -> DataFrame:
@@ -54,30 +57,37 @@ def best_edges(edges: DataFrame, degree: int) -> DataFrame:
 
 
 def coded(vectors: DataFrame, limit: float, scale: float) -> DataFrame:
-    """(gid, code): the extended vector, one signed byte a component."""
+    """(gid, code): the extended vector times ``scale``, in float32; ``limit`` is the largest squared norm below the heads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column(1))
+            x = matrix(b.column(1)) * scale
             if len(x):
-                more = np.sqrt(np.maximum(limit - (x * x).sum(1), 0))
-                c = np.rint(np.column_stack([x, more]) * scale).astype(np.int8)
+                norm = (x * x).sum(1)
+                within = np.minimum(norm, limit)
+                more = -within / (np.sqrt(limit) + np.sqrt(limit - within))
+                c = np.column_stack([x, more]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in c], pa.binary())], ["gid", "code"])
 
     return vectors.select("gid", "v").mapInArrow(run, "gid long, code binary")
 
 
+def nearness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Half the squared distances of rows, negative."""
+    return x @ y.T - ((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]) / 2
+
+
 def start_graph(codes: DataFrame, n: int, degree: int, cells_each: int, cell_rows: int) -> DataFrame:
     """Edges to the best neighbours within each vector's nearest cells; cells beyond ``cell_rows`` split by hash."""
     m = min(MOST_CELLS, -(-3 * cells_each * n // (2 * cell_rows)))
-    centres = np.array([np.frombuffer(r["code"], "i1") for r in codes.orderBy(F.xxhash64("gid"), "gid").limit(m).collect()], np.float32)
+    centres = np.array([np.frombuffer(r["code"], "f4") for r in codes.orderBy(F.xxhash64("gid"), "gid").limit(m).collect()], float)
     each = min(cells_each, len(centres))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column(1), "i1").astype(np.float32)
+            x = matrix(b.column(1), "f4").astype(float)
             if len(x):
-                cell = np.argpartition(-(x @ centres.T), each - 1, axis=1)[:, :each].ravel()
+                cell = np.argpartition(-nearness(x, centres), each - 1, axis=1)[:, :each].ravel()
                 of = pa.array(np.repeat(np.arange(len(x)), each))
                 yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0).take(of), b.column(1).take(of)], ["cell", "gid", "code"])
 
@@ -87,14 +97,14 @@ def start_graph(codes: DataFrame, n: int, degree: int, cells_each: int, cell_row
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         gid = pdf["gid"].to_numpy()
-        x = np.frombuffer(b"".join(pdf["code"]), np.int8).reshape(len(gid), -1).astype(np.float32)
+        x = np.frombuffer(b"".join(pdf["code"]), "f4").reshape(len(gid), -1).astype(float)
         k, out = min(degree, len(gid) - 1), []
         for at in range(0, len(gid) if k else 0, 512):
-            s = x[at : at + 512] @ x.T
+            s = nearness(x[at : at + 512], x)
             s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
             b = np.argpartition(-s, k - 1, axis=1)[:, :k]
             out.append(pd.DataFrame({"a": np.repeat(gid[at : at + 512], k), "b": gid[b].ravel(), "s": np.take_along_axis(s, b, 1).ravel(), "fresh": True}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "s": [], "fresh": []}).astype({"a": int, "b": int, "s": "float32", "fresh": bool})
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "s": [], "fresh": []}).astype({"a": int, "b": int, "s": float, "fresh": bool})
 
     return best_edges(placed.groupBy("cell", "part").applyInPandas(compare, EDGES), degree)
 
@@ -108,7 +118,7 @@ def descend(edges: DataFrame, codes: DataFrame, degree: int, sampled: int) -> Da
     own = edges.select(F.col("a").alias("v"), F.col("b").alias("nbr"), "fresh", F.lit(0).alias("reverse"))
     reverse = edges.select(F.col("b").alias("v"), F.col("a").alias("nbr"), "fresh", F.lit(1).alias("reverse"))
     worst = edges.groupBy("a").agg(F.when(F.count("*") >= degree, F.min("s")).alias("worst"))
-    nodes = codes.join(worst, codes["gid"] == worst["a"], "left").select(F.col("gid").alias("nbr"), "code", F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst"))
+    nodes = codes.join(worst, codes["gid"] == worst["a"], "left").select(F.col("gid").alias("nbr"), "code", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
     around = own.union(reverse).join(nodes, "nbr").select("v", "nbr", "fresh", "reverse", "code", "worst")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,14 +126,14 @@ def descend(edges: DataFrame, codes: DataFrame, degree: int, sampled: int) -> Da
             v, nbr, fresh, reverse, worst = (t.column(c).to_numpy() for c in ("v", "nbr", "fresh", "reverse", "worst"))
             mix = (nbr.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
             o = np.lexsort((mix, reverse, v))
-            code = matrix(t.column("code").combine_chunks(), "i1")
+            code = matrix(t.column("code").combine_chunks(), "f4")
             out: list[list[np.ndarray]] = [[], [], []]
             at = starts(v[o])
             for i, j in zip(at.tolist(), at[1:].tolist()):
                 _, first = np.unique(nbr[o[i:j]], return_index=True)
                 g = o[i:j][np.sort(first)[:sampled]]
-                x = code[g].astype(np.float32)
-                s = x @ x.T
+                x = code[g].astype(float)
+                s = nearness(x, x)
                 p, q = np.nonzero((s > worst[g][:, None]) & (fresh[g][:, None] | fresh[g][None, :]))
                 p, q = p[p != q], q[p != q]
                 for c, y in zip(out, (nbr[g[p]], nbr[g[q]], s[p, q])):
@@ -135,18 +145,18 @@ def descend(edges: DataFrame, codes: DataFrame, degree: int, sampled: int) -> Da
     return best_edges(edges.withColumn("fresh", F.lit(False)).union(found), degree)
 
 
-def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors: DataFrame, k: int, limit: float, scale: float, size: int, beam: int, rounds: int) -> DataFrame:
+def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors: DataFrame, k: int, heads: list[int], scale: float, size: int, beam: int, rounds: int) -> DataFrame:
     """Greedy search for the queries of one block, whose vectors every task gets."""
     rows = asked.collect()
     ids = np.array([r["query_id"] for r in rows], np.int64)
     exact = np.array([np.frombuffer(r["v"], "f8") for r in rows])
-    q = np.rint(np.column_stack([exact, np.zeros(len(rows))]) * scale).astype(np.float32)
+    q = np.column_stack([exact * scale, np.zeros(len(rows))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.column(0).to_numpy()
             if len(at):
-                s = np.einsum("ij,ij->i", q[at], matrix(b.column(2), "i1").astype(np.float32))
+                s = np.einsum("ij,ij->i", q[at], matrix(b.column(2), "f4").astype(float))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array(np.zeros(len(at), bool))], ["q", "gid", "s", "expanded"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +174,14 @@ def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qs[o], gid[o], s[o], done[o], ~done[o] & (waiting - before <= beam))], ["q", "gid", "s", "expanded", "next"])
 
     def ranked(found: DataFrame) -> DataFrame:
-        return staged(found.repartition("q").sortWithinPartitions("q").mapInArrow(best, "q long, gid long, s float, expanded boolean, next boolean"), "search")
+        return staged(found.repartition("q").sortWithinPartitions("q").mapInArrow(best, "q long, gid long, s double, expanded boolean, next boolean"), "search")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(codes, "gid").select("q", "gid", "code").mapInArrow(score, "q long, gid long, s float, expanded boolean")
+        return pairs.join(codes, "gid").select("q", "gid", "code").mapInArrow(score, "q long, gid long, s double, expanded boolean")
 
     number = asked.sparkSession.createDataFrame(pd.DataFrame({"q": np.arange(len(ids)), "query_id": ids, "gid": [r["gid"] for r in rows]}), "q long, query_id long, gid long")
-    state = ranked(scored(number.select("q", "gid")))
+    first = F.explode(F.array_distinct(F.array("gid", *map(F.lit, heads)))).alias("gid")
+    state = ranked(scored(number.select("q", first)))
     for _ in range(rounds):
         turn = state.filter("next")
         if turn.limit(1).count() == 0:
@@ -226,19 +237,20 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         for b in batches:
             x = matrix(b.column(0))
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array([float((x * x).sum(1).max())]), pa.array([float(np.abs(x).max())]), pa.array([len(x)])], ["norm", "top", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.abs(x).max())]), pa.array([len(x)])], ["top", "n"])
 
-    r = vectors.select("v").mapInArrow(norms, "norm double, top double, n long").agg(F.max("norm"), F.max("top"), F.sum("n"), F.count("*")).first()
-    limit, n = r[0], r[2]
-    spread = vectors.select("v").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([float(np.sqrt(np.maximum(limit - (matrix(b.column(0)) ** 2).sum(1), 0)).max())])], ["m"]) for b in bs if b.num_rows), "m double").agg(F.max("m")).first()[0]
-    scale = 127 / max(r[1], spread)
+    top, n = vectors.select("v").mapInArrow(norms, "top double, n long").agg(F.max("top"), F.sum("n")).first()
+    scale = 1 / top
+    squares = vectors.select("gid", "v").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([b.column(0), pa.array(((matrix(b.column(1)) * scale) ** 2).sum(1))], ["gid", "norm"]) for b in bs if b.num_rows), "gid long, norm double")
+    top = squares.orderBy(F.desc("norm"), "gid").limit(HEADS + 1).collect()
+    heads, limit = [r["gid"] for r in top[:HEADS]], top[-1]["norm"] if n > HEADS else top[0]["norm"]
     codes = staged(coded(vectors, limit, scale), "codes")
     edges = build_graph(codes, n, **graph_options)
     graph = staged(edges.groupBy("a").agg(F.collect_list("b").alias("near")), "adjacency")
     asked = packed(valid(queries)).filter(F.length("v") == width).withColumnRenamed("id", "query_id").dropDuplicates(["query_id", "v"]).join(vectors.select("gid", "v"), "v")
     asked = staged(asked, "queries")
     blocks = -(-asked.count() // block)
-    found = [search_block(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), graph, codes, vectors, k, limit, scale, size, beam, search_rounds) for i in range(blocks)]
+    found = [search_block(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), graph, codes, vectors, k, heads, scale, size, beam, search_rounds) for i in range(blocks)]
     out = found[0] if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for f in found[1:]:
         out = out.union(f)

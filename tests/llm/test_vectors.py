@@ -93,3 +93,18 @@ def test_exact_query_equals_sql(spark):
 
     sf = "/root/testdata/sf0.01"
     assert differences(spark, connection(sf), sf, QUERIES["op8_exact_top_k"], ORACLES["op8_exact_top_k"]) == ""
+
+
+def test_neighbour_search_beside_a_few_large_vectors(spark):
+    """Vectors a thousand times longer than the others are found, and don't hide the differences among the others."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[[11, 500, 2001]] *= 1000
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = [i for i in range(0, 3000, 50) if i != 500]
+    got = nn_descent.nearest(df, df.filter("vec_id % 50 = 0 and vec_id <> 500"), 20, cell_rows=256, cells_each=3, size=100, beam=30).collect()
+    found = {q: {r["vec_id"] for r in got if r["query_id"] == q} for q in asked}
+    score = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(score, -np.inf)
+    hits = sum(len(found[q] & set(np.argsort(-score[q])[:20].tolist())) for q in asked)
+    assert hits >= 0.9 * 20 * len(asked), hits / (20 * len(asked))
