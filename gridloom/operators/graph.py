@@ -5,25 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.staging import staged
+from gridloom.staging import release, staged
+
+
+def _oriented(edges: DataFrame) -> DataFrame:
+    """Each edge once, from its greater to its smaller end; loops and null ends are dropped."""
+    return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _representatives(edges: DataFrame, turn: int) -> DataFrame:
+    """(x, rep): what each node is contracted into, where that is another node.
+
+    The first turn takes the smallest smaller neighbour, which contracts stars around their smallest node at once.
+    Later ones take the neighbour that comes first in an order drawn anew, which no shape of graph can be slow for.
+    """
+    if turn == 0:
+        return edges.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("rep"))
+    drawn = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("node"))
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = both.groupBy("a").agg(F.min(drawn("b")).alias("first"))
+    return best.filter(F.col("first") < drawn("a")).select(F.col("a").alias("x"), F.col("first.node").alias("rep"))
+
+
+def _renamed(edges: DataFrame, reps: DataFrame, end: str) -> DataFrame:
+    other = "b" if end == "a" else "a"
+    return edges.join(reps, edges[end] == reps["x"], "left").select(F.coalesce("rep", end).alias(end), other)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """(node, component): each node that has an edge with the smallest node reachable from it.
 
-    Each round gives a node the smallest label of itself, its neighbours and its label's own label, so labels travel
-    over paths of doubling length. Rounds are written tables: lineage stays short, and a node with very many edges is
-    one key of a join between two tables, which adaptive execution splits. Null ends and loops are dropped.
+    Every round contracts nodes into neighbours, renames the ends of the edges and drops those that became loops, so
+    edges and nodes shrink by a share in each round and all rounds together cost a few times the first. Rounds are
+    written tables: lineage stays short, and a node of very many edges is one key of a join that adaptive execution
+    splits. Null ends and loops are dropped.
     """
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b")
-    both = staged(e.union(e.select("b", "a")).distinct(), "edges")
-    labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(max_rounds):
-        heard = both.join(labels, both["b"] == labels["node"]).select(both["a"].alias("node"), "component", F.lit(None).cast(labels.schema["component"].dataType).alias("was"))
-        least = heard.union(labels.select("node", "component", F.col("component").alias("was"))).groupBy("node").agg(F.min("component").alias("component"), F.min("was").alias("was"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = staged(least.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "was"), "labels")
-        if new.filter("component <> was").limit(1).count() == 0:
-            return new.select("node", "component")
-        labels = new.select("node", "component")
-    raise RuntimeError(f"components still change after {max_rounds} rounds")
+    e = start = staged(_oriented(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))), "edges")
+    maps: list[DataFrame] = []
+    while not e.isEmpty():
+        if len(maps) == max_rounds:
+            raise RuntimeError(f"edges remain after {max_rounds} rounds")
+        maps.append(staged(_representatives(e, len(maps)), "representatives"))
+        shrunk = staged(_oriented(_renamed(_renamed(e, maps[-1], "a"), maps[-1], "b").select("a", "b")), "edges")
+        if e is not start:
+            release(e)
+        e = shrunk
+    nodes = start.select(F.col("a").alias("node")).union(start.select("b")).distinct()
+    if not maps:
+        return nodes.withColumn("component", F.col("node"))
+    while len(maps) > 1:  # the last and smallest maps first
+        last = maps.pop()
+        then = last.select(F.col("x").alias("rep"), F.col("rep").alias("further"))
+        both = maps[-1].join(then, "rep", "left").select("x", F.coalesce("further", "rep").alias("rep"))
+        maps[-1] = staged(both.union(last.join(maps[-1], "x", "left_anti")), "representatives")
+    named = nodes.join(maps[0], nodes["node"] == maps[0]["x"], "left").select("node", F.coalesce("rep", "node").alias("label"))
+    named = staged(named, "labels")
+    least = named.groupBy("label").agg(F.min("node").alias("component"))
+    return named.join(least, "label").select("node", "component")

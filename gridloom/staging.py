@@ -9,20 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is missing (tests)."""
+    """The shared folder of spark.checkpoint.dir.
+
+    Only a session without other machines (master ``local``) may go without the setting: it gets a temporary folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes ``df`` once to the shared folder and returns a frame that reads it back.
 
-    The files outlive lost executors, and later plans start from them instead of from the whole lineage.
+    The files outlive lost executors, and later plans start from them instead of from the whole lineage. They go when
+    the application ends, or earlier by ``release``.
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at, files = _path(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that no plan will read again."""
+    for t in tables:
+        at, files = _path(t.sparkSession, t.staged_at)
+        files.delete(at, True)
