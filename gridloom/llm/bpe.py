@@ -15,20 +15,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.runs import in_batches
+from gridloom.llm.runs import slices
 
 #: Fixed value: how byte-level vocabularies cut text before merging.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.iinfo(np.int64).max
 WIDEST_BATCH = 128
 BATCH_WORDS = 3_000
-CACHE_ENTRIES = 500_000
-SLICE_BYTES = 4 << 20
+CACHE_ENTRIES = 300_000
 
 
 def vocabulary_path(name_or_path: str) -> str:
@@ -201,36 +199,39 @@ class ChunkedEncoder:
     """Encodes whole texts from cached chunks.
 
     A chunk is a space and what follows it up to the next one. No pre-token of a byte-level vocabulary crosses its
-    edge unless white space stands before the space; texts with such a place are encoded whole.
+    edge unless white space stands before the space; texts with such a place are encoded whole. Each chunk is kept as
+    its ids, their digits and the bytes that the ids decode to, so a text is put together from whole chunks.
     """
 
     def __init__(self, model):
         self.model, self.spaced, self.opening = model, {}, {}
+        self.digits = list(map(str, range(model.size)))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def entry(self, ids: list[int]) -> tuple[list[int], str, bytes]:
+        return ids, ",".join([self.digits[i] for i in ids]), b"".join([self.model.bytes_of[i] for i in ids])
+
+    def parts(self, texts: list[str]) -> list[list[tuple[list[int], str, bytes]]]:
+        """The entries of each text's chunks."""
         if len(self.spaced) + len(self.opening) > CACHE_ENTRIES:
             self.spaced, self.opening = {}, {}
         cut = [t.split(" ") for t in texts]
         for cache, lead, missing in (
-            (self.spaced, " ", {w for c in cut for w in c[1:]}.difference(self.spaced)),
+            (self.spaced, " ", set().union(*(c[1:] for c in cut)).difference(self.spaced)),
             (self.opening, "", {c[0] for c in cut}.difference(self.opening)),
         ):
             odd = [w for w in missing if (not w and lead) or w[-1:].isspace()]
             cache.update(dict.fromkeys(odd))
             plain = list(missing.difference(odd))
-            cache.update(zip(plain, self.model.encode_chunks([lead + w for w in plain])))
-        out, whole = [], []
-        for i, c in enumerate(cut):
-            parts = [self.opening[c[0]], *map(self.spaced.__getitem__, c[1:])]
-            if None in parts:
-                whole.append(i)
-                out.append([])
-            else:
-                out.append(list(chain.from_iterable(parts)))
+            cache.update(zip(plain, map(self.entry, self.model.encode_chunks([lead + w for w in plain]))))
+        out = [[self.opening[c[0]], *map(self.spaced.__getitem__, c[1:])] for c in cut]
+        whole = [i for i, p in enumerate(out) if None in p]
         for i, ids in zip(whole, self.model.encode_chunks([texts[i] for i in whole]) if whole else ()):
-            out[i] = ids
+            out[i] = [self.entry(ids)]
         return out
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [list(chain.from_iterable([p[0] for p in parts])) for parts in self.parts(texts)]
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ChunkedEncoder:
@@ -250,46 +251,34 @@ def rank_encoding(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=PRE_TOKEN, mergeable_ranks={b: i for i, b in enumerate(model.bytes_of) if i not in special}, special_tokens=model.special)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches to about ``most`` bytes of text; one longer text stands alone."""
-    for batch in batches:
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0))
-        start = total = 0
-        for i, size in enumerate(sizes.tolist()):
-            if i > start and total + size > most:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += size
-        if start < batch.num_rows:
-            yield batch.slice(start)
-
-
 def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each document: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids.
 
-    A null or empty text has no tokens and the hashes of the empty string; repeated rows stay repeated; other columns
-    are not read, so their names can't clash. Special strings of the vocabulary inside texts become their ids, and
-    decoding keeps them.
+    A null or empty text has no tokens and the hashes of the empty string; very long texts are encoded whole; repeated
+    rows stay repeated; an empty table gives no rows; other columns are not read, so their names can't clash. Special
+    strings of the vocabulary inside texts become their ids, and decoding keeps them.
     """
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        digits = list(map(str, range(enc.model.size)))
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for part in slices(batches, "_text"):
-            ids = enc.encode([t or "" for t in part.column("_text").to_pylist()])
-            columns = [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array([sha(",".join([digits[i] for i in x])) for x in ids], pa.string()), pa.array([sha(enc.model.decode(x)) for x in ids], pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+            rows = enc.parts([t or "" for t in part.column("_text").to_pylist()])
+            n = [sum([len(p[0]) for p in parts]) for parts in rows]
+            listed = [sha(",".join([p[1] for p in parts if p[0]]).encode()) for parts in rows]
+            decoded = [sha(b"".join([p[2] for p in parts]).decode("utf-8", "replace").encode()) for parts in rows]
+            columns, names = [part.column(0), pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+                columns, names = [*columns, pa.array([list(chain.from_iterable([p[0] for p in parts])) for parts in rows], pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return in_batches(docs).select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Texts of arrays of ids; a null array decodes to the empty text."""
+    """(id, text) of arrays of ids, whatever their length; a null or empty array decodes to the empty text, repeated rows stay repeated,
+    other columns are not read, and an empty table gives no rows."""
     schema = f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""What Arrow functions share: batches of texts, and runs of equal keys in sorted streams."""
+"""What Arrow functions share: slices of text batches, and runs of equal keys in sorted streams."""
 
 from __future__ import annotations
 
@@ -6,16 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
 
-#: Rows of a batch that a Python worker gets: texts are wide, and a worker holds a batch several times over.
-BATCH_ROWS = 512
+#: Text that a function takes up at a time. Spark itself bounds the bytes of the batches that it hands over.
+SLICE_BYTES = 2 << 20
 
 
-def in_batches(rows: DataFrame) -> DataFrame:
-    """The same rows; from now on the session hands Python at most BATCH_ROWS of them at a time."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return rows
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts record batches to about ``most`` bytes of text; one longer text stands alone."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).tolist()
+        start = total = 0
+        for i, size in enumerate(sizes):
+            if i > start and total + size > most:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
@@ -38,3 +46,11 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Ta
 def starts(*keys: np.ndarray) -> np.ndarray:
     """Where runs of the keys start, and the end."""
     return np.append(np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))), len(keys[0]))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, or a longer one that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
