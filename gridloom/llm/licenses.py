@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.runs import in_batches
+from gridloom.llm.runs import slices
 
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -33,8 +33,26 @@ NOTICES = (
     ("mpl-2", "mozilla public license version 2"),
     ("bsd", "redistribution and use in source and binary forms"),
     ("isc", "permission to use copy modify and or distribute this software"),
-    ("unlicense", "released into the public domain"),
-    ("proprietary", "all rights reserved"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("apache-2", "licensed under the apache license 2"),
+    ("agpl-3", "gnu affero general public license version 3"),
+    ("lgpl", "gnu library general public license"),
+    ("gfdl", "gnu free documentation license"),
+    ("bsd", "licensed under the bsd license"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("epl", "eclipse public license version"),
+    ("cddl", "common development and distribution license"),
+    ("boost", "boost software license version 1"),
+    ("zlib", "this software is provided as is without any express or implied warranty"),
+    ("wtfpl", "do what the fuck you want to public license"),
+    ("artistic", "licensed under the artistic license"),
+    ("eupl", "european union public licence"),
+    ("ofl", "sil open font license version"),
+    ("cc0", "creative commons zero universal public domain dedication"),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nd", "creative commons attribution noderivatives"),
+    ("odbl", "open data commons open database license"),
 )
 CHARS_PER_ERROR = 12
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -113,8 +131,9 @@ def find_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: tuple[t
 
     Words are runs of ASCII letters (lower-cased), digits and all non-ASCII characters. spans holds label, first_word,
     n_words and errors of base places (no errors) and fuzzy notices; score is 1 less the smallest share of errors of
-    any span, 0 without spans. Null and empty texts have no words, empty label strings and null first_word and
-    last_word; repeated rows stay repeated; other columns are not read.
+    any span, 0 without spans; of equally wrong spans that overlap the longer notice stays. Null and empty texts have no
+    words, empty label strings and null first_word and last_word; very long texts are searched whole; repeated rows stay
+    repeated; other columns are not read; an empty table gives no rows.
     """
     notices = tuple(notices)
     span = "struct<label:string,first_word:long,n_words:long,errors:int>"
@@ -124,7 +143,7 @@ def find_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: tuple[t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = notice_search(notices, chars_per_error)
-        for b in batches:
+        for b in slices(batches, "_text"):
             out = []
             for raw in b.column("_text").cast(pa.binary()).to_pylist():
                 words = (raw or b"").translate(WORDS).split()
@@ -141,4 +160,4 @@ def find_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: tuple[t
             columns = zip(*out) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], [id_col, *names])
 
-    return in_batches(docs).select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)

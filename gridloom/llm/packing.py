@@ -13,14 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from gridloom.llm.bpe import rank_encoding, slices
-from gridloom.llm.runs import in_batches
+from gridloom.llm.bpe import rank_encoding
+from gridloom.llm.runs import fresh, slices
 from gridloom.staging import staged
 
-RANK_BUCKETS = 256
+#: Pieces of one length that a task ranks; a length has as many buckets as its pieces need.
+RANKED = 50_000
 
 
 def cut_lengths(n: int, size: int) -> list[tuple[int, int]]:
@@ -30,6 +32,11 @@ def cut_lengths(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def tokenize_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
+    """(id, piece, start, length, ids_crc32): the pieces of every text's ids and its end id.
+
+    A null or empty text has its end id alone, and no piece without one; very long texts are cut into as many pieces as
+    they need; repeated rows stay repeated; other columns are not read; an empty table gives no rows.
+    """
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +51,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int | N
                 k, piece, start, length, crc = map(list, zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], [id_col, "piece", "start", "length", "ids_crc32"])
 
-    return in_batches(docs).select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> list[tuple[int, int]]:
@@ -96,34 +103,44 @@ def plan_bins(counts: dict[int, int], size: int) -> list[tuple[int, int, int, in
     return out
 
 
-def pack_pieces(pieces: DataFrame, size: int = 2048, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack_pieces(pieces: DataFrame, size: int = 2048, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece"), ranked: int = RANKED) -> DataFrame:
     """Adds sequence_id and offset to rows that have a length from 1 to ``size``; sequences hold no gaps.
 
-    Rows are ranked within their length by hash buckets: counts of (length, bucket) give each bucket its first rank,
-    so no window holds all rows of one length. Ties take any order of their own. ``pieces`` has to read the same rows
-    each time it is read (a staged table).
+    Rows are ranked within their length by hash buckets of about ``ranked`` rows: counts of (length, bucket) give each
+    bucket its first rank, so no window holds all rows of one length. Equal rows take any order of their own; an empty
+    table gives no rows; other columns stay, whatever their names. ``pieces`` has to read the same rows each time it is
+    read (a staged table).
     """
-    spark = pieces.sparkSession
-    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order_cols), F.lit(RANK_BUCKETS)).cast("int"))
-    per = staged(bucketed.groupBy(length_col, "_bucket").agg(F.count("*").alias("_n")), "length-counts")
-    histogram = {r[0]: r[1] for r in per.groupBy(length_col).agg(F.sum("_n")).collect()}  # one row for each length up to size
-    before = Window.partitionBy(length_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = per.select(length_col, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    ranked = bucketed.withColumn("_in", F.row_number().over(Window.partitionBy(length_col, "_bucket").orderBy(*order_cols)) - 1)
-    ranked = ranked.join(firsts, [length_col, "_bucket"]).withColumn("_rank", F.col("_first") + F.col("_in"))
-    plan = spark.createDataFrame(plan_bins(histogram, size), "_length long, _from long, _to long, _copies long, _bin long, _offset long")
-    at = F.col("_rank") - F.col("_from")
-    return (
-        ranked.join(F.broadcast(plan), (F.col(length_col) == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-        .select(*pieces.columns, (F.col("_bin") + F.floor(at / F.col("_copies"))).cast("long").alias("sequence_id"), (F.col("_offset") + at % F.col("_copies") * F.col(length_col)).cast("long").alias("offset"))
-    )
+    spark, columns = pieces.sparkSession, pieces.columns
+    of, bucket, n, first, rank = (fresh(c, columns) for c in ("_length", "_bucket", "_n", "_first", "_rank"))
+    histogram = {r[0]: r[1] for r in pieces.groupBy(length_col).agg(F.count("*")).collect()}  # one row for each length up to size
+    many = spark.createDataFrame([(k, -(-c // ranked)) for k, c in histogram.items()], f"{of} long, {n} long")
+    bucketed = pieces.join(F.broadcast(many), pieces[length_col] == F.col(of)).withColumn(bucket, F.pmod(F.xxhash64(*order_cols), F.col(n))).drop(of, n)
+    per = staged(bucketed.groupBy(F.col(length_col).alias(of), bucket).agg(F.count("*").alias(n)), "length-counts")
+    before = Window.partitionBy(of).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = per.select(of, F.col(bucket).alias(n), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    placed = bucketed.withColumn(rank, F.row_number().over(Window.partitionBy(length_col, bucket).orderBy(*order_cols)) - 1)
+    placed = placed.join(firsts, (F.col(length_col) == F.col(of)) & (F.col(bucket) == F.col(n))).select(*columns, (F.col(first) + F.col(rank)).alias(rank))
+    plan = np.array(plan_bins(histogram, size), np.int64).reshape(-1, 6)  # a few rows for each length
+    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
+    begin = plan[:, 0] * (int(plan[:, 2].max(initial=0)) + 1) + plan[:, 1]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length, at = (b.column(c).to_numpy().astype(np.int64) for c in (length_col, rank))
+            row = np.searchsorted(begin, length * (int(plan[:, 2].max(initial=0)) + 1) + at, "right") - 1
+            _, start, _, copies, bins, offset = plan[row].T
+            sequence, within = np.divmod(at - start, np.maximum(copies, 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(bins + sequence), pa.array(offset + within * length)], [*columns, "sequence_id", "offset"])
+
+    return placed.mapInArrow(place, StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", size: int = 2048, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null text counts as empty and still holds its end id (without one it has no piece); repeated rows are packed each
-    for itself; other columns are not read. An empty table gives no rows.
+    A null text counts as empty and still holds its end id (without one it has no piece); very long texts are cut into
+    pieces; repeated rows are packed each for itself; other columns are not read. An empty table gives no rows.
     """
     pieces = staged(tokenize_pieces(docs, vocabulary, size, end_id, id_col, text_col), "pieces")
     return pack_pieces(pieces, size, "length", (id_col, "piece", "start"))

@@ -35,7 +35,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of base spans, the digest of the base spans and all spans; owners are the sources."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, s -> s.kind = {k}))").cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS[:3])]
-    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"), "n_live", "n_copied")
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"), "n_live", "n_copied", secrets.told(F.col("held")).alias("held"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.find_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

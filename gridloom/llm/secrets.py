@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 A scan finds spans by pattern and also weaker candidates (long mixed tokens). Hashes of all their values are aggregated
-over the corpus by distinct repositories and owners: a value that several owners hold is a copied example, one that a
-single owner holds looks live. Weak candidates count as secrets only where they look live.
+over the corpus by distinct repositories (documents) and owners: a value that several owners hold, or very many
+repositories of one owner, is a copied example; one that few repositories of a single owner hold looks live. Weak
+candidates count as secrets only where they look live.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.runs import in_batches
+from gridloom.llm.runs import fresh, slices
 from gridloom.staging import staged
 
 KINDS = ("assign", "access", "hex", "token")
@@ -29,7 +30,7 @@ LEAST_ASSIGNED = 6
 # Parameters of the method's own kind.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])", re.ASCII)
 LEAST_DIGITS, LEAST_LETTERS, LEAST_BITS = 3, 3, 3.0
-MOST_OWNERS = 1
+MOST_OWNERS, MOST_REPOS = 1, 8
 
 #: Documents with secrets up to which their spans are broadcast; beyond it the tables are shuffled.
 BROADCAST_ROWS = 200_000
@@ -73,7 +74,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFra
     rows = lambda found: [{"start": s, "kind": k, "end": e, "value": value_hash(v)} for s, k, e, v in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_text"):
             base, weak = [], []
             for t in b.column("_text").to_pylist():
                 found = base_spans(t or "")
@@ -81,7 +82,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFra
                 weak.append(rows(weak_spans(t or "", found)))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(base, span), pa.array(weak, span)], ["_row", id_col, "_owner", "_hash", "base", "weak"])
 
-    return in_batches(docs).select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(owner_col).cast("string").alias("_owner"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(owner_col).cast("string").alias("_owner"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def ownership(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -96,46 +97,62 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """One row for each document: id, found (spans by start, then kind), base, n_live, n_copied.
+def told(held: Column) -> Column:
+    """kind:start:repositories:owners of spans, comma-joined."""
+    kinds = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(held, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), *(s[f].cast("string") for f in ("start", "n_repos", "n_owners")))), ",")
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
+    """One row for each document: id, found (spans by start, then kind), base, n_live, n_copied, held, _hash (of the text).
 
-    found holds the base spans and those weak candidates that at most ``most_owners`` owners hold; each span has start,
-    kind (place in KINDS), end and the hash of its value. n_live and n_copied count base and weak spans by ownership.
-    Null and empty texts have no spans; repeated rows stay repeated and count as one repository; only the three named
-    columns are read. An empty table gives no rows.
+    found holds the base spans and those weak candidates that at most ``most_owners`` owners and ``most_repos``
+    repositories hold; each span has start, kind (place in KINDS), end and the hash of its value. held tells of every
+    base and weak span by start the numbers of repositories and owners; n_live and n_copied count them by ownership.
+    Null and empty texts have no spans; very long texts are scanned whole; repeated rows stay repeated and count as one
+    repository, as do all rows of a null id; only the three named columns are read. An empty table gives no rows.
     """
     scanned = staged(scan(docs, id_col, text_col, owner_col), "secret-scan")
     owned = staged(ownership(scanned, id_col), "secret-owners")
     spans = scanned.filter((F.size("base") > 0) | (F.size("weak") > 0)).select("_row", F.explode(F.concat("base", "weak")).alias("span")).withColumn("value", F.col("span.value"))
-    told = spans.join(owned, "value").withColumn("live", F.col("n_owners") <= most_owners)
+    told = spans.join(owned, "value").withColumn("live", (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos))
     by_row = told.groupBy("_row").agg(
         F.array_sort(F.collect_list(F.when(F.col("live") & (F.col("span.kind") == 3), F.col("span")))).alias("added"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_copied"),
+        F.array_sort(F.collect_list(F.struct("span.start", "span.kind", "n_repos", "n_owners"))).alias("held"),
     )
-    empty = F.array().cast(f"array<{SPAN}>")
+    empty = lambda kind: F.array().cast(kind)
     return scanned.join(by_row, "_row", "left").select(
-        id_col, F.array_sort(F.concat("base", F.coalesce("added", empty))).alias("found"), "base", F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), "_hash"
+        id_col,
+        F.array_sort(F.concat("base", F.coalesce("added", empty(f"array<{SPAN}>")))).alias("found"),
+        "base",
+        F.coalesce("n_live", F.lit(0)).alias("n_live"),
+        F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("held", empty("array<struct<start:long,kind:int,n_repos:long,n_owners:long>>")).alias("held"),
+        "_hash",
     )
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mask: str = "[SECRET]", length_col: str | None = "n_chars") -> DataFrame:
     """The documents with every span of find_secrets replaced by ``mask``; overlapping spans merge first.
 
-    Rows and columns stay as they are; texts without spans stay the same, null included. Repeated rows are redacted each
-    by its own text. ``length_col`` (if there) becomes the new length in code points.
+    Rows and columns stay as they are, whatever the names of others; texts without spans stay the same, null and empty
+    ones included; very long texts are masked whole. Repeated rows are redacted each by its own text. ``length_col`` (if
+    there) becomes the new length in code points. An empty table gives no rows.
     """
-    found = find_secrets(docs, id_col, text_col, owner_col).filter(F.size("found") > 0).select(F.col(id_col).alias("_id"), "_hash", F.col("found").alias("_found"))
-    found = staged(found.dropDuplicates(["_id", "_hash"]), "secrets")
+    spans, key, digest = (fresh(n, docs.columns) for n in ("_found", "_id", "_hash"))
+    found = find_secrets(docs, id_col, text_col, owner_col).filter(F.size("found") > 0).select(F.col(id_col).alias(key), F.col("_hash").alias(digest), F.col("found").alias(spans))
+    found = staged(found.dropDuplicates([key, digest]), "secrets")
     side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = b.column("_found").to_pylist()
+        for b in slices(batches, text_col):
+            found = b.column(spans).to_pylist()
             texts = [cut(t, [(s["start"], s["end"]) for s in f], mask) if f and t else t for t, f in zip(b.column(text_col).to_pylist(), found)]
-            yield with_texts(b, text_col, texts, [bool(f) for f in found], length_col).drop_columns(["_found"])
+            yield with_texts(b, text_col, texts, [bool(f) for f in found], length_col).drop_columns([spans])
 
-    return in_batches(docs).join(side, docs[id_col].eqNullSafe(side["_id"]) & (F.xxhash64(docs[text_col]) == side["_hash"]), "left").select(*docs.columns, "_found").mapInArrow(run, docs.schema)
+    return docs.join(side, docs[id_col].eqNullSafe(side[key]) & (F.xxhash64(docs[text_col]) == side[digest]), "left").select(*docs.columns, spans).mapInArrow(run, docs.schema)
 
 
 def with_texts(batch: pa.RecordBatch, text_col: str, texts: list[str | None], changed: list[bool], length_col: str | None) -> pa.RecordBatch:

@@ -9,17 +9,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import CACHE_ENTRIES, slices, vocabulary_path
-from gridloom.llm.runs import in_batches
+from gridloom.llm.bpe import CACHE_ENTRIES, vocabulary_path
+from gridloom.llm.runs import slices
 
 BATCH_BYTES = 1 << 20
 
 
+def drops_white_space(tokenizer) -> bool:
+    """Whether words between ASCII white space are encoded each for itself and the white space leaves no token."""
+    if tokenizer.pre_tokenizer is None or any(t.content != t.content.strip() or len(t.content.split()) != 1 for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    words = ["Plain", "words", "x1.5", "(mark)", "don't", "\u00e9t\u00e9", "\u6f22\u5b57", "\u0301"]
+    alone = [i for w in words for i in ids(w)]
+    return all(ids(space) == [] and ids(space.join(words)) == alone for space in (" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c"))
+
+
 class WordCounter:
     """Token counts of texts, summed over words between ASCII white space.
 
     That is a safe boundary where a vocabulary drops white space before merging: neither normalisation, lower-casing,
     pre-tokens nor special strings reach across it. Counts of words are cached, so a batch encodes each new word once.
+    With any other vocabulary texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -29,8 +40,11 @@ class WordCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, int] = {}
+        self.by_word = drops_white_space(self.tokenizer)
 
     def count(self, texts: list[bytes]) -> list[int]:
+        if not self.by_word:
+            return [len(x) for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         if len(self.known) > CACHE_ENTRIES:
             self.known = {}
         words = [t.split() for t in texts]
@@ -68,8 +82,9 @@ def counter(vocabulary: str):
 def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
-    Null and empty texts count as zero bytes and zero tokens; repeated rows stay repeated; other columns are not read.
-    A .json vocabulary has to drop white space (word pieces with word ends); a .model one may be any sentencepiece model.
+    Null and empty texts count as zero bytes and zero tokens; very long texts count whole; repeated rows stay repeated;
+    other columns are not read; an empty table gives no rows. A .json vocabulary that drops white space is counted word
+    by word, any other one and sentencepiece models (.model) by whole texts.
     """
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -80,4 +95,4 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
             n = count(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return in_batches(docs).select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
