@@ -6,25 +6,29 @@ blocks. Fingerprints join on each choice of n - d blocks and are then verified b
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.runs import in_batches, sorted_runs, starts
+from gridloom.llm.runs import slices
+from gridloom.llm.tiles import TILE_BYTES, TILE_ROWS, Hamming, Overlap, links
 from gridloom.operators.graph import connected_components
 from gridloom.staging import staged
 
 SEED = 42
 #: Ids up to which the list of later copies is broadcast; beyond it the tables are shuffled.
 BROADCAST_ROWS = 500_000
-#: Blocks of up to so many distinct fingerprints are runs of a stream; larger ones are compared in tiles.
-SMALL, TILE = 64, 2_000
+#: Near copies: five-word shingles of which at least this share of all is common to both texts.
+WORDS, LEAST = 5, 0.8
+#: Candidates for them: fingerprints of the different words of a text, by three seeds. An edit changes few words but
+#: many shingles, so these stay closer than fingerprints of shingles do.
+SEEDS, DISTANCE, BLOCKS = (42, 43, 44), 5, 7
 
 
 def fingerprint(raw: bytes, shingle: int = 3, seed: int = SEED, distinct: bool = False) -> int:
@@ -32,7 +36,7 @@ def fingerprint(raw: bytes, shingle: int = 3, seed: int = SEED, distinct: bool =
     words = raw.lower().split()  # of bytes: ASCII white space and letters only
     if not words:
         return 0
-    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    parts = words if shingle == 1 else map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     hashes = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in (set(parts) if distinct else parts)), np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
@@ -41,117 +45,108 @@ def fingerprint(raw: bytes, shingle: int = 3, seed: int = SEED, distinct: bool =
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp0, fp1, ... (64 bits as signed longs, one for each seed); null and empty texts have fingerprint 0."""
+    """id, digest (of the lower-cased words) and fp0, fp1, ... (64 bits as signed longs, one for each seed); null and empty
+    texts have fingerprint 0."""
     names = [f"fp{i}" for i in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_text"):
             texts = [t or b"" for t in b.column("_text").cast(pa.binary()).to_pylist()]
             fps = [np.array([fingerprint(t, shingle, seed, distinct) for t in texts], np.uint64).view(np.int64) for seed in seeds]
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, fps)], [id_col, *names])
+            digests = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), *map(pa.array, fps)], [id_col, "digest", *names])
 
-    schema = ", ".join([f"{id_col} {docs.schema[id_col].dataType.simpleString()}", *(f"{n} long" for n in names)])
-    return in_batches(docs).select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join([f"{id_col} long, digest binary", *(f"{n} long" for n in names)])
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
-def block_keys(fp, distance: int, blocks: int):
-    """One key for each choice of ``blocks - distance`` blocks: their bits, with the number of the choice."""
+def block_keys(fp, distance: int, blocks: int, seed: int = 0):
+    """One key for each choice of ``blocks - distance`` blocks: a hash of their bits and the numbers of choice and seed."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     keys = []
     for n, choice in enumerate(combinations(range(blocks), blocks - distance)):
         mask = sum(((1 << edges[b + 1]) - (1 << edges[b])) for b in choice)
-        keys.append(F.struct(F.lit(n).alias("choice"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")).alias("bits")))
+        keys.append(F.xxhash64(fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")), F.lit(n), F.lit(seed)))
     return F.array(*keys)
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def linked_fingerprints(nodes: DataFrame, distance: int = 3, blocks: int = 5, seeds: int = 1, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(src, dst): links among rows (node, fp0, ...) whose components are those of all pairs that differ in at most
+    ``distance`` bits of the fingerprint of any seed.
 
-
-def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within ``distance`` bits: each value is compared once with those not yet reached."""
-    left, out = np.unique(values).view(np.uint64), []  # unsigned: bits are counted of absolute values
-    while len(left):
-        turn, left = [int(left[0])], left[1:]
-        while turn and len(left):
-            x = turn.pop()
-            near = np.bitwise_count(left ^ np.uint64(x)) <= distance
-            found = left[near].tolist()
-            out += [(signed(x), signed(y)) for y in found]
-            turn += found
-            left = left[~near]
-    return out
+    Rows meet those that share a choice of blocks with them. No block is dropped or cut: large ones are compared in
+    tiles (see tiles.links), so links grow with the rows and not with their pairs.
+    """
+    keyed = [nodes.select(F.explode(block_keys(F.col(f"fp{i}"), distance, blocks, i)).alias("group"), "node", F.col(f"fp{i}").alias("data")) for i in range(seeds)]
+    rows = keyed[0]
+    for more in keyed[1:]:
+        rows = rows.union(more)
+    return links(staged(rows, "blocks"), Hamming(distance), tile_rows)
 
 
-def linked_fingerprints(distinct: DataFrame, distance: int = 3, blocks: int = 5, small: int = SMALL, tile: int = TILE) -> DataFrame:
-    """(seed, a, b): links among the distinct fingerprints (seed, fp) of each seed whose components are those of all links
-    within ``distance``.
+def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 5, shingle: int = 3, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """One row for each document: id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
-    Fingerprints meet those that share a block with them, and each block gives a spanning forest of its links, so links
-    grow with the fingerprints and not with their pairs. Blocks of up to ``small`` fingerprints are runs of a sorted
-    stream. Larger ones are cut into tiles by hash, and each pair of tiles gives a forest: no link between components is
-    lost, and no group holds more than two tiles.
+    Two documents are linked if their fingerprints differ in at most ``distance`` bits. Documents of one fingerprint
+    hang on their smallest id, so copies never form pairs. Ids are integers. Null, empty and blank texts have
+    fingerprint zero and are linked like any other; very long texts count whole; repeated rows stay repeated; rows with
+    a null id have a fingerprint, no component, and link nothing; other columns are not read. An empty table gives no
+    rows.
     """
-    block = ["seed", "choice", "bits"]
-    keyed = distinct.select("seed", "fp", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("k"))
-    keyed = staged(keyed.select("seed", "k.choice", "k.bits", "fp"), "blocks")
-    sizes = staged(keyed.groupBy(*block).agg(F.count("*").alias("n")).filter("n > 1"), "block-sizes")
-    shared = staged(keyed.join(sizes, block), "shared-blocks")
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_runs(batches, *block):
-            seed, choice, bits, fp = (t.column(c).to_numpy() for c in (*block, "fp"))
-            at = starts(seed, choice, bits)
-            pair = at[:-1][np.diff(at) == 2]
-            near = pair[np.bitwise_count(fp[pair].view(np.uint64) ^ fp[pair + 1].view(np.uint64)) <= distance]
-            out = [np.column_stack([seed[near], fp[near], fp[near + 1]])]
-            for i, j in zip(at[:-1][np.diff(at) > 2].tolist(), at[1:][np.diff(at) > 2].tolist()):
-                out += [np.array([(seed[i], a, b)]) for a, b in forest(fp[i:j], distance)]
-            s, a, b = np.concatenate(out).T
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(a), pa.array(b)], ["seed", "a", "b"])
-
-    links = shared.filter(F.col("n") <= small).select(*block, "fp").repartition(*block).sortWithinPartitions(*block).mapInArrow(thin, "seed int, a long, b long")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    large = shared.filter(F.col("n") > small).withColumn("own", F.pmod(F.xxhash64("fp"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    large = large.select(*block, "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(forest(pdf["fp"].to_numpy(), distance), columns=["a", "b"], dtype="int64")
-        out.insert(0, "seed", int(pdf["seed"].iat[0]))
-        return out
-
-    return links.union(large.groupBy(*block, "i", "j").applyInPandas(compare, "seed int, a long, b long")).distinct()
-
-
-def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 5, shingle: int = 3, seeds: tuple[int, ...] = (SEED,), distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, fingerprint (16 hex digits, first seed), component_id (smallest id reachable).
-
-    Two documents are linked if their fingerprints of any seed differ in at most ``distance`` bits. Documents of one
-    fingerprint hang on their smallest id, so copies never form pairs. Null, empty and blank texts have fingerprint zero
-    and are linked like any other; repeated rows stay repeated; rows with a null id have a fingerprint, no component, and
-    link nothing; other columns are not read. An empty table gives no rows.
-    """
-    fps = staged(fingerprints(docs, shingle, seeds, distinct, id_col, text_col), "fingerprints")
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("seed"), F.col(f"fp{i}").alias("fp")) for i in range(len(seeds)))))
-    own = fps.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), each.alias("s")).select("id", "s.seed", "s.fp")
-    nodes = staged(own.groupBy("seed", "fp").agg(F.min("id").alias("first")), "nodes")
-    links = staged(linked_fingerprints(nodes.select("seed", "fp"), distance, blocks), "links")
-    first = lambda end, name: nodes.select("seed", F.col("fp").alias(end), F.col("first").alias(name))
-    ends = links.join(first("a", "src"), ["seed", "a"]).join(first("b", "dst"), ["seed", "b"]).select("src", "dst")
-    copies = own.join(nodes, ["seed", "fp"]).filter(F.col("id") != F.col("first")).select(F.col("first").alias("src"), F.col("id").alias("dst"))
-    members = connected_components(ends.union(copies))
+    fps = staged(fingerprints(docs, shingle, (seed,), False, id_col, text_col), "fingerprints")
+    own = fps.filter(F.col(id_col).isNotNull())
+    nodes = staged(own.groupBy("fp0").agg(F.min(id_col).alias("node")), "nodes")
+    copies = own.join(nodes, "fp0").filter(F.col(id_col) != F.col("node")).select(F.col(id_col).alias("src"), F.col("node").alias("dst"))
+    members = connected_components(linked_fingerprints(nodes, distance, blocks, 1, tile_rows).union(copies))
     return fps.join(members, fps[id_col] == members["node"], "left").select(id_col, F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.coalesce("component", id_col).alias("component_id"))
 
 
+def shingle_hashes(raw: bytes, words: int = WORDS) -> np.ndarray:
+    """The different XXH64 hashes of a text's shingles, sorted; of a shorter text that of all its words."""
+    own = raw.lower().split()
+    parts = map(b" ".join, zip(*(own[i:] for i in range(words)))) if len(own) >= words else [b" ".join(own)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64))
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST, seeds: tuple[int, ...] = SEEDS, distance: int = DISTANCE, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(id, component_id) of each document that has a copy or near copy: the smallest id that links of near copies reach.
+
+    Fingerprints of the different words of a text, within ``distance`` bits for any seed, give components of candidates.
+    Within those, texts are linked whose shingles of ``words`` words have a Jaccard similarity of ``least`` or more, all
+    pairs considered; so a link is exact, and one is missed only where no fingerprints connect its ends. Equal texts
+    (but for case and white space) are one text. Ids are integers; rows with a null id take no part; rows of one id are
+    one document; null and empty texts are copies of each other; an empty table gives no rows.
+    """
+    fps = staged(fingerprints(docs, 1, seeds, True, id_col, text_col).filter(F.col(id_col).isNotNull()), "fingerprints")
+    names = [f"fp{i}" for i in range(len(seeds))]
+    nodes = staged(fps.groupBy("digest").agg(F.min(id_col).alias("node"), *(F.min(n).alias(n) for n in names)), "nodes")
+    candidates = staged(connected_components(linked_fingerprints(nodes, distance, blocks, len(seeds), tile_rows)), "candidates")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("_text")).join(candidates, "node").select("component", "node", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_hashes(t or b"", words).astype("<u8").tobytes() for t in b.column(2).cast(pa.binary()).to_pylist()], pa.binary())], ["group", "node", "data"])
+
+    verified = links(staged(texts.mapInArrow(run, "group long, node long, data binary"), "shingles"), Overlap(least), tile_rows, TILE_BYTES)
+    copies = fps.join(nodes.select("digest", "node"), "digest").filter(F.col(id_col) != F.col("node")).select(F.col(id_col).alias("src"), F.col("node").alias("dst"))
+    return connected_components(verified.union(copies)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents without those that have a smaller id in their component; of repeated rows of one id one stays.
+    """The documents without those that near_copies links to a smaller id; of repeated rows of one id one stays.
 
-    Rows with a null id stay.
+    That is the row of the least text (null first), then of the least hash of its other columns. Rows with a null id
+    stay. All columns are kept; their names can't clash with any used here.
     """
-    later = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    gone, again = f"{id_col}_gone", f"{id_col}_again"
+    later = near_copies(docs, id_col=id_col, text_col=text_col, **how).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone))
     later = staged(later, "later-copies")
-    kept = docs.join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, id_col, "left_anti")
-    repeated = staged(docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col), "repeated-ids")
-    if repeated.limit(1).count() == 0:
-        return kept.select(docs.columns)
-    return kept.join(repeated, id_col, "left_anti").union(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])).select(docs.columns)
+    kept = docs.join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, docs[id_col] == later[gone], "left_anti")
+    repeated = staged(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(again)).agg(F.count("*").alias("n")).filter("n > 1").select(again), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    same = kept[id_col] == repeated[again]
+    row = F.struct(*(kept[c] for c in docs.columns))
+    hashed = F.xxhash64(*(kept[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    first = kept.join(repeated, same, "left_semi").groupBy(F.col(id_col)).agg(F.min_by(row, F.struct(F.col(text_col), hashed)).alias("row")).select("row.*")
+    return kept.join(repeated, same, "left_anti").union(first)
