@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy search over it, in rounds of Spark joins.
 
-The graph starts from neighbours within cells of a bounded sample of vectors. Each round then joins every node's
-neighbours, forward and reverse, with their vectors, compares the neighbours of a node with each other where one of
-them is new, and merges what is nearer into their lists. A query starts at its own node; each round expands the best
-unexpanded nodes of its list by a join with the graph.
+The graph starts from the leaves of random projection trees: vectors sorted by the signs of random projections, cut into
+runs of LEAF rows. Each round then joins every node's neighbours, forward and reverse, with their vectors, compares the
+neighbours of a node with each other where one of them is new, and merges what is nearer into their lists, until few
+lists change. A query starts at its own node; each round expands the best unexpanded nodes of its list by a join with
+the graph, over forward and reverse edges.
 
 Largest inner product becomes least distance by one more component, sqrt(limit^2 - norm^2), less the limit, which
 changes no distance and keeps small numbers exact. The HEADS vectors of largest norm don't count for the limit, which is
@@ -23,17 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.runs import sorted_runs, starts
-from gridloom.llm.vectors import grouped, matrix, packed, usable
-from gridloom.staging import staged
-
-DEGREE = 24
-CELLS_EACH = 6  # cells that each vector joins at the start
-CELL_ROWS = 2_048
-#: Vectors that name the cells, chosen by hash: the bound of the sample on the driver.
-MOST_CELLS = 1_024
-SAMPLED = 50  # neighbours of a node that a round compares
-ROUNDS = 2
-LIST, BEAM, SEARCH_ROUNDS = 200, 50, 12
+from gridloom.llm.vectors import common_width, grouped, matrix, packed, usable
+from gridloom.staging import release, staged
+
+DEGREE = 32
+#: Trees of the start, rows of a leaf, and projections that order the leaves.
+TREES, LEAF, PROJECTIONS, SEED = 6, 64, 48, 5
+SAMPLED = 64  # neighbours of a node that a round compares
+#: Rounds end when less than this share of all list entries is new, or after MOST_ROUNDS.
+FEW, MOST_ROUNDS = 0.1, 12
+LIST, BEAM, SEARCH_ROUNDS = 256, 128, 10
 QUERY_BLOCK = 4_096
 HEADS = 64
 EDGES = "a long, b long, s double, fresh boolean"
@@ -77,54 +77,74 @@ def nearness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x @ y.T - ((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]) / 2
 
 
-def start_graph(codes: DataFrame, n: int, degree: int, cells_each: int, cell_rows: int) -> DataFrame:
-    """Edges to the best neighbours within each vector's nearest cells; cells beyond ``cell_rows`` split by hash."""
-    m = min(MOST_CELLS, -(-3 * cells_each * n // (2 * cell_rows)))
-    centres = np.array([np.frombuffer(r["code"], "f4") for r in codes.orderBy(F.xxhash64("gid"), "gid").limit(m).collect()], float)
-    each = min(cells_each, len(centres))
+def start_graph(codes: DataFrame, width: int, degree: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+    """Edges to the best neighbours within a leaf of each tree; a leaf has ``leaf`` to 2 * ``leaf`` rows, whatever the data.
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = matrix(b.column(1), "f4").astype(float)
-            if len(x):
-                cell = np.argpartition(-nearness(x, centres), each - 1, axis=1)[:, :each].ravel()
-                of = pa.array(np.repeat(np.arange(len(x)), each))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0).take(of), b.column(1).take(of)], ["cell", "gid", "code"])
-
-    placed = staged(codes.mapInArrow(assign, "cell long, gid long, code binary"), "cells")
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))  # at most MOST_CELLS rows
-    placed = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("gid"), F.ceil(F.col("n") / cell_rows)))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        gid = pdf["gid"].to_numpy()
-        x = np.frombuffer(b"".join(pdf["code"]), "f4").reshape(len(gid), -1).astype(float)
-        k, out = min(degree, len(gid) - 1), []
-        for at in range(0, len(gid) if k else 0, 512):
-            s = nearness(x[at : at + 512], x)
-            s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-            b = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            out.append(pd.DataFrame({"a": np.repeat(gid[at : at + 512], k), "b": gid[b].ravel(), "s": np.take_along_axis(s, b, 1).ravel(), "fresh": True}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "s": [], "fresh": []}).astype({"a": int, "b": int, "s": float, "fresh": bool})
-
-    return best_edges(placed.groupBy("cell", "part").applyInPandas(compare, EDGES), degree)
-
-
-def descend(edges: DataFrame, codes: DataFrame, degree: int, sampled: int) -> DataFrame:
+    The signs of PROJECTIONS random projections, read as a number, are the path to a leaf; rows sorted by it stand in
+    the order of the leaves, so leaves are runs of rows and no leaf grows with rows that lie close together.
+    """
+    rng = np.random.default_rng(SEED)
+    found = None
+    for _ in range(trees):
+        planes = rng.normal(size=(width, PROJECTIONS))
+        middle = codes.orderBy(F.xxhash64("gid"), "gid").limit(1_000).collect() if found is None else middle
+        centre = np.mean([np.frombuffer(r["code"], "f4") for r in middle], axis=0)
+
+        def path(batches: Iterator[pa.RecordBatch], planes: np.ndarray = planes) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    sign = (matrix(b.column(1), "f4") - centre) @ planes > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(sign @ (1 << np.arange(PROJECTIONS)[::-1])), *b.columns], ["path", "gid", "code"])
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+
+            def leaves(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+                gid, x = rows.column("gid").to_numpy(), matrix(rows.column("code").combine_chunks(), "f4").astype(float)
+                at, out = 0, []
+                while at < len(gid) and (last or len(gid) - at >= 2 * leaf):
+                    end = at + leaf if len(gid) - at >= 2 * leaf else len(gid)
+                    k = min(degree, end - at - 1)
+                    if k:
+                        s = nearness(x[at:end], x[at:end])
+                        np.fill_diagonal(s, -np.inf)
+                        b = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                        out.append((np.repeat(gid[at:end], k), gid[at:end][b].ravel(), np.take_along_axis(s, b, 1).ravel()))
+                    at = end
+                held[:] = rows.slice(at).to_batches()
+                if out:
+                    a, b, s = map(np.concatenate, zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.array(np.ones(len(a), bool))], ["a", "b", "s", "fresh"])
+
+            for b in batches:
+                held.append(b)
+                yield from leaves(pa.Table.from_batches(held), False)
+            if held:
+                yield from leaves(pa.Table.from_batches(held), True)
+
+        placed = staged(codes.mapInArrow(path, "path long, gid long, code binary"), "paths")
+        edges = placed.repartitionByRange("path", "gid").sortWithinPartitions("path", "gid").mapInArrow(compare, EDGES)
+        found = edges if found is None else found.union(edges)
+    return best_edges(found, degree)
+
+
+def descend(edges: DataFrame, codes: DataFrame, degree: int, sampled: int, turn: int = 0) -> DataFrame:
     """One round: neighbours of a node, forward before reverse, are compared with each other.
 
-    A node with more than ``sampled`` neighbours takes part with the first of them, own ones before reverse ones in
-    hash order; the sampling is the method's, and further rounds draw on what it found.
+    A node takes part with all its own neighbours and, up to ``sampled`` in all, reverse ones, drawn anew in each round;
+    the sampling is the method's.
     """
     own = edges.select(F.col("a").alias("v"), F.col("b").alias("nbr"), "fresh", F.lit(0).alias("reverse"))
     reverse = edges.select(F.col("b").alias("v"), F.col("a").alias("nbr"), "fresh", F.lit(1).alias("reverse"))
     worst = edges.groupBy("a").agg(F.when(F.count("*") >= degree, F.min("s")).alias("worst"))
     nodes = codes.join(worst, codes["gid"] == worst["a"], "left").select(F.col("gid").alias("nbr"), "code", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
     around = own.union(reverse).join(nodes, "nbr").select("v", "nbr", "fresh", "reverse", "code", "worst")
+    salt = np.uint64(turn)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_runs(batches, "v"):
             v, nbr, fresh, reverse, worst = (t.column(c).to_numpy() for c in ("v", "nbr", "fresh", "reverse", "worst"))
-            mix = (nbr.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            mix = ((nbr.astype(np.uint64) + salt) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
             o = np.lexsort((mix, reverse, v))
             code = matrix(t.column("code").combine_chunks(), "f4")
             out: list[list[np.ndarray]] = [[], [], []]
@@ -132,14 +152,17 @@ def descend(edges: DataFrame, codes: DataFrame, degree: int, sampled: int) -> Da
             for i, j in zip(at.tolist(), at[1:].tolist()):
                 _, first = np.unique(nbr[o[i:j]], return_index=True)
                 g = o[i:j][np.sort(first)[:sampled]]
+                if not fresh[g].any():
+                    continue
                 x = code[g].astype(float)
                 s = nearness(x, x)
                 p, q = np.nonzero((s > worst[g][:, None]) & (fresh[g][:, None] | fresh[g][None, :]))
                 p, q = p[p != q], q[p != q]
                 for c, y in zip(out, (nbr[g[p]], nbr[g[q]], s[p, q])):
                     c.append(y)
-            a, b, s = map(np.concatenate, out)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.array(np.ones(len(a), bool))], ["a", "b", "s", "fresh"])
+            if out[0]:
+                a, b, s = map(np.concatenate, out)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.array(np.ones(len(a), bool))], ["a", "b", "s", "fresh"])
 
     found = around.repartition("v").sortWithinPartitions("v").mapInArrow(compare, EDGES)
     return best_edges(edges.withColumn("fresh", F.lit(False)).union(found), degree)
@@ -154,10 +177,23 @@ def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column(0).to_numpy()
-            if len(at):
-                s = np.einsum("ij,ij->i", q[at], matrix(b.column(2), "f4").astype(float))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array(np.zeros(len(at), bool))], ["q", "gid", "s", "expanded"])
+            lists = b.column(2).combine_chunks() if isinstance(b.column(2), pa.ChunkedArray) else b.column(2)
+            asking = lists.flatten().to_numpy()
+            of = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            code, gid = matrix(b.column(1), "f4").astype(float), b.column(0).to_numpy()
+            for at in range(0, len(asking), 65_536):
+                part, row = asking[at : at + 65_536], of[at : at + 65_536]
+                s = np.einsum("ij,ij->i", q[part], code[row])
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(gid[row]), pa.array(s), pa.array(np.zeros(len(part), bool))], ["q", "gid", "s", "expanded"])
+
+    def unmet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The neighbours of a query's turn that are not in its list."""
+        for t in sorted_runs(batches, "q"):
+            qs, near = t.column("q").to_numpy(), t.column("near").combine_chunks()
+            ends, flat = near.offsets.to_numpy(), near.values.to_numpy()
+            listed, held, at = t.column("gid").is_valid().to_numpy(), t.column("gid").fill_null(0).to_numpy(), starts(qs)
+            kept = [(x, np.setdiff1d(flat[ends[i] : ends[j]], held[i:j][listed[i:j]])) for x, i, j in zip(qs[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x for x, _ in kept], [len(y) for _, y in kept]), pa.int64()), pa.array(np.concatenate([y for _, y in kept]), pa.int64())], ["q", "gid"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The list of each query; of the unexpanded nodes in it the best ``beam`` come next."""
@@ -177,18 +213,22 @@ def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors:
         return staged(found.repartition("q").sortWithinPartitions("q").mapInArrow(best, "q long, gid long, s double, expanded boolean, next boolean"), "search")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(codes, "gid").select("q", "gid", "code").mapInArrow(score, "q long, gid long, s double, expanded boolean")
+        """Each node comes once with the queries, of this block, that ask for it."""
+        asking = pairs.groupBy("gid").agg(F.collect_list("q").alias("asking"))
+        return asking.join(codes, "gid").select("gid", "code", "asking").mapInArrow(score, "q long, gid long, s double, expanded boolean")
 
     number = asked.sparkSession.createDataFrame(pd.DataFrame({"q": np.arange(len(ids)), "query_id": ids, "gid": [r["gid"] for r in rows]}), "q long, query_id long, gid long")
     first = F.explode(F.array_distinct(F.array("gid", *map(F.lit, heads)))).alias("gid")
     state = ranked(scored(number.select("q", first)))
     for _ in range(rounds):
         turn = state.filter("next")
-        if turn.limit(1).count() == 0:
+        if turn.isEmpty():
             break
-        met = turn.select("q", F.col("gid").alias("a")).join(graph, "a").select("q", F.explode("near").alias("gid")).distinct()
-        new = met.join(state.select("q", "gid"), ["q", "gid"], "left_anti")
-        state = ranked(state.select("q", "gid", "s", (F.col("expanded") | F.col("next")).alias("expanded")).union(scored(new)))
+        met = turn.select("q", F.col("gid").alias("a")).join(graph, "a").select("q", F.lit(None).cast("long").alias("gid"), "near")
+        both = met.union(state.select("q", "gid", F.array().cast("array<long>")))
+        new = both.repartition("q").sortWithinPartitions("q").mapInArrow(unmet, "q long, gid long")
+        before, state = state, ranked(state.select("q", "gid", "s", (F.col("expanded") | F.col("next")).alias("expanded")).union(scored(new)))
+        release(before)
 
     def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_runs(batches, "q"):
@@ -209,26 +249,36 @@ def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors:
     return state.select("q", "gid").join(vectors, "gid").select("q", "ids", "v").repartition("q").sortWithinPartitions("q").mapInArrow(anew, "query_id long, rank int, vec_id long, score double")
 
 
-def build_graph(codes: DataFrame, n: int, degree: int = DEGREE, rounds: int = ROUNDS, cells_each: int = CELLS_EACH, cell_rows: int = CELL_ROWS, sampled: int = SAMPLED) -> DataFrame:
-    """(a, b, s, fresh): the neighbour lists after the start and ``rounds`` rounds."""
-    edges = staged(start_graph(codes, n, degree, cells_each, cell_rows), "graph")
-    for _ in range(rounds):
-        edges = staged(descend(edges, codes, degree, sampled), "graph")
+def build_graph(codes: DataFrame, n: int, width: int, degree: int = DEGREE, most_rounds: int = MOST_ROUNDS, few: float = FEW, sampled: int = SAMPLED, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+    """(a, b, s, fresh): the neighbour lists when fewer than ``few`` of their entries change in a round."""
+    edges = staged(start_graph(codes, width, degree, trees, leaf), "graph")
+    for turn in range(most_rounds):
+        better = staged(descend(edges, codes, degree, sampled, turn), "graph")
+        release(edges)
+        edges = better
+        if edges.filter("fresh").count() < few * n * degree:
+            break
     return edges
 
 
+def adjacency(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
+    """(a, near): the neighbours of each node, and the nearest of those that list it, at most ``degree`` of each."""
+    reverse = best_edges(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "fresh"), degree)
+    return edges.union(reverse).groupBy("a").agg(F.collect_set("b").alias("near"))
+
+
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", size: int = LIST, beam: int = BEAM, search_rounds: int = SEARCH_ROUNDS, block: int = QUERY_BLOCK, **graph_options) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries``, itself a row of ``table``, the k nearest found.
 
     Nearness is the inner product in double precision; ties go to the smaller id; the query's own id is no candidate;
     with fewer candidates all that the graph reaches are returned. Vectors that are null, empty, all zero or hold null
-    or non-finite components, and those of another length than the longest one, take no part. Equal vectors are one
+    or non-finite components, and those of another length than most (the longer one if equally many), take no part. Equal vectors are one
     node that brings its k + 1 smallest ids. Other columns are not read; empty tables give no rows.
     """
     spark = table.sparkSession
     valid = lambda t: usable(t, id_col, vector_col).filter(F.exists("v", lambda x: x != 0))
     vectors = staged(grouped(packed(valid(table)), k + 1), "vectors")
-    width = vectors.agg(F.max(F.length("v"))).first()[0]
+    width = common_width(vectors)
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     vectors = vectors.filter(F.length("v") == width)
@@ -245,8 +295,8 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     top = squares.orderBy(F.desc("norm"), "gid").limit(HEADS + 1).collect()
     heads, limit = [r["gid"] for r in top[:HEADS]], top[-1]["norm"] if n > HEADS else top[0]["norm"]
     codes = staged(coded(vectors, limit, scale), "codes")
-    edges = build_graph(codes, n, **graph_options)
-    graph = staged(edges.groupBy("a").agg(F.collect_list("b").alias("near")), "adjacency")
+    edges = build_graph(codes, n, width // 8 + 1, **graph_options)
+    graph = staged(adjacency(edges, graph_options.get("degree", DEGREE)), "adjacency")
     asked = packed(valid(queries)).filter(F.length("v") == width).withColumnRenamed("id", "query_id").dropDuplicates(["query_id", "v"]).join(vectors.select("gid", "v"), "v")
     asked = staged(asked, "queries")
     blocks = -(-asked.count() // block)

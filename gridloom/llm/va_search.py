@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.vectors import grouped, matrix, packed, usable
+from gridloom.llm.vectors import common_width, grouped, matrix, packed, usable
 from gridloom.staging import staged
 
 CELLS = 256
 #: Queries that one scan serves; their vectors (8 bytes a component) are what a task gets from the driver.
 QUERY_BLOCK = 4_096
+PARTS = 16
 
 
 def component_bounds(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -53,14 +54,14 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0
 
     Components count as floor(scale * x). A query's own id is no candidate; ties go to the smaller id; with fewer
     candidates all are returned. Vectors that are null, empty or hold null or non-finite components, and those of
-    another length than the longest one, take no part, as query or candidate. Equal vectors are searched as one.
+    another length than most (the longer one if equally many), take no part, as query or candidate. Equal vectors are searched as one.
     Scores beyond 64 bits are cut to their range. Other columns are not read; empty tables give no rows.
     """
     spark = table.sparkSession
     out_schema = "query_id long, rank int, vec_id long, score long"
     whole = lambda x: np.clip(np.floor(x * scale), -(2.0**62), 2.0**62).astype("<i8")
     vectors = staged(grouped(packed(usable(table, id_col, vector_col), whole), k + 1), "vectors")
-    width = vectors.agg(F.max(F.length("v"))).first()[0]
+    width = common_width(vectors)
     if width is None:
         return spark.createDataFrame([], out_schema)
     vectors = vectors.filter(F.length("v") == width)
@@ -85,7 +86,10 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0
 
 
 def search_block(approximations: DataFrame, vectors: DataFrame, asked: DataFrame, k: int, low: np.ndarray, step: np.ndarray) -> DataFrame:
-    """The answer to the queries of one block, gathered on the driver: about QUERY_BLOCK rows, whatever the table."""
+    """The answer to the queries of one block, gathered on the driver: about QUERY_BLOCK rows, whatever the table.
+
+    Each block is one scan of the approximations, a byte a component; blocks follow one another.
+    """
     spark = approximations.sparkSession
     rows = asked.collect()
     ids, q = [r["query_id"] for r in rows], np.array([np.frombuffer(r["v"], "<i8") for r in rows], float).reshape(len(rows), len(low))
@@ -103,9 +107,16 @@ def search_block(approximations: DataFrame, vectors: DataFrame, asked: DataFrame
             best = -np.partition(-np.hstack([best, score - slack[:, None]]), k, axis=1)[:, : k + 1]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids))), pa.array(best.tolist(), pa.list_(pa.float64()))], ["q", "best"])
 
-    kth = F.sort_array(F.flatten(F.collect_list("best")), asc=False)[k]
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best bounds of each query over all tasks, as they pass."""
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, best in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held[i] = -np.sort(-np.append(held.get(i, []), best))[: k + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x[k] for x in held.values()], pa.float64())], ["q", "kth"])
+
     bound = np.full(len(ids), -np.inf)
-    for r in approximations.mapInArrow(best_lower, "q long, best array<double>").groupBy("q").agg(kth.alias("kth")).collect():
+    for r in approximations.mapInArrow(best_lower, "q long, best array<double>").repartition("q").mapInArrow(merge, "q long, kth double").collect():
         bound[r["q"]] = r["kth"]
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +125,7 @@ def search_block(approximations: DataFrame, vectors: DataFrame, asked: DataFrame
             at, of = np.nonzero(upper >= bound[:, None])
             yield pa.RecordBatch.from_arrays([pa.array(at), gid.take(pa.array(of)), pa.array(upper[at, of])], ["q", "gid", "upper"])
 
-    order = Window.partitionBy("q").orderBy(F.desc("upper"), "gid")
-    near = staged(approximations.mapInArrow(within, "q long, gid long, upper double").withColumn("place", F.row_number().over(order)), "candidates")
+    near = staged(approximations.mapInArrow(within, "q long, gid long, upper double"), "candidates")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,9 +136,15 @@ def search_block(approximations: DataFrame, vectors: DataFrame, asked: DataFrame
     def read(part: DataFrame) -> DataFrame:
         return part.join(vectors, "gid").select("q", "ids", "v").mapInArrow(score, "query_id long, q long, ids array<long>, score long")
 
-    first = staged(read(near.filter(F.col("place") <= k + 1)), "first-scores")
+    order = Window.partitionBy("q").orderBy(F.desc("upper"), "gid")
+    wave = staged(near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1), "first-wave")  # each task keeps its own k + 1
+    first = staged(read(wave), "first-scores")
     certain = first.groupBy("q").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("q", F.try_element_at("s", F.lit(k + 1)).alias("kth"))
-    rest = near.filter(F.col("place") > k + 1).join(certain, "q").filter(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).select("q", "gid")
+    last = wave.groupBy("q").agg(F.max(F.struct(-F.col("upper"), "gid")).alias("last"))
+    rest = near.join(certain.join(last, "q"), "q").filter((F.struct(-F.col("upper"), "gid") > F.col("last")) & (F.col("kth").isNull() | (F.col("upper") >= F.col("kth")))).select("q", "gid")
     answers = first.union(read(rest)).select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+    # A query of many near ties is first ranked in parts.
+    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))).orderBy(F.desc("score"), "vec_id")
+    answers = answers.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= k).drop("place")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return answers.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -35,20 +35,44 @@ def packed(table: DataFrame, change: Callable[[np.ndarray], np.ndarray] = lambda
     return table.mapInArrow(run, "id long, v binary")
 
 
+def common_width(vectors: DataFrame) -> int | None:
+    """The byte length of most rows' ``v``, of equally frequent ones the longer; None without rows."""
+    best = vectors.groupBy(F.length("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
+    return best["width"] if best else None
+
+
+#: Distinct vectors that a task thins the ids of at a time.
+THINNED = 50_000
+
+
 def grouped(vectors: DataFrame, keep: int) -> DataFrame:
     """(gid, ids, v): each distinct vector with its ``keep`` smallest ids, gid being the smallest.
 
-    A search for fewer than ``keep`` neighbours can't need more of them. Each task first thins a vector's ids to
-    ``keep``, so a vector that a third of all rows hold brings a few ids from each task.
+    A search for fewer than ``keep`` neighbours can't need more of them. Each task thins a vector's ids to ``keep``
+    over THINNED distinct vectors at a time, so a vector that a third of all rows hold brings few ids from each task.
     """
 
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[int]] = {}
+
+        def handed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(held.values(), pa.list_(pa.int64()))], ["v", "ids"])
+            held.clear()
+            return out
+
         for b in batches:
-            held: dict[bytes, list[int]] = {}
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(v, []).append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array([sorted(set(x))[:keep] for x in held.values()], pa.list_(pa.int64()))], ["v", "ids"])
-
-    few = vectors.mapInArrow(thin, "v binary, ids array<long>")
+                ids = held.setdefault(v, [])
+                if len(ids) < keep or i < ids[-1]:
+                    if i not in ids:
+                        ids.append(i)
+                        ids.sort()
+                        del ids[keep:]
+            if len(held) >= THINNED:
+                yield handed()
+        if held:
+            yield handed()
+
+    few = vectors.mapInArrow(run, "v binary, ids array<long>")
     ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
     return few.groupBy("v").agg(ids.alias("ids")).select(F.col("ids")[0].alias("gid"), "ids", "v")
