@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import gridloom.llm.simhash as simhash
-from gridloom.llm import passages
+from gridloom.llm import passages, tiles
 from tests.llm.conftest import TEXTS
 
 
@@ -43,46 +43,83 @@ def test_near_duplicates_edges(docs, none):
     fps = {i: simhash.fingerprint((t or "").encode()) for i, t in enumerate(TEXTS)}
     want = components(fps, 3)
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
-    assert simhash.near_duplicates(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0 and simhash.near_copies(none).count() == 0
     kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert kept.schema == docs.schema
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, t in enumerate(TEXTS) if t not in TEXTS[:i] and (t is None or t.strip())]
+    assert simhash.keep_first(none).count() == 0
 
 
-@pytest.mark.parametrize("small,tile", [(64, 2000), (2, 2000), (2, 7)])
-def test_links_of_hot_blocks(spark, small, tile):
-    """Fingerprints around a few centres: every way of comparing blocks gives the components of all links."""
-    r = random.Random(6)
-    centres = [r.getrandbits(64) for _ in range(6)]
-    fps = {c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for c in centres for _ in range(40)}
-    signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    links = simhash.linked_fingerprints(spark.createDataFrame([(0, f) for f in signed], "seed int, fp long"), 3, 5, small, tile).collect()
-    mask = (1 << 64) - 1
-    assert all(((a & mask) ^ (b & mask)).bit_count() <= 3 for _, a, b in links)
-    want = components({f & mask: f & mask for f in signed}, 3)
-    root = {f: f for f in want}
+def test_repeated_rows_of_one_id_keep_the_least_text(spark):
+    rows = [(1, "b text", 2), (1, "a text", 9), (1, "a text", 4), (2, None, 1), (2, "other words here", 1), (None, "x y", 1), (None, "x y", 1)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()
+    assert len(kept) == 4 and {(r["doc_id"], r["text"]) for r in kept} == {(1, "a text"), (2, None), (None, "x y")}
+
+
+def reached(edges, nodes):
+    root = {i: i for i in nodes}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for _, a, b in links:
-        x, y = find(a & mask), find(b & mask)
+    for a, b in edges:
+        x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    assert {f: find(f) for f in want} == want
+    return {i: find(i) for i in nodes}
 
 
-def test_distinct_words_and_seeds_find_edited_copies(spark):
+@pytest.mark.parametrize("tile", [2000, 7, 1])
+def test_links_of_hot_blocks(spark, tile):
+    """Fingerprints around a few centres: tiles of any size give the components of all links."""
+    r = random.Random(6)
+    centres = [r.getrandbits(64) for _ in range(6)]
+    fps = sorted({c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for c in centres for _ in range(40 if tile > 1 else 8)})
+    rows = [(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(fps)]
+    got = simhash.linked_fingerprints(spark.createDataFrame(rows, "node long, fp0 long"), 3, 5, 1, tile).collect()
+    assert reached([(x["src"], x["dst"]) for x in got], range(len(fps))) == components(dict(enumerate(fps)), 3)
+
+
+def test_links_of_one_large_block_grow_with_its_rows(spark):
+    """16,000 fingerprints near one centre, in tiles of 500: few links, and the components of all pairs."""
+    r = random.Random(21)
+    centre, low = r.getrandbits(64), 24  # all share the upper bits, so every choice of upper blocks is one block
+    fps = set()
+    while len(fps) < 16_000:
+        fps.add(centre ^ sum(1 << b for b in r.sample(range(low), r.randint(0, 9))))
+    values = np.array(sorted(fps), np.uint64)
+    rows = spark.createDataFrame([(0, i, v) for i, v in enumerate(values.view(np.int64).tolist())], "group long, node long, data long").repartition(4)
+    got = [(x["src"], x["dst"]) for x in tiles.links(rows, tiles.Hamming(3), 500).collect()]
+    assert len(got) < 2 * len(values)
+    want = {i: i for i in range(len(values))}
+    for x, ys in tiles.forest(tiles.Hamming(3).near(values), len(values)):
+        for y in ys.tolist():
+            want[y] = x
+    assert reached(got, want) == reached(want.items(), want)
+
+
+@pytest.mark.parametrize("tile", [2000, 5])
+def test_near_copies_by_brute_force(spark, tile):
+    """Jaccard of five-word shingles over all pairs; edits keep words near, so fingerprints lose none of these links."""
     r = random.Random(7)
-    vocabulary = [f"w{i}x" for i in range(3000)]
-    base = [r.choice(vocabulary) for _ in range(300)]
-    edited = list(base)
-    for i in r.sample(range(300), 6):
-        edited[i] = r.choice(vocabulary)
-    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(r.choice(vocabulary) for _ in range(300)))]
-    how = {"distance": 5, "blocks": 7, "shingle": 1, "seeds": (42, 43), "distinct": True}
-    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), **how)
-    assert sorted(x["doc_id"] for x in kept.collect()) == [1, 3]
+    docs, shingles = {}, {}
+    for base in range(8):
+        words = [f"w{r.randrange(3000)}x" for _ in range(200)]
+        for n in range(12):
+            own = list(words)
+            for i in r.sample(range(200), r.choice((0, 1, 2, 3, 5, 8))):
+                own[i] = f"e{r.randrange(3000)}"
+            docs[base * 100 + n] = own
+    docs[999] = sorted(docs[0])  # the words of another, in another order
+    docs[998], docs[997] = ["a", "b"], ["A", "b"]
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(x.lower() for x in w)} for i, w in docs.items()}
+    edges = [(i, j) for i in docs for j in docs if j < i and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    want = reached(edges, docs)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(df, tile_rows=tile).collect()}
+    assert {i: got.get(i, i) for i in docs} == want and len(set(want.values())) > 8
+    assert sorted(x["doc_id"] for x in simhash.keep_first(df, tile_rows=tile).collect()) == sorted(set(want.values()))
 
 
 def sentence(r, n):
@@ -203,6 +240,13 @@ def test_text_of_a_short_period_makes_few_chains(spark):
     assert 19 <= found.count() <= 20 * 20
 
 
+def test_a_repeated_word_is_a_passage_too(spark):
+    r = random.Random(16)
+    rows = [(i, " ".join([*sentence(r, 30), *["spam"] * n, *sentence(r, 30)])) for i, n in enumerate((80, 70, 20))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(x["doc_id"], x["first_id"], x["end_word"] - x["start_word"]) for x in got] == [(1, 0, 70)]
+
+
 def test_chain_is_the_best_by_brute_force():
     r = random.Random(10)
     for _ in range(200):

@@ -24,6 +24,10 @@ def test_ownership_separates_examples(spark):
     got = {r["doc_id"]: r for r in secrets.find_secrets(docs).collect()}
     assert [(s["start"], s["end"]) for s in got[1]["found"]] == [(4, 4 + len(KEY))] and got[4]["n_live"] == 1
     assert all(not got[i]["found"] and got[i]["n_copied"] == 1 for i in (2, 3, 6))
+    many = [(i, f"use {KEY} here", "a") for i in range(secrets.MOST_REPOS)]
+    for rows, live in ((many, 1), ([*many, (99, f"also {KEY}", "a")], 0)):
+        told = secrets.find_secrets(spark.createDataFrame(rows, docs.schema)).collect()
+        assert all(r["n_live"] == live and r["n_copied"] == 1 - live and len(r["found"]) == live and r["held"][0]["n_repos"] == len(rows) and r["held"][0]["n_owners"] == 1 for r in told)
     owned = {r["n_repos"]: r["n_owners"] for r in secrets.ownership(secrets.scan(docs, "doc_id", "text", "source")).collect()}
     assert owned == {2: 1, 3: 3}
 
@@ -32,7 +36,7 @@ def test_secret_edges_and_redaction(docs, none):
     got = secrets.find_secrets(docs).collect()
     assert len(got) == len(TEXTS) + 1 and secrets.find_secrets(none).count() == 0
     out = secrets.redact(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.schema == docs.schema and out.count() == docs.count()
     texts = {r["doc_id"]: r for r in out.collect()}
     assert texts[8]["text"].count("[SECRET]") == 3 and "hunter" not in texts[8]["text"] and texts[8]["n_chars"] == len(texts[8]["text"])
     assert texts[7]["text"] == "[SECRET]" and all(texts[i]["text"] == TEXTS[i] for i in range(7))
@@ -52,6 +56,7 @@ def test_fuzzy_notices(spark):
     got = {r["doc_id"]: r for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"], got[1]["score"]) == (2, 1, 5, "mit", 1.0)
     assert got[2]["labels"] == "gpl-3" and 0.9 < got[2]["score"] < 1 and got[2]["base_labels"] == ""
+    assert licenses.find_licenses(spark.createDataFrame([(1, "all rights reserved, in the public domain")], "doc_id long, text string")).first()["labels"] == ""
     assert (got[4]["base_labels"], got[4]["labels"]) == ("apache-2", "apache-2")
     assert (got[5]["labels"], got[5]["score"]) == ("", 0.0)
     assert [(s["label"], s["first_word"], s["errors"]) for s in got[6]["spans"]] == [("mit", 3000, 1)]
@@ -76,14 +81,14 @@ def test_interactions_in_linear_time():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    k = len(quality.STRUCTURE)
-    m = quality.Machine(0.1, rng.normal(size=16 + k), rng.normal(size=(16 + k, 3)), np.zeros(k), np.ones(k), 16)
+    k = len(quality.STRUCTURE) + 2
+    m = quality.Machine(0.1, rng.normal(size=16 + k), rng.normal(size=(16 + k, 3)), np.zeros(k), np.ones(k), 16, ("n_chars",))
     raw = b"some words and some more words."
     used, weight, shape = quality.features(raw, 16)
     x = np.zeros(16 + k)
-    x[used], x[16:] = weight, np.clip(shape, -5, 5)
+    x[used], x[16:] = weight, np.clip(shape + quality.metadata([31.0]), -5, 5)
     z = 0.1 + m.weights @ x + sum(x[i] * x[j] * (m.factors[i] @ m.factors[j]) for i in range(16 + k) for j in range(i))
-    assert abs(m.score(raw) - 1 / (1 + np.exp(-z))) < 1e-9
+    assert abs(m.score(raw, [31.0]) - 1 / (1 + np.exp(-z))) < 1e-9
 
 
 def test_quality_held_out(spark):
@@ -105,6 +110,10 @@ def test_quality_edges(spark, docs, none):
     assert quality.score_documents(none, machine).count() == 0
     alone = quality.fit(docs, labels.filter("quality = 1"))
     assert {round(r["score"], 6) for r in quality.score_documents(docs, alone).collect()} == {round(alone.score(b""), 6)}
+    assert machine.columns == ("n_chars",) and quality.keep_good(docs, machine).schema == docs.schema
+    bare = docs.select("doc_id", "text")
+    assert quality.fit(bare, labels).columns == () and quality.score_documents(bare, quality.fit(bare, labels)).count() == len(TEXTS) + 1
+    assert quality.metadata([None, float("nan"), -3.0])[:4] == [0.0, 0.0, 0.0, 0.0]
     import zlib
 
     assert {r["doc_id"]: r["held_out"] for r in got} == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(len(TEXTS))}
@@ -112,3 +121,17 @@ def test_quality_edges(spark, docs, none):
 
 def test_query_columns(spark):
     assert op2_secrets(spark, "/root/testdata/sf0.001").columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+
+
+def test_base_places_by_plain_patterns(spark):
+    import random
+
+    r = random.Random(17)
+    parts = ["Under", "the", "MIT", "license", "Apache", "License,", "version", "2", "cc", "BY-nc", "é", "under the mit license", "x"]
+    texts = [r.choice([" ", "\n", " - "]).join(r.choices(parts, k=r.randint(0, 30))) for _ in range(200)]
+    for row in licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[row["doc_id"]]))
+        places = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        starts = [p[0] for p in places]
+        assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (len(words), len(places), min(starts, default=None), max(starts, default=None))
+        assert row["base_labels"] == ",".join(sorted({p[1] for p in places}))

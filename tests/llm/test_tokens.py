@@ -95,6 +95,51 @@ def test_packing_is_gapless_and_near_the_least(docs, none, size):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_fullest_against_all_subsets():
+    from itertools import product
+
+    r = random.Random(18)
+    for _ in range(200):
+        room = r.randint(5, 40)
+        counts = {n: r.randint(1, 3) for n in r.sample(range(1, room + 1), min(room, r.randint(1, 6)))}
+        lengths = sorted(counts, reverse=True)
+        got = packing.fullest(counts, lengths, room)
+        assert all(1 <= m <= counts[n] for n, m in got) and got[0][0] == lengths[0]
+        sums = (sum(n * m for n, m in zip(lengths, take)) for take in product(*(range(counts[n] + 1) for n in lengths)) if take[0])
+        assert sum(n * m for n, m in got) == max(s for s in sums if s <= room)
+
+
+@pytest.mark.parametrize("ranked", [3, 50_000])
+def test_packing_of_a_hot_length(spark, ranked):
+    """Most pieces have one length; columns with the operator's own names stay."""
+    rows = [(i, 0, 64 if i % 3 else 1 + i % 40, i) for i in range(500)]
+    out = packing.pack_pieces(spark.createDataFrame(rows, "doc_id long, piece int, length long, _rank long"), 64, ranked=ranked)
+    got = out.collect()
+    assert out.columns == ["doc_id", "piece", "length", "_rank", "sequence_id", "offset"] and sorted(r["_rank"] for r in got) == list(range(500))
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in seqs.values():
+        parts.sort()
+        assert all(o == sum(n for _, n in parts[:i]) for i, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= 64
+    assert len(seqs) <= -(-sum(r[2] for r in rows) // 64) + 1
+
+
+def test_ids_equal_the_library_on_a_whole_table(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    rank, t = bpe.rank_encoding("byte_bpe_50k.json"), Tokenizer.from_file(BYTES)
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [rank.encode_to_numpy(x, allowed_special="all").tolist() for x in texts] == want
+    assert bpe.encoder("byte_bpe_50k.json").encode(texts) == want
+
+
+def test_vocabulary_that_keeps_white_space_is_counted_whole():
+    t, c = Tokenizer.from_file(BYTES), token_counts.WordCounter(BYTES)
+    assert token_counts.WordCounter(WORDS).by_word and not c.by_word
+    texts = random_texts(200, 19)
+    assert c.count([x.encode() for x in texts]) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_plan_fills_bins_by_subset_sums():
     plan = packing.plan_bins({7: 2, 5: 3, 4: 1, 3: 3, 2: 2}, 10)
     bins = max(r[4] + (r[2] - r[1]) // r[3] for r in plan)

@@ -66,20 +66,46 @@ def test_neighbour_search_with_copies_and_unequal_norms(vectors):
     assert hits >= 0.9 * 20 * len(by)
 
 
-def test_neighbour_recall(spark):
-    rng = np.random.default_rng(12)
-    x = (rng.normal(size=(3000, 16)) + 2 * rng.normal(size=(20, 16))[rng.integers(0, 20, 3000)]).astype(np.float32)
-    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = nn_descent.nearest(df, df.filter("vec_id % 50 = 0"), 20, cell_rows=256, cells_each=3, size=100, beam=30).collect()
+def found_share(df, x, every, **options):
+    """The share of each query's exact 20 nearest that the search found."""
+    got = nn_descent.nearest(df, df.filter(f"vec_id % {every} = 0"), 20, **options).collect()
     found = {}
     for r in got:
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
-    s = x[::50].astype(float) @ x.T.astype(float)
-    hits = 0
-    for n, q in enumerate(range(0, 3000, 50)):
-        s[n, q] = -np.inf
-        hits += len(found[q] & set(np.argsort(-s[n])[:20].tolist()))
-    assert hits >= 0.9 * 20 * 60
+    s = x[::every].astype(float) @ x.T.astype(float)
+    s[np.arange(len(s)), np.arange(0, len(x), every)] = -np.inf
+    return sum(len(found[q] & set(np.argsort(-row)[:20].tolist())) for q, row in zip(range(0, len(x), every), s)) / (20 * len(s))
+
+
+def frame(spark, x):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>")
+
+
+def test_recall_comes_from_descent(spark):
+    """Recall on clustered vectors and on ones of unequal norms; the start alone is clearly worse."""
+    rng = np.random.default_rng(12)
+    x = (rng.normal(size=(3000, 16)) + 2 * rng.normal(size=(20, 16))[rng.integers(0, 20, 3000)]).astype(np.float32)
+    assert found_share(frame(spark, x), x, 50) >= 0.95
+    y = (rng.normal(size=(4000, 48)) * rng.uniform(0.5, 2, (4000, 1))).astype(np.float32)
+    few = {"size": 64, "beam": 32}
+    start, descended = (found_share(frame(spark, y), y, 100, most_rounds=n, **few) for n in (0, 12))
+    assert descended >= start + 0.1, (start, descended)
+    assert found_share(frame(spark, y), y, 100) >= 0.9
+
+
+def test_recall_on_given_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = sorted((r["vec_id"], r["embedding"]) for r in df.collect())
+    assert [i for i, _ in rows] == list(range(len(rows)))
+    assert found_share(df, np.array([v for _, v in rows], np.float32), 20) >= 0.95
+
+
+@pytest.mark.parametrize("search", [va_search.top_k, nn_descent.nearest])
+def test_a_vector_of_another_length_takes_no_part(spark, search):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(50)] + [(100, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search(df, df.filter("vec_id % 50 = 0"), 5).collect()
+    assert {r["query_id"] for r in got} == {0} and [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [49, 48, 47, 46, 45]
 
 
 def test_no_vectors(vectors):
@@ -102,7 +128,7 @@ def test_neighbour_search_beside_a_few_large_vectors(spark):
     x[[11, 500, 2001]] *= 1000
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     asked = [i for i in range(0, 3000, 50) if i != 500]
-    got = nn_descent.nearest(df, df.filter("vec_id % 50 = 0 and vec_id <> 500"), 20, cell_rows=256, cells_each=3, size=100, beam=30).collect()
+    got = nn_descent.nearest(df, df.filter("vec_id % 50 = 0 and vec_id <> 500"), 20).collect()
     found = {q: {r["vec_id"] for r in got if r["query_id"] == q} for q in asked}
     score = x.astype(float) @ x.astype(float).T
     np.fill_diagonal(score, -np.inf)
