@@ -7,18 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm import packing, passages, quality, secrets, simhash
 from gridloom.staging import staged
 
-#: Near copies are told by the different words of a text: an edit changes few of them, unlike shingles.
-NEAR = {"distance": 5, "blocks": 7, "shingle": 1, "seeds": (42, 43), "distinct": True}
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labels of the input."""
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of copies and near copies."""
-    return simhash.keep_first(docs, **NEAR)
+    """The document of the smallest id of each group of copies and near copies (five words, similarity 0.8)."""
+    return simhash.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
