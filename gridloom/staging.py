@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +29,34 @@ def _path(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Within it Spark hands Python at most about ``most`` bytes at a time: workers hold a batch several times over.
+
+    The session's own setting comes back at the end.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes ``df`` once to the shared folder and returns a frame that reads it back.
 
     The files outlive lost executors, and later plans start from them instead of from the whole lineage. They go when
-    the application ends, or earlier by ``release``.
+    the application ends, or earlier by ``release``. Batches for Python are small while it is written.
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    with small_batches(spark):
+        df.write.mode("error").parquet(path)
     at, files = _path(spark, path)
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
