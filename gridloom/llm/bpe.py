@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.runs import slices
+from gridloom.staging import staged
 
 #: Fixed value: how byte-level vocabularies cut text before merging.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -273,7 +274,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_
                 columns, names = [*columns, pa.array([list(chain.from_iterable([p[0] for p in parts])) for parts in rows], pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return staged(docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema), "encoded")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.runs import slices
+from gridloom.staging import staged
 
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -160,4 +161,4 @@ def find_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: tuple[t
             columns = zip(*out) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], [id_col, *names])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return staged(docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema), "licenses")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from gridloom.llm.runs import slices
+from gridloom.staging import small_batches, staged
 
 BUCKETS = 1_024
 #: Labelled rows that a fit takes at most, chosen by hash: the bound of what reaches the driver.
@@ -160,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_label"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64())), pa.array(dense, pa.list_(pa.float64()))], ["_id", "_label", "used", "weight", "dense"])
 
     made = rows.mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, _label int, used array<int>, weight array<double>, dense array<double>")
-    taken = made.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id", "_label", "dense").limit(sample).collect()
+    with small_batches(docs.sparkSession):
+        taken = made.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id", "_label", "dense").limit(sample).collect()
     return train([(r["used"], r["weight"], r["dense"], r["_label"]) for r in taken], columns=columns)
 
 
@@ -180,7 +182,7 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.3, i
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], [id_col, "held_out", "score", "predicted"])
 
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int"
-    return docs.select(F.col(id_col), (fold(id_col) == 0).alias("held_out"), F.col(text_col).alias("_text"), *values).mapInArrow(run, schema)
+    return staged(docs.select(F.col(id_col), (fold(id_col) == 0).alias("held_out"), F.col(text_col).alias("_text"), *values).mapInArrow(run, schema), "scores")
 
 
 def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -192,4 +194,4 @@ def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_co
         for b in slices(batches, text_col):
             yield b.filter(pa.array([s >= threshold for s in machine.scores(b, text_col, at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return staged(docs.mapInArrow(run, docs.schema), "good")

@@ -139,7 +139,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
 
     Rows and columns stay as they are, whatever the names of others; texts without spans stay the same, null and empty
     ones included; very long texts are masked whole. Repeated rows are redacted each by its own text. ``length_col`` (if
-    there) becomes the new length in code points. An empty table gives no rows.
+    there) becomes the new length in code points. An empty table gives no rows. ``docs`` is read again for the texts
+    without spans, which no Python sees.
     """
     spans, key, digest = (fresh(n, docs.columns) for n in ("_found", "_id", "_hash"))
     found = find_secrets(docs, id_col, text_col, owner_col).filter(F.size("found") > 0).select(F.col(id_col).alias(key), F.col("_hash").alias(digest), F.col("found").alias(spans))
@@ -152,7 +153,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
             texts = [cut(t, [(s["start"], s["end"]) for s in f], mask) if f and t else t for t, f in zip(b.column(text_col).to_pylist(), found)]
             yield with_texts(b, text_col, texts, [bool(f) for f in found], length_col).drop_columns([spans])
 
-    return docs.join(side, docs[id_col].eqNullSafe(side[key]) & (F.xxhash64(docs[text_col]) == side[digest]), "left").select(*docs.columns, spans).mapInArrow(run, docs.schema)
+    same = docs[id_col].eqNullSafe(side[key]) & (F.xxhash64(docs[text_col]) == side[digest])
+    return docs.join(side, same, "left_anti").union(staged(docs.join(side, same).select(*docs.columns, spans).mapInArrow(run, docs.schema), "redacted"))
 
 
 def with_texts(batch: pa.RecordBatch, text_col: str, texts: list[str | None], changed: list[bool], length_col: str | None) -> pa.RecordBatch:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import CACHE_ENTRIES, vocabulary_path
 from gridloom.llm.runs import slices
+from gridloom.staging import staged
 
 BATCH_BYTES = 1 << 20
 
@@ -95,4 +96,4 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
             n = count(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return staged(docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema), "token-counts")
