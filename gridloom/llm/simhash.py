@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.runs import slices
 from gridloom.llm.tiles import TILE_BYTES, TILE_ROWS, Hamming, Overlap, links
 from gridloom.operators.graph import connected_components
-from gridloom.staging import staged
+from gridloom.staging import release, staged
 
 SEED = 42
 #: Ids up to which the list of later copies is broadcast; beyond it the tables are shuffled.
@@ -81,7 +81,10 @@ def linked_fingerprints(nodes: DataFrame, distance: int = 3, blocks: int = 5, se
     rows = keyed[0]
     for more in keyed[1:]:
         rows = rows.union(more)
-    return links(staged(rows, "blocks"), Hamming(distance), tile_rows)
+    rows = staged(rows, "blocks")
+    found = links(rows, Hamming(distance), tile_rows)
+    release(rows)
+    return found
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 5, shingle: int = 3, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -127,7 +130,9 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST, seeds
         for b in slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_hashes(t or b"", words).astype("<u8").tobytes() for t in b.column(2).cast(pa.binary()).to_pylist()], pa.binary())], ["group", "node", "data"])
 
-    verified = links(staged(texts.mapInArrow(run, "group long, node long, data binary"), "shingles"), Overlap(least), tile_rows, TILE_BYTES)
+    shingles = staged(texts.mapInArrow(run, "group long, node long, data binary"), "shingles")
+    verified = links(shingles, Overlap(least), tile_rows, TILE_BYTES)
+    release(shingles)
     copies = fps.join(nodes.select("digest", "node"), "digest").filter(F.col(id_col) != F.col("node")).select(F.col(id_col).alias("src"), F.col("node").alias("dst"))
     return connected_components(verified.union(copies)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
 
