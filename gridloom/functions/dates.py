@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +34,21 @@ FILE_FORMS = [
 ]
 
 
+# The days that a spreadsheet's serial number may name, and forms tried after serial numbers.
+SERIAL_DAYS = (date(1677, 9, 22), date(2262, 4, 11))
+LATE_FORMS = [(r"^\d{8}$", "yyyyMMdd"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"), (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy")]
+
+
 def registry_date(c: Column) -> Column:
-    """Dates in four forms, else days since 1899-12-30 as spreadsheets count them, else day-first text."""
+    """Dates in four forms, else days since 1899-12-30 as spreadsheets count them, else compact or day-first text.
+
+    A number that would name a day outside SERIAL_DAYS is no serial number.
+    """
     s = F.trim(c.cast("string"))
     s = F.when(~s.isin("", "nan", "NaN", "<NA>", "None"), s)
-    serial = F.when(s.rlike(r"^\d+(\.\d+)?$"), F.floor(s.try_cast("double")).try_cast("int"))
-    return F.coalesce(_guarded(s, REGISTRY_FORMS), F.date_add(F.lit("1899-12-30").cast("date"), serial), _guarded(s, [(r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"), (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy")]))
+    serial = F.when(s.rlike(r"^-?\d+(\.\d+)?$"), F.floor(s.try_cast("double")))
+    first, last = ((d - date(1899, 12, 30)).days for d in SERIAL_DAYS)
+    return F.coalesce(_guarded(s, REGISTRY_FORMS), F.date_add(F.lit("1899-12-30").cast("date"), F.when(serial.between(first, last), serial).cast("int")), _guarded(s, LATE_FORMS))
 
 
 def file_date(c: Column) -> Column:
@@ -55,9 +66,12 @@ def clock(c: Column) -> Column:
 
 
 def duration(c: Column) -> Column:
-    """``H:M``, ``H:M:S`` or ``N days, H:M:S`` as total hours ``HH:MM:SS``, which may exceed a day."""
-    s = F.trim(c.cast("string"))
-    pattern = r"^(?:(\d+) days?,? )?(\d+):(\d{1,2})(?::(\d{1,2}))?$"
+    """``H:M``, ``H:M:S`` or ``N days, H:M:S`` as total hours ``HH:MM:SS``, which may exceed a day.
+
+    ``;`` counts as ``:``, and a fraction of a second is left out.
+    """
+    s = F.regexp_replace(F.translate(F.trim(c.cast("string")), ";", ":"), r"^(.*\d:\d{1,2}:\d{1,2})\.\d+$", "$1")
+    pattern = r"^(?:(\d+)\s+days?,\s*(?=\d+:\d+:))?(\d{1,5}):(\d{1,2})(?::(\d{1,2}))?$"
     part = lambda i: F.coalesce(F.nullif(F.regexp_extract(s, pattern, i), F.lit("")).try_cast("int"), F.lit(0))
     return F.when(s.rlike(pattern) & (part(3) <= 59) & (part(4) <= 59), F.format_string("%02d:%02d:%02d", part(1) * 24 + part(2), part(3), part(4)))
 

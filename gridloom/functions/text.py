@@ -114,12 +114,18 @@ def has_mojibake(c: Column) -> Column:
     return F.coalesce(c.rlike(MOJIBAKE), F.lit(False))
 
 
+# What windows-1252 shows for the bytes 80 to 9F where Latin-1 has control characters.
+WINDOWS_1252 = dict(zip((0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F), "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"))
+
+
 def repair_mojibake(c: Column, rounds: int = 3) -> Column:
-    """UTF-8 that was read as Latin-1, up to three times over; text that doesn't decode stays."""
+    """UTF-8 that was read as Latin-1 or windows-1252, up to three times over; text that doesn't decode stays."""
+    shown, bytes_of = "".join(WINDOWS_1252.values()), "".join(map(chr, WINDOWS_1252))
     for _ in range(rounds):
-        raw = F.encode(c, "ISO-8859-1")
+        latin = F.translate(c, shown, bytes_of)
+        raw = F.encode(latin, "ISO-8859-1")
         once = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-        c = F.when(c.rlike(MOJIBAKE) & ~c.rlike("[^\\x{00}-\\x{ff}]"), F.coalesce(once, c)).otherwise(c)
+        c = F.when(c.rlike(MOJIBAKE) & ~latin.rlike("[^\\x{00}-\\x{ff}]"), F.coalesce(once, c)).otherwise(c)
     return c
 
 

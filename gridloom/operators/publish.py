@@ -7,33 +7,37 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.dates import within
 
-# Levels of a measure between its lower and upper third.
-LEVELS = ("low", "medium", "high")
-COLOURS = {"high": "#d7301f", "medium": "#fc8d59", "low": "#fdcc8a"}
+LEVELS = ("low", "medium", "high")  # below the lower third, between, from the upper third on
+# Colour, order and use of a cluster by its levels of detections and events; then the names.
+STYLES = "detection string, event string, colour string, order int, usage string, name string, name_if_observed string"
+STYLE_ROWS = [
+    ("high", "high", "#B91C1C", 1, "first in maps, filters and details", "much activity, confirmed by events", None),
+    ("high", "medium", "#EA580C", 2, "first in maps, filters and details", "much activity, few events", None),
+    ("high", "low", "#EA580C", 2, "first in maps, filters and details", "much activity, few events", None),
+    ("medium", "high", "#D97706", 3, "first in maps, filters and details", "some activity, many events", None),
+    ("medium", "medium", "#D97706", 3, "comparison over space and time", "some activity", None),
+    ("medium", "low", "#D97706", 3, "comparison over space and time", "some activity", None),
+    ("low", "high", "#2563EB", 4, "first in maps, filters and details", "little activity", "little activity, well observed"),
+    ("low", "medium", "#2563EB", 4, "background", "little activity", "little activity, well observed"),
+    ("low", "low", "#2563EB", 4, "background", "little activity", "little activity, well observed"),
+]
 
 
 def level(value: str, low: Column, high: Column) -> Column:
     return F.when(F.col(value) >= high, LEVELS[2]).when(F.col(value) >= low, LEVELS[1]).otherwise(LEVELS[0])
 
 
-def cluster_catalog(profile: DataFrame, cluster: str, detection: str, event: str, station: str) -> DataFrame:
-    """Level of three rates against their 33 and 66 % quantiles over clusters, and name, colour, order and text from them."""
+def cluster_catalog(profile: DataFrame, detection: str, event: str, station: str) -> DataFrame:
+    """Level of three rates against their 33 and 66 % quantiles over the profile's rows (clusters, or states and clusters),
+    and the style of its levels: name, colour, order, use, and a description."""
     names = {"detection": detection, "event": event, "station": station}
     cuts = profile.agg(*(F.percentile(c, F.array(F.lit(0.33), F.lit(0.66))).alias(n) for n, c in names.items())).first()  # one row
     out = profile.withColumns({f"{n}_level": level(c, F.lit(cuts[n][0]), F.lit(cuts[n][1])) for n, c in names.items()})
-    d, e, s = (F.col(f"{n}_level") for n in names)
-    name = (
-        F.when((d == "high") & (e == "high"), "high activity, often confirmed")
-        .when(d == "high", "high activity, seldom confirmed")
-        .when((d == "medium") & (e == "high"), "medium activity, often confirmed")
-        .when(d == "medium", "medium activity")
-        .when(s == "high", "low activity, well observed")
-        .otherwise("low activity")
-    )
-    colours = F.create_map(*(F.lit(x) for kv in COLOURS.items() for x in kv))
-    order = F.when(d == "high", 1).when(d == "medium", 2).otherwise(3)
+    styles = F.broadcast(profile.sparkSession.createDataFrame(STYLE_ROWS, STYLES))  # nine rows
+    styled = out.join(styles, (out["detection_level"] == styles["detection"]) & (out["event_level"] == styles["event"]), "left").drop("detection", "event")
+    observed = F.when(F.col("station_level") == LEVELS[2], F.col("name_if_observed"))
     text = F.format_string("%.1f %% of days with detections, %.1f %% with events", F.col(detection) * 100, F.col(event) * 100)
-    return out.withColumns({"name": name, "colour": colours[d], "order": order, "description": text})
+    return styled.withColumns({"name": F.coalesce(observed, "name"), "description": text}).drop("name_if_observed")
 
 
 def publication(base: DataFrame, clusters: DataFrame, catalog: DataFrame, keys: list[str], cluster: str) -> DataFrame:

@@ -9,31 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import in_box
-from gridloom.functions.text import has_mojibake, normal_name
+from gridloom.functions.text import has_mojibake
 from gridloom.operators.matching import reasons
 from gridloom.operators.ranking import flag_repeated
 
-# What a column's name says about its role, in the order in which rules are tried.
-ROLE_RULES = (
-    (("=", "fecha", "day"), "time_key"),
-    (("=", "cve_ent", "nom_ent", "cve_mun", "nom_mun", "cvegeo", "region", "state"), "space_key"),
-    (("^", "has_"), "source_flag"),
-    (("$", "_count"), "count"),
-    (("$", "_sum"), "total"),
-    (("$", "_mean", "_avg"), "mean"),
-    (("$", "_min"), "minimum"),
-    (("$", "_max"), "maximum"),
-    (("^", "pct_"), "percentage"),
-    (("$", "_pct"), "percentage"),
-    (("^", "sup_"), "area"),
-    (("~", "superficie", "area"), "area"),
-    (("^", "long_"), "length"),
-    (("~", "longitud"), "length"),
-    (("~", "lat", "lon"), "coordinate"),
-)
-TRACE_WORDS = ("source", "file", "archivo", "trace", "timestamp")
-
-
 def any_flag(flags: list[str]) -> Column:
     return reduce(or_, (F.coalesce(F.col(f), F.lit(False)) for f in flags), F.lit(False))
 
@@ -88,28 +67,42 @@ def event_flags(df: DataFrame, key: str, year: str, begin: str, finish: str, lat
     return out, list(errors), list(warnings)
 
 
-def role(name: str) -> str:
-    n = normal_name(name)
-    if any(w in n for w in TRACE_WORDS):
-        return "trace"
-    tests = {"=": lambda w: n == w, "^": n.startswith, "$": n.endswith, "~": lambda w: w in n}
-    for (kind, *words), r in ROLE_RULES:
-        if any(tests[kind](w) for w in words):
-            return r
-    return "base"
-
-
-def leakage(name: str, target_prefix: str) -> str:
-    n, r = normal_name(name), role(name)
-    if n in (f"has_{target_prefix}", f"{target_prefix}_count", f"{target_prefix}_amount_sum"):
-        return "high"
-    if n.startswith(f"{target_prefix}_"):
-        return "medium"
-    if n.startswith("has_"):
-        return "medium_flag"
-    if "future" in n or "next" in n:
-        return "high_future"
-    return "none" if r in ("time_key", "space_key", "trace") else "low"
+def measured(df: DataFrame) -> DataFrame:
+    """(column, type, rows, missing, distinct, least, largest, whole) of each column, by counts of its values.
+
+    Values are unpivoted and counted before they are told apart, so no row is expanded for each distinct count. least,
+    largest and whole (no fractions) are of numbers.
+    """
+    types = F.create_map(*(F.lit(x) for name, kind in df.dtypes for x in (name, kind)))
+    numbers = [name for name, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")]
+    values = df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)).unpivot([], df.columns, "column", "value")
+    counts = values.groupBy("column", "value").agg(F.count("*").alias("n"))
+    number = F.when(F.col("column").isin(numbers), F.col("value").try_cast("double"))
+    out = counts.groupBy("column").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("distinct"), F.min(number).alias("least"), F.max(number).alias("largest"), F.every(F.coalesce(number == F.floor(number), F.lit(True))).alias("whole"))
+    return out.withColumn("type", types[F.col("column")])
+
+
+def roles(columns: DataFrame, known: dict[str, str] | None = None, identifier: float = 0.95, categories: int = 50) -> DataFrame:
+    """Adds ``role``: the caller's own for columns in ``known``, else what the measures of ``measured`` say.
+
+    Dates are times; values nearly all different are identifiers; two values or fewer are a flag; numbers without
+    fractions are counts, within 0 and 1 shares, else measures; few texts are a category, many are text.
+    """
+    c, own = F.col, F.lit(None).cast("string")
+    for name, given in (known or {}).items():
+        own = F.when(c("column") == name, given).otherwise(own)
+    numeric, filled = c("least").isNotNull(), F.nullif(c("rows") - c("missing"), F.lit(0))
+    told = F.when(c("distinct") == 0, "empty").when(c("type").isin("date", "timestamp", "timestamp_ntz"), "time").when(c("distinct") <= 2, "flag")
+    told = told.when((~numeric | c("whole")) & (c("distinct") >= identifier * filled), "identifier").when(numeric & c("whole"), "count").when(numeric & (c("least") >= 0) & (c("largest") <= 1), "share")
+    told = told.when(numeric, "measure").when(c("distinct") <= categories, "category").otherwise("text")
+    return columns.withColumn("role", F.coalesce(own, told))
+
+
+def leakage(columns: DataFrame, targets: list[str], sources: dict[str, str] | None = None) -> DataFrame:
+    """Adds ``leakage``: "target" for the caller's target columns, "same_source" for others of a target's source, else "none"."""
+    origin = sources or {}
+    near = [c for c, s in origin.items() if s in {origin[t] for t in targets if t in origin}]
+    return columns.withColumn("leakage", F.when(F.col("column").isin(targets), "target").when(F.col("column").isin(near), "same_source").otherwise("none"))
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:

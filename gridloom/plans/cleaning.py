@@ -27,7 +27,7 @@ def q_numbers(spark, sf):
 
 
 def q_text(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(60)).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
     return d.select("doc_id", T.strip_accents(F.col("t")).alias("plain"), T.text_key(F.col("t"), {"the": "article"}).alias("key"), T.printable(F.col("t")).alias("printable"))
 
 
@@ -49,9 +49,10 @@ def q_aliases(spark, sf):
 def q_mojibake(spark, sf):
     """Text broken once and twice by a wrong charset, repaired."""
     wrong = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
-    d = table(spark, sf, "documents").filter(F.col("lang") != "en").select("doc_id", F.regexp_replace(F.left("text", F.lit(40)), "[^\\x{20}-\\x{ff}]", " ").alias("t"))
-    d = d.withColumns({"once": wrong(F.col("t")), "twice": wrong(wrong(F.col("t")))})
-    return d.select("doc_id", T.repair_mojibake(F.col("once")).alias("from_once"), T.repair_mojibake(F.col("twice")).alias("from_twice"), T.has_mojibake(F.col("once")).alias("broken"), T.has_mojibake(T.repair_mojibake(F.col("once"))).alias("left_over"))
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^\\x{20}-\\x{ff}]", " ").alias("t"))
+    shown = F.translate(wrong(F.col("t")), "".join(map(chr, T.WINDOWS_1252)), "".join(T.WINDOWS_1252.values()))
+    d = d.withColumns({"once": wrong(F.col("t")), "twice": wrong(wrong(F.col("t"))), "shown": shown})
+    return d.select("doc_id", T.repair_mojibake(F.col("shown")).alias("from_windows"), T.repair_mojibake(F.col("once")).alias("from_once"), T.repair_mojibake(F.col("twice")).alias("from_twice"), T.has_mojibake(F.col("once")).alias("broken"), T.has_mojibake(T.repair_mojibake(F.col("once"))).alias("left_over"))
 
 
 def q_samples(spark, sf):
@@ -71,13 +72,13 @@ def q_dates(spark, sf):
     d, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 6
     raw = F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, F.date_format(d, "yyyy-MM-dd 10:11:12")).when(k == 2, F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")).when(k == 3, F.date_format(d, "d-M-yyyy")).when(k == 4, F.lit("31/02/2001")).otherwise(F.date_format(d, "yyyyMMdd"))
     o = _orders(spark, sf).withColumn("raw", raw)
-    return o.filter(k < 5).select("o_orderkey", iso(D.registry_date(F.col("raw"))).alias("registry"), iso(D.file_date(F.col("raw"))).alias("file"))
+    return o.select("o_orderkey", iso(D.registry_date(F.col("raw"))).alias("registry"), iso(D.file_date(F.col("raw"))).alias("file"))
 
 
 def q_times(spark, sf):
     k = F.col("o_orderkey")
     raw = F.when(k % 3 == 0, (k % 2500).cast("string")).when(k % 3 == 1, F.concat((k % 26).cast("string"), F.lit(":"), F.lpad((k % 61).cast("string"), 2, "0"))).otherwise(F.lit("x"))
-    span = F.when(k % 3 == 0, F.concat((k % 90).cast("string"), F.lit(":"), F.lpad((k % 70).cast("string"), 2, "0"))).when(k % 3 == 1, F.concat((k % 5).cast("string"), F.lit(" days, 0"), (k % 10).cast("string"), F.lit(":05:09"))).otherwise(F.lit("soon"))
+    span = F.when(k % 3 == 0, F.concat((k % 90).cast("string"), F.when(k % 2 == 0, ";").otherwise(":"), F.lpad((k % 70).cast("string"), 2, "0"))).when(k % 3 == 1, F.concat((k % 5).cast("string"), F.lit(" days, 0"), (k % 10).cast("string"), F.when(k % 4 == 0, ":05:09.500").otherwise(":05:09"))).otherwise(F.lit("soon"))
     o = _orders(spark, sf).select("o_orderkey", F.to_date("o_orderdate").alias("d"), raw.alias("raw"), span.alias("span"))
     t = D.clock(F.col("raw"))
     return o.select("o_orderkey", t.alias("clock"), F.date_format(D.timestamp_of(F.col("d"), t), "yyyy-MM-dd HH:mm").alias("moment"), D.duration(F.col("span")).alias("duration"), D.is_duration(D.duration(F.col("span"))).alias("valid"))
@@ -138,14 +139,14 @@ ORACLES = {
   SELECT o_orderkey, try_cast(regexp_replace(replace(raw, ',', '.'), '[^0-9.-]', '', 'g') AS DOUBLE) AS cleaned, CASE WHEN o_orderkey % 5 IN (0, 4) THEN CAST(p AS DOUBLE) END AS number,
   CASE o_orderkey % 5 WHEN 2 THEN 'numeric_sentinel' WHEN 3 THEN 'text_sentinel' WHEN 1 THEN 'other' ELSE 'numeric' END AS kind, CASE WHEN o_orderkey % 5 <> 2 THEN o_orderstatus END AS status,
   CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey // 2 WHEN (o_orderkey // 2) % 2 = 0 THEN o_orderkey // 2 ELSE o_orderkey // 2 + 1 END AS half_even, CAST(1000 + o_custkey % 1000 AS DOUBLE) AS thousands FROM q""",
-    "clean_text": """WITH d AS (SELECT doc_id, left(text, 60) AS t FROM documents), k AS (SELECT *, nullif(trim(regexp_replace(regexp_replace(strip_accents(lower(t)), '[^0-9a-z ]', ' ', 'g'), ' +', ' ', 'g')), '') AS key FROM d)
+    "clean_text": """WITH d AS (SELECT doc_id, text AS t FROM documents), k AS (SELECT *, nullif(trim(regexp_replace(regexp_replace(strip_accents(lower(t)), '[^0-9a-z ]', ' ', 'g'), ' +', ' ', 'g')), '') AS key FROM d)
   SELECT doc_id, strip_accents(t) AS plain, CASE WHEN key = 'the' THEN 'article' ELSE key END AS key, nullif(trim(regexp_replace(regexp_replace(t, '[[:cntrl:]]', ' ', 'g'), ' +', ' ', 'g')), '') AS printable FROM k""",
     "clean_titles": "SELECT c_custkey, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || ' De ' || upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS title FROM customer",
     "clean_aliases": "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS code, n_regionkey AS state, CASE WHEN c_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey",
-    "clean_mojibake": "WITH d AS (SELECT doc_id, regexp_replace(left(text, 40), '[^\\x{20}-\\x{ff}]', ' ', 'g') AS t FROM documents WHERE lang <> 'en') SELECT doc_id, t AS from_once, t AS from_twice, regexp_matches(t, '[\\x{80}-\\x{ff}]') AS broken, regexp_matches(t, '[ÃÂ]') AS left_over FROM d",
+    "clean_mojibake": "WITH d AS (SELECT doc_id, regexp_replace(text, '[^\\x{20}-\\x{ff}]', ' ', 'g') AS t FROM documents) SELECT doc_id, t AS from_windows, t AS from_once, t AS from_twice, regexp_matches(t, '[\\x{80}-\\x{ff}]') AS broken, regexp_matches(t, '[ÃÂ]') AS left_over FROM d",
     "clean_samples": "WITH d AS (SELECT DISTINCT p_brand, p_type FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) AS r FROM d) SELECT p_brand, left(string_agg(p_type, ' | ' ORDER BY p_type), 60) AS samples FROM r WHERE r <= 3 GROUP BY 1",
     "clean_types": "SELECT CAST(p_partkey AS VARCHAR) AS part_id, CAST(p_size AS BIGINT) AS size, CAST(1000 + p_size AS DOUBLE) AS area_total, p_brand AS marca, 'x' AS marca_2 FROM part",
-    "clean_dates": """WITH r AS (SELECT o_orderkey, o_orderkey % 6 AS k, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey, CASE WHEN k < 4 THEN strftime(d, '%Y-%m-%d') END AS registry, CASE WHEN k IN (0, 3) THEN strftime(d, '%Y-%m-%d') END AS file FROM r WHERE k < 5""",
+    "clean_dates": """WITH r AS (SELECT o_orderkey, o_orderkey % 6 AS k, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey, CASE WHEN k <> 4 THEN strftime(d, '%Y-%m-%d') END AS registry, CASE WHEN k IN (0, 3, 5) THEN strftime(d, '%Y-%m-%d') END AS file FROM r""",
     "clean_times": f"""WITH r AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders), s AS (SELECT k, d, CASE WHEN k % 3 = 0 THEN (k % 2500) // 100 WHEN k % 3 = 1 THEN k % 26 END AS h, CASE WHEN k % 3 = 0 THEN (k % 2500) % 100 WHEN k % 3 = 1 THEN k % 61 END AS m FROM r),
   t AS (SELECT *, CASE WHEN h <= 23 AND m <= 59 THEN lpad(CAST(h AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0') END AS clock, CASE WHEN k % 3 = 0 AND k % 70 <= 59 THEN lpad(CAST(k % 90 AS VARCHAR), 2, '0') || ':' || lpad(CAST(k % 70 AS VARCHAR), 2, '0') || ':00'
   WHEN k % 3 = 1 THEN CASE WHEN (k % 5) * 24 + k % 10 >= 100 THEN CAST((k % 5) * 24 + k % 10 AS VARCHAR) ELSE lpad(CAST((k % 5) * 24 + k % 10 AS VARCHAR), 2, '0') END || ':05:09' END AS duration FROM s)

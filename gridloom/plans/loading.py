@@ -96,7 +96,7 @@ def q_sheet_profile(spark, sf):
 
 
 def q_bands(spark, sf):
-    b = table(spark, sf, "embeddings").select((F.col("label") % 3).alias("band"), F.lit(0.0).alias("no_data"), F.transform(F.slice("embedding", 1, 16), lambda x: F.round(x.cast("double") * 10, 0)).alias("values"))
+    b = table(spark, sf, "embeddings").select((F.col("label") % 3).alias("band"), F.lit(0.0).alias("no_data"), F.transform(F.col("embedding"), lambda x: F.round(x.cast("double") * 10, 0)).alias("values"))
     return S.band_statistics(b).select("band", "cells", "valid", "no_data", "least", "largest", F.round("mean", 6).alias("mean"))
 
 
@@ -143,7 +143,7 @@ ORACLES = {
     "report_audit": f"WITH {_T} SELECT s, count(*) AS rows, count(DISTINCT day) AS days, count(DISTINCT date_trunc('month', day)) AS months, count(*) - count(DISTINCT day) AS repeated, count(*) FILTER (event_id % 7 = 0) AS text_sentinel, count(*) FILTER (event_id % 7 <> 0 AND (event_id % 11 = 0 OR value IN (99.99, 999.9, 9999))) AS numeric_sentinel, count(*) FILTER (event_id % 7 <> 0 AND event_id % 11 <> 0 AND value NOT IN (99.99, 999.9, 9999)) AS numeric, 0 AS other, 'FIN,INSTITUTO' AS found, 'EXTREMOS' AS missing FROM t GROUP BY s",
     "sheet_table": "SELECT CAST(p_partkey + 10 AS INTEGER) AS row, CAST(p_partkey AS VARCHAR) AS clave, p_brand AS parte_marca, CAST(p_size AS VARCHAR) AS parte_tamano FROM part",
     "sheet_profile": f"WITH {_CELL} SELECT sheet, CAST(col AS INTEGER) AS col, count(value) AS filled, count(try_cast(value AS DOUBLE)) AS numbers, count(DISTINCT value) AS distinct, min(value) AS sample, round(avg(CAST(value IS NULL AS INTEGER)), 4) AS empty_share, 'Inventario 2015' AS title FROM c GROUP BY 1, 2",
-    "band_statistics": "WITH v AS (SELECT label % 3 AS band, unnest(list_transform(embedding[1:16], lambda x: round(CAST(x AS DOUBLE) * 10, 0))) AS v FROM embeddings) SELECT band, count(*) AS cells, count(*) FILTER (v <> 0) AS valid, count(*) FILTER (v = 0) AS no_data, min(v) FILTER (v <> 0) AS least, max(v) FILTER (v <> 0) AS largest, round(avg(v) FILTER (v <> 0), 6) AS mean FROM v GROUP BY 1",
+    "band_statistics": "WITH v AS (SELECT label % 3 AS band, unnest(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) * 10, 0))) AS v FROM embeddings) SELECT band, count(*) AS cells, count(*) FILTER (v <> 0) AS valid, count(*) FILTER (v = 0) AS no_data, min(v) FILTER (v <> 0) AS least, max(v) FILTER (v <> 0) AS largest, round(avg(v) FILTER (v <> 0), 6) AS mean FROM v GROUP BY 1",
     "replace_source": "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS source, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS total, CAST(sum(s_suppkey % 180) AS DOUBLE) AS lon FROM supplier WHERE s_suppkey % 2 = 0 OR (s_suppkey % 3 = 0 AND s_suppkey % 4 <> 0) GROUP BY 1",
     "reduced_copy": "WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 5 <> 0 THEN CASE WHEN l_returnflag = 'N' THEN 'Low' ELSE lower(l_returnflag) END END AS confidence FROM lineitem) SELECT * FROM l WHERE confidence IS NULL OR confidence <> 'Low'",
     "export_records": "SELECT 'json' AS kind, count(*) AS rows, count(*) FILTER (c_custkey % 2 <> 0) AS nulls FROM customer UNION ALL SELECT 'csv', count(*), count(*) FILTER (c_custkey % 2 <> 0) FROM customer",

@@ -116,14 +116,30 @@ def q_catalog(spark, sf):
     return Q.clean_catalog(c, "code", 2, "name")
 
 
+#: For each column of the line items its role by SQL: rules of the operator in the terms of one column.
+_TARGETS, _SOURCES = ["l_returnflag"], {"l_returnflag": "state", "l_linestatus": "state"}
+
+
 def q_roles(spark, sf):
-    """Roles and leakage of the fused table's columns, with their share of missing values."""
-    f = fused(spark, sf)
-    one = f.agg(*(F.round(F.avg(F.col(c).isNull().cast("double")), 4).alias(c) for c in f.columns)).unpivot([], f.columns, "column", "missing")
-    roles = F.create_map(*(F.lit(x) for c in f.columns for x in (c, Q.role(c))))
-    leaks = F.create_map(*(F.lit(x) for c in f.columns for x in (c, Q.leakage(c, "event"))))
-    family = F.when(F.col("column").startswith("detection"), "detection").when(F.col("column").startswith("station"), "station").when(F.col("column").startswith("event"), "event").otherwise("key")
-    return one.withColumns({"role": roles[F.col("column")], "leakage": leaks[F.col("column")], "family": family})
+    """Roles of the line items' columns by their measures, and what would leak the return flag."""
+    found = Q.roles(Q.measured(table(spark, sf, "lineitem")), {"l_linenumber": "order"})
+    return Q.leakage(found, _TARGETS, _SOURCES).select("column", "rows", "missing", "distinct", "role", "leakage")
+
+
+def _role_sql(column: str, kind: str) -> str:
+    number = f"CAST({column} AS DOUBLE)" if kind == "number" else "CAST(NULL AS DOUBLE)"
+    if column == "l_linenumber":
+        role = "'order'"
+    elif kind == "time":
+        role = "'time'"
+    else:
+        same = f"count(DISTINCT {column}) >= 0.95 * count({column})"
+        texts = f"CASE WHEN count(DISTINCT {column}) <= 2 THEN 'flag' WHEN {same} THEN 'identifier' WHEN count(DISTINCT {column}) <= 50 THEN 'category' ELSE 'text' END"
+        whole = f"bool_and({number} = floor({number}))"
+        numbers = f"CASE WHEN count(DISTINCT {column}) <= 2 THEN 'flag' WHEN {whole} AND {same} THEN 'identifier' WHEN {whole} THEN 'count' WHEN min({number}) >= 0 AND max({number}) <= 1 THEN 'share' ELSE 'measure' END"
+        role = numbers if kind == "number" else texts
+    leak = "target" if column in _TARGETS else "same_source" if column in _SOURCES else "none"
+    return f"SELECT '{column}' AS \"column\", count(*) AS rows, count(*) - count({column}) AS missing, count(DISTINCT {column}) AS \"distinct\", {role} AS role, '{leak}' AS leakage FROM lineitem"
 
 
 QUERIES = {"event_flags": q_flags, "flag_counts": q_flag_counts, "invalid_report": q_invalid, "detection_filter": q_detections, "detection_audit": q_detection_counts, "reading_rules": q_readings, "inventory_filter": q_inventory, "column_profile": q_profile, "column_selection": q_selected, "semantic_types": q_types, "null_findings": q_nulls, "contract_report": q_contract, "range_checks": q_outside, "region_catalog": q_catalog, "column_roles": q_roles}
@@ -162,3 +178,6 @@ ORACLES = {
     "range_checks": "SELECT 'outside' AS \"column\", count(*) FILTER (value NOT BETWEEN 10 AND 90) AS bad FROM events UNION ALL SELECT 'value', 0 UNION ALL SELECT 'v', count(*) FILTER (event_id % 8 = 0) FROM events",
     "region_catalog": "WITH c AS (SELECT lpad(CAST(c_custkey % 150 AS VARCHAR), 2, '0') AS code, c_name FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 150 < 100) SELECT code, min(c_name) AS name, count(*) AS n_source_rows FROM c GROUP BY 1",
 }
+
+
+ORACLES["column_roles"] = " UNION ALL ".join(_role_sql(c, k) for c, k in (("l_orderkey", "number"), ("l_partkey", "number"), ("l_suppkey", "number"), ("l_linenumber", "number"), ("l_quantity", "number"), ("l_extendedprice", "number"), ("l_discount", "number"), ("l_tax", "number"), ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "time")))

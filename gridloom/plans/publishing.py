@@ -17,11 +17,11 @@ def _profile(spark, sf):
 
 
 def _catalog(spark, sf):
-    return P.cluster_catalog(_profile(spark, sf), "cluster", "detection_rate", "event_rate", "station_rate")
+    return P.cluster_catalog(_profile(spark, sf), "detection_rate", "event_rate", "station_rate")
 
 
 def q_catalog(spark, sf):
-    return _catalog(spark, sf).select("cluster", "detection_level", "event_level", "station_level", "name", "colour", "order", "description")
+    return _catalog(spark, sf).select("cluster", "detection_level", "event_level", "station_level", "name", "colour", "order", "usage", "description")
 
 
 def _app(spark, sf):
@@ -87,15 +87,15 @@ QUERIES = {"cluster_catalog": q_catalog, "publication_table": q_app, "key_alignm
 _C = """p AS (SELECT CAST(l_suppkey % 7 AS INTEGER) AS cluster, avg(CAST(l_returnflag = 'R' AS INTEGER)) AS d, avg(CAST(l_linestatus = 'F' AS INTEGER)) AS e, avg(CAST(l_quantity > 25 AS INTEGER)) AS s FROM lineitem GROUP BY 1),
 c AS (SELECT *, CASE WHEN d >= (SELECT quantile_cont(d, 0.66) FROM p) THEN 'high' WHEN d >= (SELECT quantile_cont(d, 0.33) FROM p) THEN 'medium' ELSE 'low' END AS dl, CASE WHEN e >= (SELECT quantile_cont(e, 0.66) FROM p) THEN 'high' WHEN e >= (SELECT quantile_cont(e, 0.33) FROM p) THEN 'medium' ELSE 'low' END AS el,
   CASE WHEN s >= (SELECT quantile_cont(s, 0.66) FROM p) THEN 'high' WHEN s >= (SELECT quantile_cont(s, 0.33) FROM p) THEN 'medium' ELSE 'low' END AS sl FROM p),
-k AS (SELECT *, CASE WHEN dl = 'high' AND el = 'high' THEN 'high activity, often confirmed' WHEN dl = 'high' THEN 'high activity, seldom confirmed' WHEN dl = 'medium' AND el = 'high' THEN 'medium activity, often confirmed' WHEN dl = 'medium' THEN 'medium activity' WHEN sl = 'high' THEN 'low activity, well observed' ELSE 'low activity' END AS name,
-  CASE dl WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS "order" FROM c)"""
+z(dl, el, colour, "order", usage, style, observed) AS (VALUES """ + ", ".join(f"""('{d}', '{e}', '{c}', {o}, '{u}', '{n}', {f"'{w}'" if w else "CAST(NULL AS VARCHAR)"})""" for d, e, c, o, u, n, w in P.STYLE_ROWS) + """),
+k AS (SELECT c.*, z.colour, z."order", z.usage, coalesce(CASE WHEN sl = 'high' THEN z.observed END, z.style) AS name FROM c JOIN z USING (dl, el))"""
 _F = """ev AS (SELECT c_nationkey AS region, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), de AS (SELECT s_nationkey AS region, CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
 st AS (SELECT CAST(user_id % 25 AS INTEGER) AS region, CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2), u AS (SELECT region, day FROM ev UNION SELECT region, day FROM de UNION SELECT region, day FROM st),
 f AS (SELECT u.region, u.day, CASE WHEN u.day BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' THEN coalesce(ev.n, 0) ELSE ev.n END AS event_count, coalesce(de.n, 0) AS detection_count, st.n AS station_n, CAST((u.region + dayofyear(u.day)) % 7 AS INTEGER) AS cluster FROM u LEFT JOIN ev USING (region, day) LEFT JOIN de USING (region, day) LEFT JOIN st USING (region, day))"""
 _PERIOD = {"year": "year(o_orderdate) = 1994", "month": "year(o_orderdate) = 1994 AND month(o_orderdate) = 5", "years": "year(o_orderdate) BETWEEN 1993 AND 1995", "dates": "CAST(o_orderdate AS DATE) BETWEEN DATE '1994-02-01' AND DATE '1994-08-15'"}
 _LEVEL = {"country": "true", "state": "CAST(floor(c_nationkey / 5) AS INTEGER) = 2", "region": "c_nationkey = 7"}
 ORACLES = {
-    "cluster_catalog": f"""WITH {_C} SELECT cluster, dl AS detection_level, el AS event_level, sl AS station_level, name, CASE dl WHEN 'high' THEN '#d7301f' WHEN 'medium' THEN '#fc8d59' ELSE '#fdcc8a' END AS colour, "order", printf('%.1f %% of days with detections, %.1f %% with events', d * 100, e * 100) AS description FROM k""",
+    "cluster_catalog": f"""WITH {_C} SELECT cluster, dl AS detection_level, el AS event_level, sl AS station_level, name, colour, "order", usage, printf('%.1f %% of days with detections, %.1f %% with events', d * 100, e * 100) AS description FROM k""",
     "publication_table": f"""WITH {_C}, {_F} SELECT row_number() OVER (ORDER BY day, region) AS id, region, strftime(day, '%Y-%m-%d') AS day, f.cluster, name, "order", event_count, detection_count, station_n FROM f LEFT JOIN k ON k.cluster = f.cluster""",
     "key_alignment": f"WITH {_F} SELECT count(*) FILTER (region % 5 <> 0 AND month(day) <> 1) AS matched, count(*) FILTER (region % 5 <> 0 AND month(day) = 1) AS first_only, count(*) FILTER (region % 5 = 0 AND month(day) <> 1) AS second_only FROM f",
     "publication_summaries": f"""WITH {_F}, a AS (SELECT *, CAST(year(day) AS INTEGER) AS year, CAST(month(day) AS INTEGER) AS month, CAST(floor(region / 5) AS INTEGER) AS state FROM f), g AS (SELECT cluster, year, month, state, region, count(*) AS n, sum(event_count) AS e, sum(detection_count) AS d, grouping_id(cluster, year, month, state, region) AS i FROM a GROUP BY GROUPING SETS ((cluster), (year, month), (state), (region), (state, cluster), (region, cluster)))
