@@ -105,11 +105,12 @@ def leakage(columns: DataFrame, targets: list[str], sources: dict[str, str] | No
     return columns.withColumn("leakage", F.when(F.col("column").isin(targets), "target").when(F.col("column").isin(near), "same_source").otherwise("none"))
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True, known: dict[str, str] | None = None) -> DataFrame:
     """One row for each column: rows, nulls, distinct, top value; min, max, mean, median, deviation and tails of numbers.
 
-    The statistics of all columns are one wide aggregate; the top values come from one unpivoted count, so no column
-    costs a pass of its own. ``exact=False`` takes approximate quantiles, which keep bounded state.
+    The statistics of all columns are one wide aggregate; distinct and top values come from unpivoted counts, so no
+    column costs a pass of its own and no row is expanded for each of them. Roles are those of ``roles``, with the
+    caller's ``known`` ones. ``exact=False`` takes approximate quantiles, which keep bounded state.
     """
     columns = columns or df.columns
     kinds = dict(df.dtypes)
@@ -118,15 +119,15 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True)
     parts = []
     for c in columns:
         x = F.col(c).cast("double") if number(c) else F.lit(None).cast("double")
-        stats = [F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.countDistinct(c).alias("distinct"), F.min(x).alias("least"), F.max(x).alias("largest"), F.avg(x).alias("mean"), quantile(x, 0.5).alias("median"), F.stddev_samp(x).alias("deviation"), quantile(x, 0.01).alias("p01"), quantile(x, 0.99).alias("p99"), F.count_if(x < 0).alias("negatives"), F.count_if(x == 0).alias("zeros"), F.count_if(F.abs(x) == float("inf")).alias("infinities")]
+        stats = [F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.min(x).alias("least"), F.max(x).alias("largest"), F.avg(x).alias("mean"), quantile(x, 0.5).alias("median"), F.stddev_samp(x).alias("deviation"), quantile(x, 0.01).alias("p01"), quantile(x, 0.99).alias("p99"), F.count_if(x < 0).alias("negatives"), F.count_if(x == 0).alias("zeros"), F.count_if(F.abs(x) == float("inf")).alias("infinities")]
         parts.append(F.struct(*stats).alias(c))
     wide = df.agg(*parts).select(F.explode(F.array(*(F.col(f"`{c}`") for c in columns))).alias("s")).select("s.*")
     values = df.select([F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value").filter("value is not null")
     counted = values.groupBy("column", "value").agg(F.count("*").alias("n"))
     most = counted.groupBy("column").agg(F.max("n").alias("top_n"))
     top = counted.join(most, "column").filter("n = top_n").groupBy("column").agg(F.min("value").alias("top_value"), F.first("top_n").alias("top_n"))
-    roles = F.create_map(*(F.lit(x) for c in columns for x in (c, role(c))))
-    return wide.join(F.broadcast(top), "column", "left").withColumns({"constant": F.col("distinct") <= 1, "role": roles[F.col("column")]})
+    told = roles(measured(df.select(*columns)), known).select("column", "distinct", "role")
+    return wide.join(top, "column", "left").join(told, "column").withColumn("constant", F.col("distinct") <= 1)
 
 
 def select_columns(profiled: DataFrame, keep: list[str], most_null: float = 1.0, drop_roles: tuple[str, ...] = ("trace",)) -> list[str]:

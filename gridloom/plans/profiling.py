@@ -79,12 +79,12 @@ def q_inventory(spark, sf):
 
 def q_profile(spark, sf):
     p = table(spark, sf, "part").select("p_brand", "p_type", "p_size", F.round(F.col("p_retailprice") - 1000, 2).alias("price_sum"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("area"), F.lit(1).alias("source"))
-    return rounded(Q.profile(p), mean=4, deviation=4, median=4, p01=4, p99=4)
+    return rounded(Q.profile(p, known={"source": "trace"}), mean=4, deviation=4, median=4, p01=4, p99=4)
 
 
 def q_selected(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", F.lit(None).cast("double").alias("empty"), F.lit(7).alias("constant"), F.col("c_name").alias("source_file"), "c_mktsegment")
-    kept = Q.select_columns(Q.profile(c), ["c_custkey"])
+    kept = Q.select_columns(Q.profile(c, known={"source_file": "trace"}), ["c_custkey"])
     return rounded(c.select(*kept), c_acctbal=2)
 
 
@@ -126,18 +126,18 @@ def q_roles(spark, sf):
     return Q.leakage(found, _TARGETS, _SOURCES).select("column", "rows", "missing", "distinct", "role", "leakage")
 
 
+def _told(x: str, number: bool) -> str:
+    """A column's role by SQL."""
+    n, distinct = f"CAST({x} AS DOUBLE)", f"count(DISTINCT {x})"
+    same, whole = f"{distinct} >= 0.95 * count({x})", f"bool_and({n} = floor({n}))"
+    start = f"CASE WHEN {distinct} = 0 THEN 'empty' WHEN {distinct} <= 2 THEN 'flag'"
+    if number:
+        return f"{start} WHEN {whole} AND {same} THEN 'identifier' WHEN {whole} THEN 'count' WHEN min({n}) >= 0 AND max({n}) <= 1 THEN 'share' ELSE 'measure' END"
+    return f"{start} WHEN {same} THEN 'identifier' WHEN {distinct} <= 50 THEN 'category' ELSE 'text' END"
+
+
 def _role_sql(column: str, kind: str) -> str:
-    number = f"CAST({column} AS DOUBLE)" if kind == "number" else "CAST(NULL AS DOUBLE)"
-    if column == "l_linenumber":
-        role = "'order'"
-    elif kind == "time":
-        role = "'time'"
-    else:
-        same = f"count(DISTINCT {column}) >= 0.95 * count({column})"
-        texts = f"CASE WHEN count(DISTINCT {column}) <= 2 THEN 'flag' WHEN {same} THEN 'identifier' WHEN count(DISTINCT {column}) <= 50 THEN 'category' ELSE 'text' END"
-        whole = f"bool_and({number} = floor({number}))"
-        numbers = f"CASE WHEN count(DISTINCT {column}) <= 2 THEN 'flag' WHEN {whole} AND {same} THEN 'identifier' WHEN {whole} THEN 'count' WHEN min({number}) >= 0 AND max({number}) <= 1 THEN 'share' ELSE 'measure' END"
-        role = numbers if kind == "number" else texts
+    role = "'order'" if column == "l_linenumber" else "'time'" if kind == "time" else _told(column, kind == "number")
     leak = "target" if column in _TARGETS else "same_source" if column in _SOURCES else "none"
     return f"SELECT '{column}' AS \"column\", count(*) AS rows, count(*) - count({column}) AS missing, count(DISTINCT {column}) AS \"distinct\", {role} AS role, '{leak}' AS leakage FROM lineitem"
 
@@ -151,14 +151,15 @@ w AS (SELECT *, key IS NULL AS e1, key IS NOT NULL AND count(*) OVER (PARTITION
 z AS (SELECT *, e1 OR e2 OR e3 OR e4 OR e5 OR e6 OR e7 OR e8 OR e9 OR e10 AS blocking, w1 OR w2 OR w3 OR w4 OR w5 OR w6 AS warning FROM w)"""
 _N = [("e1", "key_missing"), ("e2", "key_repeated"), ("e3", "year_missing"), ("e4", "year_outside"), ("e5", "begin_missing"), ("e6", "lat_missing"), ("e7", "lon_missing"), ("e8", "outside_box"), ("e9", "state_width"), ("e10", "region_width"), ("w1", "finish_missing"), ("w2", "finish_before_begin"), ("w3", "state_missing"), ("w4", "region_missing"), ("w5", "year_differs"), ("w6", "mojibake")]
 _WHY = lambda names: "nullif(concat_ws('; ', " + ", ".join(f"CASE WHEN {a} THEN '{n}' END" for a, n in names) + "), '')"
-_PROFILED = [("p_brand", "p_brand", 0, "base"), ("p_type", "p_type", 0, "base"), ("p_size", "p_size", 1, "base"), ("price_sum", "round(p_retailprice - 1000, 2)", 1, "total"), ("area", "CASE WHEN p_size > 25 THEN p_size END", 1, "area"), ("source", "p_size * 0 + 1", 1, "trace")]
+_PROFILED = [("p_brand", "p_brand", 0, None), ("p_type", "p_type", 0, None), ("p_size", "p_size", 1, None), ("price_sum", "round(p_retailprice - 1000, 2)", 1, None), ("area", "CASE WHEN p_size > 25 THEN p_size END", 1, None), ("source", "p_size * 0 + 1", 1, "trace")]
 
 
-def _profile_sql(name: str, x: str, number: int, role: str) -> str:
+def _profile_sql(name: str, x: str, number: int, given: str | None) -> str:
+    role = f"'{given}'" if given else _told(f"({x})", bool(number))
     n = f"CAST({x} AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)"
     return f"""SELECT '{name}' AS "column", count(*) AS rows, count(*) FILTER (({x}) IS NULL) AS nulls, count(DISTINCT {x}) AS distinct, round(min({n}), 3) AS least, round(max({n}), 3) AS largest, round(avg({n}), 4) AS mean, round(quantile_cont({n}, 0.5), 4) AS median, round(stddev_samp({n}), 4) AS deviation,
   round(quantile_cont({n}, 0.01), 4) AS p01, round(quantile_cont({n}, 0.99), 4) AS p99, count(*) FILTER ({n} < 0) AS negatives, count(*) FILTER ({n} = 0) AS zeros, 0 AS infinities,
-  (SELECT max(c) FROM (SELECT count(*) AS c FROM part WHERE ({x}) IS NOT NULL GROUP BY {x})) AS top_n, (SELECT min(v) FROM (SELECT CAST({x} AS VARCHAR) AS v, count(*) AS c FROM part WHERE ({x}) IS NOT NULL GROUP BY 1) WHERE c = (SELECT max(c) FROM (SELECT count(*) AS c FROM part WHERE ({x}) IS NOT NULL GROUP BY {x}))) AS top_value, count(DISTINCT {x}) <= 1 AS constant, '{role}' AS role FROM part"""
+  (SELECT max(c) FROM (SELECT count(*) AS c FROM part WHERE ({x}) IS NOT NULL GROUP BY {x})) AS top_n, (SELECT min(v) FROM (SELECT CAST({x} AS VARCHAR) AS v, count(*) AS c FROM part WHERE ({x}) IS NOT NULL GROUP BY 1) WHERE c = (SELECT max(c) FROM (SELECT count(*) AS c FROM part WHERE ({x}) IS NOT NULL GROUP BY {x}))) AS top_value, count(DISTINCT {x}) <= 1 AS constant, {role} AS role FROM part"""
 
 
 _NULLS = ("key", "year", "b", "f", "lat", "lon", "state", "region", "name", "id")
