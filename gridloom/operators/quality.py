@@ -127,7 +127,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
     most = counted.groupBy("column").agg(F.max("n").alias("top_n"))
     top = counted.join(most, "column").filter("n = top_n").groupBy("column").agg(F.min("value").alias("top_value"), F.first("top_n").alias("top_n"))
     told = roles(measured(df.select(*columns)), known).select("column", "distinct", "role")
-    return wide.join(top, "column", "left").join(told, "column").withColumn("constant", F.col("distinct") <= 1)
+    out = wide.join(top, "column", "left").join(told, "column", "left")  # an empty table has no values to count
+    return out.withColumns({"distinct": F.coalesce("distinct", F.lit(0)), "role": F.coalesce("role", F.lit("empty"))}).withColumn("constant", F.col("distinct") <= 1)
 
 
 def select_columns(profiled: DataFrame, keep: list[str], most_null: float = 1.0, drop_roles: tuple[str, ...] = ("trace",)) -> list[str]:
