@@ -11,7 +11,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.runs import slices
+from gridloom.llm.runs import slices, uncollected
 from gridloom.staging import staged
 
 #: Fixed value: how byte-level vocabularies cut text before merging.
@@ -71,13 +71,39 @@ class SegmentTreeBpe:
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.pre_token = regex.compile(PRE_TOKEN)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.words: dict[str, list[int]] = {s: [i] for s, i in self.special.items()}
+        self.forget()
+
+    def forget(self) -> None:
+        """Starts the cache of pre-tokens anew. Its values are tuples of numbers, which the garbage collector passes over."""
+        self.words: dict[str, tuple[int, ...]] = {s: (i,) for s, i in self.special.items()}
+
+    def known(self, pre_tokens: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """The cache with the ids of all these; new ones share one batch of trees."""
+        new = list(set(pre_tokens).difference(self.words))
+        self.words.update(zip(new, map(tuple, self.encode_words([w.encode() for w in new]))))
+        return self.words
+
+    def encode_spaced(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """Ids of chunks that each start with their only space and end in no white space: a pre-token with a space starts each."""
+        if len(self.words) > CACHE_ENTRIES:
+            self.forget()
+        text = "".join(chunks)
+        if any(s in text for s in self.special):
+            return list(map(tuple, self.encode_chunks(chunks)))
+        pre_tokens = self.pre_token.findall(text)
+        words, out = self.known(pre_tokens), []
+        for w in pre_tokens:
+            if w[0] == " ":
+                out.append(words[w])
+            else:
+                out[-1] += words[w]
+        return out
 
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         """Ids of each text; all pre-tokens of the call share one batch of trees."""
         if len(self.words) > CACHE_ENTRIES:
-            self.words = {s: [i] for s, i in self.special.items()}
-        plans, cut, words = [], self.pre_token.findall, self.words
+            self.forget()
+        plans, cut = [], self.pre_token.findall
         for text in chunks:
             if self.cut and self.cut.search(text):
                 plan, at = [], 0
@@ -87,9 +113,8 @@ class SegmentTreeBpe:
                 plans.append(plan + cut(text[at:]))
             else:
                 plans.append(cut(text))
-        new = list(set().union(*plans).difference(words))
-        words.update(zip(new, self.encode_words([w.encode() for w in new])))
-        return [words[p[0]] if len(p) == 1 else list(chain.from_iterable(map(words.__getitem__, p))) for p in plans]
+        words = self.known(chain.from_iterable(plans))
+        return [list(chain.from_iterable(map(words.__getitem__, p))) for p in plans]
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(words)
@@ -201,37 +226,46 @@ class ChunkedEncoder:
 
     A chunk is a space and what follows it up to the next one. No pre-token of a byte-level vocabulary crosses its
     edge unless white space stands before the space; texts with such a place are encoded whole. Each chunk is kept as
-    its ids, their digits and the bytes that the ids decode to, so a text is put together from whole chunks.
+    the digits of its ids and the bytes that they decode to, so a text is put together from whole chunks.
     """
 
     def __init__(self, model):
-        self.model, self.spaced, self.opening = model, {}, {}
-        self.digits = list(map(str, range(model.size)))
+        self.model, self.spaced, self.older, self.opening = model, {}, {}, {}
+        self.digits = list(map(str, range(model.size)))  # chunks that come up again move from the older cache to the newer one
 
-    def entry(self, ids: list[int]) -> tuple[list[int], str, bytes]:
-        return ids, ",".join([self.digits[i] for i in ids]), b"".join([self.model.bytes_of[i] for i in ids])
+    def entry(self, ids: Iterable[int]) -> tuple[str, bytes]:
+        return ",".join(map(self.digits.__getitem__, ids)), b"".join(map(self.model.bytes_of.__getitem__, ids))
 
-    def parts(self, texts: list[str]) -> list[list[tuple[list[int], str, bytes]]]:
+    def parts(self, texts: list[str]) -> list[list[tuple[str, bytes]]]:
         """The entries of each text's chunks."""
-        if len(self.spaced) + len(self.opening) > CACHE_ENTRIES:
-            self.spaced, self.opening = {}, {}
+        if len(self.spaced) + len(self.opening) > CACHE_ENTRIES // 2:
+            self.spaced, self.older, self.opening = {}, self.spaced, {}
         cut = [t.split(" ") for t in texts]
-        for cache, lead, missing in (
-            (self.spaced, " ", set().union(*(c[1:] for c in cut)).difference(self.spaced)),
-            (self.opening, "", {c[0] for c in cut}.difference(self.opening)),
+        spaced = set(chain.from_iterable([islice(c, 1, None) for c in cut])).difference(self.spaced)
+        again = spaced.intersection(self.older)
+        self.spaced.update(zip(again, map(self.older.pop, again)))
+        for cache, lead, encode, missing in (
+            (self.spaced, " ", self.model.encode_spaced, spaced.difference(again)),
+            (self.opening, "", self.model.encode_chunks, {c[0] for c in cut}.difference(self.opening)),
         ):
             odd = [w for w in missing if (not w and lead) or w[-1:].isspace()]
             cache.update(dict.fromkeys(odd))
             plain = list(missing.difference(odd))
-            cache.update(zip(plain, map(self.entry, self.model.encode_chunks([lead + w for w in plain]))))
-        out = [[self.opening[c[0]], *map(self.spaced.__getitem__, c[1:])] for c in cut]
+            cache.update(zip(plain, map(self.entry, encode([lead + w for w in plain]))))
+        out = [[self.opening[c[0]], *map(self.spaced.__getitem__, islice(c, 1, None))] for c in cut]
         whole = [i for i, p in enumerate(out) if None in p]
         for i, ids in zip(whole, self.model.encode_chunks([texts[i] for i in whole]) if whole else ()):
             out[i] = [self.entry(ids)]
         return out
 
+    def whole(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The digits of each text's ids, joined by commas, and the bytes that the ids decode to."""
+        for parts in self.parts(texts):
+            digits, raw = zip(*parts)
+            yield ",".join(filter(None, digits)), b"".join(raw)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [list(chain.from_iterable([p[0] for p in parts])) for parts in self.parts(texts)]
+        return [list(map(int, digits.split(","))) if digits else [] for digits, _ in self.whole(texts)]
 
 
 @lru_cache(maxsize=4)
@@ -264,14 +298,17 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        for part in slices(batches, "_text"):
-            rows = enc.parts([t or "" for t in part.column("_text").to_pylist()])
-            n = [sum([len(p[0]) for p in parts]) for parts in rows]
-            listed = [sha(",".join([p[1] for p in parts if p[0]]).encode()) for parts in rows]
-            decoded = [sha(b"".join([p[2] for p in parts]).decode("utf-8", "replace").encode()) for parts in rows]
+        for part in uncollected(slices(batches, "_text")):
+            n, listed, decoded, ids = [], [], [], []
+            for digits, raw in enc.whole([t or "" for t in part.column("_text").to_pylist()]):
+                n.append(digits.count(",") + 1 if digits else 0)
+                listed.append(sha(digits.encode()))
+                decoded.append(sha(raw.decode("utf-8", "replace").encode()))
+                if with_ids:
+                    ids.append(list(map(int, digits.split(","))) if digits else [])
             columns, names = [part.column(0), pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns, names = [*columns, pa.array([list(chain.from_iterable([p[0] for p in parts])) for parts in rows], pa.list_(pa.int32()))], [*names, "ids"]
+                columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return staged(docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema), "encoded")
