@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.graph import connected_components
-from gridloom.operators.ranking import fill_medians
+from gridloom.operators.ranking import fill_medians, medians
 
 
 def log_features(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,9 +33,9 @@ def impute(df: DataFrame, families: dict[str, str], state: str, month: str) -> D
     """Detections become 0; weather takes the median of state and month, then of the state, then of all; context of the state, then of all."""
     by = lambda k: [c for c, f in families.items() if f == k]
     out = df.fillna(0, subset=by("detection")) if by("detection") else df
-    out = fill_medians(out, by("weather"), [[state, month], [state]]) if by("weather") else out
-    out = fill_medians(out, by("context"), [[state]]) if by("context") else out
-    return fill_medians(out, by("other"), []) if by("other") else out
+    out = fill_medians(out, by("weather"), [[state, month], [state]], df) if by("weather") else out
+    out = fill_medians(out, by("context"), [[state]], df) if by("context") else out
+    return fill_medians(out, by("other"), [], df) if by("other") else out
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -102,7 +102,12 @@ class SelfOrganisingMap:
     def _nearest(self, x: np.ndarray, n: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """The n nearest nodes of each row, ties to the smaller, and the distances of the nearest."""
         d = (x**2).sum(1)[:, None] - 2 * x @ self.weights.T + (self.weights**2).sum(1)[None, :]
-        order = np.argsort(d.round(12), axis=1, kind="stable")[:, :n]
+        d, order = d.round(12), np.empty((len(x), n), np.int64)
+        rest = d.copy() if n > 1 else d
+        for i in range(n):  # argmin takes the smaller node of equals; a sort of all nodes isn't needed
+            order[:, i] = rest.argmin(1)
+            if i + 1 < n:
+                rest[np.arange(len(x)), order[:, i]] = np.inf
         return order, np.sqrt(np.maximum(d[np.arange(len(x)), order[:, 0]], 0))
 
     def fit(self, df: DataFrame) -> SelfOrganisingMap:
@@ -205,6 +210,7 @@ def kmeans_sweep(nodes: DataFrame, columns: list[str], weight: str, ks: list[int
         sizes = out.groupBy("label").agg(F.sum(weight).alias("w")).agg(F.min("w"), F.max("w"), F.sum("w")).first()
         labels[k] = out.drop("features")
         rows.append((k, silhouette, other[1], other[2], sizes[0] / sizes[2], sizes[1] / sizes[2]))
+    data.unpersist()
     return labels, spark.createDataFrame(rows, "k int, silhouette double, davies_bouldin double, calinski_harabasz double, smallest_share double, largest_share double")
 
 
@@ -242,20 +248,23 @@ def density_clusters(df: DataFrame, key: str, columns: list[str], eps: float, le
 
 def cluster_profile(df: DataFrame, cluster: str, columns: list[str], flags: list[str], day: str, state: str) -> DataFrame:
     """Size, share, states, period, flag rates, and mean and median of columns for each cluster."""
-    out = df.groupBy(cluster).agg(F.count("*").alias("n"), F.countDistinct(state).alias("n_states"), F.min(day).alias("first"), F.max(day).alias("last"), *(F.avg(f).alias(f"{f}_rate") for f in flags), *(g(c).alias(f"{c}_{n}") for c in columns for g, n in ((F.avg, "mean"), (lambda x: F.percentile(x, F.lit(0.5)), "median"))))
+    out = df.groupBy(cluster).agg(F.count("*").alias("n"), F.countDistinct(state).alias("n_states"), F.min(day).alias("first"), F.max(day).alias("last"), *(F.avg(f).alias(f"{f}_rate") for f in flags), *(F.avg(c).alias(f"{c}_mean") for c in columns))
+    middle = medians(df, columns, [cluster]).select(F.col(cluster).alias("_cluster"), *(F.col(f"_m_{c}").alias(f"{c}_median") for c in columns))
+    out = out.join(middle, F.col(cluster).eqNullSafe(F.col("_cluster")), "left").drop("_cluster")
     return out.withColumn("share", F.try_divide("n", F.sum("n").over(Window.partitionBy(F.lit(1)))))  # one row for each cluster
 
 
 def feature_profile(df: DataFrame, cluster: str, columns: list[str]) -> DataFrame:
     """Cluster against all rows for each feature, from mergeable sums: mean, difference, ratio, z and rank of |z|."""
     long = df.select(cluster, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([cluster], columns, "feature", "value").filter("value is not null")
-    per = long.groupBy(cluster, "feature").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"), F.min("value").alias("least"), F.max("value").alias("largest"))
+    per = long.groupBy(cluster, "feature").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.var_pop("value").alias("spread"), F.min("value").alias("least"), F.max("value").alias("largest"))
     w = Window.partitionBy("feature")  # clusters x features rows
-    n, s, q = (F.sum(c).over(w) for c in ("n", "total", "squares"))
+    n, s = (F.sum(c).over(w) for c in ("n", "total"))
     mean = F.col("total") / F.col("n")
-    deviation = F.sqrt(F.greatest(F.lit(0.0), (q - s * s / n) / F.nullif(n - 1, F.lit(0))))
+    per = per.withColumn("_off", mean - s / n)  # squares about the means: no difference of large sums
+    deviation = F.sqrt(F.sum(F.col("n") * (F.col("spread") + F.col("_off") * F.col("_off"))).over(w) / F.nullif(n - 1, F.lit(0)))
     out = per.withColumns({"mean": mean, "global_mean": s / n, "difference": mean - s / n, "ratio": F.try_divide(mean, s / n), "z": F.try_divide(mean - s / n, deviation)})
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc(F.abs("z")), "feature"))).drop("squares")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc(F.abs("z")), "feature"))).drop("spread", "_off")
 
 
 def distinguishing(profile: DataFrame, cluster: str, most: int = 8) -> DataFrame:

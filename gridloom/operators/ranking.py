@@ -14,11 +14,14 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def flag_repeated(df: DataFrame, keys: list[str], name: str = "repeated") -> DataFrame:
-    """Flags every row whose key, if not null, occurs more than once."""
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-    return df.withColumn(name, known & (F.count("*").over(Window.partitionBy(*keys)) > 1))
+    """Flags every row whose key, if not null, occurs more than once.
+
+    Filled keys are counted and the rows take a mark from those that repeat: a hot key, or no key at all, is a side of
+    a join that adaptive execution splits, not one task's window.
+    """
+    counted = df.dropna(subset=keys).groupBy(*(F.col(k).alias(f"_repeated_{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("_times")).filter("_times > 1")
+    same = [F.col(k) == F.col(f"_repeated_{i}") for i, k in enumerate(keys)]
+    return df.join(counted, same, "left").withColumn(name, F.col("_times").isNotNull()).select(*(c for c in df.columns if c != name), name)
 
 
 def most_frequent(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
@@ -27,22 +30,41 @@ def most_frequent(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     return keep_first(counted, [key], [F.desc("n"), *(F.asc_nulls_last(a) for a in attributes)])
 
 
-def medians(df: DataFrame, columns: list[str], groups: list[str]) -> DataFrame:
-    return df.groupBy(*groups).agg(*(F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns))
+def medians(df: DataFrame, columns: list[str], groups: list[str], pieces: int = 128) -> DataFrame:
+    """Exact medians ``_m_<column>`` of each group's filled values; groups without any have no row.
 
-
-def fill_medians(df: DataFrame, columns: list[str], levels: list[list[str]]) -> DataFrame:
+    Approximate quantiles cut each group's values into about even ranges, counts of the ranges tell which hold the
+    middle, and only their values are put in order. So no task holds a group's values, however large the group is.
+    """
+    long = df.select(F.struct(F.lit(0).alias("_all"), *groups).alias("_g"), *(F.col(c).cast("double").alias(c) for c in columns)).unpivot("_g", columns, "_c", "_v").filter("_v is not null")
+    one, cut = ["_g", "_c"], [i / pieces for i in range(1, pieces)]
+    cuts = long.groupBy(*one).agg(F.percentile_approx("_v", cut, 10 * pieces).alias("_cuts"), F.count("*").alias("_total"))
+    valued = long.groupBy(*one, "_v").agg(F.count("*").alias("_n"))
+    placed = valued.join(cuts, one).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    ranges = placed.groupBy(*one, "_range").agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))
+    before = F.sum("_in").over(Window.partitionBy(*one).orderBy("_range")) - F.col("_in")  # at most ``pieces`` rows
+    low, high = F.expr("(_total - 1) div 2"), F.expr("_total div 2")
+    middle = ranges.withColumn("_before", before).filter((F.col("_before") <= high) & (F.col("_before") + F.col("_in") > low)).select(*one, "_range", "_before")
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*one, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.join(middle, [*one, "_range"]).withColumn("_upto", upto)
+    holds = lambda rank: F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_v")))
+    found = ranked.groupBy(*one).agg(((holds(low) + holds(high)) / 2).alias("_m"))
+    return found.groupBy("_g").agg(*(F.max(F.when(F.col("_c") == c, F.col("_m"))).alias(f"_m_{c}") for c in columns)).select(*(F.col(f"_g.`{g}`").alias(g) for g in groups), *(f"_m_{c}" for c in columns))
+
+
+def fill_medians(df: DataFrame, columns: list[str], levels: list[list[str]], measured: DataFrame | None = None) -> DataFrame:
     """Nulls filled by the median of the first level of groups that has one, then of all rows, then by 0.
 
-    Each level is one aggregate and one join on its keys; the medians of all rows are one row.
+    Medians are those of ``measured``, if given: the table before other columns were filled, which spares its joins.
+    Each level is one table of medians and one join on its keys; the medians of all rows are one row.
     """
-    out = df
+    out, names, df = df, df.columns, df if measured is None else measured
     for i, level in enumerate(levels):
         m = medians(df, columns, level).toDF(*level, *(f"_m{i}_{c}" for c in columns))
         out = out.join(m, level, "left")
-    total = df.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in columns)).first()
-    filled = {c: F.coalesce(c, *(f"_m{i}_{c}" for i in range(len(levels))), F.lit(total[c] or 0.0)) for c in columns}
-    return out.withColumns(filled).select(df.columns)
+    total = medians(df, columns, []).first()
+    filled = {c: F.coalesce(c, *(f"_m{i}_{c}" for i in range(len(levels))), F.lit(total and total[f"_m_{c}"] or 0.0)) for c in columns}
+    return out.withColumns(filled).select(*names)
 
 
 def share(df: DataFrame, value: str, keys: list[str], name: str = "share", digits: int = 6) -> DataFrame:
@@ -105,8 +127,11 @@ def capped_sample(df: DataFrame, group: str, cap: int, order: list) -> DataFrame
 
 
 def hash_sample(df: DataFrame, fraction: float, keys: list[str]) -> DataFrame:
-    """A repeatable share of rows by hash of their key."""
-    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    """A repeatable share of rows: those whose key's MD5 starts below that share of all 32-bit values, the same in every engine."""
+    if fraction >= 1:
+        return df
+    digest = F.substring(F.md5(F.concat_ws("\x1f", *(F.col(k).cast("string") for k in keys))), 1, 8)
+    return df.filter(digest < f"{int(fraction * (1 << 32)):08x}")
 
 
 def ordered(df: DataFrame, first: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.dates import calendar
 from gridloom.operators import fusion as O
 from gridloom.plans.tables import iso, table
+from gridloom.staging import staged
 
 KEYS = ["region", "day"]
 PERIOD = ("event", "1995-01-01", "1998-12-31")
@@ -52,9 +53,10 @@ def with_state(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     return df.join(F.broadcast(table(spark, sf, "nation").select(F.col("n_nationkey").alias("region"), F.col("n_regionkey").alias("state"), "n_name")), "region", "left")
 
 
-def state_days(spark: SparkSession, sf: str) -> DataFrame:
+def state_days(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
+    """The roll-up of the fused table, or of a written copy of it."""
     sums = ["event_count", "event_amount_sum", "detection_count", "detection_power_sum", "detection_day_count", "station_n", "detection_power_valid_count", "station_rain_valid_count"]
-    return O.roll_up(with_state(fused(spark, sf), spark, sf), ["state", "day"], "region", sums, ["has_event", "has_detection", "has_station", "event_available"], {"detection_power_mean": "detection_power_valid_count", "station_rain_mean": "station_rain_valid_count"})
+    return O.roll_up(with_state(fused(spark, sf) if days is None else days, spark, sf), ["state", "day"], "region", sums, ["has_event", "has_detection", "has_station", "event_available"], {"detection_power_mean": "detection_power_valid_count", "station_rain_mean": "station_rain_valid_count"})
 
 
 def rounded(df: DataFrame, **places: int) -> DataFrame:
@@ -87,7 +89,8 @@ def q_state_days(spark, sf):
 
 
 def q_control(spark, sf):
-    out = O.control_totals(fused(spark, sf), state_days(spark, sf), ["event_count", "detection_count", "detection_power_sum"], 0.01)
+    days = staged(fused(spark, sf), "fused")
+    out = O.control_totals(days, state_days(spark, sf, days), ["event_count", "detection_count", "detection_power_sum"], 0.01)
     return rounded(out, detail=1, rolled=1)
 
 

@@ -9,7 +9,6 @@ from gridloom.operators.ranking import cumulative, rank_loadings, renumber
 from gridloom.plans.fusion import rounded
 from gridloom.plans.tables import iso, table
 
-E = [f"e{i}" for i in range(8)]
 FEATURES = ["quantity", "price", "discount", "tax"]
 
 
@@ -18,7 +17,10 @@ def _items(spark, sf):
 
 
 def _vectors(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(E[i]) for i in range(8)))
+    """All components of the vectors as columns e0, e1, and so on, and their names."""
+    v = table(spark, sf, "embeddings")
+    names = [f"e{i}" for i in range(v.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return v.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names))), names
 
 
 def q_logs(spark, sf):
@@ -40,7 +42,8 @@ def q_standard(spark, sf):
 
 
 def _scored(spark, sf):
-    return M.components(M.standardize(_vectors(spark, sf), E), E, 6)
+    vectors, names = _vectors(spark, sf)
+    return M.components(M.standardize(vectors, names), names, len(names))
 
 
 def q_variance(spark, sf):
@@ -104,9 +107,11 @@ def q_configurations(spark, sf):
 
 
 def q_density(spark, sf):
-    """Dense groups of points in the plane of two components of the vectors."""
-    v = _vectors(spark, sf).select("vec_id", "e0", "e1")
-    return M.density_clusters(v, "vec_id", ["e0", "e1"], 0.02, 5)
+    """Dense groups of vectors in the plane of the sums of the first and of the second half of their components."""
+    total = lambda part: F.round(F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
+    v, half = table(spark, sf, "embeddings"), F.expr("cast(size(embedding) / 2 as int)")
+    v = v.select("vec_id", total(F.slice("embedding", F.lit(1), half)).alias("first"), total(F.slice("embedding", half + 1, F.size("embedding"))).alias("second"))
+    return M.density_clusters(v, "vec_id", ["first", "second"], 0.1, 5)
 
 
 def q_cluster_profile(spark, sf):
@@ -142,6 +147,11 @@ ORACLES = {
     "impute_families": """WITH e AS (SELECT event_id, event_type AS s, month(ts) AS m, CASE WHEN event_id % 4 <> 0 THEN value END AS a, CASE WHEN event_id % 3 <> 0 THEN value END AS b, CASE WHEN event_id % 5 <> 0 THEN value / 2 END AS c, CASE WHEN event_id % 2 <> 0 THEN value * 3 END AS d FROM events)
   SELECT event_id, round(coalesce(a, 0), 3) AS seen, round(coalesce(b, quantile_cont(b, 0.5) OVER (PARTITION BY s, m), quantile_cont(b, 0.5) OVER (PARTITION BY s), quantile_cont(b, 0.5) OVER (), 0), 3) AS rain, round(coalesce(c, quantile_cont(c, 0.5) OVER (PARTITION BY s), quantile_cont(c, 0.5) OVER (), 0), 3) AS area, round(coalesce(d, quantile_cont(d, 0.5) OVER (), 0), 3) AS rest FROM e""",
     "standardize": f"WITH {_I} SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS {c}_mean, CAST(1 AS DOUBLE) AS {c}_deviation, round((max({c}) - avg({c})) / stddev_pop({c}), 4) AS {c}_max" for c in FEATURES) + " FROM i",
+    "density_clusters": """WITH RECURSIVE d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(len(embedding) // 2 AS BIGINT) AS h FROM embeddings), v AS (SELECT vec_id, round(coalesce(list_sum(e[1:h]), 0), 6) AS x, round(coalesce(list_sum(e[h + 1:]), 0), 6) AS y FROM d),
+  near AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v AS p JOIN v AS q ON (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) <= 0.1 * 0.1), core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 5),
+  dense AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), reach(a, c) AS (SELECT a, a FROM core UNION SELECT d.b, r.c FROM reach AS r JOIN dense AS d ON d.a = r.a WHERE d.b > r.c), own AS (SELECT a, min(c) AS c FROM reach GROUP BY a),
+  edge AS (SELECT n.a, min(c) AS c FROM near AS n JOIN own ON own.a = n.b GROUP BY n.a), raw AS (SELECT vec_id, coalesce(own.c, edge.c, -1) AS c FROM v LEFT JOIN own ON own.a = vec_id LEFT JOIN edge ON edge.a = vec_id),
+  k AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) AS label FROM raw WHERE c <> -1 GROUP BY c) SELECT vec_id, CAST(coalesce(label, -1) AS INTEGER) AS label FROM raw LEFT JOIN k ON k.c = raw.c""",
     "cluster_profile": f"WITH {_I} SELECT cluster, count(*) AS n, count(DISTINCT state) AS n_states, strftime(min(day), '%Y-%m-%d') AS first, strftime(max(day), '%Y-%m-%d') AS last, round(avg(has_return), 6) AS has_return_rate, round(avg(quantity), 4) AS quantity_mean, round(quantile_cont(quantity, 0.5), 4) AS quantity_median, round(avg(price), 4) AS price_mean, round(quantile_cont(price, 0.5), 4) AS price_median, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM i GROUP BY cluster",
     "feature_profile": f"WITH {_FP} SELECT cluster, feature, n, round(m, 5) AS mean, round(gm, 5) AS global_mean, round(ratio, 5) AS ratio, round(z, 5) AS z, round(least, 3) AS least, round(largest, 3) AS largest FROM f",
     "profile_report": f"WITH {_FP}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, feature) AS r FROM f) SELECT cluster, string_agg(printf('%s (z=%.2f)', feature, z), '; ' ORDER BY r) AS features FROM r WHERE r <= 2 GROUP BY 1",

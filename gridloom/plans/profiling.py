@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import quality as Q
 from gridloom.operators.ranking import keep_first
-from gridloom.plans.fusion import fused, rounded, state_days
+from gridloom.plans.fusion import _REGION_DAY, fused, rounded, state_days
 from gridloom.plans.tables import iso, table
+from gridloom.staging import staged
 
 BOX = (10.0, 60.0, -150.0, -20.0)
 
@@ -99,10 +100,12 @@ def q_nulls(spark, sf):
 
 
 def q_contract(spark, sf):
-    f, s = fused(spark, sf), state_days(spark, sf)
+    """Contracts on the fused table, written once, and on its roll-up."""
+    f = staged(fused(spark, sf), "fused")
+    s = state_days(spark, sf, f)
     tests = {"null region": (F.col("region").isNull(), "error"), "before 1990": (F.col("day") < F.lit("1990-01-01").cast("date"), "error"), "no source": ((F.col("has_event") + F.col("has_detection") + F.col("has_station")) == 0, "error"), "no event": (F.col("has_event") == 0, "warning")}
     report = Q.check_unique(f, ["region", "day"], "region-day").union(Q.check_counts(f, "region-day", tests)).union(Q.check_columns(f, ["region", "day", "event_count"], ["future"], "region-day")).union(Q.check_unique(s, ["state", "day"], "state-day")).union(Q.check_rows(f.select("region", "day").distinct(), f, "region-day"))
-    return Q.stop_on_error(report)
+    return Q.stop_on_error(staged(report, "report"))
 
 
 def q_outside(spark, sf):
@@ -182,3 +185,10 @@ ORACLES = {
 
 
 ORACLES["column_roles"] = " UNION ALL ".join(_role_sql(c, k) for c, k in (("l_orderkey", "number"), ("l_partkey", "number"), ("l_suppkey", "number"), ("l_linenumber", "number"), ("l_quantity", "number"), ("l_extendedprice", "number"), ("l_discount", "number"), ("l_tax", "number"), ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "time")))
+_ROWS = (("null region", "region IS NULL", "error"), ("before 1990", "day < DATE '1990-01-01'", "error"), ("no source", "has_event + has_detection + has_station = 0", "error"), ("no event", "has_event = 0", "warning"))
+ORACLES["contract_report"] = f"""WITH {_REGION_DAY}, u AS (SELECT 'region-day: unique region+day' AS c, (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY region, day HAVING count(*) > 1)) AS n, 'error' AS bad, 'keys that repeat' AS note
+  UNION ALL SELECT 'state-day: unique state+day', (SELECT count(*) FROM (SELECT 1 FROM g GROUP BY state, day HAVING count(*) > 1)), 'error', 'keys that repeat'
+  {" ".join(f"UNION ALL SELECT 'region-day: {n}', (SELECT count(*) FILTER ({t}) FROM f), '{s}', 'rows'" for n, t, s in _ROWS)}),
+b AS (SELECT (SELECT count(*) FROM f) AS n, (SELECT count(*) FROM (SELECT DISTINCT region, day FROM f)) AS m)
+SELECT c AS "check", CAST(n AS VARCHAR) AS value, CASE WHEN n = 0 THEN 'ok' ELSE bad END AS status, note FROM u UNION ALL SELECT 'region-day: rows of base', m || '/' || n, CASE WHEN n = m THEN 'ok' ELSE 'error' END, 'rows/expected' FROM b
+UNION ALL SELECT 'region-day: required columns', '', 'ok', 'missing' UNION ALL SELECT 'region-day: forbidden columns', '', 'ok', 'present'"""

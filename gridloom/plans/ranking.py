@@ -129,6 +129,7 @@ ORACLES = {
     "top_territories": "SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 10",
     "top_values": "SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 10",
     "capped_sample": f"WITH {_E} SELECT event_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) <= 50",
+    "hash_sample": f"WITH {_E} SELECT event_id, user_id FROM e WHERE substr(md5(CAST(user_id AS VARCHAR)), 1, 8) < '{int(0.2 * 2**32):08x}'",
     "union_distinct": "SELECT DISTINCT NULL AS kind, c_nationkey AS nation, c_mktsegment AS segment FROM customer UNION ALL SELECT DISTINCT 'supplier', s_nationkey, NULL FROM supplier",
     "multi_key_sort": "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status, o_totalprice FROM orders) SELECT o_orderkey, status, round(o_totalprice, 2) AS o_totalprice FROM o ORDER BY status NULLS LAST, o_totalprice DESC, o_orderkey LIMIT 50",
 }
