@@ -105,3 +105,40 @@ def test_empty_tables(spark):
     assert ranking.fill_medians(empty, ["v"], [["k"]]).count() == 0
     assert ranking.running_id(empty, ["k"]).count() == 0
     assert quality.profile(empty).filter("rows = 0").count() == 3
+
+
+def test_medians_equal_sorted_lists(spark):
+    r = np.random.default_rng(3)
+    rows = [(g, float(v), float(i % 5) if i % 3 else None) for g, n in (("a", 4001), ("b", 300), ("c", 1), (None, 10)) for i, v in enumerate(r.normal(size=n).round(2))]
+    df = spark.createDataFrame([*rows, ("d", None, None), ("b", float("inf"), 7.0)], "g string, x double, y double").repartition(5)
+    got = {m["g"]: (m["_m_x"], m["_m_y"]) for m in ranking.medians(df, ["x", "y"], ["g"], pieces=8).collect()}
+    want = {}
+    for g in ("a", "b", "c", None):
+        xs, ys = ([v for v in (row[i] for row in [*rows, ("b", float("inf"), 7.0)] if row[0] == g) if v is not None] for i in (1, 2))
+        want[g] = (float(np.median(xs)), float(np.median(ys)) if ys else None)
+    assert got == want
+    assert ranking.medians(df.filter("g = 'd'"), ["x"], ["g"]).count() == 0
+    assert ranking.medians(df, ["x"], []).first()["_m_x"] == float(np.median([row[1] for row in rows] + [np.inf]))
+
+
+def test_filled_medians_of_groups_without_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", None), (None, None)], "g string, x double")
+    assert sorted((r["g"] or "", r["x"]) for r in ranking.fill_medians(df, ["x"], [["g"]]).collect()) == [("", 2.0), ("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 2.0)]
+    assert [r["x"] for r in ranking.fill_medians(df.filter("g = 'b'"), ["x"], [["g"]]).collect()] == [0.0]
+
+
+def test_repeated_keys_and_samples(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (1, None), (None, None), (None, None), (2, "x")], "k int, c string")
+    got = sorted((r["k"] or 0, r["c"] or "", r["repeated"]) for r in ranking.flag_repeated(df, ["k", "c"]).collect())
+    assert got == [(0, "", False), (0, "", False), (1, "", False), (1, "x", True), (1, "x", True), (2, "x", False)]
+    ids = spark.range(20_000)
+    part = ranking.hash_sample(ids, 0.25, ["id"])
+    assert abs(part.count() - 5_000) < 300 and part.exceptAll(ranking.hash_sample(ids, 0.5, ["id"])).count() == 0
+    assert ranking.hash_sample(ids, 1.0, ["id"]).count() == 20_000 and ranking.hash_sample(ids, 0.0, ["id"]).count() == 0
+
+
+def test_deviations_of_large_means(spark):
+    df = spark.createDataFrame([(i % 2, 1e9 + i % 4) for i in range(400)], "c int, v double")
+    z = {r["c"]: r["z"] for r in models.feature_profile(df, "c", ["v"]).collect()}
+    x = np.array([1e9 + i % 4 for i in range(400)])
+    assert z[1] == pytest.approx(0.5 / x.std(ddof=1), rel=1e-6) and z[0] == pytest.approx(-z[1])

@@ -17,6 +17,6 @@ def test_equals_sql(spark, con, name):
     assert differences(spark, con, SF, QUERIES[name], ORACLES[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"configurations"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert len(QUERIES[name](spark, SF).take(1)) == 1
