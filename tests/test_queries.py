@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from gridloom.plans import registered
@@ -20,3 +21,16 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert len(QUERIES[name](spark, SF).take(1)) == 1
+
+
+def test_components_equal_numpy(spark):
+    vectors = np.array([list(map(float, r[0])) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("embedding").collect()])
+    values, axes = np.linalg.eigh(np.corrcoef(vectors.T))
+    values, axes = values[::-1], axes[:, ::-1]
+    n = len(vectors)
+    rows = sorted(QUERIES["component_variance"](spark, SF).collect(), key=lambda r: r["component"])
+    assert [r["variance"] for r in rows] == pytest.approx(values * n / (n - 1), abs=2e-4)
+    assert [r["cumulative"] for r in rows] == pytest.approx(np.cumsum(values) / values.sum(), abs=2e-5)
+    first = {r["feature"]: r["loading"] for r in QUERIES["component_loadings"](spark, SF).filter("component = 1").collect()}
+    assert len(first) == vectors.shape[1]
+    assert abs(sum(first[f"e{i}"] * axes[i, 0] for i in range(len(first)))) == pytest.approx(1, abs=1e-3)
