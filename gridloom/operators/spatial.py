@@ -1,7 +1,7 @@
 """Point-in-polygon assignment and overlays by a grid of cells.
 
-Polygons and points meet in the cells of a grid: an equi join on the cell, then a box test, then the exact test. A
-polygon appears in every cell that its box touches, so the cell should be about as large as a typical polygon.
+Polygons, paths and points meet in the cells of a grid by an equi join. Polygons are cut to cells for overlays; for points
+a cell holds the edges that a test needs, and cells wholly inside a polygon answer without one.
 """
 
 from __future__ import annotations
@@ -12,157 +12,154 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.functions.geo import inside, line_length, polygon_area, signed_area
+from gridloom.functions.geo import polygon_area, signed_area
+from gridloom.functions.names import fresh
+from gridloom.operators import sweep
 from gridloom.operators.fusion import dominant
+from gridloom.staging import staged
 
 RINGS = "array<array<struct<x:double,y:double>>>"
+#: Areas below this share of a cell are rounding.
+LEAST_AREA = 1e-15
 
 
-def with_box(shapes: DataFrame, points: Column) -> DataFrame:
-    """Adds the bounding box of a shape's points (an array of points)."""
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return shapes.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
+def points_of(ring: list[dict] | None) -> np.ndarray:
+    """Points of a ring or path, without the last where it repeats the first."""
+    r = np.array([(p["x"], p["y"]) for p in ring or []], float).reshape(-1, 2)
+    return r[:-1] if len(r) > 2 and (r[0] == r[-1]).all() else r
+
+
+def cell_candidates(polygons: DataFrame, region: str, size: float) -> DataFrame:
+    """(i, j, candidates): for each cell the polygons that may hold its points, with what a test of a point needs.
 
+    As many as overlap in a cell stand in one row, so the cell should be about as large as a typical region.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")]))
+        for b in batches:
+            for k, rings in enumerate(b.column("rings").to_pylist()):
+                found = list(sweep.cell_edges([points_of(r) for r in rings or []], size))
+                for s in range(0, len(found), 1_000):
+                    part = found[s : s + 1_000]
+                    i, j, base = (pa.array([x[c] for x in part], pa.int64()) for c in range(3))
+                    edges = pa.array([[dict(zip(("x1", "y1", "x2", "y2"), y)) for y in x[3].tolist()] for x in part], kind)
+                    yield pa.RecordBatch.from_arrays([b.column("region").take(pa.array([k] * len(part), pa.int64())), i, j, base, edges], ["region", "i", "j", "base", "edges"])
 
-def cells(x0: Column, x1: Column, y0: Column, y1: Column, size: float) -> Column:
-    """The grid cells that a box touches, as (column, row)."""
-    at = lambda v: F.floor(v / size).cast("long")
-    across = F.sequence(at(x0), at(x1))
-    return F.flatten(F.transform(across, lambda i: F.transform(F.sequence(at(y0), at(y1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    shapes = polygons.select(F.col(region).alias("region"), "rings")
+    cover = shapes.mapInArrow(run, f"region {shapes.schema['region'].dataType.simpleString()}, i long, j long, base long, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    return cover.groupBy("i", "j").agg(F.collect_list(F.struct("region", "base", "edges")).alias("candidates"))
 
 
-def in_cells(shapes: DataFrame, size: float) -> DataFrame:
-    """One row for each cell that a shape's box touches."""
-    return shapes.withColumn("_cell", F.explode(cells(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), size)))
+def holds(candidate: Column, x: Column, y: Column) -> Column:
+    """Whether a candidate of the point's cell strictly holds it: whole cells do without a test."""
+    e = candidate["edges"]
+    crossed = F.aggregate(e, candidate["base"], lambda n, s: n + (((s["y1"] > y) != (s["y2"] > y)) & (x < (s["x2"] - s["x1"]) * F.try_divide(y - s["y1"], s["y2"] - s["y1"]) + s["x1"])).cast("long"))
+    touched = F.exists(e, lambda s: ((s["x2"] - s["x1"]) * (y - s["y1"]) == (s["y2"] - s["y1"]) * (x - s["x1"])) & x.between(F.least(s["x1"], s["x2"]), F.greatest(s["x1"], s["x2"])) & y.between(F.least(s["y1"], s["y2"]), F.greatest(s["y1"], s["y2"])))
+    return (crossed % 2 == 1) & ~touched
 
 
 def assign_regions(points: DataFrame, polygons: DataFrame, x: str, y: str, region: str, size: float, valid: Column | None = None) -> DataFrame:
     """Each point with the smallest region whose polygon strictly holds it, else null; invalid points bypass the join.
 
-    One left join on the cell; points without a cell keep a null one. points: any columns; polygons: region, rings.
+    One left join of the points with the cells' candidates: no row is dealt out or grouped anew. Points without a cell
+    spread by the hash of their row. points: any columns; polygons: region, rings; a point on an edge is outside.
     """
-    ok = F.col(x).isNotNull() & F.col(y).isNotNull() & (F.lit(True) if valid is None else valid)
+    ok = F.col(x).isNotNull() & F.col(y).isNotNull() & (F.lit(True) if valid is None else F.coalesce(valid, F.lit(False)))
+    i, j, known = (fresh(c, points.columns) for c in ("_i", "_j", "_known"))
+    plain = [f.name for f in points.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
     at = lambda c: F.floor(F.col(c) / size).cast("long")
-    p = points.withColumn("_id", F.monotonically_increasing_id()).withColumn("_cell", F.when(ok, F.struct(at(x).alias("i"), at(y).alias("j"))))
-    g = in_cells(with_box(polygons.select(F.col(region).alias("_region"), "rings"), F.flatten("rings")), size)
-    near = (p["_cell"] == g["_cell"]) & F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1")) & inside(F.col("rings"), F.col(x), F.col(y))
-    found = p.join(g, near, "left").select(p["*"], "_region")
-    values = [F.first(c).alias(c) for c in points.columns]
-    return found.groupBy("_id").agg(*values, F.min("_region").alias(region)).drop("_id")
-
-
-def clip_half(ring: np.ndarray, axis: int, at: float, keep_above: bool) -> np.ndarray:
-    """A ring (open, n x 2) cut by a line across one axis, by walking its edges."""
-    if not len(ring):
-        return ring
-    d = (ring[:, axis] - at) if keep_above else (at - ring[:, axis])
-    out = []
-    for p, q, a, b in zip(ring, np.roll(ring, -1, 0), d, np.roll(d, -1)):
-        if a >= 0:
-            out.append(p)
-        if (a > 0 > b) or (a < 0 < b):
-            out.append(p + (q - p) * (a / (a - b)))
-    return np.array(out).reshape(-1, 2)
-
-
-def edges_of(rings: list[np.ndarray]) -> np.ndarray:
-    """(x1, y1, x2, y2) of all edges of open rings."""
-    return np.concatenate([np.column_stack([r, np.roll(r, -1, 0)]) for r in rings if len(r)]) if rings else np.zeros((0, 4))
-
-
-def overlap_area(first: list[np.ndarray], second: list[np.ndarray]) -> float:
-    """Area shared by two polygons with holes, exact by horizontal slabs.
-
-    Between neighbouring heights of corners and crossings no edge starts, ends or crosses another, so both polygons are
-    trapezoids there whose shared width is linear: its mean at the slab's middle gives the area.
+    p = points.withColumns({i: F.when(ok, at(x)).otherwise(F.xxhash64(*plain)), j: F.when(ok, at(y)).otherwise(F.lit(0).cast("long")), known: ok})
+    own = {c: fresh(f"_{c}", p.columns) for c in ("ci", "cj", "candidates")}
+    g = cell_candidates(polygons, region, size).select(F.col("i").alias(own["ci"]), F.col("j").alias(own["cj"]), F.col("candidates").alias(own["candidates"]))
+    near = F.filter(F.col(own["candidates"]), lambda c: holds(c, F.col(x), F.col(y)))
+    found = F.array_min(F.transform(near, lambda c: c["region"]))
+    joined = p.join(g, (F.col(i) == F.col(own["ci"])) & (F.col(j) == F.col(own["cj"])) & F.col(known), "left")
+    return joined.select(*(c for c in points.columns if c != region), found.alias(region))
+
+
+def cell_pieces(shapes: DataFrame, keys: list[str], rings: str, size: float) -> DataFrame:
+    """(keys, i, j, piece): polygons cut to the cells that they touch with area; a null piece is a whole cell.
+
+    A piece holds its rings as bytes of coordinates.
     """
-    a, b = edges_of(first), edges_of(second)
-    if not len(a) or not len(b):
-        return 0.0
-    ys = [a[:, 1], b[:, 1]]
-    d1, d2 = a[:, None, 2:] - a[:, None, :2], b[None, :, 2:] - b[None, :, :2]
-    cross = d1[..., 0] * d2[..., 1] - d1[..., 1] * d2[..., 0]
-    gap = b[None, :, :2] - a[:, None, :2]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (gap[..., 0] * d2[..., 1] - gap[..., 1] * d2[..., 0]) / cross
-        u = (gap[..., 0] * d1[..., 1] - gap[..., 1] * d1[..., 0]) / cross
-    hit = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    ys.append((a[:, None, 1] + np.where(hit, t, 0.0) * d1[..., 1])[hit])
-    heights = np.unique(np.concatenate(ys))
-    total = 0.0
-    for y0, y1 in zip(heights, heights[1:]):
-        m = (y0 + y1) / 2
-        spans = []
-        for e in (a, b):
-            cut = e[(np.minimum(e[:, 1], e[:, 3]) < m) & (np.maximum(e[:, 1], e[:, 3]) > m)]
-            spans.append(np.sort(cut[:, 0] + (m - cut[:, 1]) * (cut[:, 2] - cut[:, 0]) / (cut[:, 3] - cut[:, 1])))
-        for l0, l1 in zip(spans[0][::2], spans[0][1::2]):
-            width = np.minimum(l1, spans[1][1::2]) - np.maximum(l0, spans[1][::2])
-            total += float(width[width > 0].sum()) * (y1 - y0)
-    return total
-
-
-def length_inside(path: np.ndarray, rings: list[np.ndarray]) -> float:
-    """Length of a path within a polygon: each step is cut where it meets an edge, and pieces count by their middle."""
-    e, total = edges_of(rings), 0.0
-    for p, q in zip(path, path[1:]):
-        d = q - p
-        f = e[:, 2:] - e[:, :2]
-        cross = d[0] * f[:, 1] - d[1] * f[:, 0]
-        gap = e[:, :2] - p
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (gap[:, 0] * f[:, 1] - gap[:, 1] * f[:, 0]) / cross
-            u = (gap[:, 0] * d[1] - gap[:, 1] * d[0]) / cross
-        cuts = np.unique(np.concatenate([[0.0, 1.0], t[(cross != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)]]))
-        for s, r in zip(cuts, cuts[1:]):
-            m = p + d * (s + r) / 2
-            crossed = (e[:, 1] > m[1]) != (e[:, 3] > m[1])
-            x = e[crossed, 0] + (m[1] - e[crossed, 1]) * (e[crossed, 2] - e[crossed, 0]) / (e[crossed, 3] - e[crossed, 1])
-            if (x > m[0]).sum() % 2:
-                total += float(np.hypot(*d)) * (r - s)
-    return total
-
-
-def _points(ring: list[dict]) -> np.ndarray:
-    """Points of a ring or path, without the last where it repeats the first."""
-    r = np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
-    return r[:-1] if len(r) > 2 and (r[0] == r[-1]).all() else r
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, shape in enumerate(b.column(rings).to_pylist()):
+                found = list(sweep.cell_pieces([points_of(r) for r in shape or []], size))
+                for s in range(0, len(found), 1_000):
+                    part = found[s : s + 1_000]
+                    own = pa.array([k] * len(part), pa.int64())
+                    pieces = pa.array([None if x[2] is None else [r.tobytes() for r in x[2]] for x in part], pa.list_(pa.binary()))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(own) for c in keys), pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pieces], [*keys, "i", "j", "piece"])
+
+    kinds = ", ".join(f"`{c}` {shapes.schema[c].dataType.simpleString()}" for c in keys)
+    return shapes.select(*keys, rings).mapInArrow(run, f"{kinds}, i long, j long, piece array<binary>")
 
-def _pairs(regions: DataFrame, layer: DataFrame, points: Column, size: float) -> DataFrame:
-    """Candidate pairs, each once: in the first cell that both boxes touch."""
-    r = in_cells(with_box(regions.select("region", "rings"), F.flatten("rings")), size)
-    l = in_cells(with_box(layer.select("class", "shape"), points), size).select("class", "shape", "_cell", *(F.col(c).alias(f"l{c}") for c in ("x0", "x1", "y0", "y1")))
-    at = lambda v: F.floor(v / size).cast("long")
-    first = (F.col("_cell.i") == at(F.greatest("x0", "lx0"))) & (F.col("_cell.j") == at(F.greatest("y0", "ly0")))
-    return r.join(l, "_cell").filter((F.col("x0") <= F.col("lx1")) & (F.col("lx0") <= F.col("x1")) & (F.col("y0") <= F.col("ly1")) & (F.col("ly0") <= F.col("y1")) & first).select("region", "class", "rings", "shape")
+
+def rings_of(piece: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(r).reshape(-1, 2) for r in piece]
 
 
 def overlay_polygons(regions: DataFrame, layer: DataFrame, size: float) -> DataFrame:
-    """(region, class, area): area shared by regions (region, rings) and layer polygons (class, shape: rings)."""
+    """(region, class, area): area shared by regions (region, rings) and layer polygons (class, shape: rings).
+
+    Both sides are cut to cells, pieces meet by cell, and areas of pieces add up: a task holds two pieces at a time.
+    Whole cells need no sweep. Null and empty shapes share nothing; overlapping layer polygons count each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            area = [overlap_area([_points(r) for r in rings], [_points(r) for r in shape]) for rings, shape in zip(b.column("rings").to_pylist(), b.column("shape").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("region"), b.column("class"), pa.array(area, pa.float64())], ["region", "class", "area"])
+            areas = []
+            for mine, other in zip(b.column("piece").to_pylist(), b.column("other").to_pylist()):
+                if mine is None or other is None:
+                    both = mine or other
+                    areas.append(size * size if both is None else sweep.area_of(rings_of(both)))
+                else:
+                    areas.append(sweep.shared_area(rings_of(mine), rings_of(other)))
+            yield pa.RecordBatch.from_arrays([b.column("region"), b.column("class"), pa.array(areas, pa.float64())], ["region", "class", "area"])
 
-    pairs = _pairs(regions, layer, F.flatten("shape"), size)
-    clipped = pairs.mapInArrow(run, f"region {regions.schema['region'].dataType.simpleString()}, class {layer.schema['class'].dataType.simpleString()}, area double")
-    return clipped.filter("area > 0").groupBy("region", "class").agg(F.sum("area").alias("area"))
+    mine, other = cell_pieces(regions, ["region"], "rings", size), cell_pieces(layer, ["class"], "shape", size).withColumnRenamed("piece", "other")
+    pairs = mine.join(other, ["i", "j"]).select("region", "class", "piece", "other")
+    shared = pairs.mapInArrow(run, f"region {regions.schema['region'].dataType.simpleString()}, class {layer.schema['class'].dataType.simpleString()}, area double")
+    return shared.filter(F.col("area") > LEAST_AREA * size * size).groupBy("region", "class").agg(F.sum("area").alias("area"))
 
 
 def overlay_lines(regions: DataFrame, layer: DataFrame, size: float) -> DataFrame:
-    """(region, class, length, segments): length of layer paths (class, shape: points) within regions, and how many of them."""
+    """(region, class, length, segments): length of layer paths (class, shape: points) within regions, and how many of them.
+
+    Paths are cut to cells as polygons are; the pieces of a path in a region add up before paths are counted.
+    """
+    numbered = staged(layer.select("class", "shape").withColumn("path", F.monotonically_increasing_id()), "paths")  # written: a path keeps its number
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, shape in enumerate(b.column("shape").to_pylist()):
+                path = np.array([(p["x"], p["y"]) for p in shape or []], float).reshape(-1, 2)
+                by_cell: dict[tuple[int, int], list[np.ndarray]] = {}
+                for p, q in zip(path, path[1:]):
+                    for i, j, s, t in sweep.clip_segment(p, q, size):
+                        by_cell.setdefault((i, j), []).append(np.concatenate([s, t]))
+                own = pa.array([k] * len(by_cell), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("class").take(own), b.column("path").take(own), pa.array([c[0] for c in by_cell], pa.int64()), pa.array([c[1] for c in by_cell], pa.int64()), pa.array([np.array(x).tobytes() for x in by_cell.values()], pa.binary())], ["class", "path", "i", "j", "steps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length = [length_inside(np.array([(p["x"], p["y"]) for p in shape], float).reshape(-1, 2), [_points(r) for r in rings]) for rings, shape in zip(b.column("rings").to_pylist(), b.column("shape").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("region"), b.column("class"), pa.array(length, pa.float64())], ["region", "class", "length"])
+            lengths = []
+            for piece, raw in zip(b.column("piece").to_pylist(), b.column("steps").to_pylist()):
+                steps = np.frombuffer(raw).reshape(-1, 4)
+                lengths.append(float(np.hypot(steps[:, 2] - steps[:, 0], steps[:, 3] - steps[:, 1]).sum()) if piece is None else sweep.length_inside(steps, rings_of(piece)))
+            yield pa.RecordBatch.from_arrays([b.column("region"), b.column("class"), b.column("path"), pa.array(lengths, pa.float64())], ["region", "class", "path", "length"])
 
-    pairs = _pairs(regions, layer, F.col("shape"), size)
-    cut = pairs.mapInArrow(run, f"region {regions.schema['region'].dataType.simpleString()}, class {layer.schema['class'].dataType.simpleString()}, length double")
-    return cut.filter("length > 0").groupBy("region", "class").agg(F.sum("length").alias("length"), F.count("*").alias("segments"))
+    kind, region = layer.schema["class"].dataType.simpleString(), regions.schema["region"].dataType.simpleString()
+    paths = numbered.mapInArrow(cut, f"class {kind}, path long, i long, j long, steps binary")
+    pairs = cell_pieces(regions, ["region"], "rings", size).join(paths, ["i", "j"]).select("region", "class", "path", "piece", "steps")
+    within = pairs.mapInArrow(run, f"region {region}, class {kind}, path long, length double").filter("length > 0")
+    by_path = within.groupBy("region", "class", "path").agg(F.sum("length").alias("length"))
+    return by_path.groupBy("region", "class").agg(F.sum("length").alias("length"), F.count("*").alias("segments"))
 
 
 def region_context(regions: DataFrame, pieces: DataFrame, measure: str) -> DataFrame:
@@ -178,32 +175,14 @@ def points_per_region(points: DataFrame, regions: DataFrame, x: str, y: str, siz
     return regions.select("region").join(found, "region", "left").select("region", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def crosses_itself(ring: list[dict]) -> bool:
-    """Whether two edges of a closed ring that aren't neighbours meet."""
-    e = edges_of([_points(ring)])
-    n = len(e)
-    if n < 4:
-        return False
-    d = e[:, 2:] - e[:, :2]
-    side = lambda o, v, p: v[..., 0] * (p[..., 1] - o[..., 1]) - v[..., 1] * (p[..., 0] - o[..., 0])
-    i, j = np.triu_indices(n, 2)
-    keep = ~((i == 0) & (j == n - 1))
-    i, j = i[keep], j[keep]
-    s1, s2 = side(e[i, :2], d[i], e[j, :2]), side(e[i, :2], d[i], e[j, 2:])
-    s3, s4 = side(e[j, :2], d[j], e[i, :2]), side(e[j, :2], d[j], e[i, 2:])
-    return bool(((s1 * s2 < 0) & (s3 * s4 < 0)).any())
-
-
 def geometry_quality(shapes: DataFrame) -> DataFrame:
     """Adds ``problem`` to (…, rings): null, empty, short, open, flat or crossed; null for sound polygons."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bad = [bool(r) and any(crosses_itself(x) for x in r if x) for r in b.column("rings").to_pylist()]
+            bad = [any(sweep.crosses_itself(points_of(x)) for x in r or []) for r in b.column("rings").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bad, pa.bool_())], [*b.schema.names, "_crossed"])
 
-    from pyspark.sql import types as T
-
     crossed = shapes.mapInArrow(run, T.StructType([*shapes.schema.fields, T.StructField("_crossed", T.BooleanType())]))
     rings = F.col("rings")
     problem = (
@@ -225,5 +204,3 @@ def prepare_layer(shapes: DataFrame, source: str, scale: float = 1.0) -> DataFra
     scaled = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] * scale).alias("x"), (p["y"] * scale).alias("y"))))
     return good.withColumns({"rings": scaled, "layer_source": F.lit(source)}).withColumn("area", polygon_area(F.col("rings")))
 
-
-__all__ = ["assign_regions", "geometry_quality", "line_length", "overlay_lines", "overlay_polygons", "points_per_region", "prepare_layer", "region_context"]

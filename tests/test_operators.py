@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import fusion, graph, matching, models, publish, quality, ranking, spatial
+from gridloom.operators import fusion, graph, matching, models, publish, quality, ranking, sweep
 from gridloom.sources import reports
 
 
@@ -49,11 +49,11 @@ def test_overlap_area_of_concave_shapes():
     ell = [np.array([(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)], float)]
     box = [np.array([(0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5)], float)]
     diamond = [np.array([(1, 0), (2, 1), (1, 2), (0, 1)], float)]
-    assert spatial.overlap_area(ell, box) == pytest.approx(0.75)
-    assert spatial.overlap_area(ell, diamond) == pytest.approx(1.5)
-    assert spatial.overlap_area(diamond, [diamond[0] + 5]) == 0
-    assert spatial.length_inside(np.array([(-1.0, 0.5), (3.0, 0.5)]), ell) == pytest.approx(2.0)
-    half = spatial.clip_half(box[0], 0, 1.0, True)
+    assert sweep.shared_area(ell, box) == pytest.approx(0.75)
+    assert sweep.shared_area(ell, diamond) == pytest.approx(1.5)
+    assert sweep.shared_area(diamond, [diamond[0] + 5]) == 0
+    assert sweep.length_inside(np.array([(-1.0, 0.5, 3.0, 0.5)]), ell) == pytest.approx(2.0)
+    half = sweep.clip_half(box[0], 0, 1.0, True)
     assert half[:, 0].min() == 1.0 and len(half) == 4
 
 
