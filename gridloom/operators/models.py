@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.graph import connected_components
 from gridloom.operators.ranking import fill_medians, medians
 
 
@@ -220,32 +218,6 @@ def choose_k(table: DataFrame, least_share: float = 0.01, most_share: float = 1.
     return table.orderBy(F.desc(fits), F.desc("silhouette"), "davies_bouldin", F.desc("calinski_harabasz"), "k").first()["k"]
 
 
-def density_clusters(df: DataFrame, key: str, columns: list[str], eps: float, least: int, weight: str | None = None) -> DataFrame:
-    """(key, label): groups of dense rows within ``eps`` of each other, border rows with them, -1 for noise.
-
-    Rows meet in grid cells of side eps and their neighbours; for codebooks or 2-3 columns. Labels count from 1 by size.
-    """
-    from gridloom.operators.ranking import renumber
-    from gridloom.staging import staged
-
-    n = len(columns)
-    x = [f"x{i}" for i in range(n)]
-    cell = F.array(*(F.floor(F.col(c) / eps).cast("long") for c in columns))
-    base = staged(df.select(F.col(key).alias("k"), *(F.col(c).alias(v) for c, v in zip(columns, x)), (F.col(weight) if weight else F.lit(1)).alias("w"), cell.alias("cell")), "points")
-    shifts = F.array(*(F.array(*((F.col("cell")[i] + d).cast("bigint") for i, d in enumerate(step))) for step in product((-1, 0, 1), repeat=n)))
-    left = base.withColumn("cell", F.explode(shifts)).select("cell", F.col("k").alias("a"), *(F.col(v).alias(f"a{v}") for v in x))
-    square = sum(((F.col(v) - F.col(f"a{v}")) ** 2 for v in x), F.lit(0.0))
-    near = staged(left.join(base, "cell").filter(square <= eps * eps).select("a", F.col("k").alias("b"), "w"), "near")
-    core = staged(near.groupBy("a").agg(F.sum("w").alias("n")).filter(F.col("n") >= least).select("a"), "core")
-    dense = near.join(core, "a").join(core.select(F.col("a").alias("b")), "b")
-    parts = connected_components(dense.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    label = core.join(parts, core["a"] == parts["node"], "left").select(F.col("a").alias("c"), F.coalesce("component", "a").alias("component"))
-    reached = near.join(label, near["b"] == label["c"]).groupBy("a").agg(F.min("component").alias("reach"))
-    own = label.select(F.col("c").alias("k"), "component")
-    out = base.select("k", "w").join(own, "k", "left").join(reached, F.col("k") == F.col("a"), "left").withColumn("raw", F.coalesce("component", "reach", F.lit(-1)))
-    return renumber(out, "raw", F.col("w"), noise=-1, name="label").select(F.col("k").alias(key), "label")
-
-
 def cluster_profile(df: DataFrame, cluster: str, columns: list[str], flags: list[str], day: str, state: str) -> DataFrame:
     """Size, share, states, period, flag rates, and mean and median of columns for each cluster."""
     out = df.groupBy(cluster).agg(F.count("*").alias("n"), F.countDistinct(state).alias("n_states"), F.min(day).alias("first"), F.max(day).alias("last"), *(F.avg(f).alias(f"{f}_rate") for f in flags), *(F.avg(c).alias(f"{c}_mean") for c in columns))

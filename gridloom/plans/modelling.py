@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.operators import density as D
 from gridloom.operators import models as M
 from gridloom.operators.ranking import cumulative, rank_loadings, renumber
 from gridloom.plans.fusion import rounded
 from gridloom.plans.tables import iso, table
+from gridloom.staging import staged
 
 FEATURES = ["quantity", "price", "discount", "tax"]
+EPS, LEAST = [0.1, 0.25], [4, 8]
 
 
 def _items(spark, sf):
@@ -94,24 +97,34 @@ def q_node_clusters(spark, sf):
 
 
 def q_configurations(spark, sf):
-    """All tried settings with their scores and the chosen ones."""
+    """All tried settings of both kinds of clusters with their scores and the chosen ones."""
     som, assigned = _som(spark, sf)
-    nodes = som.nodes(assigned)
+    nodes = staged(som.nodes(assigned), "nodes")
     _, scores = M.kmeans_sweep(nodes, som.columns, "activation", [3, 4, 5])
-    rows = scores.select(F.lit("kmeans").alias("model"), F.format_string("k=%d", "k").alias("setting"), F.col("k").alias("clusters"), F.round("silhouette", 3).alias("silhouette"), F.round("smallest_share", 3).alias("smallest_share"))
-    for eps in (0.15,):
-        d = M.density_clusters(nodes.filter("occupied"), "node", som.columns, eps, 5, "activation")
-        one = d.agg(F.count_if(F.col("label") == -1).alias("noise"), F.countDistinct(F.when(F.col("label") > 0, F.col("label"))).cast("int").alias("clusters"), F.count("*").alias("nodes"))
-        rows = rows.unionByName(one.select(F.lit("density").alias("model"), F.lit(f"eps={eps}").alias("setting"), "clusters", F.round(F.col("noise") / F.col("nodes"), 3).alias("noise_share")), allowMissingColumns=True)
-    return rows.withColumn("chosen", (F.col("model") == "kmeans") & (F.col("clusters") == M.choose_k(scores)))
+    means = scores.select(F.lit("kmeans").alias("model"), F.format_string("k=%d", "k").alias("setting"), F.col("k").alias("clusters"), F.round("silhouette", 3).alias("silhouette"), F.round("smallest_share", 3).alias("smallest_share"), (F.col("k") == M.choose_k(scores)).alias("chosen"))
+    _, grid = D.density_grid(nodes.filter("occupied"), "node", som.columns, [0.25, 0.5], [10], "activation")
+    eps, least = D.choose_density(grid) if grid.filter("n_clusters >= 2").count() else (None, None)
+    dense = grid.select(F.lit("density").alias("model"), F.format_string("eps=%.2f, least=%.0f", "eps", "least").alias("setting"), F.col("n_clusters").alias("clusters"), F.round("silhouette", 3).alias("silhouette"), F.round("noise_share", 3).alias("noise_share"), F.coalesce((F.col("eps") == F.lit(eps)) & (F.col("least") == F.lit(least)), F.lit(False)).alias("chosen"))
+    return means.unionByName(dense, allowMissingColumns=True)
 
 
-def q_density(spark, sf):
-    """Dense groups of vectors in the plane of the sums of the first and of the second half of their components."""
+def _plane(spark, sf):
+    """Sums of the first and of the second half of the vectors' components."""
     total = lambda part: F.round(F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
     v, half = table(spark, sf, "embeddings"), F.expr("cast(size(embedding) / 2 as int)")
-    v = v.select("vec_id", total(F.slice("embedding", F.lit(1), half)).alias("first"), total(F.slice("embedding", half + 1, F.size("embedding"))).alias("second"))
-    return M.density_clusters(v, "vec_id", ["first", "second"], 0.1, 5)
+    return v.select("vec_id", total(F.slice("embedding", F.lit(1), half)).alias("first"), total(F.slice("embedding", half + 1, F.size("embedding"))).alias("second"))
+
+
+def q_density(spark, sf):
+    """Dense groups of vectors in the plane of the sums of the first and of the second half of their components."""
+    return D.density_clusters(_plane(spark, sf), "vec_id", ["first", "second"], 0.1, 5)
+
+
+def q_density_grid(spark, sf):
+    """Settings of the density clusters with their noise and indices, and the one that the rule chooses."""
+    _, grid = D.density_grid(_plane(spark, sf), "vec_id", ["first", "second"], EPS, LEAST)
+    eps, least = D.choose_density(grid)
+    return grid.select("eps", "least", "n_clusters", "noise", *(F.round(c, 5).alias(c) for c in ("noise_share", "silhouette", "davies_bouldin", "calinski_harabasz")), ((F.col("eps") == eps) & (F.col("least") == least)).alias("chosen"))
 
 
 def q_cluster_profile(spark, sf):
@@ -138,11 +151,31 @@ def q_matrix(spark, sf):
     return out.select("cluster", *(F.round(c, 4).alias(c) for c in FEATURES))
 
 
-QUERIES = {"log_features": q_logs, "impute_families": q_impute, "standardize": q_standard, "component_variance": q_variance, "component_loadings": q_loadings, "component_scores": q_scores, "som_nodes": q_som, "som_errors": q_som_errors, "node_clusters": q_node_clusters, "configurations": q_configurations, "density_clusters": q_density, "cluster_profile": q_cluster_profile, "feature_profile": q_feature_profile, "profile_report": q_report, "cluster_distribution": q_distribution, "profile_matrix": q_matrix}
+QUERIES = {"log_features": q_logs, "impute_families": q_impute, "standardize": q_standard, "component_variance": q_variance, "component_loadings": q_loadings, "component_scores": q_scores, "som_nodes": q_som, "som_errors": q_som_errors, "node_clusters": q_node_clusters, "configurations": q_configurations, "density_clusters": q_density, "density_grid": q_density_grid, "cluster_profile": q_cluster_profile, "feature_profile": q_feature_profile, "profile_report": q_report, "cluster_distribution": q_distribution, "profile_matrix": q_matrix}
 _I = "i AS (SELECT CAST(l_suppkey % 9 AS INTEGER) AS cluster, CAST(l_suppkey % 5 AS INTEGER) AS state, CAST(l_shipdate AS DATE) AS day, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, CAST(l_returnflag = 'R' AS INTEGER) AS has_return FROM lineitem)"
 _FP = f"""{_I}, u AS (SELECT cluster, unnest(['quantity', 'price', 'discount', 'tax']) AS feature, unnest([quantity, price, discount, tax]) AS v FROM i), g AS (SELECT feature, avg(v) AS gm, stddev_samp(v) AS sd FROM u GROUP BY 1),
 c AS (SELECT cluster, u.feature, count(*) AS n, avg(v) AS m, min(v) AS least, max(v) AS largest FROM u GROUP BY 1, 2), f AS (SELECT c.*, gm, m / gm AS ratio, (m - gm) / sd AS z FROM c JOIN g ON g.feature = c.feature)"""
+_GRID = """WITH RECURSIVE d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(len(embedding) // 2 AS BIGINT) AS h FROM embeddings), v AS (SELECT vec_id, round(coalesce(list_sum(e[1:h]), 0), 6) AS x, round(coalesce(list_sum(e[h + 1:]), 0), 6) AS y FROM d),
+  s AS (SELECT * FROM (VALUES (CAST(0.1 AS DOUBLE)), (0.25)) AS e(eps), (VALUES (CAST(4 AS DOUBLE)), (8)) AS l(least)), two AS (SELECT p.vec_id AS a, q.vec_id AS b, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) AS d FROM v AS p, v AS q),
+  near AS (SELECT eps, least, a, b FROM two, s WHERE d <= eps * eps), core AS (SELECT eps, least, a FROM near GROUP BY 1, 2, 3 HAVING count(*) >= least),
+  dense AS (SELECT n.eps, n.least, n.a, n.b FROM near AS n JOIN core AS c ON (c.eps, c.least, c.a) = (n.eps, n.least, n.a) JOIN core AS g ON (g.eps, g.least, g.a) = (n.eps, n.least, n.b)),
+  reach(eps, least, a, c) AS (SELECT eps, least, a, a FROM core UNION SELECT d.eps, d.least, d.b, r.c FROM reach AS r JOIN dense AS d ON (d.eps, d.least, d.a) = (r.eps, r.least, r.a) WHERE d.b > r.c),
+  own AS (SELECT eps, least, a, min(c) AS c FROM reach GROUP BY 1, 2, 3), edge AS (SELECT n.eps, n.least, n.a, min(c) AS c FROM near AS n JOIN own AS o ON (o.eps, o.least, o.a) = (n.eps, n.least, n.b) GROUP BY 1, 2, 3),
+  raw AS (SELECT s.eps, s.least, vec_id, x, y, coalesce(own.c, edge.c, -1) AS c FROM v CROSS JOIN s LEFT JOIN own ON (own.eps, own.least, own.a) = (s.eps, s.least, vec_id) LEFT JOIN edge ON (edge.eps, edge.least, edge.a) = (s.eps, s.least, vec_id)),
+  sums AS (SELECT eps, least, count(DISTINCT CASE WHEN c <> -1 THEN c END) AS n_clusters, count_if(c = -1) AS noise, count(*) AS n FROM raw GROUP BY 1, 2),
+  kept AS (SELECT r.* FROM raw AS r JOIN sums USING (eps, least) WHERE c <> -1 AND n_clusters > 1), mid AS (SELECT eps, least, c, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM kept GROUP BY 1, 2, 3),
+  far AS (SELECT k.eps, k.least, k.c, avg(sqrt((x - mx) * (x - mx) + (y - my) * (y - my))) AS scatter, sum((x - mx) * (x - mx) + (y - my) * (y - my)) AS inner_sum FROM kept AS k JOIN mid AS m ON (m.eps, m.least, m.c) = (k.eps, k.least, k.c) GROUP BY 1, 2, 3),
+  worst AS (SELECT m.eps, m.least, m.c, max((f.scatter + g.scatter) / sqrt((m.mx - o.mx) * (m.mx - o.mx) + (m.my - o.my) * (m.my - o.my))) AS r FROM mid AS m JOIN mid AS o ON (o.eps, o.least) = (m.eps, m.least) AND o.c <> m.c JOIN far AS f ON (f.eps, f.least, f.c) = (m.eps, m.least, m.c) JOIN far AS g ON (g.eps, g.least, g.c) = (o.eps, o.least, o.c) GROUP BY 1, 2, 3),
+  db AS (SELECT eps, least, avg(r) AS davies_bouldin FROM worst GROUP BY 1, 2), centre AS (SELECT eps, least, sum(n) AS n, count(*) AS k, sum(n * mx) / sum(n) AS gx, sum(n * my) / sum(n) AS gy FROM mid GROUP BY 1, 2),
+  ch AS (SELECT c.eps, c.least, (sum(m.n * ((mx - gx) * (mx - gx) + (my - gy) * (my - gy))) / (any_value(c.k) - 1)) / (sum(f.inner_sum) / (any_value(c.n) - any_value(c.k))) AS calinski_harabasz FROM centre AS c JOIN mid AS m ON (m.eps, m.least) = (c.eps, c.least) JOIN far AS f ON (f.eps, f.least, f.c) = (m.eps, m.least, m.c) GROUP BY 1, 2),
+  mean AS (SELECT p.eps, p.least, p.vec_id, p.c, q.c AS other, sum(d) AS total, count(*) AS n FROM kept AS p JOIN kept AS q ON (q.eps, q.least) = (p.eps, p.least) JOIN two ON two.a = p.vec_id AND two.b = q.vec_id GROUP BY 1, 2, 3, 4, 5),
+  ab AS (SELECT eps, least, vec_id, max(CASE WHEN other = c THEN n END) AS own_n, max(CASE WHEN other = c THEN total / greatest(n - 1, 1) END) AS a, min(CASE WHEN other <> c THEN total / n END) AS b FROM mean GROUP BY 1, 2, 3),
+  si AS (SELECT eps, least, avg(CASE WHEN own_n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END) AS silhouette FROM ab GROUP BY 1, 2),
+  t AS (SELECT sums.eps, sums.least, n_clusters, noise, noise / n AS noise_share, silhouette, davies_bouldin, calinski_harabasz FROM sums LEFT JOIN si USING (eps, least) LEFT JOIN db USING (eps, least) LEFT JOIN ch USING (eps, least))
+  SELECT eps, least, CAST(n_clusters AS INTEGER) AS n_clusters, CAST(noise AS DOUBLE) AS noise, round(noise_share, 5) AS noise_share, round(silhouette, 5) AS silhouette, round(davies_bouldin, 5) AS davies_bouldin, round(calinski_harabasz, 5) AS calinski_harabasz,
+    row_number() OVER (ORDER BY n_clusters >= 2 DESC, noise_share <= 0.4 DESC, silhouette DESC NULLS LAST, noise_share, davies_bouldin NULLS LAST, eps, least) = 1 AS chosen FROM t"""
 ORACLES = {
+    "density_grid": _GRID,
     "log_features": "SELECT event_id, round(ln(1 + value), 6) AS log_count, (CAST(user_id % 30 AS DOUBLE) + user_id % 45) / 2 AS mean_temperature, CAST(user_id % 45 - user_id % 30 AS DOUBLE) AS amplitude FROM events",
     "impute_families": """WITH e AS (SELECT event_id, event_type AS s, month(ts) AS m, CASE WHEN event_id % 4 <> 0 THEN value END AS a, CASE WHEN event_id % 3 <> 0 THEN value END AS b, CASE WHEN event_id % 5 <> 0 THEN value / 2 END AS c, CASE WHEN event_id % 2 <> 0 THEN value * 3 END AS d FROM events)
   SELECT event_id, round(coalesce(a, 0), 3) AS seen, round(coalesce(b, quantile_cont(b, 0.5) OVER (PARTITION BY s, m), quantile_cont(b, 0.5) OVER (PARTITION BY s), quantile_cont(b, 0.5) OVER (), 0), 3) AS rain, round(coalesce(c, quantile_cont(c, 0.5) OVER (PARTITION BY s), quantile_cont(c, 0.5) OVER (), 0), 3) AS area, round(coalesce(d, quantile_cont(d, 0.5) OVER (), 0), 3) AS rest FROM e""",

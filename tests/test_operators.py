@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import fusion, graph, matching, models, publish, quality, ranking, sweep
+from gridloom.operators import density, fusion, graph, matching, models, publish, quality, ranking, sweep
 from gridloom.sources import reports
 
 
@@ -65,7 +65,7 @@ def test_som_and_labels(spark):
     assert som.errors[-1] < som.errors[0]
     nodes = som.nodes(som.assign(df))
     assert nodes.count() == 16 and nodes.agg(F.sum("activation")).first()[0] == 180
-    labels = models.density_clusters(df.withColumn("k", F.monotonically_increasing_id()), "k", ["a", "b"], 0.15, 5)
+    labels = density.density_clusters(df.withColumn("k", F.monotonically_increasing_id()), "k", ["a", "b"], 0.15, 5)
     sizes = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
     assert set(sizes) - {-1} == {1, 2, 3} and sizes.get(-1, 0) < 10
 
@@ -142,3 +142,54 @@ def test_deviations_of_large_means(spark):
     z = {r["c"]: r["z"] for r in models.feature_profile(df, "c", ["v"]).collect()}
     x = np.array([1e9 + i % 4 for i in range(400)])
     assert z[1] == pytest.approx(0.5 / x.std(ddof=1), rel=1e-6) and z[0] == pytest.approx(-z[1])
+
+
+def dbscan(points, eps, least):
+    """Labels by all pairs: dense rows joined, border rows with the group of the smallest dense key."""
+    n = len(points)
+    near = ((points[:, None] - points[None]) ** 2).sum(-1) <= eps * eps
+    dense = near.sum(1) >= least
+    group = np.arange(n)
+    for _ in range(n):
+        least_near = np.array([min(group[j] for j in np.flatnonzero(near[i] & dense)) if dense[i] else group[i] for i in range(n)])
+        if (least_near == group).all():
+            break
+        group = least_near
+    raw = [group[i] if dense[i] else min((group[j] for j in np.flatnonzero(near[i] & dense)), default=-1) for i in range(n)]
+    sizes = sorted({g for g in raw if g >= 0}, key=lambda g: (-raw.count(g), g))
+    return [sizes.index(g) + 1 if g >= 0 else -1 for g in raw]
+
+
+@pytest.mark.parametrize("d, eps, least", [(2, 0.08, 4), (2, 0.3, 10), (3, 0.2, 3), (1, 0.01, 3), (5, 0.5, 3)])
+def test_density_equals_all_pairs(spark, d, eps, least):
+    """Two heaps that are apart by little more or less than eps, one place that many rows share, and scattered rows."""
+    rng = np.random.default_rng(d)
+    heap = rng.uniform(0, eps / 4, (60, d))
+    near, far = heap.copy(), heap.copy()
+    near[:, 0], far[:, 0] = 3 + heap[:, 0], 3 - eps * 0.999 - heap[:, 0]
+    near[0, 0], far[0, 0] = 3, 3 - eps * 0.999
+    near[0, 1:], far[0, 1:] = 0, 0
+    points = np.concatenate([rng.random((120, d)), near, far, np.full((30, d), 5.0), near[:40] + 6, far[:40] + 6 - np.eye(1, d)[0] * eps * 0.01])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "k long, " + ", ".join(f"c{i} double" for i in range(d))).repartition(3)
+    got = {r["k"]: r["label"] for r in density.density_clusters(df, "k", [f"c{i}" for i in range(d)], eps, least).collect()}
+    assert [got[i] for i in range(len(points))] == dbscan(points, eps, least)
+
+
+def test_density_writes_no_pairs_of_a_full_cell(spark):
+    """Thousands of rows in one place and in the next cell: links stay few."""
+    rng = np.random.default_rng(1)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 0.1, (4_000, 2)))] + [(9_000, None, 0.0), (9_001, float("nan"), 0.0), (9_002, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    got = {r["k"]: r["label"] for r in density.density_clusters(df, "k", ["a", "b"], 0.1, 5).collect()}
+    assert set(got.values()) == {1, -1} and sorted(k for k, v in got.items() if v == -1) == [9_000, 9_001, 9_002]
+    core = df.filter("k < 9000").select(F.array(F.floor(F.col("a") / 0.07).cast("long"), F.floor(F.col("b") / 0.07).cast("long")).alias("cell"), F.col("a").alias("x0"), F.col("b").alias("x1"))
+    assert density.linked_cells(core, ["x0", "x1"], 0.07, 0.1, density.offsets(2, 0.07, 0.1)).count() <= 6
+    assert density.density_clusters(df.limit(0), "k", ["a", "b"], 0.1, 5).count() == 0
+
+
+def test_choice_of_density(spark):
+    t = lambda *rows: spark.createDataFrame(rows, density.GRID)
+    noisy, few, good = (0.1, 4.0, 5, 50.0, 0.5, 0.9, 0.1, 9.0), (0.2, 4.0, 1, 0.0, 0.0, None, None, None), (0.3, 4.0, 2, 10.0, 0.1, 0.4, 0.5, 3.0)
+    assert density.choose_density(t(noisy, few, good)) == (0.3, 4.0) and density.choose_density(t(noisy, few)) == (0.1, 4.0)
+    with pytest.raises(ValueError):
+        density.choose_density(t(few))
