@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,12 +92,14 @@ def null_missing(df: DataFrame, tokens: tuple[str, ...] = MISSING_TOKENS) -> Dat
 
 
 def text_key(c: Column, synonyms: dict[str, str] | None = None) -> Column:
-    """Lower case without accents, punctuation to blanks, blanks collapsed; then its synonym if it has one."""
-    key = F.trim(F.regexp_replace(F.regexp_replace(strip_accents(F.lower(c)), r"[^0-9a-z ]", " "), r" +", " "))
-    key = F.nullif(key, F.lit(""))
-    if synonyms:
-        key = F.coalesce(reduce(lambda out, kv: out.when(key == kv[0], kv[1]), synonyms.items(), F.when(F.lit(False), F.lit(""))), key)
-    return key
+    """Lower case without accents, punctuation and blanks to one blank; then its synonym if it has one; null if empty.
+
+    The key is the element of a one-element array, so the rest of the expression doesn't compute it again.
+    """
+    key = F.trim(F.regexp_replace(strip_accents(F.lower(c)), r"[^0-9a-z]+", " "))
+    named = F.create_map(*(F.lit(x) for kv in (synonyms or {}).items() for x in kv))
+    told = lambda k: F.coalesce(F.try_element_at(named, k), k) if synonyms else k
+    return F.get(F.transform(F.array(key), lambda k: F.when(k != "", told(k))), F.lit(0))
 
 
 def with_alias(df: DataFrame, aliases: DataFrame, keys: list[str], name: str, alias: str) -> DataFrame:

@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import same, same_within
+from gridloom.functions.names import fresh
 
 
-def assert_unique(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The table itself, or an error that names a repeated key."""
-    bad = df.groupBy(*keys).count().filter("count > 1").limit(1).collect()
-    if bad:
-        raise ValueError(f"{name}: key {keys} repeats, e.g. {bad[0].asDict()}")
-    return df
+def one_of_each(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The table itself; a key that repeats stops the job that reads it, with an error that names the key.
+
+    Keys are counted in the shuffle that a join on them needs anyway. Null keys count as one key.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    n, row = fresh("_n", df.columns), fresh("_row", df.columns)
+    counted = df.groupBy(*keys).agg(F.count("*").alias(n), F.first(F.struct(*rest) if rest else F.lit(0)).alias(row))
+    told = F.raise_error(F.concat(F.lit(f"{name}: a key of {keys} repeats: "), F.to_json(F.struct(*keys))))
+    return counted.filter(F.when(F.col(n) > 1, told.cast("boolean")).otherwise(F.lit(True))).select(*(F.col(c) if c in keys else F.col(row)[c].alias(c) for c in df.columns))
 
 
 def match(left: DataFrame, right: DataFrame, key: str, exact: list[str], tolerant: dict[str, float], position: tuple[str, str], position_tolerance: float) -> DataFrame:

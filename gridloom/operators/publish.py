@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.dates import within
+from gridloom.operators.ranking import quantiles
 
 LEVELS = ("low", "medium", "high")  # below the lower third, between, from the upper third on
 # Colour, order and use of a cluster by its levels of detections and events; then the names.
@@ -31,8 +32,8 @@ def cluster_catalog(profile: DataFrame, detection: str, event: str, station: str
     """Level of three rates against their 33 and 66 % quantiles over the profile's rows (clusters, or states and clusters),
     and the style of its levels: name, colour, order, use, and a description."""
     names = {"detection": detection, "event": event, "station": station}
-    cuts = profile.agg(*(F.percentile(c, F.array(F.lit(0.33), F.lit(0.66))).alias(n) for n, c in names.items())).first()  # one row
-    out = profile.withColumns({f"{n}_level": level(c, F.lit(cuts[n][0]), F.lit(cuts[n][1])) for n, c in names.items()})
+    cuts = {r["_c"]: r["_q"] for r in quantiles(profile, list(names.values()), [[]], [0.33, 0.66]).collect()}  # three rows
+    out = profile.withColumns({f"{n}_level": level(c, *(F.lit(x).cast("double") for x in cuts.get(c, [None, None]))) for n, c in names.items()})
     styles = F.broadcast(profile.sparkSession.createDataFrame(STYLE_ROWS, STYLES))  # nine rows
     styled = out.join(styles, (out["detection_level"] == styles["detection"]) & (out["event_level"] == styles["event"]), "left").drop("detection", "event")
     observed = F.when(F.col("station_level") == LEVELS[2], F.col("name_if_observed"))

@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranking import quantiles
+
 from gridloom.functions.geo import in_box
 from gridloom.functions.text import has_mojibake
 from gridloom.operators.matching import reasons
@@ -110,18 +112,22 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
 
     The statistics of all columns are one wide aggregate; distinct and top values come from unpivoted counts, so no
     column costs a pass of its own and no row is expanded for each of them. Roles are those of ``roles``, with the
-    caller's ``known`` ones. ``exact=False`` takes approximate quantiles, which keep bounded state.
+    caller's ``known`` ones. Exact quantiles of all columns come from one table of counted values; ``exact=False`` takes
+    approximate ones in the wide aggregate.
     """
     columns = columns or df.columns
     kinds = dict(df.dtypes)
     number = lambda c: kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")
-    quantile = (lambda x, p: F.percentile(x, F.lit(p))) if exact else (lambda x, p: F.percentile_approx(x, p))
+    quantile = lambda x, p: F.lit(None).cast("double") if exact else F.percentile_approx(x, p)
     parts = []
     for c in columns:
         x = F.col(c).cast("double") if number(c) else F.lit(None).cast("double")
         stats = [F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.min(x).alias("least"), F.max(x).alias("largest"), F.avg(x).alias("mean"), quantile(x, 0.5).alias("median"), F.stddev_samp(x).alias("deviation"), quantile(x, 0.01).alias("p01"), quantile(x, 0.99).alias("p99"), F.count_if(x < 0).alias("negatives"), F.count_if(x == 0).alias("zeros"), F.count_if(F.abs(x) == float("inf")).alias("infinities")]
         parts.append(F.struct(*stats).alias(c))
     wide = df.agg(*parts).select(F.explode(F.array(*(F.col(f"`{c}`") for c in columns))).alias("s")).select("s.*")
+    if exact and (numbers := [c for c in columns if number(c)]):
+        found = quantiles(df.select(*numbers), numbers, [[]], [0.01, 0.5, 0.99]).select(F.col("_c").alias("column"), *(F.col("_q")[i].alias(f"_{n}") for i, n in enumerate(("p01", "median", "p99"))))
+        wide = wide.join(found, "column", "left").withColumns({n: F.col(f"_{n}") for n in ("p01", "median", "p99")}).drop("_p01", "_median", "_p99")
     values = df.select([F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value").filter("value is not null")
     counted = values.groupBy("column", "value").agg(F.count("*").alias("n"))
     most = counted.groupBy("column").agg(F.max("n").alias("top_n"))

@@ -23,7 +23,7 @@ def _right(spark, sf):
 
 
 def _matched(spark, sf):
-    left, right = M.assert_unique(_left(spark, sf), ["key"], "left"), M.assert_unique(_right(spark, sf), ["key"], "right")
+    left, right = M.one_of_each(_left(spark, sf), ["key"], "left"), M.one_of_each(_right(spark, sf), ["key"], "right")
     return M.match(left, right, "key", ["begin", "finish", "state", "place", "site"], {"area": 0.6}, ("lat", "lon"), 0.01)
 
 

@@ -80,6 +80,16 @@ def q_hash_sample(spark, sf):
     return R.hash_sample(_e(spark, sf), 0.2, ["user_id"]).select("event_id", "user_id")
 
 
+def q_fixed_sample(spark, sf):
+    """Exactly 300 events, whatever the layout."""
+    return R.fixed_sample(_e(spark, sf), 300, ["event_id"]).select("event_id", "user_id")
+
+
+def q_proportional_sample(spark, sf):
+    """400 events in proportion to their types, then at most 90 of a type."""
+    return R.proportional_sample(_e(spark, sf), "event_type", 400, 90, ["event_id"]).select("event_id", "event_type")
+
+
 def q_union(spark, sf):
     """Tables of different columns as one, and its distinct rows."""
     a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
@@ -109,6 +119,8 @@ QUERIES = {
     "top_values": q_top_values,
     "capped_sample": q_sample,
     "hash_sample": q_hash_sample,
+    "fixed_sample": q_fixed_sample,
+    "proportional_sample": q_proportional_sample,
     "union_distinct": q_union,
     "multi_key_sort": q_sorted,
 }
@@ -129,6 +141,10 @@ ORACLES = {
     "top_territories": "SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 10",
     "top_values": "SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 10",
     "capped_sample": f"WITH {_E} SELECT event_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) <= 50",
+    "fixed_sample": f"WITH {_E} SELECT event_id, user_id FROM e ORDER BY md5(CAST(event_id AS VARCHAR)) LIMIT 300",
+    "proportional_sample": f"""WITH {_E}, g AS (SELECT event_type, count(*) AS n, sum(count(*)) OVER () AS t FROM e GROUP BY 1), q AS (SELECT *, least(400, t) * n // t AS w, least(400, t) * n % t AS r FROM g),
+  p AS (SELECT event_type, least(90, w + CAST(row_number() OVER (ORDER BY r DESC, event_type) <= least(400, t) - sum(w) OVER () AS BIGINT)) AS quota FROM q)
+  SELECT event_id, event_type FROM (SELECT event_id, e.event_type, quota, row_number() OVER (PARTITION BY e.event_type ORDER BY md5(CAST(event_id AS VARCHAR))) AS k FROM e JOIN p ON p.event_type = e.event_type) WHERE k <= quota""",
     "hash_sample": f"WITH {_E} SELECT event_id, user_id FROM e WHERE substr(md5(CAST(user_id AS VARCHAR)), 1, 8) < '{int(0.2 * 2**32):08x}'",
     "union_distinct": "SELECT DISTINCT NULL AS kind, c_nationkey AS nation, c_mktsegment AS segment FROM customer UNION ALL SELECT DISTINCT 'supplier', s_nationkey, NULL FROM supplier",
     "multi_key_sort": "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status, o_totalprice FROM orders) SELECT o_orderkey, status, round(o_totalprice, 2) AS o_totalprice FROM o ORDER BY status NULLS LAST, o_totalprice DESC, o_orderkey LIMIT 50",

@@ -28,8 +28,11 @@ def test_dominant_takes_smaller_on_ties(spark):
 
 
 def test_unique_key_is_demanded(spark):
-    with pytest.raises(ValueError):
-        matching.assert_unique(spark.createDataFrame([(1,), (1,)], "k int"), ["k"], "t")
+    df = spark.createDataFrame([(1, 2, 3), (2, 2, 3), (None, 4, None)], "k int, _n int, _row int")
+    assert sorted(map(str, matching.one_of_each(df, ["k"], "t").collect())) == sorted(map(str, df.collect()))
+    for twice in (df.union(df.filter("k = 1")), df.union(df.filter("k is null"))):
+        with pytest.raises(Exception, match="repeats"):
+            matching.one_of_each(twice, ["k"], "t").collect()
 
 
 def test_reasons_and_contract(spark):
@@ -111,7 +114,7 @@ def test_medians_equal_sorted_lists(spark):
     r = np.random.default_rng(3)
     rows = [(g, float(v), float(i % 5) if i % 3 else None) for g, n in (("a", 4001), ("b", 300), ("c", 1), (None, 10)) for i, v in enumerate(r.normal(size=n).round(2))]
     df = spark.createDataFrame([*rows, ("d", None, None), ("b", float("inf"), 7.0)], "g string, x double, y double").repartition(5)
-    got = {m["g"]: (m["_m_x"], m["_m_y"]) for m in ranking.medians(df, ["x", "y"], ["g"], pieces=8).collect()}
+    got = {m["g"]: (m["_m_x"], m["_m_y"]) for m in ranking.medians(df, ["x", "y"], ["g"]).collect()}
     want = {}
     for g in ("a", "b", "c", None):
         xs, ys = ([v for v in (row[i] for row in [*rows, ("b", float("inf"), 7.0)] if row[0] == g) if v is not None] for i in (1, 2))
@@ -193,3 +196,41 @@ def test_choice_of_density(spark):
     assert density.choose_density(t(noisy, few, good)) == (0.3, 4.0) and density.choose_density(t(noisy, few)) == (0.1, 4.0)
     with pytest.raises(ValueError):
         density.choose_density(t(few))
+
+
+def test_quantiles_of_levels_equal_numpy(spark):
+    """A group of a third of all rows and of few values, others of one row; plan without a buffer of values."""
+    rng = np.random.default_rng(4)
+    rows = [("hot", i % 2, float(v), float(w)) for i, (v, w) in enumerate(zip(rng.integers(0, 5, 900), rng.normal(size=900)))] + [(f"g{i % 40}", i % 3, float(v), None if i % 4 else float(v) / 3) for i, v in enumerate(rng.normal(size=700))] + [("one", 0, 2.5, None), (None, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, m int, x double, y double").repartition(5)
+    ps = [0.01, 0.33, 0.5, 0.99]
+    found = ranking.quantiles(df, ["x", "y"], [["g", "m"], ["g"], []], ps)
+    assert found.count() == len({(r["_level"], r["_g"], r["_c"]) for r in found.collect()})
+    for r in found.collect():
+        same = [(x, y) for g, m, x, y in rows if r["_level"] == 2 or (g == r["_g"]["g"] and (r["_level"] == 1 or m == r["_g"]["m"]))]
+        values = [v[0 if r["_c"] == "x" else 1] for v in same]
+        values = [v for v in values if v is not None]
+        assert r["_total"] == len(values) and r["_q"] == pytest.approx(np.quantile(values, ps))
+    out = quality.profile(df, ["x", "y"])
+    assert {r["column"]: r["median"] for r in out.collect()}["x"] == pytest.approx(np.median([r[2] for r in rows]))
+    assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_samples_are_whole_and_layouts_do_not_matter(spark):
+    rows = [(i % 700, "abc"[(i > 500) + (i > 900)], i) for i in range(1000)] + [(5, None, 5)] * 3
+    df = spark.createDataFrame(rows, "_start int, g string, _digest long")
+    for n in (0, 1, 77, 5_000):
+        took = [sorted(map(str, ranking.fixed_sample(df.repartition(k), n, ["_start"]).collect())) for k in (1, 4)]
+        assert took[0] == took[1] and len(took[0]) == min(n, len(rows))
+    quotas = {r["g"]: r["quota"] for r in ranking.largest_remainder(df.groupBy("g").agg(F.count("*").alias("size")), "g", 100).collect()}
+    assert sum(quotas.values()) == 100 and quotas == {"a": 50, "b": 40, "c": 10, None: 0}
+    got = ranking.proportional_sample(df, "g", 100, 45, ["_start"]).groupBy("g").count().collect()
+    assert dict(map(tuple, got)) == {"a": 45, "b": 40, "c": 10}
+
+
+def test_text_key_is_computed_once(spark):
+    from gridloom.functions.text import text_key
+
+    df = spark.createDataFrame([("  Ácme, Inc. ",), ("--",), (None,), ("OLD  name",)], "t string").select(text_key(F.col("t"), {"old name": "new", "x": "y"}).alias("k"))
+    assert [r["k"] for r in df.collect()] == ["acme inc", None, None, "new"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
