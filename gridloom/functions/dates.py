@@ -40,7 +40,7 @@ LATE_FORMS = [(r"^\d{8}$", "yyyyMMdd"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy")
 
 
 def registry_date(c: Column) -> Column:
-    """Dates in four forms, else days since 1899-12-30 as spreadsheets count them, else compact or day-first text.
+    """Dates in four forms, else days since 1899-12-30 as spreadsheets count them, else compact or free day-first text.
 
     A number that would name a day outside SERIAL_DAYS is no serial number.
     """
@@ -48,7 +48,41 @@ def registry_date(c: Column) -> Column:
     s = F.when(~s.isin("", "nan", "NaN", "<NA>", "None"), s)
     serial = F.when(s.rlike(r"^-?\d+(\.\d+)?$"), F.floor(s.try_cast("double")))
     first, last = ((d - date(1899, 12, 30)).days for d in SERIAL_DAYS)
-    return F.coalesce(_guarded(s, REGISTRY_FORMS), F.date_add(F.lit("1899-12-30").cast("date"), F.when(serial.between(first, last), serial).cast("int")), _guarded(s, LATE_FORMS))
+    return F.coalesce(_guarded(s, REGISTRY_FORMS), F.date_add(F.lit("1899-12-30").cast("date"), F.when(serial.between(first, last), serial).cast("int")), _guarded(s, LATE_FORMS), F.when(~s.rlike(r"^-?\d+(\.\d+)?$"), day_first(s)))
+
+
+# Names of months, English and Spanish, by their first three letters.
+MONTHS = {"jan": 1, "ene": 1, "feb": 2, "mar": 3, "apr": 4, "abr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "ago": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12, "dic": 12}
+
+
+def day_first(c: Column) -> Column:
+    """Dates in free text: three parts, of numbers and at most one name of a month, the day before the month unless that
+    can't be.
+
+    Parts stand apart by blanks, slashes, points, dashes, commas or "de"; weekdays before them and clocks behind them
+    are left out. A part of four digits is the year, last or first (even then the day comes first of the other two); one of two digits after day and month is a year of
+    1969 to 2068. A name of a month takes its place, so that the other part is the day. Days that don't exist are null.
+    """
+    s = F.lower(F.trim(c.cast("string")))
+    s = F.regexp_replace(s, r"[t ,]+\d{1,2}(:\d{1,2}){1,2}(\.\d+)?( ?[ap]\.?m\.?)?( ?(z|utc|gmt|[+-]\d{2}:?\d{2}))?$", "")
+    s = F.regexp_replace(s, r"^(mon|tue|wed|thu|fri|sat|sun|lunes|martes|mi[eé]rcoles|jueves|viernes|s[aá]bado|domingo)[a-z]*\.?,? +", "")
+    parts = F.filter(F.split(F.regexp_replace(s, r"(?<=\d)(st|nd|rd|th|º|°)\b|\bde[l]?\b", " "), r"[ /.,\-]+"), lambda x: x != "")
+    names = F.create_map(*(F.lit(x) for kv in MONTHS.items() for x in kv))
+
+    def told(p: Column) -> Column:
+        word = F.transform(p, lambda x: F.when(x.rlike("^[a-z]{3,}$"), F.try_element_at(names, F.left(x, F.lit(3)))))
+        n = F.transform(p, lambda x: F.when(x.rlike(r"^\d{1,4}$"), x.cast("int")))
+        long = F.transform(p, lambda x: x.rlike(r"^\d{4}$"))
+        at = lambda a, i: F.get(a, F.lit(i))
+        short_year = lambda x: F.when(at(long, x), at(n, x)).otherwise(F.when(at(n, x) <= 68, at(n, x) + 2000).when(at(n, x) <= 99, at(n, x) + 1900))
+        made = lambda y, m, d: F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")).cast("date")
+        by_name = F.when(at(word, 0).isNotNull(), made(short_year(2), at(word, 0), at(n, 1))).when(at(word, 1).isNotNull() & at(long, 0), made(at(n, 0), at(word, 1), at(n, 2))).when(at(word, 1).isNotNull(), made(short_year(2), at(word, 1), at(n, 0)))
+        year_first = F.when(at(n, 2) <= 12, made(at(n, 0), at(n, 2), at(n, 1))).otherwise(made(at(n, 0), at(n, 1), at(n, 2)))
+        day_month = F.when(at(n, 1) <= 12, made(short_year(2), at(n, 1), at(n, 0))).otherwise(made(short_year(2), at(n, 0), at(n, 1)))
+        named = F.size(F.filter(word, lambda x: x.isNotNull()))
+        return F.when((F.size(p) == 3) & (named == 1), by_name).when((F.size(p) == 3) & (named == 0), F.when(at(long, 0), year_first).otherwise(day_month))
+
+    return F.get(F.transform(F.array(parts), told), F.lit(0))
 
 
 def file_date(c: Column) -> Column:

@@ -122,11 +122,14 @@ WINDOWS_1252 = dict(zip((0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9
 def repair_mojibake(c: Column, rounds: int = 3) -> Column:
     """UTF-8 that was read as Latin-1 or windows-1252, up to three times over; text that doesn't decode stays."""
     shown, bytes_of = "".join(WINDOWS_1252.values()), "".join(map(chr, WINDOWS_1252))
-    for _ in range(rounds):
-        latin = F.translate(c, shown, bytes_of)
-        raw = F.encode(latin, "ISO-8859-1")
-        once = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-        c = F.when(c.rlike(MOJIBAKE) & ~latin.rlike("[^\\x{00}-\\x{ff}]"), F.coalesce(once, c)).otherwise(c)
+
+    def step(t: Column) -> Column:
+        latin = F.translate(t, shown, bytes_of)
+        raw = F.encode(latin, "ISO-8859-1").cast("string")
+        return F.when(t.rlike(MOJIBAKE) & ~latin.rlike("[^\\x{00}-\\x{ff}]"), F.coalesce(F.when(F.is_valid_utf8(raw), raw), t)).otherwise(t)
+
+    for _ in range(rounds):  # each round reads the element of a one-element array: nothing is computed twice over
+        c = F.get(F.transform(F.array(c), lambda t: step(t)), F.lit(0))
     return c
 
 

@@ -209,6 +209,21 @@ def check_rows(df: DataFrame, base: DataFrame, name: str) -> DataFrame:
     return both.select(F.lit(f"{name}: rows of base").alias("check"), F.concat_ws("/", F.col("n").cast("string"), F.col("m").cast("string")).alias("value"), F.when(F.col("n") == F.col("m"), "ok").otherwise("error").alias("status"), F.lit("rows/expected").alias("note"))
 
 
+def check_values(df: DataFrame, name: str, but: list[str] | None = None) -> DataFrame:
+    """Contract: no column is null throughout (error), and none holds one value in all rows (warning); ``but`` are free.
+
+    One aggregate over all columns; the columns that fail are named. An empty table has neither.
+    """
+    columns = [c for c in df.columns if c not in (but or [])]
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    one = df.agg(F.count("*").alias("_rows"), *(F.struct(F.count(text(c)).alias("n"), F.min(text(c)).alias("least"), F.max(text(c)).alias("largest")).alias(c) for c in columns))
+    some = F.col("_rows") > 0
+    empty = F.concat_ws(",", *(F.when(some & (F.col(f"`{c}`.n") == 0), c) for c in columns))
+    constant = F.concat_ws(",", *(F.when((F.col("_rows") > 1) & (F.col(f"`{c}`.n") == F.col("_rows")) & (F.col(f"`{c}`.least") == F.col(f"`{c}`.largest")), c) for c in columns))
+    row = lambda what, value, bad: F.struct(F.lit(f"{name}: {what}").alias("check"), value.alias("value"), F.when(value == "", "ok").otherwise(bad).alias("status"), F.lit("columns").alias("note"))
+    return one.select(F.explode(F.array(row("columns without values", empty, "error"), row("columns of one value", constant, "warning"))).alias("c")).select("c.*")
+
+
 def stop_on_error(report: DataFrame) -> DataFrame:
     """The report, or an error that names the failed checks."""
     bad = report.filter("status = 'error'").select("check").limit(20).collect()

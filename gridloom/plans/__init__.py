@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fusion", "context", "cleaning", "ranking", "matching", "profiling", "geometry", "modelling", "publishing", "loading")
+MODULES = ("fusion", "context", "cleaning", "ranking", "matching", "profiling", "geometry", "modelling", "publishing", "loading", "audits")
 
 
 def registered() -> tuple[dict, dict]:

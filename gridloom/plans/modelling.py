@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridloom.operators import density as D
+from gridloom.operators import fitted as S
 from gridloom.operators import models as M
 from gridloom.operators.ranking import cumulative, rank_loadings, renumber
 from gridloom.plans.fusion import rounded
 from gridloom.plans.tables import iso, table
-from gridloom.staging import staged
+from gridloom.staging import stage_root, staged
 
 FEATURES = ["quantity", "price", "discount", "tax"]
 EPS, LEAST = [0.1, 0.25], [4, 8]
@@ -44,6 +47,21 @@ def q_standard(spark, sf):
     return out.agg(*(F.round(F.avg(c), 6).alias(f"{c}_mean") for c in FEATURES), *(F.round(F.stddev_pop(c), 6).alias(f"{c}_deviation") for c in FEATURES), *(F.round(F.max(c), 4).alias(f"{c}_max") for c in FEATURES)).select([(F.col(c) + 0.0).alias(c) if not c.endswith("_mean") else F.abs(c).alias(c) for c in [f"{f}_{s}" for f in FEATURES for s in ("mean", "deviation", "max")]])
 
 
+def q_fitted(spark, sf):
+    """Medians, means and ranges learnt from the items shipped before 1999, saved, loaded and applied to all items."""
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"), F.col("l_returnflag").alias("state"), F.month(F.to_date("l_shipdate")).alias("month"), F.when(k % 3 != 0, F.col("l_quantity")).alias("quantity"), F.when(k % 4 != 0, F.col("l_extendedprice")).alias("price"), F.when(k % 5 != 0, F.col("l_discount")).alias("discount"), F.when(k % 7 != 0, F.col("l_tax")).alias("tax"))
+    before = rows.filter(F.col("day") < F.lit("1999-01-01").cast("date"))
+    imputer = S.fit_imputer(before, {"quantity": "weather", "price": "context", "discount": "other", "tax": "detection"}, "state", "month")
+    filled = imputer.apply(before)
+    fits = [imputer, S.fit_standard(filled, ["quantity", "price"]), S.fit_ranges(filled, ["discount"])]
+    root = f"{stage_root(spark)}/fits-{uuid.uuid4().hex}"
+    for i, fit in enumerate(fits):
+        fit.save(f"{root}/{i}")
+    out = S.apply_all([S.Fitted.load(spark, f"{root}/{i}") for i in range(len(fits))], rows)
+    return out.select("l_orderkey", "l_linenumber", *(F.round(c, 5).alias(c) for c in ("quantity", "price", "discount", "tax")))
+
+
 def _scored(spark, sf):
     vectors, names = _vectors(spark, sf)
     return M.components(M.standardize(vectors, names), names, len(names))
@@ -61,17 +79,24 @@ def q_loadings(spark, sf):
     return rank_loadings(loadings, "component", "feature", "loading").select("component", "feature", F.round("loading", 4).alias("loading"), "rank", F.round("contribution", 3).alias("contribution"))
 
 
+def _ninety(spark, sf):
+    """Rows with the leading components that reach 90 % of the variance, scaled to 0..1, and the components' names."""
+    vectors, names = _vectors(spark, sf)
+    scored, variance, _ = M.components(M.standardize(vectors, names), names, len(names))
+    kept = [f"PC{i + 1}" for i in range(M.pick_components(variance, 0.9))]
+    return M.min_max(scored, kept).select("vec_id", "label", *kept), kept
+
+
 def q_scores(spark, sf):
-    """Scores of the leading components that reach half the variance, scaled to 0..1."""
-    scored, variance, _ = _scored(spark, sf)
-    kept = [f"PC{i + 1}" for i in range(M.pick_components(variance, 0.5))]
-    return M.min_max(scored, kept).select("vec_id", *(F.round(c, 4).alias(c) for c in kept))
+    """Scores of the leading components that reach 90 % of the variance, scaled to 0..1."""
+    rows, kept = _ninety(spark, sf)
+    return rows.select("vec_id", *(F.round(c, 4).alias(c) for c in kept))
 
 
 def _som(spark, sf):
-    scored, _, _ = _scored(spark, sf)
-    data = M.min_max(scored, ["PC1", "PC2", "PC3"]).select("vec_id", "label", "PC1", "PC2", "PC3")
-    som = M.SelfOrganisingMap(6, 6, ["PC1", "PC2", "PC3"], epochs=5).fit(data)
+    data, kept = _ninety(spark, sf)
+    data = staged(data, "components")
+    som = M.SelfOrganisingMap(6, 6, kept, epochs=5).fit(data)
     return som, som.assign(data)
 
 
@@ -102,7 +127,7 @@ def q_configurations(spark, sf):
     nodes = staged(som.nodes(assigned), "nodes")
     _, scores = M.kmeans_sweep(nodes, som.columns, "activation", [3, 4, 5])
     means = scores.select(F.lit("kmeans").alias("model"), F.format_string("k=%d", "k").alias("setting"), F.col("k").alias("clusters"), F.round("silhouette", 3).alias("silhouette"), F.round("smallest_share", 3).alias("smallest_share"), (F.col("k") == M.choose_k(scores)).alias("chosen"))
-    _, grid = D.density_grid(nodes.filter("occupied"), "node", som.columns, [0.25, 0.5], [10], "activation")
+    _, grid = D.density_grid(nodes.filter("occupied"), "node", som.columns, [0.5, 0.6], [10], "activation")
     eps, least = D.choose_density(grid) if grid.filter("n_clusters >= 2").count() else (None, None)
     dense = grid.select(F.lit("density").alias("model"), F.format_string("eps=%.2f, least=%.0f", "eps", "least").alias("setting"), F.col("n_clusters").alias("clusters"), F.round("silhouette", 3).alias("silhouette"), F.round("noise_share", 3).alias("noise_share"), F.coalesce((F.col("eps") == F.lit(eps)) & (F.col("least") == F.lit(least)), F.lit(False)).alias("chosen"))
     return means.unionByName(dense, allowMissingColumns=True)
@@ -151,7 +176,7 @@ def q_matrix(spark, sf):
     return out.select("cluster", *(F.round(c, 4).alias(c) for c in FEATURES))
 
 
-QUERIES = {"log_features": q_logs, "impute_families": q_impute, "standardize": q_standard, "component_variance": q_variance, "component_loadings": q_loadings, "component_scores": q_scores, "som_nodes": q_som, "som_errors": q_som_errors, "node_clusters": q_node_clusters, "configurations": q_configurations, "density_clusters": q_density, "density_grid": q_density_grid, "cluster_profile": q_cluster_profile, "feature_profile": q_feature_profile, "profile_report": q_report, "cluster_distribution": q_distribution, "profile_matrix": q_matrix}
+QUERIES = {"log_features": q_logs, "impute_families": q_impute, "standardize": q_standard, "fitted_models": q_fitted, "component_variance": q_variance, "component_loadings": q_loadings, "component_scores": q_scores, "som_nodes": q_som, "som_errors": q_som_errors, "node_clusters": q_node_clusters, "configurations": q_configurations, "density_clusters": q_density, "density_grid": q_density_grid, "cluster_profile": q_cluster_profile, "feature_profile": q_feature_profile, "profile_report": q_report, "cluster_distribution": q_distribution, "profile_matrix": q_matrix}
 _I = "i AS (SELECT CAST(l_suppkey % 9 AS INTEGER) AS cluster, CAST(l_suppkey % 5 AS INTEGER) AS state, CAST(l_shipdate AS DATE) AS day, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, CAST(l_returnflag = 'R' AS INTEGER) AS has_return FROM lineitem)"
 _FP = f"""{_I}, u AS (SELECT cluster, unnest(['quantity', 'price', 'discount', 'tax']) AS feature, unnest([quantity, price, discount, tax]) AS v FROM i), g AS (SELECT feature, avg(v) AS gm, stddev_samp(v) AS sd FROM u GROUP BY 1),
 c AS (SELECT cluster, u.feature, count(*) AS n, avg(v) AS m, min(v) AS least, max(v) AS largest FROM u GROUP BY 1, 2), f AS (SELECT c.*, gm, m / gm AS ratio, (m - gm) / sd AS z FROM c JOIN g ON g.feature = c.feature)"""
@@ -179,6 +204,11 @@ ORACLES = {
     "log_features": "SELECT event_id, round(ln(1 + value), 6) AS log_count, (CAST(user_id % 30 AS DOUBLE) + user_id % 45) / 2 AS mean_temperature, CAST(user_id % 45 - user_id % 30 AS DOUBLE) AS amplitude FROM events",
     "impute_families": """WITH e AS (SELECT event_id, event_type AS s, month(ts) AS m, CASE WHEN event_id % 4 <> 0 THEN value END AS a, CASE WHEN event_id % 3 <> 0 THEN value END AS b, CASE WHEN event_id % 5 <> 0 THEN value / 2 END AS c, CASE WHEN event_id % 2 <> 0 THEN value * 3 END AS d FROM events)
   SELECT event_id, round(coalesce(a, 0), 3) AS seen, round(coalesce(b, quantile_cont(b, 0.5) OVER (PARTITION BY s, m), quantile_cont(b, 0.5) OVER (PARTITION BY s), quantile_cont(b, 0.5) OVER (), 0), 3) AS rain, round(coalesce(c, quantile_cont(c, 0.5) OVER (PARTITION BY s), quantile_cont(c, 0.5) OVER (), 0), 3) AS area, round(coalesce(d, quantile_cont(d, 0.5) OVER (), 0), 3) AS rest FROM e""",
+    "fitted_models": """WITH i AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d, l_returnflag AS s, month(CAST(l_shipdate AS DATE)) AS m, CASE WHEN (l_orderkey + l_linenumber) % 3 <> 0 THEN l_quantity END AS q, CASE WHEN (l_orderkey + l_linenumber) % 4 <> 0 THEN l_extendedprice END AS p, CASE WHEN (l_orderkey + l_linenumber) % 5 <> 0 THEN l_discount END AS c, CASE WHEN (l_orderkey + l_linenumber) % 7 <> 0 THEN l_tax END AS t FROM lineitem),
+  b AS (SELECT * FROM i WHERE d < DATE '1999-01-01'), sm AS (SELECT s, m, quantile_cont(q, 0.5) AS q FROM b GROUP BY 1, 2), st AS (SELECT s, quantile_cont(q, 0.5) AS q, quantile_cont(p, 0.5) AS p FROM b GROUP BY 1), al AS (SELECT quantile_cont(q, 0.5) AS q, quantile_cont(p, 0.5) AS p, quantile_cont(c, 0.5) AS c FROM b),
+  f AS (SELECT i.*, coalesce(i.q, sm.q, st.q, al.q, 0) AS fq, coalesce(i.p, st.p, al.p, 0) AS fp, coalesce(i.c, al.c, 0) AS fc, coalesce(t, 0) AS ft FROM i CROSS JOIN al LEFT JOIN sm ON sm.s = i.s AND sm.m = i.m LEFT JOIN st ON st.s = i.s),
+  g AS (SELECT avg(fq) AS mq, stddev_pop(fq) AS sq, avg(fp) AS mp, stddev_pop(fp) AS sp, min(fc) AS lc, max(fc) AS hc FROM f WHERE d < DATE '1999-01-01')
+  SELECT l_orderkey, l_linenumber, round((fq - mq) / sq, 5) AS quantity, round((fp - mp) / sp, 5) AS price, round((fc - lc) / (hc - lc), 5) AS discount, round(ft, 5) AS tax FROM f, g""",
     "standardize": f"WITH {_I} SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS {c}_mean, CAST(1 AS DOUBLE) AS {c}_deviation, round((max({c}) - avg({c})) / stddev_pop({c}), 4) AS {c}_max" for c in FEATURES) + " FROM i",
     "density_clusters": """WITH RECURSIVE d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(len(embedding) // 2 AS BIGINT) AS h FROM embeddings), v AS (SELECT vec_id, round(coalesce(list_sum(e[1:h]), 0), 6) AS x, round(coalesce(list_sum(e[h + 1:]), 0), 6) AS y FROM d),
   near AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v AS p JOIN v AS q ON (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) <= 0.1 * 0.1), core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 5),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +85,62 @@ def export(df: DataFrame, path: str, kind: str = "json") -> None:
         df.write.mode("overwrite").csv(path, header=True, quoteAll=True)
 
 
+MANIFEST = "batch string, folder string, rows long, columns array<string>, kind string, published timestamp"
+
+
+def publish_batch(df: DataFrame, path: str, batch: str, kind: str = "parquet", stem: str = "export") -> bool:
+    """Adds the rows as one batch to an export, visible as a whole or not at all; False if the batch is there already.
+
+    The rows go to a folder of their own with a time in its name; then a manifest names it with its count. Readers see
+    only what manifests list: a write that fails on the way leaves nothing visible, and a batch that is sent twice
+    counts once. Of manifests of the same batch (two writers at once) the earliest folder counts.
+    """
+    spark = df.sparkSession
+    listed = manifests(spark, path)
+    if listed is not None and listed.filter(F.col("batch") == batch).limit(1).count():
+        return False
+    folder = f"{stem}_{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}_{uuid.uuid4().hex[:8]}"
+    writer = df.write.mode("error")
+    {"csv": lambda w, at: w.csv(at, header=True, quoteAll=True), "json": lambda w, at: w.option("ignoreNullFields", "false").json(at), "parquet": lambda w, at: w.parquet(at)}[kind](writer, f"{path}/data/{folder}")
+    back = {"csv": lambda at: spark.read.csv(at, header=True), "json": lambda at: spark.read.json(at), "parquet": lambda at: spark.read.parquet(at)}[kind](f"{path}/data/{folder}")
+    row = spark.createDataFrame([(batch, folder, back.count(), df.columns, kind, datetime.now(timezone.utc))], MANIFEST)
+    row.coalesce(1).write.mode("append").json(f"{path}/manifests")
+    return True
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame | None:
+    """The batches of an export, one row each, or None before the first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    listed = spark.read.schema(MANIFEST).json(f"{path}/manifests")
+    return listed.groupBy("batch").agg(F.min_by(F.struct("folder", "rows", "columns", "kind", "published"), "folder").alias("m")).select("batch", "m.*")
+
+
+def read_published(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The rows of all batches that manifests list, with their ``batch``; an error if a batch's count doesn't hold.
+
+    ``schema`` is needed for text kinds whose columns shouldn't be told from the rows.
+    """
+    listed = manifests(spark, path)
+    if listed is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    rows = listed.orderBy("batch").collect()  # one row for each batch
+    kinds = {r["kind"] for r in rows}
+    if len(kinds) > 1:
+        raise ValueError(f"batches of kinds {sorted(kinds)} at {path}")
+    reader = spark.read.option("header", "true") if kinds == {"csv"} else spark.read.option("mergeSchema", "true")
+    reader = reader.schema(schema) if schema else reader
+    found = reader.format(kinds.pop()).load([f"{path}/data/{r['folder']}" for r in rows])
+    at = F.regexp_extract(F.col("_metadata.file_path"), r"/data/([^/]+)/", 1)
+    out = found.select("*", at.alias("_folder"))
+    counts = {r["_folder"]: r["n"] for r in out.groupBy("_folder").agg(F.count("*").alias("n")).collect()}
+    if wrong := [r["batch"] for r in rows if counts.get(r["folder"], 0) != r["rows"]]:
+        raise ValueError(f"batches {wrong} at {path} don't hold the rows that their manifests list")
+    names = F.create_map(*(F.lit(x) for r in rows for x in (r["folder"], r["batch"])))
+    return out.withColumn("batch", names[F.col("_folder")]).drop("_folder")
+
+
 def band_statistics(pixels: DataFrame, no_data: str = "no_data") -> DataFrame:
     """Statistics of raster bands from a table of blocks: band, no_data, values (array of double)."""
     v = pixels.select("band", F.col(no_data).alias("_none"), F.explode("values").alias("v"))
@@ -89,5 +148,3 @@ def band_statistics(pixels: DataFrame, no_data: str = "no_data") -> DataFrame:
     x = F.when(ok, F.col("v"))
     return v.groupBy("band").agg(F.count("*").alias("cells"), F.count(x).alias("valid"), F.count_if(~ok).alias("no_data"), F.min(x).alias("least"), F.max(x).alias("largest"), F.avg(x).alias("mean"))
 
-
-__all__ = ["band_statistics", "export", "file_encoding", "inventory", "load_many", "point", "read_table", "replace_source", "sniff_delimiter", "unique_names", "with_provenance"]

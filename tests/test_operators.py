@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import density, fusion, graph, matching, models, publish, quality, ranking, sweep
+from gridloom.operators import density, fitted, fusion, graph, matching, models, publish, quality, ranking, sweep
 from gridloom.sources import reports
 
 
@@ -234,3 +234,33 @@ def test_text_key_is_computed_once(spark):
     df = spark.createDataFrame([("  Ácme, Inc. ",), ("--",), (None,), ("OLD  name",)], "t string").select(text_key(F.col("t"), {"old name": "new", "x": "y"}).alias("k"))
     assert [r["k"] for r in df.collect()] == ["acme inc", None, None, "new"]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_fits_are_saved_loaded_and_applied_to_other_rows(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, "st"[i % 2], i % 3, None if i % 5 == 0 else float(a), None if i % 7 == 0 else float(b), float(a + 2 * b), 1.0) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "k long, state string, month int, a double, b double, c double, d double")
+    old, new = df.filter("k < 150"), df.filter("k >= 100").union(spark.createDataFrame([(900, "unseen", 9, None, None, 0.5, 2.0), (901, None, None, None, 1.0, 0.5, None)], df.schema))
+    imputer = fitted.fit_imputer(old, {"a": "weather", "b": "context", "d": "detection"}, "state", "month")
+    filled = imputer.apply(old)
+    fits = [imputer, fitted.fit_standard(filled, ["a", "b"]), fitted.fit_ranges(filled, ["c", "d"])]
+    fits.append(fitted.fit_components(fitted.apply_all(fits, old), ["a", "b", "c"], least=0.5))
+    fits.append(fitted.fit_map(fitted.apply_all(fits, old), ["PC1"], 3, 2, 3))
+    for i, f in enumerate(fits):
+        f.save(f"file://{tmp_path}/{i}")
+    loaded = [fitted.Fitted.load(spark, f"file://{tmp_path}/{i}") for i in range(len(fits))]
+    once, again = (sorted(map(str, fitted.apply_all(f, new).collect())) for f in (fits, loaded))
+    assert once == again and len(once) == 102
+    # one fit used on its own rows gives what the single step gives
+    assert sorted(map(str, imputer.apply(old).collect())) == sorted(map(str, models.impute(old, {"a": "weather", "b": "context", "d": "detection"}, "state", "month").select(*old.columns).collect()))
+    assert sorted(map(str, fits[1].apply(filled).collect())) == sorted(map(str, models.standardize(filled, ["a", "b"]).collect()))
+    ready = fitted.apply_all(fits[:3], old)
+    scores = {r["k"]: r["PC1"] for r in models.components(ready, ["a", "b", "c"], 1)[0].collect()}
+    assert {r["k"]: r["PC1"] for r in fits[3].apply(ready).collect()} == pytest.approx(scores)
+    medians = {(s, m): np.median([r[3] for r in rows[:150] if r[3] is not None and r[1] == s and r[2] == m]) for s in "st" for m in range(3)}
+    overall = np.median([r[3] for r in rows[:150] if r[3] is not None])
+    for r in imputer.apply(new).collect():
+        given = dict((x[0], x[3]) for x in rows).get(r["k"])
+        assert r["a"] == pytest.approx(given if given is not None else medians.get((r["state"], r["month"]), overall)) and r["d"] is not None
+    with pytest.raises(Exception):
+        fits[1].save(f"file://{tmp_path}/1")
