@@ -134,11 +134,11 @@ def year_mismatches(df: DataFrame, year: str, day: str) -> DataFrame:
     return df.agg(F.count_if(y.isNotNull() & F.col(day).isNotNull()).alias("compared"), F.count_if(y != F.year(day)).alias("different"))
 
 
-def cycle_of(name: Column) -> Column:
-    """The years a file name covers: ``2015-2020`` as ``2015_2020``, one year as itself."""
+def cycle_of(name: Column, default: str | None = None) -> Column:
+    """The years a file name covers: ``2015-2020`` as ``2015_2020``, one year as itself, ``default`` for a name without any."""
     both = F.regexp_extract(name, r"((?:19|20)\d{2})\D{1,3}((?:19|20)\d{2})", 0)
     a, b = F.regexp_extract(name, r"((?:19|20)\d{2})\D{1,3}((?:19|20)\d{2})", 1), F.regexp_extract(name, r"((?:19|20)\d{2})\D{1,3}((?:19|20)\d{2})", 2)
-    return F.when(both != "", F.concat_ws("_", a, b)).otherwise(F.nullif(F.regexp_extract(name, r"((?:19|20)\d{2})", 1), F.lit("")))
+    return F.when(both != "", F.concat_ws("_", a, b)).otherwise(F.coalesce(F.nullif(F.regexp_extract(name, r"((?:19|20)\d{2})", 1), F.lit("")), F.lit(default)))
 
 
 def coverage(df: DataFrame, date_names: list[str], year_names: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.ranking import fill_medians, medians
+from gridloom.operators.ranking import fill_medians, medians, quantiles
 
 
 def log_features(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -226,8 +226,9 @@ def cluster_profile(df: DataFrame, cluster: str, columns: list[str], flags: list
     return out.withColumn("share", F.try_divide("n", F.sum("n").over(Window.partitionBy(F.lit(1)))))  # one row for each cluster
 
 
-def feature_profile(df: DataFrame, cluster: str, columns: list[str]) -> DataFrame:
-    """Cluster against all rows for each feature, from mergeable sums: mean, difference, ratio, z and rank of |z|."""
+def feature_profile(df: DataFrame, cluster: str, columns: list[str], with_medians: bool = True) -> DataFrame:
+    """Cluster against all rows for each feature, from mergeable sums: mean, difference, ratio, z and rank of |z|; and both
+    medians, if asked for."""
     long = df.select(cluster, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([cluster], columns, "feature", "value").filter("value is not null")
     per = long.groupBy(cluster, "feature").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.var_pop("value").alias("spread"), F.min("value").alias("least"), F.max("value").alias("largest"))
     w = Window.partitionBy("feature")  # clusters x features rows
@@ -236,7 +237,14 @@ def feature_profile(df: DataFrame, cluster: str, columns: list[str]) -> DataFram
     per = per.withColumn("_off", mean - s / n)  # squares about the means: no difference of large sums
     deviation = F.sqrt(F.sum(F.col("n") * (F.col("spread") + F.col("_off") * F.col("_off"))).over(w) / F.nullif(n - 1, F.lit(0)))
     out = per.withColumns({"mean": mean, "global_mean": s / n, "difference": mean - s / n, "ratio": F.try_divide(mean, s / n), "z": F.try_divide(mean - s / n, deviation)})
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc(F.abs("z")), "feature"))).drop("spread", "_off")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc(F.abs("z")), "feature"))).drop("spread", "_off")
+    if not with_medians:
+        return out
+    middle = quantiles(df, columns, [[cluster], []], [0.5])  # a row for each cluster and feature
+    own = middle.filter("_level = 0").select(F.col(f"_g.`{cluster}`").alias("_own"), F.col("_c").alias("_f"), F.col("_q")[0].alias("median"))
+    whole = middle.filter("_level = 1").select(F.col("_c").alias("_w"), F.col("_q")[0].alias("global_median"))
+    out = out.join(own, F.col(cluster).eqNullSafe(F.col("_own")) & (F.col("feature") == F.col("_f")), "left").join(whole, F.col("feature") == F.col("_w"), "left")
+    return out.drop("_own", "_f", "_w")
 
 
 def distinguishing(profile: DataFrame, cluster: str, most: int = 8) -> DataFrame:

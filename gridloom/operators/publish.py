@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.dates import within
-from gridloom.operators.ranking import quantiles
+from gridloom.operators.ranking import quantiles, running_id
 
 LEVELS = ("low", "medium", "high")  # below the lower third, between, from the upper third on
 # Colour, order and use of a cluster by its levels of detections and events; then the names.
@@ -77,9 +77,18 @@ def features(df: DataFrame, lon: str, lat: str, properties: list[str], order: li
     return df.orderBy(*order).limit(most).select(F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
 
 
-def feature_collection(rows: DataFrame) -> DataFrame:
-    """One document of the features, whose number the service limits."""
-    return rows.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.lit("")).alias("h"), "feature").groupBy("h").agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("f")).select(F.concat("h", "f", F.lit("]}")).alias("document"))
+def feature_pages(df: DataFrame, lon: str, lat: str, properties: list[str], order: list[str], size: int = 5000) -> DataFrame:
+    """(page, n, document): all rows as GeoJSON documents of at most ``size`` features each, in a total order.
+
+    A page is as large as the service allows and no larger, so no task gathers more than that.
+    """
+    numbered = running_id(df, order, "_place")
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col(lon), F.col(lat)).alias("coordinates"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties")))
+    page = ((F.col("_place") - 1) / size).cast("long")
+    held = numbered.groupBy(page.alias("page")).agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("_place", feature.alias("feature")))).alias("f"))
+    body = F.array_join(F.transform("f", lambda x: x["feature"]), ",")
+    return held.select("page", "n", F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("document"))
 
 
 def in_period(year: Column, month: Column, day: Column, kind: str, value: tuple) -> Column:

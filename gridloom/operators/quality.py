@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.names import fresh
 from gridloom.operators.ranking import quantiles
 
 from gridloom.functions.geo import in_box
@@ -215,11 +216,11 @@ def check_values(df: DataFrame, name: str, but: list[str] | None = None) -> Data
     One aggregate over all columns; the columns that fail are named. An empty table has neither.
     """
     columns = [c for c in df.columns if c not in (but or [])]
-    text = lambda c: F.col(f"`{c}`").cast("string")
-    one = df.agg(F.count("*").alias("_rows"), *(F.struct(F.count(text(c)).alias("n"), F.min(text(c)).alias("least"), F.max(text(c)).alias("largest")).alias(c) for c in columns))
-    some = F.col("_rows") > 0
+    text, rows = (lambda c: F.col(f"`{c}`").cast("string")), fresh("_rows", columns)
+    one = df.agg(F.count("*").alias(rows), *(F.struct(F.count(text(c)).alias("n"), F.min(text(c)).alias("least"), F.max(text(c)).alias("largest")).alias(c) for c in columns))
+    some = F.col(rows) > 0
     empty = F.concat_ws(",", *(F.when(some & (F.col(f"`{c}`.n") == 0), c) for c in columns))
-    constant = F.concat_ws(",", *(F.when((F.col("_rows") > 1) & (F.col(f"`{c}`.n") == F.col("_rows")) & (F.col(f"`{c}`.least") == F.col(f"`{c}`.largest")), c) for c in columns))
+    constant = F.concat_ws(",", *(F.when((F.col(rows) > 1) & (F.col(f"`{c}`.n") == F.col(rows)) & (F.col(f"`{c}`.least") == F.col(f"`{c}`.largest")), c) for c in columns))
     row = lambda what, value, bad: F.struct(F.lit(f"{name}: {what}").alias("check"), value.alias("value"), F.when(value == "", "ok").otherwise(bad).alias("status"), F.lit("columns").alias("note"))
     return one.select(F.explode(F.array(row("columns without values", empty, "error"), row("columns of one value", constant, "warning"))).alias("c")).select("c.*")
 

@@ -99,7 +99,8 @@ def q_coverage(spark, sf):
 
 def q_cycles(spark, sf):
     n = F.concat(F.lit("inv_"), F.year("o_orderdate"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("-"), F.year("o_orderdate") + 5)).otherwise(F.lit("")), F.lit(".csv"))
-    return _orders(spark, sf).groupBy(D.cycle_of(n).alias("cycle")).agg(F.count("*").alias("n"))
+    n = F.when(F.col("o_orderkey") % 9 == 0, F.lit("inventory.csv")).otherwise(n)
+    return _orders(spark, sf).groupBy(D.cycle_of(n, "whole").alias("cycle")).agg(F.count("*").alias("n"))
 
 
 def q_coordinates(spark, sf):
@@ -153,7 +154,7 @@ ORACLES = {
   SELECT k AS o_orderkey, clock, strftime(d, '%Y-%m-%d') || ' ' || clock AS moment, duration, duration IS NOT NULL AS valid FROM t""",
     "clean_period": "SELECT 'inside' AS test, count(*) FILTER (CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31') AS n FROM orders UNION ALL SELECT 'outside', count(*) FILTER (CAST(o_orderdate AS DATE) NOT BETWEEN DATE '1995-01-01' AND DATE '1996-12-31') FROM orders UNION ALL SELECT 'compared', count(*) FROM orders UNION ALL SELECT 'different', count(*) FILTER (o_orderkey % 7 = 0) FROM orders",
     "clean_coverage": "SELECT 'anio' AS source, CAST(min(year(o_orderdate)) AS VARCHAR) AS first, CAST(max(year(o_orderdate)) AS VARCHAR) AS last, count(*) AS n FROM orders UNION ALL SELECT 'fecha', strftime(min(o_orderdate), '%Y-%m-%d'), strftime(max(o_orderdate), '%Y-%m-%d'), count(*) FROM orders UNION ALL SELECT 'fecha', 'detected', NULL, count(*) FROM orders",
-    "clean_cycles": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) || '_' || (year(o_orderdate) + 5) ELSE CAST(year(o_orderdate) AS VARCHAR) END AS cycle, count(*) AS n FROM orders GROUP BY 1",
+    "clean_cycles": "SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'whole' WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) || '_' || (year(o_orderdate) + 5) ELSE CAST(year(o_orderdate) AS VARCHAR) END AS cycle, count(*) AS n FROM orders GROUP BY 1",
     "clean_coordinates": """WITH c AS (SELECT c_custkey, CAST(c_custkey % 34 AS DOUBLE) AS deg, CAST(c_custkey % 60 AS DOUBLE) AS mi, CAST(c_custkey % 7 AS DOUBLE) AS sec FROM customer), d AS (SELECT *, deg + mi / 60 + sec / 3600 AS la, -(deg + 84 + mi / 60 + sec / 3600) AS lo FROM c),
   e AS (SELECT *, CASE WHEN la <> 0 THEN la END AS lat, CASE WHEN la <> 0 THEN lo END AS lon FROM d)
   SELECT c_custkey, round(lat, 6) AS lat, round(lon, 6) AS lon, coalesce(lat BETWEEN 14 AND 33 AND lon BETWEEN -119 AND -86, false) AS inside, round(lat, 6) AS fixed_lat, round(sqrt((lat - 23) * (lat - 23) + (lon + 102) * (lon + 102)), 6) AS away, coalesce(abs(lat - deg) <= 0.5, false) AS near, coalesce(lat = deg, false) AS same, round(sec * 100.0 / nullif(mi, 0), 4) AS share, 'lat' AS pair FROM e""",

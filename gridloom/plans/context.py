@@ -113,7 +113,7 @@ QUERIES = {"daily_contexts": q_daily_contexts, "state_matrix": q_state_matrix, "
 _D = "d AS (SELECT {g} AS place, CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"
 _I = "i AS (SELECT n_regionkey AS state, n_nationkey AS region, CAST(year(o_orderdate) AS VARCHAR) AS cycle, CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_custkey % 1000 AS DOUBLE) END AS price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 _LEVEL = lambda c: f"CASE WHEN {c} >= (SELECT quantile_cont({c}, 0.66) FROM p) THEN 'high' WHEN {c} >= (SELECT quantile_cont({c}, 0.33) FROM p) THEN 'medium' ELSE 'low' END"
-_S = "p AS (SELECT CAST(l_suppkey % 5 AS INTEGER) AS state, CAST(l_partkey % 7 AS INTEGER) AS cluster, avg(CAST(l_returnflag = 'R' AS INTEGER)) AS d, avg(CAST(l_linestatus = 'F' AS INTEGER)) AS e, avg(CAST(l_quantity > 25 AS INTEGER)) AS s FROM lineitem GROUP BY 1, 2), z(dl, el, colour, \"order\", usage, style, observed) AS (VALUES " + ", ".join(f"""('{d}', '{e}', '{c}', {o}, '{u}', '{n}', {f"'{w}'" if w else "CAST(NULL AS VARCHAR)"})""" for d, e, c, o, u, n, w in P.STYLE_ROWS) + f"), c AS (SELECT *, {_LEVEL('d')} AS dl, {_LEVEL('e')} AS el, {_LEVEL('s')} AS sl FROM p), k AS (SELECT c.*, z.colour, z.\"order\", z.usage, coalesce(CASE WHEN sl = 'high' THEN z.observed END, z.style) AS name FROM c JOIN z USING (dl, el))"
+_S = "p AS (SELECT CAST(l_suppkey % 5 AS INTEGER) AS state, CAST(l_partkey % 7 AS INTEGER) AS cluster, avg(CAST(l_returnflag = 'R' AS INTEGER)) AS d, avg(CAST(l_linestatus = 'F' AS INTEGER)) AS e, avg(CAST(l_quantity > 25 AS INTEGER)) AS s FROM lineitem GROUP BY 1, 2), z(dl, el, colour, \"order\", usage, style, observed) AS (VALUES ('high', 'high', '#B91C1C', 1, 'first in maps, filters and details', 'much activity, confirmed by events', CAST(NULL AS VARCHAR)), ('high', 'medium', '#EA580C', 2, 'first in maps, filters and details', 'much activity, few events', CAST(NULL AS VARCHAR)), ('high', 'low', '#EA580C', 2, 'first in maps, filters and details', 'much activity, few events', CAST(NULL AS VARCHAR)), ('medium', 'high', '#D97706', 3, 'first in maps, filters and details', 'some activity, many events', CAST(NULL AS VARCHAR)), ('medium', 'medium', '#D97706', 3, 'comparison over space and time', 'some activity', CAST(NULL AS VARCHAR)), ('medium', 'low', '#D97706', 3, 'comparison over space and time', 'some activity', CAST(NULL AS VARCHAR)), ('low', 'high', '#2563EB', 4, 'first in maps, filters and details', 'little activity', 'little activity, well observed'), ('low', 'medium', '#2563EB', 4, 'background', 'little activity', 'little activity, well observed'), ('low', 'low', '#2563EB', 4, 'background', 'little activity', 'little activity, well observed')" + f"), c AS (SELECT *, {_LEVEL('d')} AS dl, {_LEVEL('e')} AS el, {_LEVEL('s')} AS sl FROM p), k AS (SELECT c.*, z.colour, z.\"order\", z.usage, coalesce(CASE WHEN sl = 'high' THEN z.observed END, z.style) AS name FROM c JOIN z USING (dl, el))"
 ORACLES = {
     "daily_contexts": f"WITH {_D.format(g='n_nationkey')}, s AS (SELECT s_nationkey AS place, count(*) AS suppliers FROM supplier GROUP BY 1) SELECT place, strftime(day, '%Y-%m-%d') AS day, orders, n_name AS name, suppliers FROM d LEFT JOIN nation ON place = n_nationkey LEFT JOIN s USING (place)",
     "state_matrix": f"WITH {_D.format(g='n_regionkey')} SELECT place, strftime(day, '%Y-%m-%d') AS day, orders, month(day) AS month, weekofyear(day) AS week, CAST(month(day) <= 6 AS INTEGER) AS first_half, round(ln(1 + orders), 6) AS log_orders, r_name AS name FROM d LEFT JOIN region ON place = r_regionkey",

@@ -159,11 +159,11 @@ def q_cluster_profile(spark, sf):
 
 def q_feature_profile(spark, sf):
     out = M.feature_profile(_items(spark, sf), "cluster", FEATURES)
-    return out.select("cluster", "feature", "n", F.round("mean", 5).alias("mean"), F.round("global_mean", 5).alias("global_mean"), F.round("ratio", 5).alias("ratio"), F.round("z", 5).alias("z"), F.round("least", 3).alias("least"), F.round("largest", 3).alias("largest"))
+    return out.select("cluster", "feature", "n", F.round("mean", 5).alias("mean"), F.round("global_mean", 5).alias("global_mean"), F.round("ratio", 5).alias("ratio"), F.round("z", 5).alias("z"), F.round("median", 5).alias("median"), F.round("global_median", 5).alias("global_median"), F.round("least", 3).alias("least"), F.round("largest", 3).alias("largest"))
 
 
 def q_report(spark, sf):
-    return M.distinguishing(M.feature_profile(_items(spark, sf), "cluster", FEATURES), "cluster", 2)
+    return M.distinguishing(M.feature_profile(_items(spark, sf), "cluster", FEATURES, False), "cluster", 2)
 
 
 def q_distribution(spark, sf):
@@ -172,14 +172,14 @@ def q_distribution(spark, sf):
 
 
 def q_matrix(spark, sf):
-    out = M.profile_matrix(M.feature_profile(_items(spark, sf), "cluster", FEATURES), "cluster", FEATURES)
+    out = M.profile_matrix(M.feature_profile(_items(spark, sf), "cluster", FEATURES, False), "cluster", FEATURES)
     return out.select("cluster", *(F.round(c, 4).alias(c) for c in FEATURES))
 
 
 QUERIES = {"log_features": q_logs, "impute_families": q_impute, "standardize": q_standard, "fitted_models": q_fitted, "component_variance": q_variance, "component_loadings": q_loadings, "component_scores": q_scores, "som_nodes": q_som, "som_errors": q_som_errors, "node_clusters": q_node_clusters, "configurations": q_configurations, "density_clusters": q_density, "density_grid": q_density_grid, "cluster_profile": q_cluster_profile, "feature_profile": q_feature_profile, "profile_report": q_report, "cluster_distribution": q_distribution, "profile_matrix": q_matrix}
 _I = "i AS (SELECT CAST(l_suppkey % 9 AS INTEGER) AS cluster, CAST(l_suppkey % 5 AS INTEGER) AS state, CAST(l_shipdate AS DATE) AS day, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, CAST(l_returnflag = 'R' AS INTEGER) AS has_return FROM lineitem)"
-_FP = f"""{_I}, u AS (SELECT cluster, unnest(['quantity', 'price', 'discount', 'tax']) AS feature, unnest([quantity, price, discount, tax]) AS v FROM i), g AS (SELECT feature, avg(v) AS gm, stddev_samp(v) AS sd FROM u GROUP BY 1),
-c AS (SELECT cluster, u.feature, count(*) AS n, avg(v) AS m, min(v) AS least, max(v) AS largest FROM u GROUP BY 1, 2), f AS (SELECT c.*, gm, m / gm AS ratio, (m - gm) / sd AS z FROM c JOIN g ON g.feature = c.feature)"""
+_FP = f"""{_I}, u AS (SELECT cluster, unnest(['quantity', 'price', 'discount', 'tax']) AS feature, unnest([quantity, price, discount, tax]) AS v FROM i), g AS (SELECT feature, avg(v) AS gm, stddev_samp(v) AS sd, quantile_cont(v, 0.5) AS gq FROM u GROUP BY 1),
+c AS (SELECT cluster, u.feature, count(*) AS n, avg(v) AS m, min(v) AS least, max(v) AS largest, quantile_cont(v, 0.5) AS q FROM u GROUP BY 1, 2), f AS (SELECT c.*, gm, gq, m / gm AS ratio, (m - gm) / sd AS z FROM c JOIN g ON g.feature = c.feature)"""
 _GRID = """WITH RECURSIVE d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(len(embedding) // 2 AS BIGINT) AS h FROM embeddings), v AS (SELECT vec_id, round(coalesce(list_sum(e[1:h]), 0), 6) AS x, round(coalesce(list_sum(e[h + 1:]), 0), 6) AS y FROM d),
   s AS (SELECT * FROM (VALUES (CAST(0.1 AS DOUBLE)), (0.25)) AS e(eps), (VALUES (CAST(4 AS DOUBLE)), (8)) AS l(least)), two AS (SELECT p.vec_id AS a, q.vec_id AS b, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) AS d FROM v AS p, v AS q),
   near AS (SELECT eps, least, a, b FROM two, s WHERE d <= eps * eps), core AS (SELECT eps, least, a FROM near GROUP BY 1, 2, 3 HAVING count(*) >= least),
@@ -216,7 +216,7 @@ ORACLES = {
   edge AS (SELECT n.a, min(c) AS c FROM near AS n JOIN own ON own.a = n.b GROUP BY n.a), raw AS (SELECT vec_id, coalesce(own.c, edge.c, -1) AS c FROM v LEFT JOIN own ON own.a = vec_id LEFT JOIN edge ON edge.a = vec_id),
   k AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) AS label FROM raw WHERE c <> -1 GROUP BY c) SELECT vec_id, CAST(coalesce(label, -1) AS INTEGER) AS label FROM raw LEFT JOIN k ON k.c = raw.c""",
     "cluster_profile": f"WITH {_I} SELECT cluster, count(*) AS n, count(DISTINCT state) AS n_states, strftime(min(day), '%Y-%m-%d') AS first, strftime(max(day), '%Y-%m-%d') AS last, round(avg(has_return), 6) AS has_return_rate, round(avg(quantity), 4) AS quantity_mean, round(quantile_cont(quantity, 0.5), 4) AS quantity_median, round(avg(price), 4) AS price_mean, round(quantile_cont(price, 0.5), 4) AS price_median, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM i GROUP BY cluster",
-    "feature_profile": f"WITH {_FP} SELECT cluster, feature, n, round(m, 5) AS mean, round(gm, 5) AS global_mean, round(ratio, 5) AS ratio, round(z, 5) AS z, round(least, 3) AS least, round(largest, 3) AS largest FROM f",
+    "feature_profile": f"WITH {_FP} SELECT cluster, feature, n, round(m, 5) AS mean, round(gm, 5) AS global_mean, round(ratio, 5) AS ratio, round(z, 5) AS z, round(q, 5) AS median, round(gq, 5) AS global_median, round(least, 3) AS least, round(largest, 3) AS largest FROM f",
     "profile_report": f"WITH {_FP}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, feature) AS r FROM f) SELECT cluster, string_agg(printf('%s (z=%.2f)', feature, z), '; ' ORDER BY r) AS features FROM r WHERE r <= 2 GROUP BY 1",
     "cluster_distribution": f"WITH {_I} SELECT cluster, 'state' AS by, state AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY cluster), 6) AS share FROM i GROUP BY cluster, state UNION ALL SELECT cluster, 'month', CAST(month(day) AS INTEGER), count(*), round(count(*) / sum(count(*)) OVER (PARTITION BY cluster), 6) FROM i GROUP BY cluster, month(day)",
     "profile_matrix": f"WITH {_I} SELECT cluster, " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in FEATURES) + " FROM i GROUP BY 1",

@@ -61,8 +61,11 @@ def q_map(spark, sf):
 
 def q_collection(spark, sf):
     c = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 180).alias("lon"), (F.col("s_suppkey") % 90).alias("lat"))
-    doc = P.feature_collection(P.features(c, "lon", "lat", ["s_suppkey"], ["s_suppkey"], 5))
-    return doc.select(F.get_json_object("document", "$.type").alias("type"), F.size(F.from_json(F.get_json_object("document", "$.features"), "array<string>")).alias("n"))
+    """All suppliers as documents of 40 features, read back: place in the page, key and coordinates."""
+    doc = P.feature_pages(c, "lon", "lat", ["s_suppkey"], ["s_suppkey"], 40)
+    parsed = F.from_json("document", "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:array<double>>,properties:struct<s_suppkey:bigint>>>")
+    rows = doc.select("page", "n", parsed.alias("d")).select("page", "n", "d.type", F.posexplode("d.features").alias("place", "f"))
+    return rows.select("page", "n", "type", "place", F.col("f.geometry.type").alias("shape"), F.col("f.properties.s_suppkey").alias("s_suppkey"), F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"))
 
 
 def q_periods(spark, sf):
@@ -87,7 +90,15 @@ QUERIES = {"cluster_catalog": q_catalog, "publication_table": q_app, "key_alignm
 _C = """p AS (SELECT CAST(l_suppkey % 7 AS INTEGER) AS cluster, avg(CAST(l_returnflag = 'R' AS INTEGER)) AS d, avg(CAST(l_linestatus = 'F' AS INTEGER)) AS e, avg(CAST(l_quantity > 25 AS INTEGER)) AS s FROM lineitem GROUP BY 1),
 c AS (SELECT *, CASE WHEN d >= (SELECT quantile_cont(d, 0.66) FROM p) THEN 'high' WHEN d >= (SELECT quantile_cont(d, 0.33) FROM p) THEN 'medium' ELSE 'low' END AS dl, CASE WHEN e >= (SELECT quantile_cont(e, 0.66) FROM p) THEN 'high' WHEN e >= (SELECT quantile_cont(e, 0.33) FROM p) THEN 'medium' ELSE 'low' END AS el,
   CASE WHEN s >= (SELECT quantile_cont(s, 0.66) FROM p) THEN 'high' WHEN s >= (SELECT quantile_cont(s, 0.33) FROM p) THEN 'medium' ELSE 'low' END AS sl FROM p),
-z(dl, el, colour, "order", usage, style, observed) AS (VALUES """ + ", ".join(f"""('{d}', '{e}', '{c}', {o}, '{u}', '{n}', {f"'{w}'" if w else "CAST(NULL AS VARCHAR)"})""" for d, e, c, o, u, n, w in P.STYLE_ROWS) + """),
+z(dl, el, colour, "order", usage, style, observed) AS (VALUES ('high', 'high', '#B91C1C', 1, 'first in maps, filters and details', 'much activity, confirmed by events', CAST(NULL AS VARCHAR)),
+  ('high', 'medium', '#EA580C', 2, 'first in maps, filters and details', 'much activity, few events', CAST(NULL AS VARCHAR)),
+  ('high', 'low', '#EA580C', 2, 'first in maps, filters and details', 'much activity, few events', CAST(NULL AS VARCHAR)),
+  ('medium', 'high', '#D97706', 3, 'first in maps, filters and details', 'some activity, many events', CAST(NULL AS VARCHAR)),
+  ('medium', 'medium', '#D97706', 3, 'comparison over space and time', 'some activity', CAST(NULL AS VARCHAR)),
+  ('medium', 'low', '#D97706', 3, 'comparison over space and time', 'some activity', CAST(NULL AS VARCHAR)),
+  ('low', 'high', '#2563EB', 4, 'first in maps, filters and details', 'little activity', 'little activity, well observed'),
+  ('low', 'medium', '#2563EB', 4, 'background', 'little activity', 'little activity, well observed'),
+  ('low', 'low', '#2563EB', 4, 'background', 'little activity', 'little activity, well observed')),
 k AS (SELECT c.*, z.colour, z."order", z.usage, coalesce(CASE WHEN sl = 'high' THEN z.observed END, z.style) AS name FROM c JOIN z USING (dl, el))"""
 _F = """ev AS (SELECT c_nationkey AS region, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), de AS (SELECT s_nationkey AS region, CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
 st AS (SELECT CAST(user_id % 25 AS INTEGER) AS region, CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2), u AS (SELECT region, day FROM ev UNION SELECT region, day FROM de UNION SELECT region, day FROM st),
@@ -102,7 +113,7 @@ ORACLES = {
   SELECT CASE i WHEN 15 THEN 'cluster' WHEN 19 THEN 'year_month' WHEN 29 THEN 'state' WHEN 30 THEN 'region' WHEN 13 THEN 'state_cluster' ELSE 'region_cluster' END AS grain, cluster, year, month, state, region, n, CAST(e AS BIGINT) AS events, CAST(d AS BIGINT) AS detections FROM g""",
     "service_search": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' AND regexp_matches(o_orderpriority, '(?i)HIGH|urgent') AND o_totalprice BETWEEN 50000 AND 200000 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1994-01-01' AND DATE '1995-06-30'",
     "service_map": """SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || o_custkey % 180 || ',' || o_custkey % 90 || ']},"properties":{"o_orderkey":' || o_orderkey || '}}' AS feature FROM orders WHERE o_orderstatus = 'O' ORDER BY round(o_totalprice, 2) DESC, o_orderkey LIMIT 5000""",
-    "feature_collection": "SELECT 'FeatureCollection' AS type, CAST(least(5, count(*)) AS INTEGER) AS n FROM supplier",
+    "feature_collection": "WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS k FROM supplier) SELECT k // 40 AS page, CAST(count(*) OVER (PARTITION BY k // 40) AS INTEGER) AS n, 'FeatureCollection' AS type, CAST(k % 40 AS INTEGER) AS place, 'Point' AS shape, s_suppkey, CAST(s_suppkey % 180 AS DOUBLE) AS lon, CAST(s_suppkey % 90 AS DOUBLE) AS lat FROM r",
     "period_totals": " UNION ALL ".join(f"SELECT '{lv}' AS level, '{k}' AS period, count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders JOIN customer ON o_custkey = c_custkey WHERE {c} AND {l}" for lv, l in _LEVEL.items() for k, c in _PERIOD.items()),
     "manifest": "SELECT 'orders' AS name, count(*) AS rows, 6 AS columns FROM orders UNION ALL SELECT 'customer', count(*), 5 FROM customer UNION ALL SELECT 'events', count(*), 6 FROM events UNION ALL SELECT 'documents', count(*), 5 FROM documents",
 }

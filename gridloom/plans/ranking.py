@@ -98,10 +98,10 @@ def q_union(spark, sf):
 
 
 def q_sorted(spark, sf):
-    """The first 50 rows of a sort of several keys, nulls last, as places."""
+    """The place of every row in a sort of several keys, nulls last."""
     o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")).alias("status"), "o_totalprice")
-    first = o.orderBy(F.asc_nulls_last("status"), F.desc("o_totalprice"), "o_orderkey").limit(50)
-    return rounded(first, o_totalprice=2)
+    placed = R.running_id(o, [F.asc_nulls_last("status"), F.desc("o_totalprice"), F.col("o_orderkey")], "place")
+    return rounded(placed, o_totalprice=2)
 
 
 QUERIES = {
@@ -147,5 +147,5 @@ ORACLES = {
   SELECT event_id, event_type FROM (SELECT event_id, e.event_type, quota, row_number() OVER (PARTITION BY e.event_type ORDER BY md5(CAST(event_id AS VARCHAR))) AS k FROM e JOIN p ON p.event_type = e.event_type) WHERE k <= quota""",
     "hash_sample": f"WITH {_E} SELECT event_id, user_id FROM e WHERE substr(md5(CAST(user_id AS VARCHAR)), 1, 8) < '{int(0.2 * 2**32):08x}'",
     "union_distinct": "SELECT DISTINCT NULL AS kind, c_nationkey AS nation, c_mktsegment AS segment FROM customer UNION ALL SELECT DISTINCT 'supplier', s_nationkey, NULL FROM supplier",
-    "multi_key_sort": "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status, o_totalprice FROM orders) SELECT o_orderkey, status, round(o_totalprice, 2) AS o_totalprice FROM o ORDER BY status NULLS LAST, o_totalprice DESC, o_orderkey LIMIT 50",
+    "multi_key_sort": "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status, o_totalprice FROM orders) SELECT o_orderkey, status, round(o_totalprice, 2) AS o_totalprice, row_number() OVER (ORDER BY status NULLS LAST, o_totalprice DESC, o_orderkey) AS place FROM o",
 }
