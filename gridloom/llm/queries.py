@@ -88,6 +88,44 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: crc32 is linear: a hash is the xor of what each byte leaves behind with the bytes that follow it taken as zero, and of a constant for the length.
+OP13_SQL = """
+WITH RECURSIVE b AS (
+  SELECT i AS byte, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS r(i)
+), raw AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), occ AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM raw GROUP BY 1, 2
+), msg AS (
+  SELECT row_number() OVER () AS id, w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS h FROM occ
+), k(k, byte, v) AS (
+  SELECT 0, byte, v FROM b UNION ALL SELECT k.k + 1, k.byte, xor(k.v >> 8, b.v) FROM k JOIN b ON b.byte = k.v & 255 WHERE k.k < (SELECT max(length(h)) // 2 FROM msg)
+), z(len, v) AS (
+  SELECT 0, 4294967295 UNION ALL SELECT z.len + 1, xor(z.v >> 8, b.v) FROM z JOIN b ON b.byte = z.v & 255 WHERE z.len < (SELECT max(length(h)) // 2 FROM msg)
+), bytes AS (
+  SELECT id, w, n, length(h) // 2 AS len, p, CAST('0x' || substr(h, 2 * p + 1, 2) AS BIGINT) AS byte FROM (SELECT *, unnest(range(length(h) // 2)) AS p FROM msg)
+), hashed AS (
+  SELECT any_value(w) AS w, any_value(n) AS n, xor(xor(bit_xor(k.v), any_value(z.v)), 4294967295) AS h FROM bytes JOIN k ON k.byte = bytes.byte AND k.k = len - 1 - p JOIN z ON z.len = bytes.len GROUP BY id
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3
+), gone AS (
+  SELECT word, left(word, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT x.word, y.word AS other FROM gone AS x JOIN gone AS y ON y.head = x.head AND y.tail = x.tail AND y.word <> x.word
+  UNION SELECT g.word, w.word FROM gone AS g JOIN words AS w ON w.word = g.head || g.tail
+  UNION SELECT w.word, g.word FROM gone AS g JOIN words AS w ON w.word = g.head || g.tail
+), best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(o.word, (-o.n, o.word)) AS other, max(o.n) AS other_n FROM near JOIN words AS o ON o.word = near.other GROUP BY 1
+), form AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM words AS w LEFT JOIN best ON best.word = w.word
+), up(word, root) AS (
+  SELECT word, form FROM form WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form FROM up JOIN form AS f ON f.word = up.root WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT up.word, up.root FROM up JOIN form AS f ON f.word = up.root WHERE f.form IS NULL
+)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM form AS f LEFT JOIN ends ON ends.word = f.word
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
@@ -104,4 +142,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_toxicity": op12_toxicity,
     "op13_spelling": op13_spelling,
 }
-ORACLES: dict[str, str] = {"op8_exact_top_k": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_exact_top_k": OP8_SQL, "op13_spelling": OP13_SQL}

@@ -202,3 +202,10 @@ def test_hash_by_the_table():
     for w in ("a", "word", "é" * 20):
         raw = w.encode()
         assert [int(moved[k, len(raw)]) ^ zlib.crc32(raw) for k in range(3)] == [zlib.crc32(raw, int(h)) for h in heads]
+
+
+def test_variants_equal_sql(spark):
+    from gridloom.llm.queries import OP13_SQL
+    from tests.compare import connection, differences
+
+    assert differences(spark, connection(SF), SF, op13_spelling, OP13_SQL) == ""
