@@ -56,7 +56,7 @@ def quantiles(df: DataFrame, columns: list[str], levels: list[list[str]], probab
     else:
         counts = counts.select(F.lit(0).alias("_level"), group(levels[0]).alias("_g"), "_c", "_v", "_n")
     by = ["_level", "_g", "_c"]
-    placed = staged(staged(counts, "counts").repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id()), "ranges")
+    placed = staged(counts.repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id()), "ranges")
     sums = placed.groupBy("_p", *by).agg(F.sum("_n").alias("_in"))
     whole = Window.partitionBy(*by)  # a row for each range and group in it
     sums = sums.withColumns({"_total": F.sum("_in").over(whole), "_before": F.sum("_in").over(whole.orderBy("_p")) - F.col("_in")})
