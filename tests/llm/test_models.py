@@ -128,7 +128,7 @@ def test_ftrl_keeps_what_tells_and_drops_the_rest():
         bias, w = toxicity.ftrl(rows, labels, 60, l1=l1)
         zeros.append(int((w == 0).sum()))
         assert w.argmax() == 4 and w[4] > 3 and bias < 0
-    assert zeros == sorted(zeros) and zeros[0] == 0 and zeros[2] > 45
+    assert zeros[0] == 0 < zeros[1] < zeros[2]  # the stronger the term, the fewer weights
 
 
 def brute(rows, least=5, most=3):
