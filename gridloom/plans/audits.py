@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gridloom.functions.dates import day_first
@@ -13,7 +11,7 @@ from gridloom.operators import registry as G
 from gridloom.plans.fusion import rounded
 from gridloom.plans.tables import iso, table
 from gridloom.sources import files as S
-from gridloom.staging import stage_root
+from gridloom.staging import scratch
 
 HIGH, MEDIUM = ("high", "medium")
 # finding, columns, test, arguments, severities by share
@@ -85,7 +83,7 @@ def q_value_checks(spark, sf):
 
 def q_published(spark, sf):
     """Orders published in batches of priorities; one batch is sent twice, and a folder without a manifest is no part."""
-    at = f"{stage_root(spark)}/published-{uuid.uuid4().hex}"
+    at = scratch(spark, "published")
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     for p in ("1-URGENT", "2-HIGH", "1-URGENT"):
         S.publish_batch(o.filter(F.col("o_orderpriority") == p), at, p, "parquet", "orders")
@@ -151,7 +149,7 @@ def q_historical(spark, sf):
 
 def q_reread(spark, sf):
     """The common registry written as text with broken letters and lost keys, read back and resolved anew."""
-    at = f"{stage_root(spark)}/registry-{uuid.uuid4().hex}"
+    at = scratch(spark, "registry")
     states, regions = (t.withColumns({c: F.col(c).cast("string") for c in t.columns}) for t in _catalogs(spark, sf))
     named = _common(spark, sf).withColumns({c: F.col(c).cast("string") for c in ("state", "region")}).join(regions.select("region", "region_name"), "region", "left").join(states, "state", "left")
     lost = F.coalesce(F.col("year") % 2 == 0, F.lit(False))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gridloom.operators.quality import profile
@@ -11,11 +9,11 @@ from gridloom.plans.fusion import rounded
 from gridloom.plans.tables import table
 from gridloom.sources import files as S
 from gridloom.sources import reports as R
-from gridloom.staging import stage_root
+from gridloom.staging import scratch
 
 
 def _folder(spark, name: str) -> str:
-    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def q_delimited(spark, sf):

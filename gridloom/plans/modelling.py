@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gridloom.operators import density as D
@@ -12,7 +10,7 @@ from gridloom.operators import models as M
 from gridloom.operators.ranking import cumulative, rank_loadings, renumber
 from gridloom.plans.fusion import rounded
 from gridloom.plans.tables import iso, table
-from gridloom.staging import stage_root, staged
+from gridloom.staging import scratch, staged
 
 FEATURES = ["quantity", "price", "discount", "tax"]
 EPS, LEAST = [0.1, 0.25], [4, 8]
@@ -55,7 +53,7 @@ def q_fitted(spark, sf):
     imputer = S.fit_imputer(before, {"quantity": "weather", "price": "context", "discount": "other", "tax": "detection"}, "state", "month")
     filled = imputer.apply(before)
     fits = [imputer, S.fit_standard(filled, ["quantity", "price"]), S.fit_ranges(filled, ["discount"])]
-    root = f"{stage_root(spark)}/fits-{uuid.uuid4().hex}"
+    root = scratch(spark, "fits")
     for i, fit in enumerate(fits):
         fit.save(f"{root}/{i}")
     out = S.apply_all([S.Fitted.load(spark, f"{root}/{i}") for i in range(len(fits))], rows)

@@ -64,6 +64,14 @@ def staged(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for files that go when the application ends; nothing is there yet."""
+    at, files = _path(spark, f"{stage_root(spark)}/scratch-{uuid.uuid4().hex}")
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{at}/{name}"
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes the files of staged tables that no plan will read again."""
     for t in tables:
