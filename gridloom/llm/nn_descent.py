@@ -3,8 +3,10 @@
 The graph starts from the leaves of random projection trees: vectors sorted by the signs of random projections, cut into
 runs of LEAF rows. Each round then joins every node's neighbours, forward and reverse, with their vectors, compares the
 neighbours of a node with each other where one of them is new, and merges what is nearer into their lists, until few
-lists change. A query starts at its own node; each round expands the best unexpanded nodes of its list by a join with
-the graph, over forward and reverse edges.
+lists change. Reverse edges of a node that many list are cut to a few within each task, before they meet and before
+vectors join them. A query starts at its own node; each round expands the best unexpanded nodes of its list by a join
+with the graph, over forward and reverse edges, until as many as PATIENCE expanded nodes brought nothing to its k best:
+hard queries search longer, so recall doesn't hang on a fixed number of rounds.
 
 Largest inner product becomes least distance by one more component, sqrt(limit^2 - norm^2), less the limit, which
 changes no distance and keeps small numbers exact. The HEADS vectors of largest norm don't count for the limit, which is
@@ -33,10 +35,13 @@ TREES, LEAF, PROJECTIONS, SEED = 6, 64, 48, 5
 SAMPLED = 64  # neighbours of a node that a round compares
 #: Rounds end when less than this share of all list entries is new, or after MOST_ROUNDS.
 FEW, MOST_ROUNDS = 0.1, 12
-LIST, BEAM, SEARCH_ROUNDS = 256, 128, 10
+#: A query keeps LIST found nodes, expands BEAM of them in a round, and ends once PATIENCE expanded ones brought nothing
+#: to its k best; RESCORED of the list are scored anew on the original vectors.
+LIST, BEAM, PATIENCE, RESCORED = 2_048, 128, 256, 256
 QUERY_BLOCK = 4_096
 HEADS = 64
 EDGES = "a long, b long, s double, fresh boolean"
+SEARCHED = "q long, gid long, s double, expanded boolean, found long, spent long"
 
 
 def best_edges(edges: DataFrame, degree: int) -> DataFrame:
@@ -56,6 +61,28 @@ def best_edges(edges: DataFrame, degree: int) -> DataFrame:
     return edges.repartition("a").sortWithinPartitions("a").mapInArrow(run, EDGES)
 
 
+def first_of_each(rows: DataFrame, key: str, order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each key, by ``order``, sorted so; each task cuts its own before they meet.
+
+    A key of any number of rows brings ``most`` from each task, and passes as a stream that holds only a count.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, 0
+        for b in batches:
+            if b.num_rows:
+                keys = b.column(key).to_numpy()
+                at = starts(keys)
+                rank = np.arange(len(keys)) - np.repeat(at[:-1], np.diff(at))
+                if keys[0] == last:
+                    rank[: at[1]] += seen
+                last, seen = keys[-1], int(rank[-1]) + 1
+                yield b.filter(pa.array(rank < most))
+
+    some = rows.sortWithinPartitions(key, *order).mapInArrow(cut, rows.schema)
+    return some.repartition(key).sortWithinPartitions(key, *order).mapInArrow(cut, rows.schema)
+
+
 def coded(vectors: DataFrame, limit: float, scale: float) -> DataFrame:
     """(gid, code): the extended vector times ``scale``, in float32; ``limit`` is the largest squared norm below the heads."""
 
@@ -135,7 +162,8 @@ def descend(edges: DataFrame, codes: DataFrame, degree: int, sampled: int, turn:
     the sampling is the method's.
     """
     own = edges.select(F.col("a").alias("v"), F.col("b").alias("nbr"), "fresh", F.lit(0).alias("reverse"))
-    reverse = edges.select(F.col("b").alias("v"), F.col("a").alias("nbr"), "fresh", F.lit(1).alias("reverse"))
+    listing = edges.select(F.col("b").alias("v"), F.col("a").alias("nbr"), "fresh", F.lit(1).alias("reverse"))
+    reverse = first_of_each(listing, "v", [F.xxhash64("nbr", F.lit(turn)), "nbr"], sampled)
     worst = edges.groupBy("a").agg(F.when(F.count("*") >= degree, F.min("s")).alias("worst"))
     nodes = codes.join(worst, codes["gid"] == worst["a"], "left").select(F.col("gid").alias("nbr"), "code", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
     around = own.union(reverse).join(nodes, "nbr").select("v", "nbr", "fresh", "reverse", "code", "worst")
@@ -168,7 +196,7 @@ def descend(edges: DataFrame, codes: DataFrame, degree: int, sampled: int, turn:
     return best_edges(edges.withColumn("fresh", F.lit(False)).union(found), degree)
 
 
-def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors: DataFrame, k: int, heads: list[int], scale: float, size: int, beam: int, rounds: int) -> DataFrame:
+def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors: DataFrame, k: int, heads: list[int], scale: float, size: int, beam: int, patience: int) -> DataFrame:
     """Greedy search for the queries of one block, whose vectors every task gets."""
     rows = asked.collect()
     ids = np.array([r["query_id"] for r in rows], np.int64)
@@ -184,7 +212,7 @@ def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors:
             for at in range(0, len(asking), 65_536):
                 part, row = asking[at : at + 65_536], of[at : at + 65_536]
                 s = np.einsum("ij,ij->i", q[part], code[row])
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(gid[row]), pa.array(s), pa.array(np.zeros(len(part), bool))], ["q", "gid", "s", "expanded"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, gid[row], s, np.zeros(len(part), bool), np.full(len(part), -1), np.zeros(len(part), np.int64))], ["q", "gid", "s", "expanded", "found", "spent"])
 
     def unmet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The neighbours of a query's turn that are not in its list."""
@@ -196,38 +224,46 @@ def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x for x, _ in kept], [len(y) for _, y in kept]), pa.int64()), pa.array(np.concatenate([y for _, y in kept]), pa.int64())], ["q", "gid"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The list of each query; of the unexpanded nodes in it the best ``beam`` come next."""
+        """The list of each query; of the unexpanded nodes in it the best ``beam`` come next, if the query goes on.
+
+        ``spent`` counts the nodes that a query expanded, and ``found`` is that count when it met a node.
+        """
         for t in sorted_runs(batches, "q"):
-            qs, gid, s, done = (t.column(i).to_numpy() for i in range(4))
-            o = np.lexsort((~done, gid, qs))
+            qs, gid, s, done, found, spent = (t.column(i).to_numpy() for i in range(6))
+            o = np.lexsort((-found, gid, qs))
             o = o[np.append(True, (qs[o][1:] != qs[o][:-1]) | (gid[o][1:] != gid[o][:-1]))]
             o = o[np.lexsort((gid[o], -s[o], qs[o]))]
             at = starts(qs[o])
-            o = o[np.arange(len(o)) - np.repeat(at[:-1], np.diff(at)) < size]
+            so_far = np.repeat(np.maximum.reduceat(spent[o], at[:-1]), np.diff(at))
+            rank = np.arange(len(o)) - np.repeat(at[:-1], np.diff(at))
+            keep = rank < size
+            o, so_far, rank = o[keep], so_far[keep], rank[keep]
             at = starts(qs[o])
+            lengths = np.diff(at)
+            met = np.where(found[o] < 0, so_far, found[o])
+            better = np.repeat(np.maximum.reduceat(np.where(rank <= k, met, 0), at[:-1]), lengths)
             waiting = np.cumsum(~done[o])
-            before = np.repeat(waiting[at[:-1]] - ~done[o][at[:-1]], np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qs[o], gid[o], s[o], done[o], ~done[o] & (waiting - before <= beam))], ["q", "gid", "s", "expanded", "next"])
+            before = np.repeat(waiting[at[:-1]] - ~done[o][at[:-1]], lengths)
+            turn = ~done[o] & (waiting - before <= beam) & (so_far - better < patience)
+            so_far = so_far + np.repeat(np.add.reduceat(turn.astype(np.int64), at[:-1]), lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qs[o], gid[o], s[o], done[o], met, so_far, turn, rank)], ["q", "gid", "s", "expanded", "found", "spent", "next", "rank"])
 
     def ranked(found: DataFrame) -> DataFrame:
-        return staged(found.repartition("q").sortWithinPartitions("q").mapInArrow(best, "q long, gid long, s double, expanded boolean, next boolean"), "search")
+        return staged(found.repartition("q").sortWithinPartitions("q").mapInArrow(best, f"{SEARCHED}, next boolean, rank long"), "search")
 
     def scored(pairs: DataFrame) -> DataFrame:
         """Each node comes once with the queries, of this block, that ask for it."""
         asking = pairs.groupBy("gid").agg(F.collect_list("q").alias("asking"))
-        return asking.join(codes, "gid").select("gid", "code", "asking").mapInArrow(score, "q long, gid long, s double, expanded boolean")
+        return asking.join(codes, "gid").select("gid", "code", "asking").mapInArrow(score, SEARCHED)
 
     number = asked.sparkSession.createDataFrame(pd.DataFrame({"q": np.arange(len(ids)), "query_id": ids, "gid": [r["gid"] for r in rows]}), "q long, query_id long, gid long")
     first = F.explode(F.array_distinct(F.array("gid", *map(F.lit, heads)))).alias("gid")
     state = ranked(scored(number.select("q", first)))
-    for _ in range(rounds):
-        turn = state.filter("next")
-        if turn.isEmpty():
-            break
+    while not (turn := state.filter("next")).isEmpty():
         met = turn.select("q", F.col("gid").alias("a")).join(graph, "a").select("q", F.lit(None).cast("long").alias("gid"), "near")
         both = met.union(state.select("q", "gid", F.array().cast("array<long>")))
         new = both.repartition("q").sortWithinPartitions("q").mapInArrow(unmet, "q long, gid long")
-        before, state = state, ranked(state.select("q", "gid", "s", (F.col("expanded") | F.col("next")).alias("expanded")).union(scored(new)))
+        before, state = state, ranked(state.select("q", "gid", "s", (F.col("expanded") | F.col("next")).alias("expanded"), "found", "spent").union(scored(new)))
         release(before)
 
     def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +282,7 @@ def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors:
             columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
 
-    return state.select("q", "gid").join(vectors, "gid").select("q", "ids", "v").repartition("q").sortWithinPartitions("q").mapInArrow(anew, "query_id long, rank int, vec_id long, score double")
+    return state.filter(F.col("rank") < max(RESCORED, 2 * k)).select("q", "gid").join(vectors, "gid").select("q", "ids", "v").repartition("q").sortWithinPartitions("q").mapInArrow(anew, "query_id long, rank int, vec_id long, score double")
 
 
 def build_graph(codes: DataFrame, n: int, width: int, degree: int = DEGREE, most_rounds: int = MOST_ROUNDS, few: float = FEW, sampled: int = SAMPLED, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
@@ -263,11 +299,11 @@ def build_graph(codes: DataFrame, n: int, width: int, degree: int = DEGREE, most
 
 def adjacency(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
     """(a, near): the neighbours of each node, and the nearest of those that list it, at most ``degree`` of each."""
-    reverse = best_edges(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "fresh"), degree)
+    reverse = first_of_each(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "fresh"), "a", [F.desc("s"), "b"], degree)
     return edges.union(reverse).groupBy("a").agg(F.collect_set("b").alias("near"))
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", size: int = LIST, beam: int = BEAM, search_rounds: int = SEARCH_ROUNDS, block: int = QUERY_BLOCK, **graph_options) -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", size: int = LIST, beam: int = BEAM, patience: int = PATIENCE, block: int = QUERY_BLOCK, **graph_options) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries``, itself a row of ``table``, the k nearest found.
 
     Nearness is the inner product in double precision; ties go to the smaller id; the query's own id is no candidate;
@@ -300,7 +336,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     asked = packed(valid(queries)).filter(F.length("v") == width).withColumnRenamed("id", "query_id").dropDuplicates(["query_id", "v"]).join(vectors.select("gid", "v"), "v")
     asked = staged(asked, "queries")
     blocks = -(-asked.count() // block)
-    found = [search_block(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), graph, codes, vectors, k, heads, scale, size, beam, search_rounds) for i in range(blocks)]
+    found = [search_block(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), graph, codes, vectors, k, heads, scale, size, beam, patience) for i in range(blocks)]
     out = found[0] if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for f in found[1:]:
         out = out.union(f)

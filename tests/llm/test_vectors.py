@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import nn_descent, va_search
 from tests.compare import connection, differences
@@ -153,3 +154,41 @@ def test_neighbour_search_beside_a_few_large_vectors(spark):
     np.fill_diagonal(score, -np.inf)
     hits = sum(len(found[q] & set(np.argsort(-score[q])[:20].tolist())) for q in asked)
     assert hits >= 0.9 * 20 * len(asked), hits / (20 * len(asked))
+
+
+def test_first_rows_of_a_key_that_half_of_all_rows_hold(spark):
+    rng = np.random.default_rng(16)
+    key, value = np.where(rng.random(30_000) < 0.5, 7, rng.integers(0, 900, 30_000)), rng.integers(0, 50, 30_000)
+    rows = spark.createDataFrame(list(zip(key.tolist(), value.tolist(), range(30_000))), "a long, s long, b long").repartition(6)
+    got = sorted(map(tuple, nn_descent.first_of_each(rows, "a", [F.desc("s"), "b"], 5).collect()))
+    want = {}
+    for a, s, b in sorted(zip(key.tolist(), value.tolist(), range(30_000)), key=lambda r: (r[0], -r[1], r[2])):
+        want.setdefault(a, []).append((a, s, b))
+    assert got == sorted(r for rs in want.values() for r in rs[:5])
+    assert nn_descent.first_of_each(rows.limit(0), "a", ["b"], 5).count() == 0
+
+
+def test_graph_around_a_hub_that_all_nodes_list(spark):
+    """Points on a sphere all have its centre as their nearest neighbour; the centre's lists stay short."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(2_000, 24))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype("f4")
+    x[0] = 0
+    codes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "gid long, code binary")
+    edges = nn_descent.build_graph(codes, len(x), 24)
+    lists = {}
+    for r in edges.collect():
+        lists.setdefault(r["a"], set()).add(r["b"])
+    assert sum(0 in b for b in lists.values()) >= 0.9 * len(x)
+    assert all(len(b) == nn_descent.DEGREE for b in lists.values())
+    near = {r["a"]: r["near"] for r in nn_descent.adjacency(edges).collect()}
+    assert len(near) == len(x) and max(map(len, near.values())) <= 2 * nn_descent.DEGREE
+
+
+def test_a_search_goes_on_while_it_finds_nearer_vectors(spark):
+    """More patience finds no less, and with none a query still has what stands around its start."""
+    rng = np.random.default_rng(18)
+    x = (rng.normal(size=(6_000, 48)) * rng.uniform(0.5, 2, (6_000, 1))).astype(np.float32)
+    df = frame(spark, x)
+    little, more = (found_share(df, x, 100, patience=p, beam=16) for p in (16, 256))
+    assert little < more and more >= 0.93, (little, more)
