@@ -37,7 +37,7 @@ SAMPLED = 64  # neighbours of a node that a round compares
 FEW, MOST_ROUNDS = 0.1, 12
 #: A query keeps LIST found nodes, expands BEAM of them in a round, and ends once PATIENCE expanded ones brought nothing
 #: to its k best; RESCORED of the list are scored anew on the original vectors.
-LIST, BEAM, PATIENCE, RESCORED = 2_048, 128, 256, 256
+LIST, BEAM, PATIENCE, RESCORED = 512, 128, 256, 256
 QUERY_BLOCK = 4_096
 HEADS = 64
 EDGES = "a long, b long, s double, fresh boolean"
