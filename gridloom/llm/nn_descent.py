@@ -5,8 +5,8 @@ runs of LEAF rows. Each round then joins every node's neighbours, forward and re
 neighbours of a node with each other where one of them is new, and merges what is nearer into their lists, until few
 lists change. Reverse edges of a node that many list are cut to a few within each task, before they meet and before
 vectors join them. A query starts at its own node; each round expands the best unexpanded nodes of its list by a join
-with the graph, over forward and reverse edges, until as many as PATIENCE expanded nodes brought nothing to its k best:
-hard queries search longer, so recall doesn't hang on a fixed number of rounds.
+with the graph, over forward and reverse edges, until PATIENCE expanded nodes, or half as many as were expanded before,
+brought nothing to its k best: hard queries search longer, so recall doesn't hang on a fixed number of rounds.
 
 Largest inner product becomes least distance by one more component, sqrt(limit^2 - norm^2), less the limit, which
 changes no distance and keeps small numbers exact. The HEADS vectors of largest norm don't count for the limit, which is
@@ -18,10 +18,12 @@ list are scored anew on the original vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +37,17 @@ TREES, LEAF, PROJECTIONS, SEED = 6, 64, 48, 5
 SAMPLED = 64  # neighbours of a node that a round compares
 #: Rounds end when less than this share of all list entries is new, or after MOST_ROUNDS.
 FEW, MOST_ROUNDS = 0.1, 12
-#: A query keeps LIST found nodes, expands BEAM of them in a round, and ends once PATIENCE expanded ones brought nothing
-#: to its k best; RESCORED of the list are scored anew on the original vectors.
-LIST, BEAM, PATIENCE, RESCORED = 512, 128, 256, 256
-QUERY_BLOCK = 4_096
+#: A query keeps LIST found nodes, expands BEAM of them in a round, and ends once PATIENCE expanded ones, or half as many
+#: as it took to the last gain if that is more, brought nothing to its k best; RESCORED of the list are scored anew on
+#: the original vectors.
+LIST, BEAM, PATIENCE, RESCORED = 1_024, 128, 192, 256
+#: Queries are searched together while their vectors, which every task gets, take no more than this.
+QUERY_BYTES = 32 << 20
+#: A task hands pairs of queries and nodes on as lists, one for each node or query, once it holds so many of them.
+HELD = 1 << 20
 HEADS = 64
 EDGES = "a long, b long, s double, fresh boolean"
-SEARCHED = "q long, gid long, s double, expanded boolean, found long, spent long"
+SEARCHED = "q long, gids array<long>, scores array<double>, done array<boolean>, met array<long>, spent long"
 
 
 def best_edges(edges: DataFrame, degree: int) -> DataFrame:
@@ -197,73 +203,122 @@ def descend(edges: DataFrame, codes: DataFrame, degree: int, sampled: int, turn:
 
 
 def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors: DataFrame, k: int, heads: list[int], scale: float, size: int, beam: int, patience: int) -> DataFrame:
-    """Greedy search for the queries of one block, whose vectors every task gets."""
+    """Greedy search for the queries of one block, whose vectors every task gets.
+
+    A query is one row with its list in arrays. Nodes meet the queries that ask for them in one shuffle, and a node that
+    can't enter a full list goes no further.
+    """
+    spark = asked.sparkSession
     rows = asked.collect()
     ids = np.array([r["query_id"] for r in rows], np.int64)
-    exact = np.array([np.frombuffer(r["v"], "f8") for r in rows])
-    q = np.column_stack([exact * scale, np.zeros(len(rows))])
+    exact = spark.sparkContext.broadcast(np.array([np.frombuffer(r["v"], "f8") for r in rows]))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(gid, asking): the nodes near expanded ones, with the queries that ask for them."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def lists() -> pa.RecordBatch:
+            q, gid = map(np.concatenate, zip(*held))
+            held.clear()
+            o = np.lexsort((q, gid))
+            q, gid = q[o], gid[o]
+            first = np.append(True, (gid[1:] != gid[:-1]) | (q[1:] != q[:-1]))
+            q, gid = q[first], gid[first]
+            at = starts(gid)
+            return pa.RecordBatch.from_arrays([pa.array(gid[at[:-1]]), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(q))], ["gid", "asking"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(2).combine_chunks() if isinstance(b.column(2), pa.ChunkedArray) else b.column(2)
-            asking = lists.flatten().to_numpy()
-            of = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            code, gid = matrix(b.column(1), "f4").astype(float), b.column(0).to_numpy()
-            for at in range(0, len(asking), 65_536):
-                part, row = asking[at : at + 65_536], of[at : at + 65_536]
-                s = np.einsum("ij,ij->i", q[part], code[row])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, gid[row], s, np.zeros(len(part), bool), np.full(len(part), -1), np.zeros(len(part), np.int64))], ["q", "gid", "s", "expanded", "found", "spent"])
-
-    def unmet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The neighbours of a query's turn that are not in its list."""
-        for t in sorted_runs(batches, "q"):
-            qs, near = t.column("q").to_numpy(), t.column("near").combine_chunks()
-            ends, flat = near.offsets.to_numpy(), near.values.to_numpy()
-            listed, held, at = t.column("gid").is_valid().to_numpy(), t.column("gid").fill_null(0).to_numpy(), starts(qs)
-            kept = [(x, np.setdiff1d(flat[ends[i] : ends[j]], held[i:j][listed[i:j]])) for x, i, j in zip(qs[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x for x, _ in kept], [len(y) for _, y in kept]), pa.int64()), pa.array(np.concatenate([y for _, y in kept]), pa.int64())], ["q", "gid"])
+            if b.num_rows:
+                near = b.column("near")
+                held.append((np.repeat(b.column("q").to_numpy(), pc.list_value_length(near).to_numpy()), pc.list_flatten(near).to_numpy()))
+                if sum(len(q) for q, _ in held) >= HELD:
+                    yield lists()
+        if held:
+            yield lists()
+
+    def score(least: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(q, gids, scores) of pairs that can enter the list; rows of a gid are its code and the queries that ask for it."""
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def lists() -> pa.RecordBatch:
+            q, gid, s = map(np.concatenate, zip(*held))
+            held.clear()
+            o = np.argsort(q, kind="stable")
+            at = starts(q[o])
+            return pa.RecordBatch.from_arrays([pa.array(q[o][at[:-1]]), *(pa.ListArray.from_arrays(at.astype(np.int32), pa.array(x[o])) for x in (gid, s))], ["q", "gids", "scores"])
+
+        for t in sorted_runs(batches, "gid"):
+            code = t.filter(pc.is_valid(t.column("code")))
+            pairs = t.filter(pc.is_valid(t.column("asking"))).combine_chunks()
+            if not pairs.num_rows:
+                continue
+            x, of = matrix(code.column("code").combine_chunks(), "f4")[:, :-1], code.column("gid").to_numpy()
+            asking = pairs.column("asking")
+            row, q = np.repeat(np.searchsorted(of, pairs.column("gid").to_numpy()), pc.list_value_length(asking).to_numpy()), pc.list_flatten(asking).to_numpy()
+            row, q = np.divmod(np.unique(row * len(ids) + q), len(ids))
+            for at in range(0, len(q), 65_536):
+                i, j = q[at : at + 65_536], row[at : at + 65_536]
+                s = np.einsum("ij,ij->i", exact.value[i], x[j].astype(float)) * scale
+                enters = s >= least[i]
+                if enters.any():
+                    held.append((i[enters], of[j][enters], s[enters]))
+            if sum(len(i) for i, _, _ in held) >= HELD:
+                yield lists()
+        if held:
+            yield lists()
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The list of each query; of the unexpanded nodes in it the best ``beam`` come next, if the query goes on.
 
-        ``spent`` counts the nodes that a query expanded, and ``found`` is that count when it met a node.
+        ``spent`` counts the nodes that a query expanded, and ``met`` is that count when it met a node.
         """
         for t in sorted_runs(batches, "q"):
-            qs, gid, s, done, found, spent = (t.column(i).to_numpy() for i in range(6))
-            o = np.lexsort((-found, gid, qs))
-            o = o[np.append(True, (qs[o][1:] != qs[o][:-1]) | (gid[o][1:] != gid[o][:-1]))]
-            o = o[np.lexsort((gid[o], -s[o], qs[o]))]
-            at = starts(qs[o])
-            so_far = np.repeat(np.maximum.reduceat(spent[o], at[:-1]), np.diff(at))
+            held, new = (t.filter(x).combine_chunks() for x in (pc.is_valid(t.column("spent")), pc.is_null(t.column("spent"))))
+            every = np.unique(t.column("q").to_numpy())
+            total = np.zeros(len(every), np.int64)
+            total[np.searchsorted(every, held.column("q").to_numpy())] = held.column("spent").to_numpy()
+            of = np.concatenate([np.repeat(np.searchsorted(every, x.column("q").to_numpy()), pc.list_value_length(x.column("gids")).to_numpy()) for x in (held, new)])
+            gid, s = (np.concatenate([pc.list_flatten(x.column(c)).to_numpy() for x in (held, new)]) for c in ("gids", "scores"))
+            done, met = (pc.list_flatten(held.column(c)).to_numpy(zero_copy_only=False) for c in ("done", "met"))
+            unseen = of[len(met) :]
+            done, met = np.append(done, np.zeros(len(unseen), bool)), np.append(met, total[unseen])
+            o = np.lexsort((np.arange(len(of)), gid, of))
+            o = o[np.append(True, (of[o][1:] != of[o][:-1]) | (gid[o][1:] != gid[o][:-1]))]
+            o = o[np.lexsort((gid[o], -s[o], of[o]))]
+            at = starts(of[o])
             rank = np.arange(len(o)) - np.repeat(at[:-1], np.diff(at))
-            keep = rank < size
-            o, so_far, rank = o[keep], so_far[keep], rank[keep]
-            at = starts(qs[o])
+            o, rank = o[rank < size], rank[rank < size]
+            at = starts(of[o])
             lengths = np.diff(at)
-            met = np.where(found[o] < 0, so_far, found[o])
-            better = np.repeat(np.maximum.reduceat(np.where(rank <= k, met, 0), at[:-1]), lengths)
+            better = np.maximum.reduceat(np.where(rank <= k, met[o], 0), at[:-1])
+            goes = total - better < np.maximum(patience, better // 2)
             waiting = np.cumsum(~done[o])
-            before = np.repeat(waiting[at[:-1]] - ~done[o][at[:-1]], lengths)
-            turn = ~done[o] & (waiting - before <= beam) & (so_far - better < patience)
-            so_far = so_far + np.repeat(np.add.reduceat(turn.astype(np.int64), at[:-1]), lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qs[o], gid[o], s[o], done[o], met, so_far, turn, rank)], ["q", "gid", "s", "expanded", "found", "spent", "next", "rank"])
+            before = waiting[at[:-1]] - ~done[o][at[:-1]]
+            turn = ~done[o] & (waiting - np.repeat(before, lengths) <= beam) & np.repeat(goes, lengths)
+            turns = np.add.reduceat(turn.astype(np.int64), at[:-1])
+            least = np.where(lengths >= size, s[o][at[1:] - 1], -np.inf)
+            lists = [pa.ListArray.from_arrays(at.astype(np.int32), pa.array(x)) for x in (gid[o], s[o], done[o] | turn, met[o])]
+            following = pa.ListArray.from_arrays(np.append(0, np.cumsum(turns)).astype(np.int32), pa.array(gid[o][turn]))
+            yield pa.RecordBatch.from_arrays([pa.array(every), *lists, pa.array(total + turns), following, pa.array(least)], ["q", "gids", "scores", "done", "met", "spent", "turn", "least"])
 
     def ranked(found: DataFrame) -> DataFrame:
-        return staged(found.repartition("q").sortWithinPartitions("q").mapInArrow(best, f"{SEARCHED}, next boolean, rank long"), "search")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        """Each node comes once with the queries, of this block, that ask for it."""
-        asking = pairs.groupBy("gid").agg(F.collect_list("q").alias("asking"))
-        return asking.join(codes, "gid").select("gid", "code", "asking").mapInArrow(score, SEARCHED)
-
-    number = asked.sparkSession.createDataFrame(pd.DataFrame({"q": np.arange(len(ids)), "query_id": ids, "gid": [r["gid"] for r in rows]}), "q long, query_id long, gid long")
-    first = F.explode(F.array_distinct(F.array("gid", *map(F.lit, heads)))).alias("gid")
-    state = ranked(scored(number.select("q", first)))
-    while not (turn := state.filter("next")).isEmpty():
-        met = turn.select("q", F.col("gid").alias("a")).join(graph, "a").select("q", F.lit(None).cast("long").alias("gid"), "near")
-        both = met.union(state.select("q", "gid", F.array().cast("array<long>")))
-        new = both.repartition("q").sortWithinPartitions("q").mapInArrow(unmet, "q long, gid long")
-        before, state = state, ranked(state.select("q", "gid", "s", (F.col("expanded") | F.col("next")).alias("expanded"), "found", "spent").union(scored(new)))
+        return staged(found.repartition("q").sortWithinPartitions("q").mapInArrow(best, f"{SEARCHED}, turn array<long>, least double"), "search")
+
+    def scored(met: DataFrame, least: np.ndarray) -> DataFrame:
+        pairs = met.select("q", "near").mapInArrow(wanted, "gid long, asking array<long>")
+        both = pairs.select("gid", "asking", F.lit(None).cast("binary").alias("code")).union(codes.select("gid", F.lit(None).cast("array<long>"), "code"))
+        near = both.repartition("gid").sortWithinPartitions("gid").mapInArrow(partial(score, least), "q long, gids array<long>, scores array<double>")
+        return near.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in (("done", "array<boolean>"), ("met", "array<long>"), ("spent", "long"))))
+
+    number = spark.createDataFrame(pd.DataFrame({"q": np.arange(len(ids)), "gid": [r["gid"] for r in rows]}), "q long, gid long")
+    first = F.array_distinct(F.array("gid", *map(F.lit, heads))).alias("near")
+    state = ranked(scored(number.select("q", first), np.full(len(ids), -np.inf)))
+    while not (turn := state.filter(F.size("turn") > 0)).isEmpty():
+        least = np.full(len(ids), np.inf)
+        going = turn.select("q", "least").toPandas()
+        least[going["q"]] = going["least"]
+        met = turn.select("q", F.explode("turn").alias("a")).join(graph, "a")
+        before, state = state, ranked(state.drop("turn", "least").union(scored(met, least)))
         release(before)
 
     def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +326,7 @@ def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors:
             t = t.combine_chunks()
             at = t.column("q").to_numpy()
             x = matrix(t.column("v").combine_chunks())
-            s = np.array([float(np.dot(exact[i], y)) for i, y in zip(at, x)])
+            s = np.array([float(np.dot(exact.value[i], y)) for i, y in zip(at, x)])
             held = t.column("ids").to_pylist()
             out: list[tuple[int, int, int, float]] = []
             cuts = starts(at)
@@ -282,7 +337,8 @@ def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors:
             columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
 
-    return state.filter(F.col("rank") < max(RESCORED, 2 * k)).select("q", "gid").join(vectors, "gid").select("q", "ids", "v").repartition("q").sortWithinPartitions("q").mapInArrow(anew, "query_id long, rank int, vec_id long, score double")
+    last = state.select("q", F.explode(F.slice("gids", 1, max(RESCORED, 2 * k))).alias("gid"))
+    return last.join(vectors, "gid").select("q", "ids", "v").repartition("q").sortWithinPartitions("q").mapInArrow(anew, "query_id long, rank int, vec_id long, score double")
 
 
 def build_graph(codes: DataFrame, n: int, width: int, degree: int = DEGREE, most_rounds: int = MOST_ROUNDS, few: float = FEW, sampled: int = SAMPLED, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
@@ -303,7 +359,7 @@ def adjacency(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
     return edges.union(reverse).groupBy("a").agg(F.collect_set("b").alias("near"))
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", size: int = LIST, beam: int = BEAM, patience: int = PATIENCE, block: int = QUERY_BLOCK, **graph_options) -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", size: int = LIST, beam: int = BEAM, patience: int = PATIENCE, block: int | None = None, **graph_options) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries``, itself a row of ``table``, the k nearest found.
 
     Nearness is the inner product in double precision; ties go to the smaller id; the query's own id is no candidate;
@@ -335,7 +391,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     graph = staged(adjacency(edges, graph_options.get("degree", DEGREE)), "adjacency")
     asked = packed(valid(queries)).filter(F.length("v") == width).withColumnRenamed("id", "query_id").dropDuplicates(["query_id", "v"]).join(vectors.select("gid", "v"), "v")
     asked = staged(asked, "queries")
-    blocks = -(-asked.count() // block)
+    blocks = -(-asked.count() // (block or max(1, QUERY_BYTES // width)))
     found = [search_block(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), graph, codes, vectors, k, heads, scale, size, beam, patience) for i in range(blocks)]
     out = found[0] if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for f in found[1:]:
