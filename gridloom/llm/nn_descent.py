@@ -43,7 +43,7 @@ FEW, MOST_ROUNDS = 0.1, 12
 LIST, BEAM, PATIENCE, RESCORED = 1_024, 128, 192, 256
 #: Queries are searched together while their vectors, which every task gets, take no more than this.
 QUERY_BYTES = 32 << 20
-#: A task hands pairs of queries and nodes on as lists, one for each node or query, once it holds so many of them.
+#: A task hands scored pairs on as lists, one for each query, once it holds so many of them.
 HELD = 1 << 20
 HEADS = 64
 EDGES = "a long, b long, s double, fresh boolean"
@@ -213,29 +213,6 @@ def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors:
     ids = np.array([r["query_id"] for r in rows], np.int64)
     exact = spark.sparkContext.broadcast(np.array([np.frombuffer(r["v"], "f8") for r in rows]))
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(gid, asking): the nodes near expanded ones, with the queries that ask for them."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def lists() -> pa.RecordBatch:
-            q, gid = map(np.concatenate, zip(*held))
-            held.clear()
-            o = np.lexsort((q, gid))
-            q, gid = q[o], gid[o]
-            first = np.append(True, (gid[1:] != gid[:-1]) | (q[1:] != q[:-1]))
-            q, gid = q[first], gid[first]
-            at = starts(gid)
-            return pa.RecordBatch.from_arrays([pa.array(gid[at[:-1]]), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(q))], ["gid", "asking"])
-
-        for b in batches:
-            if b.num_rows:
-                near = b.column("near")
-                held.append((np.repeat(b.column("q").to_numpy(), pc.list_value_length(near).to_numpy()), pc.list_flatten(near).to_numpy()))
-                if sum(len(q) for q, _ in held) >= HELD:
-                    yield lists()
-        if held:
-            yield lists()
-
     def score(least: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(q, gids, scores) of pairs that can enter the list; rows of a gid are its code and the queries that ask for it."""
         held: list[tuple[np.ndarray, ...]] = []
@@ -249,12 +226,11 @@ def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors:
 
         for t in sorted_runs(batches, "gid"):
             code = t.filter(pc.is_valid(t.column("code")))
-            pairs = t.filter(pc.is_valid(t.column("asking"))).combine_chunks()
+            pairs = t.filter(pc.is_valid(t.column("q")))
             if not pairs.num_rows:
                 continue
             x, of = matrix(code.column("code").combine_chunks(), "f4")[:, :-1], code.column("gid").to_numpy()
-            asking = pairs.column("asking")
-            row, q = np.repeat(np.searchsorted(of, pairs.column("gid").to_numpy()), pc.list_value_length(asking).to_numpy()), pc.list_flatten(asking).to_numpy()
+            row, q = np.searchsorted(of, pairs.column("gid").to_numpy()), pairs.column("q").to_numpy()
             row, q = np.divmod(np.unique(row * len(ids) + q), len(ids))
             for at in range(0, len(q), 65_536):
                 i, j = q[at : at + 65_536], row[at : at + 65_536]
@@ -305,8 +281,8 @@ def search_block(asked: DataFrame, graph: DataFrame, codes: DataFrame, vectors:
         return staged(found.repartition("q").sortWithinPartitions("q").mapInArrow(best, f"{SEARCHED}, turn array<long>, least double"), "search")
 
     def scored(met: DataFrame, least: np.ndarray) -> DataFrame:
-        pairs = met.select("q", "near").mapInArrow(wanted, "gid long, asking array<long>")
-        both = pairs.select("gid", "asking", F.lit(None).cast("binary").alias("code")).union(codes.select("gid", F.lit(None).cast("array<long>"), "code"))
+        pairs = met.select(F.explode("near").alias("gid"), "q", F.lit(None).cast("binary").alias("code"))
+        both = pairs.union(codes.select("gid", F.lit(None).cast("long"), "code"))
         near = both.repartition("gid").sortWithinPartitions("gid").mapInArrow(partial(score, least), "q long, gids array<long>, scores array<double>")
         return near.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in (("done", "array<boolean>"), ("met", "array<long>"), ("spent", "long"))))
 
