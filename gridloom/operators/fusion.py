@@ -91,9 +91,10 @@ def cubes(df: DataFrame, grains: dict[str, list[str]], measures: list[Column]) -
 def dominant(df: DataFrame, keys: list[str], category: str, weight: Column | None = None) -> DataFrame:
     """The category of most rows (or weight) in each group, ties to the smaller one; its weight, share and the number of categories."""
     per = df.filter(F.col(category).isNotNull()).groupBy(*keys, category).agg((F.count("*") if weight is None else F.sum(weight)).alias("_w"))
-    ordered = per.groupBy(*keys).agg(F.max("_w").alias("_top"), F.sum("_w").alias("_all"), F.count("*").alias("n_categories"))
-    best = per.join(ordered, keys).filter(F.col("_w") == F.col("_top")).groupBy(*keys).agg(F.min(category).alias("dominant"), F.first("_w").alias("dominant_weight"), F.first("_all").alias("_all"), F.first("n_categories").alias("n_categories"))
-    return best.withColumn("dominant_share", F.try_divide("dominant_weight", "_all")).drop("_all")
+    w = F.col("_w")
+    first = F.min(F.when(w.isNotNull(), F.struct(~F.isnan(w.cast("double")), (-w).alias("least"), F.col(category).alias("category"), w.alias("weight"))))  # one pass: sums of doubles computed twice may differ in their last digit
+    best = per.groupBy(*keys).agg(first.alias("_best"), F.sum("_w").alias("_all"), F.count("*").alias("n_categories")).filter("_best is not null")
+    return best.select(*keys, F.col("_best.category").alias("dominant"), F.col("_best.weight").alias("dominant_weight"), "n_categories", F.try_divide("_best.weight", "_all").alias("dominant_share"))
 
 
 def numeric_share(df: DataFrame, columns: list[str], least: float = 0.5) -> list[str]:

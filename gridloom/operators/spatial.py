@@ -165,6 +165,7 @@ def overlay_lines(regions: DataFrame, layer: DataFrame, size: float) -> DataFram
 def region_context(regions: DataFrame, pieces: DataFrame, measure: str) -> DataFrame:
     """Per region: total of a measure, number of classes, the dominant class with its share, and density over the region's area."""
     area = regions.select("region", polygon_area(F.col("rings")).alias("region_area"))
+    pieces = staged(pieces, "pieces")  # an overlay is worked out once
     total = pieces.groupBy("region").agg(F.sum(measure).alias(f"total_{measure}"))
     best = dominant(pieces, ["region"], "class", F.col(measure))
     return area.join(total, "region", "left").join(best, "region", "left").withColumn("density", F.try_divide(f"total_{measure}", "region_area"))

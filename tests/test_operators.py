@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +28,24 @@ def test_dominant_takes_smaller_on_ties(spark):
     assert got == {1: ("a", 2), 2: ("c", 1)}
 
 
+def test_dominant_when_sums_depend_on_the_order_of_rows(spark):
+    """Rows come in another order whenever they are read, as they do from other machines."""
+
+    def shuffled(batches):
+        for b in batches:
+            yield b.take(pa.array(np.random.default_rng().permutation(b.num_rows)))
+
+    rows = [(k, c, w) for k in range(40) for c in "ab" for w in (1e16, 1.0, 3.0, 5.0, -1e16, 0.1)]
+    df = spark.createDataFrame(rows, "k int, c string, w double").coalesce(1).mapInArrow(shuffled, "k int, c string, w double")
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        found = fusion.dominant(df, ["k"], "c", F.col("w")).collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    assert sorted(r["k"] for r in found) == list(range(40))
+
+
 def test_unique_key_is_demanded(spark):
     df = spark.createDataFrame([(1, 2, 3), (2, 2, 3), (None, 4, None)], "k int, _n int, _row int")
     assert sorted(map(str, matching.one_of_each(df, ["k"], "t").collect())) == sorted(map(str, df.collect()))
