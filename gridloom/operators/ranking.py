@@ -37,34 +37,51 @@ def most_frequent(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     return keep_first(counted, [key], [F.desc("n"), *(F.asc_nulls_last(a) for a in attributes)])
 
 
+def value_bucket(v: Column) -> Column:
+    """A whole number that never falls as ``v`` rises, about 1,000 for each factor e; NaN is the largest.
+
+    Java's log1p is monotone, so equal buckets are runs of values, wherever rounding puts their ends.
+    """
+    return F.when(F.isnan(v), F.lit(1 << 62)).otherwise(F.floor(F.signum(v) * F.least(F.log1p(F.abs(v) * 1_000), F.lit(1e6)) * 1_000))
+
+
 def quantiles(df: DataFrame, columns: list[str], levels: list[list[str]], probabilities: list[float]) -> DataFrame:
     """(_level, _g, _c, _total, _q): exact interpolated quantiles of each column's filled values in the groups of each level.
 
     ``_level`` is the place in ``levels`` (an empty list is all rows), ``_g`` a struct of all levels' keys, null where a
-    level doesn't use them. Values are counted once, for the finest groups, and counts are added up for the levels.
-    Ranges of (group, value) are dealt to tasks and written; sums of the ranges tell which hold the wanted ranks, and
-    only those are put in order. Ranges follow the rows, so no task holds a group, however large.
+    level doesn't use them. Rows are first counted by buckets of values (``value_bucket``), for the finest groups, and the
+    counts are added up for the levels; only values of the buckets that hold the wanted ranks are then counted one by one,
+    so a task holds a few thousand counts for each group and not each different value. Ranges of (group, value) are dealt
+    to tasks and written; sums of the ranges tell which hold the wanted ranks, and only those are put in order. Ranges
+    follow the rows, so no task holds a group, however large, also where most values share a bucket.
     """
     keys = list(dict.fromkeys(k for level in levels for k in level))
     finest = [F.struct(F.lit(0).alias("_all"), *keys).alias("_k"), *(F.col(c).cast("double").alias(c) for c in columns)]
-    long = df.select(*finest).unpivot("_k", columns, "_c", "_v").filter("_v is not null")
-    counts = long.groupBy("_k", "_c", "_v").agg(F.count("*").alias("_n"))
+    long = df.select(*finest).unpivot("_k", columns, "_c", "_v").filter("_v is not null").withColumn("_b", value_bucket(F.col("_v")))
     group = lambda level: F.struct(F.lit(0).alias("_all"), *((F.col(f"_k.`{k}`") if k in level else F.lit(None).cast(df.schema[k].dataType)).alias(k) for k in keys))
-    if len(levels) > 1:
-        each = F.explode(F.array(*(F.struct(F.lit(i).alias("_level"), group(level).alias("_g")) for i, level in enumerate(levels)))).alias("_e")
-        counts = counts.select(each, "_c", "_v", "_n").select("_e.*", "_c", "_v", "_n").groupBy("_level", "_g", "_c", "_v").agg(F.sum("_n").alias("_n"))
-    else:
-        counts = counts.select(F.lit(0).alias("_level"), group(levels[0]).alias("_g"), "_c", "_v", "_n")
     by = ["_level", "_g", "_c"]
-    placed = staged(counts.repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id()), "ranges")
-    sums = placed.groupBy("_p", *by).agg(F.sum("_n").alias("_in"))
-    whole = Window.partitionBy(*by)  # a row for each range and group in it
-    sums = sums.withColumns({"_total": F.sum("_in").over(whole), "_before": F.sum("_in").over(whole.orderBy("_p")) - F.col("_in")})
+
+    def counted(rows: DataFrame, *of: str) -> DataFrame:
+        counts = rows.groupBy("_k", "_c", *of).agg(F.count("*").alias("_n"))
+        if len(levels) == 1:
+            return counts.select(F.lit(0).alias("_level"), group(levels[0]).alias("_g"), "_c", *of, "_n")
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("_level"), group(level).alias("_g")) for i, level in enumerate(levels)))).alias("_e")
+        return counts.select(each, "_c", *of, "_n").select("_e.*", "_c", *of, "_n").groupBy(*by, *of).agg(F.sum("_n").alias("_n"))
+
     place = lambda p: (F.col("_total") - 1) * F.lit(float(p))
     ranks = [f(place(p)).cast("long") for p in probabilities for f in (F.floor, F.ceil)]
     asked = reduce(or_, ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")) for r in ranks))
-    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_p", *by).orderBy("_v"))
-    ranked = placed.join(sums.filter(asked).drop("_in"), ["_p", *by]).withColumn("_upto", upto)
+    whole = Window.partitionBy(*by)  # a row for each bucket of a group
+    buckets = counted(long, "_b").withColumnRenamed("_n", "_in")
+    buckets = buckets.withColumns({"_total": F.sum("_in").over(whole), "_before": F.sum("_in").over(whole.orderBy("_b")) - F.col("_in")})
+    wanted = staged(buckets.filter(asked).select(*by, "_b", "_total", F.col("_before").alias("_first")), "buckets")
+    values = counted(long.join(wanted.select("_c", "_b").distinct(), ["_c", "_b"], "left_semi"), "_b", "_v").join(wanted, [*by, "_b"])
+    placed = staged(values.repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy("_p", *by, "_b", "_total", "_first").agg(F.sum("_n").alias("_in"))
+    inner = Window.partitionBy(*by, "_b").orderBy("_p")  # a row for each range and bucket in it
+    sums = sums.withColumn("_before", F.col("_first") + F.sum("_in").over(inner) - F.col("_in"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_p", *by, "_b").orderBy("_v"))
+    ranked = placed.join(sums.filter(asked).select("_p", *by, "_b", "_before"), ["_p", *by, "_b"]).withColumn("_upto", upto)
     at = [F.max(F.when((F.col("_upto") > r) & (F.col("_upto") - F.col("_n") <= r), F.col("_v"))) for r in ranks]
     found = ranked.groupBy(*by, "_total").agg(*(v.alias(f"_r{i}") for i, v in enumerate(at)))
     low, high = (lambda i: F.col(f"_r{2 * i}")), (lambda i: F.col(f"_r{2 * i + 1}"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import density, fitted, fusion, graph, matching, models, publish, quality, ranking, sweep
 from gridloom.sources import reports
+from gridloom.staging import staged
 
 
 def test_components(spark):
@@ -235,6 +236,29 @@ def test_quantiles_of_levels_equal_numpy(spark):
     assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_quantiles_count_only_values_near_the_wanted_ranks(spark, monkeypatch):
+    """As many different values as rows: a few of them are counted one by one, extremes and NaN included."""
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.lognormal(9, 1, 20_000), -rng.lognormal(2, 1, 3_000), [0.0, -0.0, 1e308, -1e308, np.inf, -np.inf, np.nan, 5e-324]])
+    df = spark.createDataFrame([(i % 3, float(v)) for i, v in enumerate(values)], "g int, x double")
+    rows = {}
+
+    def counting(df, name="table"):
+        out = staged(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ranking, "staged", counting)
+    ps = [0.1, 0.5]
+    found = {r["_g"]["g"]: r["_q"] for r in ranking.quantiles(df, ["x"], [["g"], []], ps).collect()}
+    assert rows["ranges"] < 1_500
+    for g in (0, 1, 2, None):
+        own = np.sort([v for i, v in enumerate(values) if g is None or i % 3 == g])
+        place = (len(own) - 1) * np.array(ps)
+        low, high = own[np.floor(place).astype(int)], own[np.ceil(place).astype(int)]
+        assert found[g] == pytest.approx(list(low + (place % 1) * (high - low)))
+
+
 def test_samples_are_whole_and_layouts_do_not_matter(spark):
     rows = [(i % 700, "abc"[(i > 500) + (i > 900)], i) for i in range(1000)] + [(5, None, 5)] * 3
     df = spark.createDataFrame(rows, "_start int, g string, _digest long")
