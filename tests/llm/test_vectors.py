@@ -1,10 +1,12 @@
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import nn_descent, va_search
+from gridloom.staging import staged
 from tests.compare import connection, differences
 
 SCHEMA = "vec_id long, embedding array<float>, label int, gid long, v string"
@@ -192,3 +194,19 @@ def test_a_search_goes_on_while_it_finds_nearer_vectors(spark):
     df = frame(spark, x)
     little, more = (found_share(df, x, 100, patience=p, beam=16) for p in (16, 256))
     assert little < more and more >= 0.93, (little, more)
+
+
+def test_scored_pairs_do_not_follow_the_number_of_tasks(spark, monkeypatch):
+    """Each pair of a query and a node is a row; lists packed in each task would be more with more tasks."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(150, 4)))], "vec_id long, embedding array<double>")
+    plans = []
+
+    def noted(table, name="table"):
+        if name == "search":
+            plans.append(table._jdf.queryExecution().analyzed().toString())
+        return staged(table, name)
+
+    monkeypatch.setattr(nn_descent, "staged", noted)
+    assert nn_descent.nearest(df, df.filter("vec_id < 2"), 3, trees=1, most_rounds=1).count() == 6
+    assert plans and all(re.search(r"MapInArrow partial\(.*\)\S*, \[q#\w+, gid#\w+, s#\w+\]", p) for p in plans)
