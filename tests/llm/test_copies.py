@@ -233,6 +233,53 @@ def test_links_of_a_stream_are_those_of_the_whole():
         assert sorted(got) == whole
 
 
+@pytest.mark.parametrize("holders", [1, 3, 12])
+def test_passages_whose_seeds_have_smaller_and_nearer_holders(spark, holders):
+    """An edited passage is found though other documents, smaller and nearer ones than its origin, hold each of its lines."""
+    r = random.Random(17)
+    docs = {}
+    for n in range(4):
+        words = sentence(r, 104)
+        edited = [f"edit{n}x{i}" if i % 8 == 7 else w for i, w in enumerate(words)]
+        docs[50_000 + n], docs[90_000 + n] = [*sentence(r, 30), *words, *sentence(r, 30)], [*sentence(r, 40), *edited, *sentence(r, 20)]
+        for line in range(13):
+            for h in range(holders):
+                for first in (0, 60_000):
+                    docs[first + 1000 * n + 20 * line + h] = [*sentence(r, 30), *words[8 * line : 8 * line + 7], *sentence(r, 30)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x for x in passages.repeated_passages(df).collect()}
+    assert set(got) == {90_000 + n for n in range(4)}
+    for n in range(4):
+        x = got[90_000 + n]
+        assert x["first_id"] == 50_000 + n and x["start_word"] <= 42 and x["end_word"] >= 140
+
+
+def test_rare_seeds_link_all_documents_and_common_ones_are_given_out_in_any_stream():
+    r = random.Random(18)
+    rows = np.array(sorted((r.choice((1, 2, 3, 4, 5, r.randrange(90))), r.randrange(40), r.randrange(9)) for _ in range(2000)))
+    rows = np.unique(rows, axis=0)
+    seed, doc, at = rows.T
+    want, single = set(), set()
+    for i, (s, d, a) in enumerate(rows.tolist()):
+        of = sorted({int(x) for x in doc[seed == s]})
+        if len(of) > passages.COMMON:
+            single.add((d, a, s))
+            continue
+        nth = int(((seed[:i] == s) & (doc[:i] == d)).sum()) if s % 2 else 0
+        want |= {(d, a, o, int([*at[(seed == s) & (doc == o)]][: nth + 1][-1])) for o in of[1:] if o < d and o != max(x for x in of if x < d)}
+    assert len(want) > 50 and len(single) > 50
+    for size in (1, 7, 50, 2000):
+        held, got, alone, common = [np.zeros(0, np.int64)] * 3, [], [], False
+        for i in [*range(0, len(rows), size), None]:
+            part = [np.append(h, x[i : i + size] if i is not None else x[:0]) for h, x in zip(held, (doc, at, seed))]
+            _, ends = passages.partners(*part, len(held[0]))
+            out, given, kept, common = passages.middle(*part, len(held[0]), common, i is None)
+            got += [x[:4] for x in zip(*(c.tolist() for c in out))]
+            alone += zip(*(x[given].tolist() for x in part))
+            held = [x[ends if common else kept] for x in part]
+        assert sorted(got) == sorted(want) and sorted(alone) == sorted(single), size
+
+
 def test_text_of_a_short_period_makes_few_chains(spark):
     r = random.Random(14)
     rows = [(i, " ".join([*sentence(r, 40), *["a", "b"] * (200 + i), *sentence(r, 40)])) for i in range(20)]
