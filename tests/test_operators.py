@@ -307,3 +307,27 @@ def test_fits_are_saved_loaded_and_applied_to_other_rows(spark, tmp_path):
         assert r["a"] == pytest.approx(given if given is not None else medians.get((r["state"], r["month"]), overall)) and r["d"] is not None
     with pytest.raises(Exception):
         fits[1].save(f"file://{tmp_path}/1")
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    """The shuffle files of a staged write go when it ends; the session's own settings come back."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from gridloom.staging import staged
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(key)
+    rows = spark.range(10_000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count()
+    out = staged(rows)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(key) == setting
+    assert out.count() == 10 and rows.count() == 10
