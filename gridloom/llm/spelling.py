@@ -198,12 +198,16 @@ def first_signature() -> Column:
 
 
 def near_pairs(words: DataFrame, parallel: int) -> DataFrame:
-    """(word, n, near, near_n): each pair of words one edit apart once, by (word, n) distinct."""
+    """(word, n, near, near_n): each pair of words one edit apart once, by (word, n) distinct.
+
+    Spark takes the size of the signatures for little more than that of the words, though each word has 24 of them, so
+    without the hint it would broadcast them all.
+    """
     signs = words.repartition(parallel, "word").mapInArrow(signature_rows, SIGNATURES)
     same = (F.col("l.key") == F.col("r.key")) & (F.col("l.which") == F.col("r.which")) & (F.col("l.last") == F.col("r.last")) & (F.col("l.shorter") == F.col("r.shorter"))
     start = F.expr("left(l.word, l.shorter div 2) = left(r.word, l.shorter div 2)")
     verified = (F.col("l.word") < F.col("r.word")) & first_signature() & ((F.col("l.last") == 0) | ~start) & (F.least(F.length("l.word"), F.length("r.word")) == F.col("l.shorter")) & (F.levenshtein(F.col("l.word"), F.col("r.word"), 1) == 1)
-    return signs.alias("l").join(signs.alias("r"), same & verified).select("l.word", "l.n", F.col("r.word").alias("near"), F.col("r.n").alias("near_n"))
+    return signs.alias("l").join(signs.alias("r").hint("merge"), same & verified).select("l.word", "l.n", F.col("r.word").alias("near"), F.col("r.n").alias("near_n"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -211,7 +215,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = staged(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
     while at.filter("moved").limit(1).count():
         further = at.select(F.col("word").alias("_from"), F.col("root").alias("_to"))
-        stepped = staged(at.join(further, F.col("root") == F.col("_from"), "left").select("word", F.coalesce("_to", "root").alias("root"), F.col("_to").isNotNull().alias("moved")), "roots")
+        stepped = staged(at.join(further.hint("merge"), F.col("root") == F.col("_from"), "left").select("word", F.coalesce("_to", "root").alias("root"), F.col("_to").isNotNull().alias("moved")), "roots")
         release(at)
         at = stepped
     return at.select("word", "root")
@@ -236,5 +240,5 @@ def group_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = staged(best.select("word", "n_near", F.when(more, F.col("best.near")).alias("form"), F.when(more, -F.col("best.less")).alias("form_n")), "forms")
     ends = roots(linked.filter(F.col("form").isNotNull()))
     release(pairs)
-    out = words.join(linked, "word", "left").join(ends, "word", "left")
+    out = words.join(linked.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")

@@ -1,6 +1,7 @@
 """Whitening against numpy, toxicity on held-out rows, spelling variants against all pairs."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -184,6 +185,14 @@ def test_variants_by_hand(spark, docs, none):
     assert told(spelling.group_variants(docs)) == brute([*enumerate(TEXTS), (0, TEXTS[0])])
     assert spelling.group_variants(none).count() == 0
 
+def test_signatures_are_not_broadcast(spark):
+    """Each word has 24 signatures, and the words' own size says little about that."""
+    r = random.Random(20)
+    words = spark.createDataFrame([("".join(r.choices("abcdef", k=r.randint(5, 9))), 3) for _ in range(3000)], "word string, n long").distinct()
+    pairs = spelling.near_pairs(words, 4)
+    assert len(pairs.collect()) > 100
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
 
 @settings(max_examples=300, deadline=None)
 @given(st.text("abéÀz", min_size=5, max_size=12), st.integers(0, 12), st.sampled_from("abéÀz"), st.sampled_from(["insert", "delete", "replace"]))
