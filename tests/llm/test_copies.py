@@ -5,6 +5,7 @@ import pytest
 
 import gridloom.llm.simhash as simhash
 from gridloom.llm import passages, tiles
+from gridloom.staging import staged
 from tests.llm.conftest import TEXTS
 
 
@@ -287,6 +288,53 @@ def test_text_of_a_short_period_makes_few_chains(spark):
     assert 19 <= found.count() <= 20 * 20
 
 
+def test_a_common_text_that_stays_no_passage_makes_links_by_its_documents(spark):
+    r = random.Random(21)
+    text, made = sentence(r, 30), {}
+    for n in (30, 120):
+        docs = spark.createDataFrame([(i, " ".join([*sentence(r, 60), *text, *sentence(r, 60)])) for i in range(n)], "doc_id long, text string")
+        chained = staged(passages.chains(passages.links(passages.seeds(docs, "doc_id", "text"))), "chains")
+        found = passages.merged(passages.aligned(chained.filter("ats is null"), docs, "doc_id", "text", "aligned"), 50)
+        assert found.count() == 0
+        made[n] = passages.further(chained, found).count()
+    assert 0 < made[120] <= 6 * made[30]
+
+
+def test_seeds_are_linked_in_turns(spark, monkeypatch):
+    """No shuffle holds the seeds of all hashes, and the passages are those of one turn."""
+    r = random.Random(22)
+    whole = sentence(r, 90)
+    rows = [(i, " ".join([*sentence(r, 40), *whole[i : 60 + i], *sentence(r, 40)])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every, held = passages.seeds(docs, "doc_id", "text").count(), []
+    links = passages.links
+    monkeypatch.setattr(passages, "links", lambda found, *pairs: (None if pairs else held.append(found.count())) or links(found, *pairs))
+    got = passages.repeated_passages(docs).collect()
+    assert sum(held) == every and max(held) < 0.6 * every
+    monkeypatch.setattr(passages, "TURNS", 1)
+    assert sorted(got) == sorted(passages.repeated_passages(docs).collect()) and len(got) == 29
+
+
+def test_places_beside_a_link_by_brute_force():
+    r = random.Random(23)
+    for _ in range(100):
+        rows = [[sorted((r.randrange(120), r.randrange(120)) for _ in range(r.randint(1, 4))), *([(r.randrange(120), r.randrange(6)) for _ in range(r.randint(1, 12))] for _ in "ab")] for _ in range(r.randint(1, 5))]
+        want = set()
+        for n, (linked, here, there) in enumerate(rows):
+            for a, s in here:
+                for x, y in linked:
+                    near = [b for b, t in there if t == s]
+                    if near and abs(a - x) <= passages.MOST_GAP:
+                        away = min(abs(b - (a + y - x)) for b in near)
+                        want |= {(n, a, frozenset(b for b in near if abs(b - (a + y - x)) == away and abs(b - y) <= passages.MOST_GAP + passages.LEAST_SPAN))}
+        flat = lambda k: [np.array(c, np.int64) for c in zip(*((n, *v) for n, row in enumerate(rows) for v in row[k]))]
+        got = list(zip(*(c.tolist() for c in passages.beside(*flat(0), *flat(1), *flat(2)))))
+        want = {w for w in want if w[2]}
+        assert all(any(g[:2] == w[:2] and g[2] in w[2] for w in want) for g in got)
+        ties = {w for w in want if len(w[2]) == 1}
+        assert all((*w[:2], next(iter(w[2]))) in got for w in ties) and len(set(got)) == len(got)
+
+
 def test_a_repeated_word_is_a_passage_too(spark):
     r = random.Random(16)
     rows = [(i, " ".join([*sentence(r, 30), *["spam"] * n, *sentence(r, 30)])) for i, n in enumerate((80, 70, 20))]
